@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The six ASCII blanks, and the letters that are lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -63,6 +64,11 @@ def strip_blanks(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: a lambda's variable, which the optimizer cannot write out at each use."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that df does not have (Spark ignores case)."""
     have = {c.lower() for c in df.columns}
@@ -71,7 +77,7 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
-def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, max_rows: int = 512) -> DataFrame:
+def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, max_rows: int = 512) -> DataFrame:
     """mapInArrow over batches of at most max_rows rows, so that a batch of very long texts stays small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

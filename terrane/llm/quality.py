@@ -102,6 +102,20 @@ def verdict(policy: str = POLICY) -> F.Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0
 
 
+def kept_documents(df: DataFrame, policy: str = POLICY, text_col: str = "text") -> DataFrame:
+    """The rows of df that a policy keeps, with df's own columns.
+
+    Rules and verdict run in the same pass as the rows, so texts are not shuffled; what the rules measured is dropped.
+    """
+    bits = mask(POLICIES[policy])
+    at = [c.lower() for c in df.columns].index(text_col.lower())
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([not measure(t)[-1] & bits for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return arrow_pass(df, judge, df.schema)
+
+
 def ablations(entries: DataFrame, policy: str = POLICY) -> DataFrame:
     """For each rule of a policy: documents it fails, and documents that only it rejects.
 
