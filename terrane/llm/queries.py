@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrane.llm.common import load
 from terrane.llm.decontam import op9_decontam, op9_sql
+from terrane.llm.langid import op6_language
 from terrane.llm.licenses import op5_licenses
 from terrane.llm.linededup import op4_lines, op4_sql
 from terrane.llm.mixing import op10_mix
 from terrane.llm.neardup import op3_neardup, op3_sql
 from terrane.llm.quality import op2_quality, op2_sql
+from terrane.llm.secret_scan import op7_secrets
 from terrane.llm.sharding import op1_shards, op1_sql
 from terrane.llm.urlfilter import op8_sql, op8_urls
 
@@ -28,6 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash_neardup": _over(op3_neardup, "documents"),
         "op4_line_dedup": _over(op4_lines, "documents"),
         "op5_license_scan": _over(op5_licenses, "documents"),
+        "op6_language_id": _over(op6_language, "documents"),
+        "op7_secret_scan": _over(op7_secrets, "documents"),
         "op8_url_filter": _over(op8_urls, "pages"),
         "op9_decontamination": _over(op9_decontam, "documents", "benchmark"),
         "op10_mixing": _over(op10_mix, "documents"),
