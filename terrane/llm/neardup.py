@@ -37,7 +37,7 @@ MAX_BITS = 40
 PAIRS_PER_ROW = 2
 #: Most rows and shingles of one block of a bucket.
 BLOCK_ROWS, BLOCK_SHINGLES = 1000, 500_000
-WORD_CACHE = 1_000_000
+WORD_CACHE = 50_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
@@ -149,15 +149,11 @@ def _linked_batch(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array([us[i] for i in keep], pa.int64()), pa.array([vs[i] for i in keep], pa.int64())], ["u", "v"])
 
 
-def linked(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) that the full sets confirm, written."""
-    nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    texts = written(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(nodes, "id", "left_semi"), "candidate-texts")
+def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) that the full sets of texts (id, text) confirm, written."""
     with_v = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
     both = with_v.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").select("u", "v", "tu", "tv")
-    out = written(arrow_pass(both, _linked_batch, "u long, v long", 4096).distinct(), "links")
-    forget(texts)
-    return out
+    return written(arrow_pass(both, _linked_batch, "u long, v long", 4096).distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,7 +250,7 @@ def _group_links(rows: dict) -> list[tuple[int, int]]:
     wanted = [len(partners(i)) > 0 for i in left]
     if not any(wanted):
         return []
-    found = [shingles(t) for t in rows["text"]]
+    found = [shingles(t) for part in rows["text"] for t in texts_as_bytes(part)]
     offsets = np.r_[0, np.cumsum([len(x) for x in found])]
     numbers = np.unique(np.concatenate(found), return_inverse=True)[1].ravel()
     flags, out = np.zeros(len(numbers) + 1, np.int64), []
@@ -284,8 +280,8 @@ def _sorted_groups(batches):
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     for batch in batches:
-        keys = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bucket", "bi", "bj"))))
-        cols = {c: texts_as_bytes(batch.column(batch.schema.get_field_index(c))) if c == "text" else batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names}
+        column = {c: batch.column(batch.schema.get_field_index(c)) for c in ("bucket", *names)}
+        keys = list(zip(*(column[c].to_pylist() for c in ("bucket", "bi", "bj"))))
         start = 0
         for end in range(1, len(keys) + 1):
             if end == len(keys) or keys[end] != keys[start]:
@@ -294,28 +290,33 @@ def _sorted_groups(batches):
                         yield made()
                     at, held = keys[start], {c: [] for c in names}
                 for c in names:
-                    held[c].extend(cols[c][start:end])
+                    part = column[c].slice(start, end - start)
+                    held[c].append(part) if c == "text" else held[c].extend(part.to_pylist())
                 start = end
     if held:
         yield made()
 
 
-def _links_left(rest: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _with_partners(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that have a possible partner of another component in the same bucket, each once."""
+    cols = ("node", "root", "n", "b1", "b2")
+    x, y = (rows.select(F.col("bucket").alias(f"bucket{i}"), *[F.col(c).alias(f"{c}{i}") for c in cols]) for i in "xy")
+    possible = (F.col("bucketx") == F.col("buckety")) & (F.col("rootx") != F.col("rooty")) & _possible("nx", "ny", ("b1x", "b1y"), ("b2x", "b2y"))
+    return x.join(y, possible, "left_semi").select(*[F.col(f"{c}x").alias(c) for c in ("bucket", *cols)])
+
+
+def _links_left(rest: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between classes of different components in the same bucket, written.
 
-    Rows without a possible partner in their bucket go first (a semi join gives each row once). A large bucket is cut
-    into blocks, and each pair of blocks is a group of its own, of bounded rows and shingles; failing pairs never
-    leave the group, and links leave it only while they join components.
+    A large bucket is cut into blocks, and each pair of blocks is a group of its own, of bounded rows and shingles;
+    failing pairs never leave the group, and links leave it only while they join components.
     """
-    x, y = (rest.select(F.col("bucket").alias(f"bucket{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("node", "root", "n", "b1", "b2")]) for i in "xy")
-    possible = (F.col("bucketx") == F.col("buckety")) & (F.col("rootx") != F.col("rooty")) & _possible("nx", "ny", ("b1x", "b1y"), ("b2x", "b2y"))
-    some = written(x.join(y, possible, "left_semi").select(*[F.col(f"{c}x").alias(c) for c in ("bucket", "node", "root", "n", "b1", "b2")]), "possible")
+    some = written(_with_partners(rest), "possible")
     blocks = some.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
     dealt = some.join(blocks, "bucket").select("*", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "root", "n", "b1", "b2")
-    texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    grouped = dealt.join(texts, "node").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    grouped = dealt.join(texts.withColumnRenamed("id", "node"), "node").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
     out = written(grouped.mapInArrow(_sorted_groups, "u long, v long").distinct(), "links-left")
     forget(some)
     return out
@@ -333,27 +334,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         sig.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("n", "b1", "b2", "bands")]).filter("node IS NOT NULL"), "classes"
     )
     banded = reps.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("n0"), F.max("node").alias("n1")).filter("n0 < n1").select("bucket", "size")
-    met = written(banded.join(shared, "bucket"), "buckets")
-    weight = met.groupBy("node").agg(F.sum("size").alias("weight"))
-    traits = written(reps.select("node", "n", "b1", "b2").join(weight, "node"), "traits")
-    met_rows = met.count()
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = written(banded.join(shared, "bucket").join(reps.select("node", "n", "b1", "b2"), "node").withColumn("root", F.col("node")), "buckets")
+    pool = written(_with_partners(met).join(met.groupBy("node").agg(F.sum("size").alias("weight")), "node"), "candidates")
+    forget(met)
+    traits = written(pool.select("node", "n", "b1", "b2").distinct(), "traits")
+    # candidates are too many to broadcast where it matters, so the join is a shuffle at every size
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = written(texts.join(traits.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi"), "candidate-texts")
+    n_rows = pool.count()
     roots, tried, turn = None, None, 0
     while True:
-        placed = met.select("bucket", "node") if roots is None else met.select("bucket", "node").join(roots, "node", "left")
-        placed = placed.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
+        placed = pool if roots is None else pool.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("bucket")
-        rest = written(placed.join(mixed, "bucket").join(traits, "node"), "mixed-buckets")
+        rest = written(placed.join(mixed, "bucket"), "mixed-buckets")
         if turn:
             each = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
             left = each.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0))).first()[0]
-            if left <= PAIRS_PER_ROW * met_rows or n_found * 10 < n_tried:
+            if left <= PAIRS_PER_ROW * n_rows or n_found * 10 < n_tried:
                 break
         stars = _stars(rest, traits, turn)
         if tried is not None:
             stars = stars.join(tried, ["u", "v"], "left_anti")
         nearest = written(stars.groupBy("x").agg(F.min(F.struct("apart", "u", "v")).alias("best")).select("best.u", "best.v").distinct(), "tried")
-        found = linked(nearest, df, id_col, text_col)
+        found = linked(nearest, texts)
         n_found, n_tried = found.count(), nearest.count()
         roots = _merged(roots, found)
         tried = nearest if tried is None else tried.unionByName(nearest)
@@ -361,9 +365,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         turn += 1
 
     # what is left: classes of different components that share a bucket
-    roots = _merged(roots, _links_left(rest, df, id_col, text_col))
-    forget(rest)
-    forget(met)
+    roots = _merged(roots, _links_left(rest, texts))
+    for table in (rest, pool, texts):
+        forget(table)
 
     rooted = reps.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     out = sig.select("id", "n", "h1", "h2").join(rooted, ["h1", "h2"], "left")
