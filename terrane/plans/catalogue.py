@@ -131,16 +131,18 @@ add("l1_network_states", "a_projects", """WITH y AS (SELECT CAST(y AS BIGINT) AS
     lambda x: access.network_states(x.filter("project_id % 50 = 0 AND open_year IS NOT NULL").select("project_id", "open_year"), x.sparkSession.range(1998, 2008).withColumnRenamed("id", "year"), "project_id", "open_year"))
 
 # --- credibility -----------------------------------------------------------------------------------------------
+#: Products of short decimals often end in a 5 at the seventh place, where the engines' round() differ; added on both sides.
+TIE = 1e-9
 MODS = ["multilateral_funded", "state_budget_only", "ec_pending", "site_pre_owned"]
 HARD = "CASE commitment_form WHEN 'verbal' THEN 0.08e0 WHEN 'summit_mou' THEN 0.15e0 WHEN 'land_allotted' THEN 0.47e0 WHEN 'board_approved' THEN 0.57e0 ELSE 0.84e0 END"
 CRED = f"""
   j AS (SELECT p.*, a.delivery_ratio, a.median_slip_months, a.mean_capex, {HARD} AS hard FROM a_projects p LEFT JOIN a_announcers a USING (announcer_id)),
-  k AS (SELECT *, 0.55e0 + 0.8e0 * (0.30e0 * CASE WHEN delivery_ratio >= 0.85 THEN 1e0 WHEN delivery_ratio >= 0.65 THEN 0.85e0 WHEN delivery_ratio >= 0.45 THEN 0.65e0 WHEN delivery_ratio >= 0.25 THEN 0.45e0 WHEN delivery_ratio >= 0 THEN 0.25e0 ELSE 0.40e0 END
+  k AS (SELECT *, 0.55e0 + (0.30e0 * CASE WHEN delivery_ratio >= 0.85 THEN 1e0 WHEN delivery_ratio >= 0.65 THEN 0.85e0 WHEN delivery_ratio >= 0.45 THEN 0.65e0 WHEN delivery_ratio >= 0.25 THEN 0.45e0 WHEN delivery_ratio >= 0 THEN 0.25e0 ELSE 0.40e0 END
     + 0.15e0 * CASE WHEN median_slip_months IS NULL THEN 0.5e0 ELSE greatest(0, least(1, 1 - median_slip_months / 60)) END
     + 0.20e0 * CASE WHEN capex IS NULL OR mean_capex IS NULL OR mean_capex <= 0 THEN 0.5e0 WHEN capex / mean_capex <= 0.5 THEN 1e0 WHEN capex / mean_capex <= 1.5 THEN 0.85e0 WHEN capex / mean_capex <= 3 THEN 0.55e0 WHEN capex / mean_capex <= 6 THEN 0.3e0 WHEN capex / mean_capex <= 999 THEN 0.15e0 ELSE 0.5e0 END
-    + 0.20e0 * hard + 0.15e0 * 0.5e0) AS acs FROM j),
+    + 0.20e0 * hard + 0.15e0 * 0.5e0) / (0.30e0 + 0.15e0 + 0.20e0 + 0.20e0 + 0.15e0) * (1.35e0 - 0.55e0) AS acs FROM j),
   m AS (SELECT *, least(0.97e0, CASE WHEN is_public THEN CASE stage WHEN 'announced' THEN 0.27e0 WHEN 'feasibility' THEN 0.40e0 WHEN 'dpr_prepared' THEN 0.50e0 WHEN 'dpr_approved' THEN 0.61e0 WHEN 'funded' THEN 0.77e0 WHEN 'land_majority' THEN 0.87e0 WHEN 'construction' THEN 0.92e0 ELSE 0.97e0 END ELSE hard * acs END
-    * CASE WHEN modifier_bits % 2 = 1 THEN 1.15e0 ELSE 1e0 END * CASE WHEN floor(modifier_bits / 2) % 2 = 1 THEN 0.85e0 ELSE 1e0 END * CASE WHEN floor(modifier_bits / 4) % 2 = 1 THEN 0.85e0 ELSE 1e0 END * CASE WHEN floor(modifier_bits / 8) % 2 = 1 THEN 1.15e0 ELSE 1e0 END) AS p0 FROM k),
+    * (CASE WHEN modifier_bits % 2 = 1 THEN 1.15e0 ELSE 1e0 END * CASE WHEN floor(modifier_bits / 2) % 2 = 1 THEN 0.85e0 ELSE 1e0 END * CASE WHEN floor(modifier_bits / 4) % 2 = 1 THEN 0.85e0 ELSE 1e0 END * CASE WHEN floor(modifier_bits / 8) % 2 = 1 THEN 1.15e0 ELSE 1e0 END)) AS p0 FROM k),
   l3 AS (SELECT *, CASE WHEN abandoned THEN 0e0 WHEN claims_construction AND physical_state IN ('none', 'cleared') AND physical_age_days < 120 THEN p0 * 0.55e0 ELSE p0 END AS p_completion FROM m)
 """
 
@@ -150,13 +152,14 @@ def _completion(p: DataFrame, a: DataFrame) -> DataFrame:
     return cr.completion(p.withColumn("modifiers", F.array_compact(F.array(*flags))), a, P)
 
 
-add("l3_completion", "a_projects a_announcers", f"WITH {CRED} SELECT project_id, round(acs, 6) AS acs, round(p_completion, 6) AS p_completion FROM l3", lambda p, a: _completion(p, a).select("project_id", "acs", "p_completion"))
+add("l3_completion", "a_projects a_announcers", f"WITH {CRED} SELECT project_id, round(acs + 1e-9, 6) AS acs, round(p_completion + 1e-9, 6) AS p_completion FROM l3",
+    lambda p, a: _completion(p, a).select("project_id", (c("acs") + TIE).alias("acs"), (c("p_completion") + TIE).alias("p_completion")))
 add("l3_component_scores", "a_announcers", """SELECT announcer_id, CASE WHEN delivery_ratio >= 0.85 THEN 1e0 WHEN delivery_ratio >= 0.65 THEN 0.85e0 WHEN delivery_ratio >= 0.45 THEN 0.65e0 WHEN delivery_ratio >= 0.25 THEN 0.45e0 WHEN delivery_ratio >= 0 THEN 0.25e0 ELSE 0.4e0 END AS delivery,
   round(CASE WHEN median_slip_months IS NULL THEN 0.5e0 ELSE greatest(0, least(1, 1 - median_slip_months / 60)) END, 6) AS lag FROM a_announcers""", lambda a: a.select("announcer_id", cr.delivery_score(c("delivery_ratio"), P).alias("delivery"), cr.lag_score(c("median_slip_months"), P).alias("lag")))
 ACT = """CASE WHEN year < announced_year OR open_year IS NULL THEN 0 WHEN year < construction_year THEN 0.15e0 WHEN year < open_year THEN 0.5e0 ELSE 0.5e0 + 0.5e0 * least(greatest((year - open_year) / 3, 0), 1) END
   * CASE WHEN year < open_year THEN pow(1.12e0, year - open_year) ELSE 1 END"""
-add("l3_activation", "a_projects a_announcers", f"WITH {CRED} SELECT project_id, CAST(year AS BIGINT) AS year, round(p_completion * {ACT}, 6) AS weight FROM l3, range(1998, 2006) t(year)",
-    lambda p, a: cr.activation(_completion(p, a), p.sparkSession.range(1998, 2006).withColumnRenamed("id", "year"), P).select("project_id", "year", "weight"))
+add("l3_activation", "a_projects a_announcers", f"WITH {CRED} SELECT project_id, CAST(year AS BIGINT) AS year, round(p_completion * {ACT} + 1e-9, 6) AS weight FROM l3, range(1998, 2006) t(year)",
+    lambda p, a: cr.activation(_completion(p, a), p.sparkSession.range(1998, 2006).withColumnRenamed("id", "year"), P).select("project_id", "year", (c("weight") + TIE).alias("weight")))
 add("l3_pipeline_by_stage", "a_projects a_announcers", f"WITH {CRED} SELECT stage, is_public, count(*) AS n, round(sum(p_completion * capex), 2) AS expected FROM l3 GROUP BY ALL",
     lambda p, a: _completion(p, a).groupBy("stage", "is_public").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(c("p_completion") * c("capex")), 2).alias("expected")))
 add("l3_announced_years", "orders", "SELECT o_orderkey, round(date_diff('day', CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 900) / CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(CAST(o_orderdate AS DATE) + INTERVAL 12 MONTH AS DATE)) AS DOUBLE), 6) AS years FROM orders",
