@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions import scalar as sc
-from terrane.operators import access, credibility as cr, market, measures as ms, spatial, substrate as sub
+from terrane.operators import access, credibility as cr, ingest, market, measures as ms, spatial, substrate as sub
 from terrane.params import load_params
 from terrane.plans.views import table, view, with_views
 
@@ -405,3 +405,60 @@ EXACT, PATTERNS = {"mit": "permissive", "isc": "permissive"}, [("gnu (lesser|gen
 add("licence_class", "documents", """SELECT doc_id, CASE WHEN text IS NULL OR trim(lower(text)) = '' THEN 'unknown' WHEN trim(lower(text)) IN ('mit', 'isc') THEN 'permissive' WHEN regexp_matches(lower(text), 'gnu (lesser|general|affero)') THEN 'copyleft'
   WHEN regexp_matches(lower(text), 'apache|mit license|bsd') THEN 'permissive' WHEN regexp_matches(lower(text), 'cc by') THEN 'data' ELSE 'unknown' END AS class FROM documents""", lambda d: d.select("doc_id", ms.licence_class(c("text"), EXACT, PATTERNS).alias("class")))
 add("blocks_rollup", "a_cells", "SELECT land_type, brand, count(*) AS n, round(avg(price), 6) AS price FROM a_cells GROUP BY ROLLUP (land_type, brand)", lambda x: x.rollup("land_type", "brand").agg(F.count(F.lit(1)).alias("n"), F.avg("price").alias("price")))
+
+# --- more joins, ledgers and registers -------------------------------------------------------------------------
+add("merge_replace", "a_cells a_history", "SELECT a.cell, round(h.price, 6) AS price FROM a_cells a LEFT JOIN (SELECT cell, price FROM a_history WHERE year = 1997) h USING (cell)",
+    lambda x, h: ingest.merge(x.select("cell", "price"), h.filter("year = 1997").select("cell", "price"), "cell"))
+add("outer_merge", "a_cells a_history", "SELECT coalesce(x.cell, h.cell) AS cell, round(slope_pct, 6) AS slope_pct, round(light, 6) AS light FROM (SELECT * FROM a_cells WHERE cell % 2 = 0) x FULL JOIN (SELECT * FROM a_history WHERE year = 1999) h ON x.cell = h.cell",
+    lambda x, h: x.filter("cell % 2 = 0").select("cell", "slope_pct").join(h.filter("year = 1999").select("cell", "light"), "cell", "full"))
+add("masked_shares", "a_cells", "WITH s AS (SELECT *, CASE WHEN price IS NOT NULL THEN lna END AS u FROM a_cells) SELECT cell, round(coalesce(exp(u - max(u) OVER (PARTITION BY zone)), 0) / sum(exp(u - max_u)) OVER (PARTITION BY zone), 6) AS share FROM (SELECT *, max(u) OVER (PARTITION BY zone) AS max_u FROM s)",
+    lambda x: market.softmax(x.withColumn("u", F.when(c("price").isNotNull(), c("lna"))), "u", "share", ["zone"]).select("cell", "share"))
+add("firm_shares", "a_cells", "WITH f AS (SELECT *, exp(0.5e0 * lna - ln(1 + slope_pct)) AS e FROM a_cells WHERE util_power = 1) SELECT cell, round(1000 * e / sum(e) OVER (), 6) AS jobs FROM f",
+    lambda x: market.softmax(x.filter("util_power = 1").withColumn("u", 0.5 * c("lna") - F.ln(1 + c("slope_pct"))), "u", "s").select("cell", (1000 * c("s")).alias("jobs")))
+add("supply_pipeline", "a_projects", "SELECT cell, CAST(floor(open_year) AS BIGINT) AS year, count(*) AS n, round(sum(capex), 2) AS capex FROM a_projects WHERE open_year IS NOT NULL GROUP BY ALL",
+    lambda p: p.filter("open_year IS NOT NULL").groupBy("cell", F.floor("open_year").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("capex"), 2).alias("capex")))
+add("absorption_observed", "orders", "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, count(*) AS units, round(avg(o_totalprice), 4) AS price FROM orders GROUP BY ALL",
+    lambda o: o.groupBy(F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")).agg(F.count(F.lit(1)).alias("units"), F.round(F.avg("o_totalprice"), 4).alias("price")))
+add("effects_by_year", "a_projects", "SELECT cell, round(sum(capex) / 1000, 6) AS delta, round(greatest(0, 5000 - sum(capex) / 1000), 6) AS capacity FROM a_projects WHERE announced_year = 1997 GROUP BY cell",
+    lambda p: p.filter("announced_year = 1997").groupBy("cell").agg((F.sum("capex") / 1000).alias("delta")).withColumn("capacity", F.greatest(F.lit(0.0), 5000 - c("delta"))))
+add("delivery_split", "a_cells", "SELECT cell, round(CASE WHEN res_sqm + com_sqm > 0 THEN 100 * res_sqm / (res_sqm + com_sqm) ELSE 100 END, 6) AS res, round(CASE WHEN res_sqm + com_sqm > 0 THEN 100 * com_sqm / (res_sqm + com_sqm) ELSE 0 END, 6) AS com FROM a_cells",
+    lambda x: x.withColumn("t", c("res_sqm") + c("com_sqm")).withColumn("f", F.when(c("t") > 0, c("res_sqm") / F.when(c("t") > 0, c("t"))).otherwise(1.0)).select("cell", (100 * c("f")).alias("res"), (100 - 100 * c("f")).alias("com")))
+add("alpha_fit", "a_cells", """WITH v AS (SELECT cell, households, exp(lna) / sum(exp(lna)) OVER () AS pred, households / sum(households) OVER () AS obs FROM a_cells), a AS (SELECT cell, CASE WHEN obs > 0 THEN ln(obs) - ln(pred) END AS a FROM v)
+  SELECT cell, round(coalesce(a - avg(a) OVER (), min(a) OVER () - avg(a) OVER ()), 6) AS alpha FROM a""", lambda x: _alpha(x))
+
+
+def _alpha(x: DataFrame) -> DataFrame:
+    total = x.agg(F.sum("households").alias("t"))
+    rows = market.softmax(x, "lna", "pred").join(F.broadcast(total)).withColumn("a", F.when(c("households") > 0, F.ln(c("households") / c("t")) - F.ln("pred")))
+    centre = rows.agg(F.avg("a").alias("m"), F.min("a").alias("low"))
+    return rows.join(F.broadcast(centre)).select("cell", (F.coalesce("a", "low") - c("m")).alias("alpha"))
+
+
+add("household_demand", "a_cells", "WITH t AS (SELECT sum(households) AS h, sum(band_households) AS b, sum(jobs) AS j FROM a_cells) SELECT round(h * 0.02e0 * b / h, 6) AS exogenous, round(j * 0.3e0 * 0.9e0 / 1.45e0, 6) AS job_driven FROM t",
+    lambda x: x.agg(F.sum("households").alias("h"), F.sum("band_households").alias("b"), F.sum("jobs").alias("j")).select((c("h") * 0.02 * c("b") / c("h")).alias("exogenous"), (c("j") * 0.3 * 0.9 / P.value("behaviour.workers_per_household")).alias("job_driven")))
+add("price_paths", "a_draws", "SELECT draw, round(avg(value), 6) AS mean, round(max(value) - min(value), 6) AS spread FROM a_draws GROUP BY draw", lambda d: d.groupBy("draw").agg(F.avg("value").alias("mean"), (F.max("value") - F.min("value")).alias("spread")))
+add("pivot_band", "a_draws", "SELECT cell, round(quantile_cont(value, 0.1), 6) AS q10, round(quantile_cont(value, 0.9), 6) AS q90 FROM a_draws GROUP BY cell",
+    lambda d: market.ensemble_quantiles(d, ["cell"], "value", [0.1, 0.9]).groupBy("cell").pivot("quantile", [0.1, 0.9]).agg(F.first("value")).toDF("cell", "q10", "q90"))
+add("unpivot_factors", "a_cells", "SELECT cell, 'amenity' AS factor, round(amenity, 6) AS value FROM a_cells UNION ALL SELECT cell, 'price', round(price, 6) FROM a_cells", lambda x: x.select("cell", "amenity", "price").unpivot("cell", ["amenity", "price"], "factor", "value"))
+add("uplift_ols", "a_cells", "SELECT round(regr_slope(price, rent), 6) AS slope, round(regr_intercept(price, rent), 4) AS intercept, CAST(regr_count(price, rent) AS BIGINT) AS n FROM a_cells",
+    lambda x: x.agg(F.regr_slope("price", "rent").alias("slope"), F.round(F.regr_intercept("price", "rent"), 4).alias("intercept"), F.regr_count("price", "rent").alias("n")))
+add("broker_median", "lineitem", "SELECT l_partkey, round(quantile_cont(l_extendedprice / l_quantity, 0.5) + 1e-9, 6) AS price, count(*) AS n FROM lineitem GROUP BY l_partkey", lambda h: h.groupBy("l_partkey").agg((F.median(c("l_extendedprice") / c("l_quantity")) + TIE).alias("price"), F.count(F.lit(1)).alias("n")))
+add("dead_pipeline_share", "a_projects", "SELECT count(*) FILTER (abandoned) AS n_dead, round(avg(CASE WHEN abandoned THEN 1e0 ELSE 0 END), 6) AS share, count(*) FILTER (abandoned) > 0 AS ok FROM a_projects",
+    lambda p: p.agg(F.count_if("abandoned").alias("n_dead"), F.avg(c("abandoned").cast("double")).alias("share")).withColumn("ok", c("n_dead") > 0))
+add("terminal_outcome", "a_events", "SELECT project, event_type AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, event_type DESC) AS r FROM a_events WHERE event_type IN ('purchase', 'error')) WHERE r = 1",
+    lambda e: ms.latest_as_of(e.filter("event_type IN ('purchase', 'error')"), ["project"], "ts", F.expr("TIMESTAMP_NTZ '2100-01-01 00:00:00'"), ["event_type"]).select("project", c("event_type").alias("outcome")))
+add("clipped_dates", "orders", "SELECT o_orderkey, CAST(CASE WHEN year(o_orderdate) <= 1998 THEN o_orderdate ELSE TIMESTAMP '1998-12-31' END AS DATE) AS d FROM orders",
+    lambda o: o.select("o_orderkey", F.to_date(F.when(F.year("o_orderdate") <= 1998, c("o_orderdate")).otherwise(F.expr("TIMESTAMP_NTZ '1998-12-31 00:00:00'"))).alias("d")))
+add("registry_problems", "a_projects", """SELECT 'late_stage' AS problem, project_id FROM a_projects WHERE claims_construction AND physical_state = 'none' UNION ALL SELECT 'no_opening', project_id FROM a_projects WHERE open_year IS NULL UNION ALL SELECT 'negative', project_id FROM a_projects WHERE capex < 2000""",
+    lambda p: p.select("project_id", F.explode(F.array_compact(F.array(F.when(c("claims_construction") & (c("physical_state") == "none"), "late_stage"), F.when(c("open_year").isNull(), "no_opening"), F.when(c("capex") < 2000, "negative")))).alias("problem")))
+add("district_total", "a_cells", "SELECT zone, round(sum(households * 4), 6) AS population, abs(sum(households * 4) - 700) <= 0.5e0 * 700 AS within FROM a_cells GROUP BY zone",
+    lambda x: x.groupBy("zone").agg(F.sum(c("households") * 4).alias("population")).withColumn("within", F.abs(c("population") - 700) <= 350.0))
+add("band_reliability", "a_draws", "WITH q AS (SELECT cell, quantile_cont(value, 0.1) AS a, quantile_cont(value, 0.9) AS b FROM a_draws WHERE draw > 0 GROUP BY cell) SELECT round(avg(CASE WHEN value BETWEEN a AND b THEN 1e0 ELSE 0 END), 6) AS coverage, count(*) AS n FROM a_draws JOIN q USING (cell) WHERE draw = 0",
+    lambda d: ms.band_coverage(d.filter("draw = 0").join(d.filter("draw > 0").groupBy("cell").agg(F.percentile("value", F.lit(0.1)).alias("lo"), F.percentile("value", F.lit(0.9)).alias("hi")), "cell"), "value", "lo", "hi"))
+add("overheat_precision", "a_cells", "WITH m AS (SELECT quantile_cont(lna, 0.5) AS m FROM a_cells) SELECT round(avg(CASE WHEN lna < m THEN 1e0 ELSE 0 END), 6) AS precision FROM a_cells, m WHERE amenity > 0.8",
+    lambda x: x.filter("amenity > 0.8").join(F.broadcast(x.agg(F.median("lna").alias("m")))).agg(F.avg((c("lna") < c("m")).cast("double")).alias("precision")))
+add("imputed_flags", "a_cells", "SELECT cell, price IS NULL OR rent IS NULL AS flag, CASE WHEN price IS NULL THEN 'median' WHEN rent IS NULL THEN 'parent' END AS method FROM a_cells",
+    lambda x: ingest.mark_imputed(ingest.mark_imputed(x, "v", c("price").isNull(), "median"), "v", c("rent").isNull(), "parent").select("cell", c("v__imputed").alias("flag"), c("v__method").alias("method")))
+add("physical_state", "a_cells", "SELECT cell, CASE WHEN amenity >= 0.5 AND lna >= 1 THEN 'operating' WHEN amenity >= 0.5 THEN 'structure' WHEN -disamenity <= -0.4 AND builtup_frac >= 0.3 THEN 'earthworks' WHEN -disamenity <= -0.4 THEN 'cleared' ELSE 'none' END AS state FROM a_cells",
+    lambda x: x.select("cell", ingest.physical_state(-c("disamenity"), c("amenity"), c("builtup_frac"), c("lna"), {"built": 0.5, "light": 1.0, "green": 0.4, "soil": 0.3}).alias("state")))
+add("power_flag", "a_cells", "SELECT cell, CAST(CASE WHEN x_m <= 2000 OR y_m <= 500 THEN 1 ELSE 0 END AS BIGINT) AS util_power FROM a_cells", lambda x: ingest.power_flag(x.drop("util_power"), "cell", "x_m", "y_m"))
