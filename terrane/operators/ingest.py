@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from terrane.functions.scalar import in_ring, segment_distance
 from terrane.operators.measures import majority
 from terrane.operators.spatial import in_polygons
+from terrane.sources.ship import ship_package
 
 RING = "array<struct<x:double,y:double>>"
 #: Neighbours of an axial hexagon.
@@ -93,6 +94,7 @@ def overlay(cells: DataFrame, layer: DataFrame, cell: str, keep: list[str], squa
             yield rows.drop(columns=["_c", "_l"]).assign(area=np.array(area, float))
 
     kinds = dict(pairs.dtypes)
+    ship_package(cells.sparkSession)
     out = pairs.mapInPandas(areas, ", ".join(f"`{n}` {kinds[n]}" for n in (cell, *keep)) + ", area double")
     return out.filter("area > 0")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terrane.operators import credibility as cr, market
 from terrane.params import Params
+from terrane.sources.ship import shared_dir
 
 KEY = ["scenario", "draw", "cell"]
 
@@ -44,8 +45,7 @@ class Run:
 def _kept(df: DataFrame, name: str) -> DataFrame:
     """Written and read again, in the folder that driver and executors share."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

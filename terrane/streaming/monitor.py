@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from terrane.sources.ship import ship_package
+
 RATCHET_OUT = "project long, event_id long, ratcheted long"
 
 
@@ -32,4 +34,5 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 def ratchet_stream(events: DataFrame) -> DataFrame:
     """Highest state so far of each project, over batches: only the highest rank is kept as state."""
+    ship_package(events.sparkSession)
     return events.groupBy("project").applyInPandasWithState(_advance, RATCHET_OUT, "top long", "append", GroupStateTimeout.NoTimeout)
