@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.common import arrow_pass, forget, texts_as_bytes, written
+from terrane.sources.ship import ship_package
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -317,6 +318,7 @@ def _links_left(rest: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = some.join(blocks, "bucket").select("*", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "root", "n", "b1", "b2")
     grouped = dealt.join(texts.withColumnRenamed("id", "node"), "node").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    ship_package(grouped.sparkSession)
     out = written(grouped.mapInArrow(_sorted_groups, "u long, v long").distinct(), "links-left")
     forget(some)
     return out

@@ -9,9 +9,7 @@ match against the stored string, so two strings with equal digests cannot be mis
 from __future__ import annotations
 
 import hashlib
-import os
 import re
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm.common import arrow_pass
+from terrane.sources.ship import put_shared
 
 #: Fixed values of the contract: verdict, host, path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -122,12 +121,9 @@ def judge(urls: list[str | None], digests: Digests) -> list[tuple[str, str, str
 
 
 def hand_out(spark: SparkSession, data: bytes) -> str:
-    """Gives the file to every machine of the cluster; its name there. Named by content, so it is sent once."""
+    """Gives the file to every machine of the cluster, from the shared folder; its name there, after its content."""
     name = f"urls-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="digests-"), name)
-    with open(path, "wb") as f:
-        f.write(data)
-    spark.sparkContext.addFile(path)
+    spark.sparkContext.addFile(put_shared(spark, name, data))
     return name
 
 
