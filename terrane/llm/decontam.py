@@ -134,7 +134,7 @@ def op9_decontam(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_documents(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without its contaminated rows."""
     bad = written(contamination(df, benchmark, id_col, text_col).filter("contaminated").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")), "contaminated")
-    return df.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")), "left_anti")
+    return df.join(bad, df[id_col].eqNullSafe(bad["_id"]) & (F.xxhash64(df[text_col]) == bad["_hash"]), "left_anti")
 
 
 def op9_sql() -> str:

@@ -56,9 +56,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         held.join(frequent, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("owner")))
         .groupBy(F.col("id").alias("_drop_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
     )
-    rest = [F.col(c) for c in df.columns if c.lower() not in ("n_lines", "n_dropped", text_col.lower())]
-    rows = df.select(*rest, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).join(drops, F.col(id_col).eqNullSafe(F.col("_drop_id")), "left")
-    lines = F.split(F.col(text_col), "\n")
+    # df's own columns travel as one struct, so no name of theirs can clash
+    rows = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = rows.join(drops, F.col("_id").eqNullSafe(F.col("_drop_id")), "left")
+    lines = F.split("_text", "\n")
 
     def stays(line: Column) -> Column:
         key = line_key(line)
@@ -67,9 +68,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     # positions are those of the array; a text without drops is not taken apart
     rows = rows.withColumn("_left", F.when(F.col("_drops").isNotNull(), F.filter(lines, stays)))
+    text = F.when(F.col("_left").isNull(), F.col("_text")).otherwise(F.array_join("_left", "\n"))
     return rows.select(
-        *rest,
-        F.when(F.col("_left").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n")).alias(text_col),
+        *[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in df.columns if c.lower() not in ("n_lines", "n_dropped")],
         F.size(lines).cast("long").alias("n_lines"),
         F.when(F.col("_left").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_left")).cast("long").alias("n_dropped"),
     )

@@ -121,12 +121,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     """
     sizes = written(_sizes(df, id_col, source_col, text_col), "sizes")
     targets, draws = mix_plan(sizes, seed, levels)
-    rows = df.drop("out_shard", "out_order").withColumn("_unit", _unit(id_col, source_col, text_col))
-    sources = targets.select(F.col("src").alias("_src"), F.col("source").alias("_source"))
-    rows = rows.join(sources, F.col(source_col).eqNullSafe(F.col("_source")))
+    # df's own columns travel as one struct, so no name of theirs can clash
+    rows = df.drop("out_shard", "out_order").select(F.struct("*").alias("_row"), F.col(source_col).alias("_from"), _unit(id_col, source_col, text_col).alias("_unit"))
+    rows = rows.join(targets.select(F.col("src").alias("_src"), "source"), F.col("_from").eqNullSafe(F.col("source")))
     rows = rows.join(draws, (F.col("_src") == F.col("src")) & (F.col("_unit") == F.col("unit")))
-    rows = rows.select("*", F.posexplode("shards").alias("_draw", "out_shard")).withColumn("out_order", F.xxhash64(F.lit(seed), "out_shard", "_unit", "_draw"))
-    return rows.drop("_unit", "_src", "_source", "src", "unit", "shards", "_draw")
+    rows = rows.select("_row", "_unit", F.posexplode("shards").alias("draw", "out_shard"))
+    return rows.select("_row.*", "out_shard", F.xxhash64(F.lit(seed), "out_shard", "_unit", "draw").alias("out_order"))
 
 
 def op10_mix(documents: DataFrame) -> DataFrame:

@@ -16,14 +16,14 @@ from terrane.llm.common import load
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, id string, _r string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, id string, _r string, unit long, _id long, _drops string, shard string, src long, _hash string, text_hash int, Rank int, _row int"
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
 ODD = [
     (1, None, None, None, None), (2, "", "en", "a", 0), (3, "one two", "en", None, 7), (None, "one two", None, "b", 7), (5, LONG, "en", "a", len(LONG)),
     (6, LONG, "en", "a", None), (7, "Same line of more than twenty\nother", "de", "b", 1), (7, "Same line of more than twenty\nother", "de", "b", 1),
     (8, "  SAME line of more than TWENTY \n\nÉtat", "fr", "c", 1), (9, "same line of more than twenty", None, "c", 1), (-4, "\u00a0 \u2003x\x1cy", "en", "a", 3),
 ]
-BAD = [(*r, 1, "x", "y") for r in ODD]
+BAD = [(*r, 1, "x", "y", 5, 7, "d", "s", 3, "h", 4, 6, 8) for r in ODD]
 
 
 @pytest.fixture(scope="module")
