@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row without doc_id stays unless its text's class holds a row that has one.
     """
     found = written(near_duplicates(docs), "near-duplicates").filter("kept").select(F.col("id").alias("_id")).distinct()
-    keep = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keep = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi")
     counts = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     if counts[0] == counts[1]:
         return keep
