@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm.common import arrow_pass
-from terrane.sources.ship import put_shared
+from terrane.sources.ship import put_shared, shared_dir
 
 #: Fixed values of the contract: verdict, host, path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -122,7 +122,7 @@ def judge(urls: list[str | None], digests: Digests) -> list[tuple[str, str, str
 
 def hand_out(spark: SparkSession, data: bytes) -> str:
     """Gives the file to every machine of the cluster, from the shared folder; its name there, after its content."""
-    name = f"urls-{hashlib.sha256(data).hexdigest()[:24]}.bin"
+    name = f"urls-{hashlib.sha256(shared_dir(spark).encode() + data).hexdigest()[:24]}.bin"  # a name may have one path only
     spark.sparkContext.addFile(put_shared(spark, name, data))
     return name
 
