@@ -104,31 +104,34 @@ add("l1_gravity", "a_cells", f"""WITH {OD}, {OPP},
     lambda x: access.gravity(_od(x), access.opportunities(x, "zone", P), "cell", "zone", SHARES, BETAS, WEIGHTS))
 add("l1_reachable_jobs", "a_cells", f"""WITH {OD}, {OPP} SELECT cell, {', '.join(f'round(sum(CASE WHEN minutes <= {t} THEN {SHARE} * o_work ELSE 0 END), 6) AS jobs_{t}' for t in (5, 10, 20))} FROM od JOIN opp USING (zone) GROUP BY cell""",
     lambda x: access.reachable(_od(x), access.opportunities(x, "zone", P), "cell", "zone", "o_work", SHARES, [5, 10, 20]))
-add("l1_station_weight", "a_cells", """WITH st AS (SELECT cell AS station, x_m AS sx, y_m AS sy, cell % 2 = 0 AS feeder FROM a_cells WHERE cell % 97 = 0),
+add("l1_station_weight", "a_cells", """WITH st AS (SELECT cell AS station, x_m AS sx, y_m AS sy, cell % 2 = 0 AS feeder FROM a_cells WHERE brand = 'Brand#13'),
   p AS (SELECT a.cell, feeder, sqrt((x_m - sx) * (x_m - sx) + (y_m - sy) * (y_m - sy)) AS d FROM a_cells a, st)
   SELECT cell, max(CASE WHEN d <= 400 THEN 1e0 WHEN d <= 800 THEN 0.6e0 WHEN d <= 1200 THEN 0.3e0 WHEN d <= 1600 THEN 0.12e0 WHEN d <= 6000 AND feeder THEN 0.15e0 ELSE 0e0 END) AS station_weight FROM p WHERE d <= 6000 GROUP BY cell""",
-    lambda x: access.station_weight(spatial.within(x, x.filter("cell % 97 = 0").select(c("cell").alias("station"), c("x_m").alias("sx"), c("y_m").alias("sy"), (c("cell") % 2 == 0).alias("feeder")), 6000.0, "x_m", "y_m", "sx", "sy"), "cell", "dist_m", "feeder", P))
+    lambda x: access.station_weight(spatial.within(x, x.filter("brand = 'Brand#13'").select(c("cell").alias("station"), c("x_m").alias("sx"), c("y_m").alias("sy"), (c("cell") % 2 == 0).alias("feeder")), 6000.0, "x_m", "y_m", "sx", "sy"), "cell", "dist_m", "feeder", P))
 add("l1_destinations", "a_cells", "SELECT zone, sum(jobs) AS jobs, round(avg(x_m), 6) AS x_m, round(avg(y_m), 6) AS y_m FROM a_cells GROUP BY zone HAVING sum(jobs) >= 25 ORDER BY sum(jobs) DESC, zone LIMIT 100",
     lambda x: access.destinations(x, "zone", "jobs", P.value("access.min_destination_jobs"), 100))
 add("l1_congestion", "a_cells", "SELECT cell, round(30 / greatest(0.45e0, 1 - 0.35e0 * (builtup_frac + builtup_frac / 2 + builtup_frac * builtup_frac) / 3), 6) AS minutes FROM a_cells",
     lambda x: x.select("cell", access.congested(F.lit(30.0), c("builtup_frac"), c("builtup_frac") / 2, c("builtup_frac") * c("builtup_frac"), P).alias("minutes")))
 add("l1_origins", "a_cells", "SELECT cell FROM a_cells WHERE households > 0 OR jobs > 100", lambda x: x.filter("households > 0 OR jobs > 100").select("cell"))
-add("l1_rail_min_plus", "a_cells", """WITH s AS (SELECT cell, x_m, y_m FROM a_cells WHERE cell % 97 = 0),
-  w AS (SELECT a.cell AS origin, s.cell AS board, sqrt((a.x_m - s.x_m) * (a.x_m - s.x_m) + (a.y_m - s.y_m) * (a.y_m - s.y_m)) / 75 AS m FROM a_cells a, s WHERE sqrt((a.x_m - s.x_m) * (a.x_m - s.x_m) + (a.y_m - s.y_m) * (a.y_m - s.y_m)) <= 1500)
-  SELECT a.origin, b.origin AS destination, round(min(a.m + abs(CAST(a.board AS DOUBLE) - b.board) / 97 * 2 + b.m + 6), 6) AS minutes FROM w a, w b WHERE a.board < b.board AND b.board - a.board <= 194 GROUP BY ALL""",
+add("l1_rail_min_plus", "a_cells", """WITH s AS (SELECT cell, x_m, y_m FROM a_cells WHERE brand = 'Brand#13'),
+  w AS (SELECT a.cell AS origin, s.cell AS station, sqrt((a.x_m - s.x_m) * (a.x_m - s.x_m) + (a.y_m - s.y_m) * (a.y_m - s.y_m)) AS m FROM a_cells a, s),
+  h AS (SELECT a.cell AS board, b.cell AS alight, sqrt((a.x_m - b.x_m) * (a.x_m - b.x_m) + (a.y_m - b.y_m) * (a.y_m - b.y_m)) AS m FROM s a, s b WHERE a.cell <> b.cell)
+  SELECT p.origin, q.origin AS destination, round(min(p.m / 75 + h.m / 533 + q.m / 75 + 6), 6) AS minutes FROM w p JOIN h ON h.board = p.station AND h.m <= 2500 JOIN w q ON q.station = h.alight WHERE p.m <= 800 AND q.m <= 800 GROUP BY ALL""",
     lambda x: _rail(x))
 
 
 def _rail(x: DataFrame) -> DataFrame:
-    s = x.filter("cell % 97 = 0").select(c("cell").alias("board"), c("x_m").alias("sx"), c("y_m").alias("sy"))
-    walk = spatial.within(x, s, 1500.0, "x_m", "y_m", "sx", "sy").select(c("cell").alias("origin"), "board", (c("dist_m") / 75).alias("walk_in"))
-    rail = s.select("board").withColumn("alight", F.explode(F.array(c("board") + 97, c("board") + 194))).withColumn("haul", (c("alight") - c("board")) / 97 * 2)
-    return access.via_rail(walk, rail, walk.select(c("origin").alias("destination"), c("board").alias("alight"), c("walk_in").alias("walk_out")), 6.0)
+    s = x.filter("brand = 'Brand#13'").select(c("cell").alias("station"), c("x_m").alias("sx"), c("y_m").alias("sy"))
+    walk = spatial.within(x, s, 800.0, "x_m", "y_m", "sx", "sy").select("cell", "station", (c("dist_m") / 75).alias("walk"))
+    other = s.select(c("station").alias("alight"), c("sx").alias("ox"), c("sy").alias("oy"))
+    rail = spatial.within(s, other, 2500.0, "sx", "sy", "ox", "oy").filter("station <> alight").select(c("station").alias("board"), "alight", (c("dist_m") / 533).alias("haul"))
+    into = walk.select(c("cell").alias("origin"), c("station").alias("board"), c("walk").alias("walk_in"))
+    return access.via_rail(into, rail, walk.select(c("cell").alias("destination"), c("station").alias("alight"), c("walk").alias("walk_out")), 6.0)
 
 
-add("l1_network_states", "a_projects", """WITH y AS (SELECT CAST(y AS BIGINT) AS year FROM range(1998, 2008) t(y)), p AS (SELECT project_id, open_year FROM a_projects WHERE project_id % 50 = 0 AND open_year IS NOT NULL)
+add("l1_network_states", "a_projects", """WITH y AS (SELECT CAST(y AS BIGINT) AS year FROM range(1998, 2008) t(y)), p AS (SELECT project_id, open_year FROM a_projects WHERE is_public AND stage = 'half_complete' AND open_year IS NOT NULL)
   SELECT year, count(project_id) AS n_open, sha256(coalesce(string_agg(CAST(project_id AS VARCHAR), ',' ORDER BY project_id), '')) AS state FROM y LEFT JOIN p ON open_year <= year GROUP BY year""",
-    lambda x: access.network_states(x.filter("project_id % 50 = 0 AND open_year IS NOT NULL").select("project_id", "open_year"), x.sparkSession.range(1998, 2008).withColumnRenamed("id", "year"), "project_id", "open_year"))
+    lambda x: access.network_states(x.filter("is_public AND stage = 'half_complete' AND open_year IS NOT NULL").select("project_id", "open_year"), x.sparkSession.range(1998, 2008).withColumnRenamed("id", "year"), "project_id", "open_year"))
 
 # --- credibility -----------------------------------------------------------------------------------------------
 #: Products of short decimals often end in a 5 at the seventh place, where the engines' round() differ; added on both sides.
@@ -166,11 +169,11 @@ add("l3_announced_years", "orders", "SELECT o_orderkey, round(date_diff('day', C
     lambda o: o.select("o_orderkey", cr.announced_years(F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), 900)).alias("years")))
 
 # --- shocks ----------------------------------------------------------------------------------------------------
-SITE = "pr AS (SELECT project_id, sx, sy FROM (SELECT p.project_id, a.x_m AS sx, a.y_m AS sy FROM a_projects p JOIN a_cells a ON a.cell = p.cell WHERE p.project_id % 211 = 0))"
+SITE = "pr AS (SELECT project_id, sx, sy FROM (SELECT p.project_id, a.x_m AS sx, a.y_m AS sy FROM a_projects p JOIN a_cells a ON a.cell = p.cell))"
 
 
 def _sites(p: DataFrame, x: DataFrame) -> DataFrame:
-    return p.filter("project_id % 211 = 0").join(x.select("cell", c("x_m").alias("sx"), c("y_m").alias("sy")), "cell").select("project_id", "sx", "sy")
+    return p.join(x.select("cell", c("x_m").alias("sx"), c("y_m").alias("sy")), "cell").select("project_id", "sx", "sy")
 
 
 DIST = "sqrt((x_m - sx) * (x_m - sx) + (y_m - sy) * (y_m - sy))"
@@ -180,11 +183,11 @@ add("l2_fields", "a_projects a_cells", f"""WITH {SITE}, d AS (SELECT cell, x_m,
     lambda p, x: spatial.within(x, _sites(p, x), 1500.0, "x_m", "y_m", "sx", "sy")
     .withColumn("v", F.when(c("dist_m") <= 500, sc.field_decay("step", F.lit(0.2), c("dist_m"), 500)).otherwise(sc.field_decay("linear", F.lit(0.1), c("dist_m"), 1500)))
     .groupBy("cell").agg(F.sum("v").alias("raw")).withColumn("field", sc.clip(c("raw"), P.value("price.field_low"), P.value("price.field_high"))).withColumn("capped", c("raw") != c("field")))
-add("l2_wedge", "a_projects a_cells", f"""WITH {SITE}, d AS (SELECT project_id, cell, x_m - sx AS dx, y_m - sy AS dy, 10000 - sx AS ex, 10000 - sy AS ey FROM a_cells, pr WHERE {DIST} <= 1000)
+add("l2_wedge", "a_projects a_cells", f"""WITH {SITE}, d AS (SELECT project_id, cell, x_m - sx AS dx, y_m - sy AS dy, 10000 - sx AS ex, 10000 - sy AS ey FROM a_cells, pr WHERE {DIST} <= 600)
   SELECT project_id, cell, round(0.5e0 * (1 + CASE WHEN sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey) > 0 THEN (dx * ex + dy * ey) / (sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey)) ELSE 1 END), 6) AS factor FROM d""",
-    lambda p, x: spatial.within(x, _sites(p, x), 1000.0, "x_m", "y_m", "sx", "sy").select("project_id", "cell", sc.wedge(c("sx"), c("sy"), c("x_m"), c("y_m"), F.lit(10000.0), F.lit(10000.0), 0.5).alias("factor")))
-add("l2_nearest_site", "a_projects a_cells", f"""WITH {SITE}, d AS (SELECT cell, project_id, {DIST} AS d, row_number() OVER (PARTITION BY cell ORDER BY {DIST}, project_id) AS r FROM a_cells, pr WHERE {DIST} <= 4000)
-  SELECT cell, project_id, round(d, 6) AS dist_m FROM d WHERE r = 1""", lambda p, x: spatial.nearest(spatial.within(x, _sites(p, x), 4000.0, "x_m", "y_m", "sx", "sy"), "cell", "project_id"))
+    lambda p, x: spatial.within(x, _sites(p, x), 600.0, "x_m", "y_m", "sx", "sy").select("project_id", "cell", sc.wedge(c("sx"), c("sy"), c("x_m"), c("y_m"), F.lit(10000.0), F.lit(10000.0), 0.5).alias("factor")))
+add("l2_nearest_site", "a_projects a_cells", f"""WITH {SITE}, d AS (SELECT cell, project_id, {DIST} AS d, row_number() OVER (PARTITION BY cell ORDER BY {DIST}, project_id) AS r FROM a_cells, pr WHERE {DIST} <= 1000)
+  SELECT cell, project_id, round(d, 6) AS dist_m FROM d WHERE r = 1""", lambda p, x: spatial.nearest(spatial.within(x, _sites(p, x), 1000.0, "x_m", "y_m", "sx", "sy"), "cell", "project_id"))
 add("l2_households", "a_projects", "SELECT project_id, round(capex / 1000 * 0.4e0 / 1.45e0 * 0.9e0 * 0.7e0, 6) AS households, round(capex / 1000 * 0.1e0, 6) AS dormitory, CAST(CASE WHEN capex * 1.45e0 * 1.15e0 >= 200000 THEN 3 WHEN capex * 1.45e0 * 1.15e0 >= 75000 THEN 2 WHEN capex * 1.45e0 * 1.15e0 >= 25000 THEN 1 ELSE 0 END AS INTEGER) AS band FROM a_projects",
     lambda p: p.select("project_id", (c("capex") / 1000 * 0.4 / P.value("behaviour.workers_per_household") * 0.9 * 0.7).alias("households"), (c("capex") / 1000 * 0.1).alias("dormitory"),
                        sc.digitize(c("capex") * P.value("behaviour.workers_per_household") * P.value("behaviour.other_income"), P.value("behaviour.income_bounds")).alias("band")))
@@ -294,18 +297,18 @@ add("landcover_fractions", "a_cells", "WITH w AS (SELECT zone, land_type, sum(ar
 add("zonal_statistics", "a_cells", "SELECT zone, round(sum(slope_pct * area_sqm) / sum(area_sqm), 6) AS z_mean, round(sum(slope_pct * area_sqm), 4) AS z_sum, round(sum(area_sqm), 4) AS z_count, max(slope_pct) AS z_max FROM a_cells GROUP BY zone",
     lambda x: ms.zonal(x, "zone", "slope_pct", "area_sqm").select("zone", "z_mean", F.round("z_sum", 4).alias("z_sum"), F.round("z_count", 4).alias("z_count"), "z_max"))
 add("coverage_report", "a_cells", """WITH l AS (SELECT cell, 'price' AS "column", price IS NOT NULL AS t FROM a_cells UNION ALL SELECT cell, 'rent', rent IS NOT NULL FROM a_cells UNION ALL SELECT cell, 'mean_parcel_sqm', mean_parcel_sqm IS NOT NULL FROM a_cells),
-  m AS (SELECT *, "column" = 'price' AND cell % 10 = 3 AS i FROM l)
+  m AS (SELECT *, "column" = 'price' AND cell IN (SELECT cell FROM a_cells WHERE brand = 'Brand#3') AS i FROM l)
   SELECT "column", round(avg(CASE WHEN t AND NOT i THEN 1e0 ELSE 0 END), 6) AS real, round(avg(CASE WHEN t AND i THEN 1e0 ELSE 0 END), 6) AS imputed, round(avg(CASE WHEN NOT t THEN 1e0 ELSE 0 END), 6) AS missing, avg(CASE WHEN t AND NOT i THEN 1e0 ELSE 0 END) >= 0.85 AS passes FROM m GROUP BY "column" """,
-    lambda x: ms.coverage(x, "cell", ["price", "rent", "mean_parcel_sqm"], x.filter("cell % 10 = 3").select("cell", F.lit("price").alias("column")), 0.85))
+    lambda x: ms.coverage(x, "cell", ["price", "rent", "mean_parcel_sqm"], x.filter("brand = 'Brand#3'").select("cell", F.lit("price").alias("column")), 0.85))
 add("data_confidence", "lineitem", "SELECT l_partkey, round(greatest(0.1e0, least(1, 0.95e0 - sum(CASE WHEN l_linestatus = 'F' THEN 0.02e0 ELSE 0.01e0 END))), 6) AS data_conf FROM lineitem GROUP BY l_partkey",
     lambda h: ms.confidence(h.withColumn("w", F.when(c("l_linestatus") == "F", 0.02).otherwise(0.01)), "l_partkey", "w", 0.95, 0.1))
 add("imputation_index", "lineitem", "SELECT l_partkey, bool_or(l_linestatus = 'F') AS imputed, string_agg(DISTINCT l_returnflag, ';' ORDER BY l_returnflag) AS methods FROM lineitem GROUP BY l_partkey",
     lambda h: ms.ledger_index(h.withColumn("f", c("l_linestatus") == "F"), ["l_partkey"], "f", "l_returnflag"))
 add("imputation_long", "a_cells", """SELECT cell, 'price' AS "column" FROM a_cells WHERE price IS NULL UNION ALL SELECT cell, 'rent' FROM a_cells WHERE rent IS NULL""",
     lambda x: x.select("cell", F.explode(F.array(*[F.struct(F.lit(k).alias("column"), c(k).isNull().alias("gone")) for k in ("price", "rent")])).alias("f")).filter("f.gone").select("cell", "f.column"))
-add("smeared_price", "a_cells", """WITH p AS (SELECT cell AS point, x_m AS px, y_m AS py, price FROM a_cells WHERE cell % 5 = 1 AND price IS NOT NULL), d AS (SELECT a.cell, p.price, (x_m - px) * (x_m - px) + (y_m - py) * (y_m - py) AS d2 FROM a_cells a, p)
+add("smeared_price", "a_cells", """WITH p AS (SELECT cell AS point, x_m AS px, y_m AS py, price FROM a_cells WHERE price IS NOT NULL), d AS (SELECT a.cell, p.price, (x_m - px) * (x_m - px) + (y_m - py) * (y_m - py) AS d2 FROM a_cells a, p)
   SELECT cell, round(sum(exp(-d2 / (2 * 800e0 * 800e0)) * price) / sum(exp(-d2 / (2 * 800e0 * 800e0))), 6) AS smeared, count(*) AS n_points FROM d WHERE sqrt(d2) <= 2000 GROUP BY cell""",
-    lambda x: spatial.gaussian_smear(spatial.within(x.drop("price"), x.filter("cell % 5 = 1 AND price IS NOT NULL").select(c("cell").alias("point"), c("x_m").alias("px"), c("y_m").alias("py"), "price"), 2000.0, "x_m", "y_m", "px", "py"), "cell", "price", 800.0))
+    lambda x: spatial.gaussian_smear(spatial.within(x.drop("price"), x.filter("price IS NOT NULL").select(c("cell").alias("point"), c("x_m").alias("px"), c("y_m").alias("py"), "price"), 2000.0, "x_m", "y_m", "px", "py"), "cell", "price", 800.0))
 
 
 def _knn(x: DataFrame) -> DataFrame:
@@ -394,13 +397,13 @@ def _priority(p: DataFrame, n: int) -> DataFrame:
 
 # --- store and governance --------------------------------------------------------------------------------------
 add("store_read_where", "a_cells", "SELECT cell FROM a_cells WHERE zone IN (3, 5, 8) AND price IS NULL", lambda x: ms.read_where(x, zone=[3, 5, 8], price=None).select("cell"))
-add("store_upsert", "a_cells", "SELECT cell, CASE WHEN cell % 10 = 0 THEN zone + 1000 ELSE zone END AS zone FROM a_cells", lambda x: ms.upsert(x.select("cell", "zone"), x.filter("cell % 10 = 0").select("cell", (c("zone") + 1000).alias("zone")), ["cell"]))
+add("store_upsert", "a_cells", "SELECT cell, CASE WHEN brand = 'Brand#3' THEN zone + 1000 ELSE zone END AS zone FROM a_cells", lambda x: ms.upsert(x.select("cell", "zone"), x.filter("brand = 'Brand#3'").select("cell", (c("zone") + 1000).alias("zone")), ["cell"]))
 add("schema_violations", "a_cells", """SELECT 'builtup' AS "check", count(*) AS n FROM a_cells WHERE NOT coalesce(builtup_frac <= 0.9, FALSE) UNION ALL SELECT 'price', count(*) FROM a_cells WHERE NOT coalesce(price > 0, FALSE) UNION ALL SELECT 'unique', count(*) FROM (SELECT brand FROM a_cells GROUP BY brand HAVING count(*) > 1)""",
     lambda x: ms.violations(x, {"builtup": c("builtup_frac") <= 0.9, "price": c("price") > 0, "area": c("area_sqm") > 0}, ["brand"]))
 add("review_queue", "conversations", """SELECT conv_id, turn, CASE WHEN length(text) % 100 >= 60 AND turn <> 0 AND role <> 'system' THEN 'auto_applied' ELSE 'pending' END AS decision FROM conversations""",
     lambda v: ms.queue_decisions(v.withColumn("confidence", F.length("text") % 100 / 100.0).withColumn("is_new", c("turn") == 0).withColumn("is_stage_change", c("role") == "system"), 0.6).select("conv_id", "turn", "decision"))
-add("report_references", "documents", "SELECT doc_id, trim(regexp_replace(regexp_replace(substr(text, 1, 400), '\\[[^\\]]*\\]', '', 'g'), '[ \\t\\n]+', ' ', 'g')) AS clean FROM documents",
-    lambda d: d.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(F.substring("text", 1, 400), r"\[[^\]]*\]", ""), r"[ \t\n]+", " ")).alias("clean")))
+add("report_references", "documents", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\[[^\\]]*\\]', '', 'g'), '[ \\t\\n]+', ' ', 'g')) AS clean FROM documents",
+    lambda d: d.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(c("text"), r"\[[^\]]*\]", ""), r"[ \t\n]+", " ")).alias("clean")))
 EXACT, PATTERNS = {"mit": "permissive", "isc": "permissive"}, [("gnu (lesser|general|affero)", "copyleft"), ("apache|mit license|bsd", "permissive"), ("cc by", "data")]
 add("licence_class", "documents", """SELECT doc_id, CASE WHEN text IS NULL OR trim(lower(text)) = '' THEN 'unknown' WHEN trim(lower(text)) IN ('mit', 'isc') THEN 'permissive' WHEN regexp_matches(lower(text), 'gnu (lesser|general|affero)') THEN 'copyleft'
   WHEN regexp_matches(lower(text), 'apache|mit license|bsd') THEN 'permissive' WHEN regexp_matches(lower(text), 'cc by') THEN 'data' ELSE 'unknown' END AS class FROM documents""", lambda d: d.select("doc_id", ms.licence_class(c("text"), EXACT, PATTERNS).alias("class")))
@@ -409,8 +412,8 @@ add("blocks_rollup", "a_cells", "SELECT land_type, brand, count(*) AS n, round(a
 # --- more joins, ledgers and registers -------------------------------------------------------------------------
 add("merge_replace", "a_cells a_history", "SELECT a.cell, round(h.price, 6) AS price FROM a_cells a LEFT JOIN (SELECT cell, price FROM a_history WHERE year = 1997) h USING (cell)",
     lambda x, h: ingest.merge(x.select("cell", "price"), h.filter("year = 1997").select("cell", "price"), "cell"))
-add("outer_merge", "a_cells a_history", "SELECT coalesce(x.cell, h.cell) AS cell, round(slope_pct, 6) AS slope_pct, round(light, 6) AS light FROM (SELECT * FROM a_cells WHERE cell % 2 = 0) x FULL JOIN (SELECT * FROM a_history WHERE year = 1999) h ON x.cell = h.cell",
-    lambda x, h: x.filter("cell % 2 = 0").select("cell", "slope_pct").join(h.filter("year = 1999").select("cell", "light"), "cell", "full"))
+add("outer_merge", "a_cells a_history", "SELECT coalesce(x.cell, h.cell) AS cell, round(slope_pct, 6) AS slope_pct, round(light, 6) AS light FROM (SELECT * FROM a_cells WHERE util_water = 0) x FULL JOIN (SELECT * FROM a_history WHERE year = 1999) h ON x.cell = h.cell",
+    lambda x, h: x.filter("util_water = 0").select("cell", "slope_pct").join(h.filter("year = 1999").select("cell", "light"), "cell", "full"))
 add("masked_shares", "a_cells", "WITH s AS (SELECT *, CASE WHEN price IS NOT NULL THEN lna END AS u FROM a_cells) SELECT cell, round(coalesce(exp(u - max(u) OVER (PARTITION BY zone)), 0) / sum(exp(u - max_u)) OVER (PARTITION BY zone), 6) AS share FROM (SELECT *, max(u) OVER (PARTITION BY zone) AS max_u FROM s)",
     lambda x: market.softmax(x.withColumn("u", F.when(c("price").isNotNull(), c("lna"))), "u", "share", ["zone"]).select("cell", "share"))
 add("firm_shares", "a_cells", "WITH f AS (SELECT *, exp(0.5e0 * lna - ln(1 + slope_pct)) AS e FROM a_cells WHERE util_power = 1) SELECT cell, round(1000 * e / sum(e) OVER (), 6) AS jobs FROM f",
