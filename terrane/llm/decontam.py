@@ -18,8 +18,8 @@ WINDOW = 13
 GRAM = 8
 #: A document is contaminated if hit words are at least one in SHARE of its words.
 SHARE = 20
-#: Fixed pattern: the words in a text that is not lower-cased yet.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Fixed pattern: what separates words in a text that is not lower-cased yet.
+ANY_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -123,7 +123,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 def op9_decontam(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns for all documents; those without a hit have an empty list of items."""
     found = written(contamination(documents, benchmark), "contamination").drop("n_words").withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
-    rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), ANY_GAP), "")).cast("long").alias("n_words"))
     out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
