@@ -57,9 +57,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         .groupBy(F.col("id").alias("_drop_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
     )
     # df's own columns travel as one struct, so no name of theirs can clash
-    rows = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
     rows = rows.join(drops, F.col("_id").eqNullSafe(F.col("_drop_id")), "left")
-    lines = F.split("_text", "\n")
+    whole = F.coalesce(F.col("_row")[text_col], F.lit(""))
+    lines = F.split(whole, "\n")
 
     def stays(line: Column) -> Column:
         key = line_key(line)
@@ -68,7 +69,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     # positions are those of the array; a text without drops is not taken apart
     rows = rows.withColumn("_left", F.when(F.col("_drops").isNotNull(), F.filter(lines, stays)))
-    text = F.when(F.col("_left").isNull(), F.col("_text")).otherwise(F.array_join("_left", "\n"))
+    text = F.when(F.col("_left").isNull(), whole).otherwise(F.array_join("_left", "\n"))
     return rows.select(
         *[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in df.columns if c.lower() not in ("n_lines", "n_dropped")],
         F.size(lines).cast("long").alias("n_lines"),
