@@ -15,6 +15,7 @@ from terrane.llm.common import ascii_lower, strip_blanks, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+SALTS = 32
 
 
 def line_key(line: Column) -> Column:
@@ -52,8 +53,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     gives an empty table. Columns of df named n_lines or n_dropped are replaced.
     """
     frequent, held = frequent_lines(df, id_col, text_col, min_chars, min_docs)
+    # a line that very many documents hold is dealt to SALTS tasks
+    held = held.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    frequent = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     drops = (
-        held.join(frequent, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("owner")))
+        held.join(frequent, ["h1", "h2", "salt"]).filter(~F.col("id").eqNullSafe(F.col("owner")))
         .groupBy(F.col("id").alias("_drop_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
     )
     # df's own columns travel as one struct, so no name of theirs can clash
