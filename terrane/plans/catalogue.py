@@ -420,8 +420,8 @@ add("firm_shares", "a_cells", "WITH f AS (SELECT *, exp(0.5e0 * lna - ln(1 + slo
     lambda x: market.softmax(x.filter("util_power = 1").withColumn("u", 0.5 * c("lna") - F.ln(1 + c("slope_pct"))), "u", "s").select("cell", (1000 * c("s")).alias("jobs")))
 add("supply_pipeline", "a_projects", "SELECT cell, CAST(floor(open_year) AS BIGINT) AS year, count(*) AS n, round(sum(capex), 2) AS capex FROM a_projects WHERE open_year IS NOT NULL GROUP BY ALL",
     lambda p: p.filter("open_year IS NOT NULL").groupBy("cell", F.floor("open_year").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("capex"), 2).alias("capex")))
-add("absorption_observed", "orders", "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, count(*) AS units, round(avg(o_totalprice), 4) AS price FROM orders GROUP BY ALL",
-    lambda o: o.groupBy(F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")).agg(F.count(F.lit(1)).alias("units"), F.round(F.avg("o_totalprice"), 4).alias("price")))
+add("absorption_observed", "orders", "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, count(*) AS units, round(avg(o_totalprice) + 1e-7, 4) AS price FROM orders GROUP BY ALL",
+    lambda o: o.groupBy(F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")).agg(F.count(F.lit(1)).alias("units"), F.round(F.avg("o_totalprice") + 100 * TIE, 4).alias("price")))
 add("effects_by_year", "a_projects", "SELECT cell, round(sum(capex) / 1000, 6) AS delta, round(greatest(0, 5000 - sum(capex) / 1000), 6) AS capacity FROM a_projects WHERE announced_year = 1997 GROUP BY cell",
     lambda p: p.filter("announced_year = 1997").groupBy("cell").agg((F.sum("capex") / 1000).alias("delta")).withColumn("capacity", F.greatest(F.lit(0.0), 5000 - c("delta"))))
 add("delivery_split", "a_cells", "SELECT cell, round(CASE WHEN res_sqm + com_sqm > 0 THEN 100 * res_sqm / (res_sqm + com_sqm) ELSE 100 END, 6) AS res, round(CASE WHEN res_sqm + com_sqm > 0 THEN 100 * com_sqm / (res_sqm + com_sqm) ELSE 0 END, 6) AS com FROM a_cells",
