@@ -1,9 +1,9 @@
 """License scans: an Aho-Corasick automaton finds tags and notices, a shunting-yard parser reads licence expressions.
 
 One automaton holds the base phrases, more notice phrases and the identifier tag; it runs once over the words of a
-whole text joined by single spaces. What follows an identifier tag is an expression of identifiers, AND, OR, WITH and
-brackets; the parser turns it into postfix form, from which its licences, its alternatives and whether all of it is
-permissive are evaluated.
+whole text joined by single spaces. What follows an identifier tag, up to the next tag or the line's end, is an
+expression of identifiers, AND, OR, WITH and brackets, of any length; the parser turns it into postfix form, from which
+its licences, its alternatives and whether all of it is permissive are evaluated.
 """
 
 from __future__ import annotations
@@ -55,8 +55,9 @@ LABEL_OF = {name.lower(): label for label, names in FAMILIES.items() for name in
 PERMISSIVE = ("apache", "bsd", "bsd-2-clause", "bsd-3-clause", "bsl", "cc-by", "isc", "mit", "public-domain")
 
 _WORD_BYTES = bytes(c if c >= 0x80 or chr(c).isdigit() or "a" <= chr(c) <= "z" else 32 for c in range(256))
-_TAG_LINE = re.compile(r"SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n]*)", re.I | re.A)
+_TAG = re.compile(r"SPDX-License-Identifier[ \t]*:", re.I | re.A)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+")
+_LINE_END = re.compile(r"[\r\n]")
 _ORDER = {"or": 1, "and": 2, "with": 3}
 
 
@@ -104,18 +105,40 @@ def postfix(tokens: list[str]) -> list[str] | None:
     return out + held[::-1]
 
 
+def leading(text: str, start: int = 0, stop: int | None = None) -> tuple[list[str], int, int] | None:
+    """(tokens, start, end) of the longest leading run of tokens that is an expression, in one pass; None without one."""
+    tokens, whole, first, end = [], 0, 0, 0
+    depth, operand = 0, True
+    for m in _TOKEN.finditer(text, start, len(text) if stop is None else stop):
+        token = m[0]
+        if token == ")" or token.lower() in _ORDER:
+            if operand or (token == ")" and not depth):
+                break
+            depth -= token == ")"
+            operand = token != ")"
+        else:
+            if not operand:
+                break
+            depth += token == "("
+            operand = token == "("
+        if not tokens:
+            first = m.start()
+        tokens.append(token)
+        if not operand and not depth:
+            whole, end = len(tokens), m.end()
+    return (tokens[:whole], first, end) if whole else None
+
+
 def evaluate(expression: str) -> tuple[set[str], bool] | None:
     """(labels, permissive) of an expression: AND needs both sides permissive, OR one, WITH keeps its licence's side.
 
     Words after the longest leading run that is an expression are ignored, as in a comment's closing mark.
     """
-    tokens = _TOKEN.findall(expression)[:64]
-    for end in range(len(tokens), 0, -1):
-        order = postfix(tokens[:end])
-        if order is not None:
-            break
-    else:
-        return None
+    found = leading(expression)
+    return None if found is None else _value(postfix(found[0]))
+
+
+def _value(order: list[str]) -> tuple[set[str], bool]:
     stack: list[tuple[set[str], bool]] = []
     for token in order:
         if token in _ORDER:
@@ -137,11 +160,16 @@ def scan(text: bytes | None) -> tuple[int, int, int | None, int | None, str, str
     labels = base_labels | {NOTICES[p] for _, p in hits if p in NOTICES}
     expressions, permissive = [], None
     if any(p == TAG for _, p in hits):
-        for said in _TAG_LINE.findall(text.decode("utf-8", "replace")):
-            value = evaluate(said)
-            if value is not None:
+        said = text.decode("utf-8", "replace")
+        tags = list(_TAG.finditer(said))
+        # an expression ends before the next tag and the line's end
+        for tag, stop in zip(tags, [*(t.start() for t in tags[1:]), len(said)]):
+            line_end = _LINE_END.search(said, tag.end(), stop)
+            run = leading(said, tag.end(), line_end.start() if line_end else stop)
+            if run is not None:
+                value = _value(postfix(run[0]))
                 labels |= value[0]
-                expressions.append(said.strip())
+                expressions.append(said[run[1] : run[2]])
                 permissive = value[1] and permissive is not False
     ends: tuple[int | None, int | None] = (None, None)
     if base:

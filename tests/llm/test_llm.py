@@ -219,6 +219,35 @@ def test_no_expression(bad):
     assert licenses.evaluate(bad) is None
 
 
+def test_long_expressions():
+    said = " AND ".join(["MIT"] * 33 + ["GPL-3.0-only"])
+    for text in (said, f"({said})", "(" * 50_000 + said + ")" * 50_000):
+        got = licenses.scan(f"SPDX-License-Identifier: {text} */".encode())
+        assert licenses.evaluate(text) == ({"gpl", "mit"}, False)
+        assert got[5:7] == ("gpl,mit", text) and got[8] is False
+    assert licenses.scan(("SPDX-License-Identifier: " + "(" * 200_000 + "MIT").encode())[6:] == ("", 0.0, None)
+
+
+def test_tags_of_one_line():
+    names = [n for family in licenses.FAMILIES.values() for n in family]
+    got = licenses.scan(" some words ".join(f"/* SPDX-License-Identifier: {n} */" for n in names).encode())
+    assert got[5] == ",".join(sorted({*licenses.FAMILIES, "bsd-2-clause", "bsd-3-clause"})) and got[6] == "; ".join(names) and got[8] is False
+    text = b"SPDX-License-Identifier: MIT AND SPDX-License-Identifier: ) spdx-license-identifier:\nSPDX-License-Identifier: ISC\rOR GPL-2.0"
+    assert licenses.scan(text)[5:] == ("isc,mit", "MIT; ISC", 1.0, True)
+
+
+def brute_leading(tokens):
+    return next((tokens[:i] for i in range(len(tokens), 0, -1) if licenses.postfix(tokens[:i]) is not None), None)
+
+
+def test_leading_run():
+    rng = random.Random(4)
+    for _ in range(3000):
+        tokens = rng.choices(["(", ")", "and", "OR", "with", "MIT", "x"], k=rng.randint(0, 12))
+        got = licenses.leading(" ".join(tokens))
+        assert (got and got[0]) == brute_leading(tokens)
+
+
 def test_language(spark, docs, odd, none):
     big = load(spark, "/root/testdata/sf0.01", "documents")
     got = langid.op6_language(big).join(big.select("doc_id", "lang"), "doc_id").collect()
