@@ -99,6 +99,47 @@ def test_spatial_against_brute_force(spark):
     assert got == {(i, j) for i, x, y in left for j, u, v in right if math.hypot(x - u, y - v) <= 700}
 
 
+def _points(spark, sf):
+    """Cells and sites of the given tables, as {id: (x, y)}."""
+    cells = {r.cell: (r.x_m, r.y_m) for r in view(spark, sf, "a_cells").select("cell", "x_m", "y_m").collect()}
+    sites = {r.project_id: cells[r.cell] for r in view(spark, sf, "a_projects").select("project_id", "cell").collect() if r.cell in cells}
+    return cells, sites
+
+
+def test_nearest_site_within_4000_m(spark):
+    sf = "/root/testdata/sf0.01"
+    cells, sites = _points(spark, sf)
+    at = {}
+    for i in sorted(sites, reverse=True):
+        at[sites[i]] = i
+    best = {k: min((math.hypot(x - u, y - v), i) for (u, v), i in at.items()) for k, (x, y) in cells.items()}
+    want = {k: (i, pytest.approx(d, abs=1e-6)) for k, (d, i) in best.items() if d <= 4000}
+    assert {r.cell: (r.project_id, r.dist_m) for r in catalogue.queries()["l2_nearest_site"](spark, sf).collect()} == want and len(want) == 662
+
+
+def test_wedge_within_1000_m(spark):
+    cells, sites = _points(spark, SF)
+    want = {(j, i) for i, (x, y) in cells.items() for j, (u, v) in sites.items() if math.hypot(x - u, y - v) <= 1000}
+    got = [(r.project_id, r.cell) for r in catalogue.queries()["l2_wedge"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_rail_walks_of_1500_m(spark):
+    cells, _ = _points(spark, SF)
+    stations = [r.cell for r in view(spark, SF, "a_cells").filter("brand = 'Brand#13'").collect()]
+    apart = lambda a, b: math.hypot(cells[a][0] - cells[b][0], cells[a][1] - cells[b][1])
+    near = {s: [(i, apart(i, s)) for i in cells if apart(i, s) <= 1500] for s in stations}
+    want = {}
+    for a in stations:
+        for b in stations:
+            if a != b and apart(a, b) <= 2500:
+                for i, p in near[a]:
+                    for j, q in near[b]:
+                        want[i, j] = min(want.get((i, j), math.inf), p / 75 + apart(a, b) / 533 + q / 75 + 6)
+    got = {(r.origin, r.destination): r.minutes for r in catalogue.queries()["l1_rail_min_plus"](spark, SF).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
 def test_access(spark):
     d = access.rail_minutes([("a", "b", 2.0), ("b", "c", 3.0), ("a", "c", 9.0)])
     assert d["a", "c"] == 5.0 and d["c", "c"] == 0.0
