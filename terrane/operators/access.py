@@ -19,9 +19,11 @@ def opportunities(cells: DataFrame, zone: str, p: Params) -> DataFrame:
 
 
 def destinations(cells: DataFrame, zone: str, jobs: str, min_jobs: float, limit: int) -> DataFrame:
-    """The zones with most jobs, of those with min_jobs or more, with mean coordinates; ties by zone."""
+    """The zones with most jobs, of those with min_jobs or more, or of all if none has, with mean coordinates; ties by zone."""
     by = cells.groupBy(zone).agg(F.sum(jobs).alias("jobs"), F.avg("x_m").alias("x_m"), F.avg("y_m").alias("y_m"))
-    return by.filter(F.col("jobs") >= min_jobs).orderBy(F.desc("jobs"), zone).limit(limit)
+    most = by.agg(F.coalesce(F.max("jobs"), F.lit(0.0)).alias("_most"))
+    enough = (F.col("jobs") >= min_jobs) | (F.col("_most") < min_jobs)
+    return by.join(F.broadcast(most)).filter(enough).drop("_most").orderBy(F.desc("jobs"), zone).limit(limit)
 
 
 def gravity(od: DataFrame, opp: DataFrame, origin: str, zone: str, shares: dict[str, float], betas: dict[str, dict[str, float]], weights: dict[str, float]) -> DataFrame:

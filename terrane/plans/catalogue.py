@@ -109,7 +109,7 @@ add("l1_station_weight", "a_cells", """WITH st AS (SELECT cell AS station, x_m A
   SELECT cell, max(CASE WHEN d <= 400 THEN 1e0 WHEN d <= 800 THEN 0.6e0 WHEN d <= 1200 THEN 0.3e0 WHEN d <= 1600 THEN 0.12e0 WHEN d <= 6000 AND feeder THEN 0.15e0 ELSE 0e0 END) AS station_weight FROM p WHERE d <= 6000 GROUP BY cell""",
     lambda x: access.station_weight(spatial.within(x, x.filter("brand = 'Brand#13'").select(c("cell").alias("station"), c("x_m").alias("sx"), c("y_m").alias("sy"), (c("cell") % 2 == 0).alias("feeder")), 6000.0, "x_m", "y_m", "sx", "sy"), "cell", "dist_m", "feeder", P))
 add("l1_destinations", "a_cells", "SELECT zone, sum(jobs) AS jobs, round(avg(x_m), 6) AS x_m, round(avg(y_m), 6) AS y_m FROM a_cells GROUP BY zone HAVING sum(jobs) >= 25 ORDER BY sum(jobs) DESC, zone LIMIT 100",
-    lambda x: access.destinations(x, "zone", "jobs", P.value("access.min_destination_jobs"), 100))
+    lambda x: access.destinations(x, "zone", "jobs", P.value("access.min_destination_jobs"), P.value("access.max_destinations")))
 add("l1_congestion", "a_cells", "SELECT cell, round(30 / greatest(0.45e0, 1 - 0.35e0 * (builtup_frac + builtup_frac / 2 + builtup_frac * builtup_frac) / 3), 6) AS minutes FROM a_cells",
     lambda x: x.select("cell", access.congested(F.lit(30.0), c("builtup_frac"), c("builtup_frac") / 2, c("builtup_frac") * c("builtup_frac"), P).alias("minutes")))
 add("l1_origins", "a_cells", "SELECT cell FROM a_cells WHERE households > 0 OR jobs > 100", lambda x: x.filter("households > 0 OR jobs > 100").select("cell"))

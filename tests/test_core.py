@@ -140,6 +140,18 @@ def test_rail_walks_of_1500_m(spark):
     assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
 
 
+def test_destinations(spark):
+    sf = "/root/testdata/sf0.01"
+    jobs = {}
+    for r in view(spark, sf, "a_cells").select("zone", "jobs").collect():
+        jobs[r.zone] = jobs.get(r.zone, 0.0) + r.jobs
+    want = [z for z in sorted(jobs, key=lambda z: (-jobs[z], z)) if jobs[z] >= 25][:1500]
+    assert [r.zone for r in catalogue.queries()["l1_destinations"](spark, sf).collect()] == want and len(want) == 286
+    few = spark.createDataFrame([(1, 3.0, 0.0, 0.0), (1, 4.0, 2.0, 2.0), (2, 9.0, 1.0, 1.0), (3, 9.0, 1.0, 1.0), (4, None, 0.0, 0.0)], "zone long, jobs double, x_m double, y_m double")
+    pick = lambda least, limit=9, df=few: [r.zone for r in access.destinations(df, "zone", "jobs", least, limit).collect()]
+    assert pick(25) == [2, 3, 1, 4] and pick(25, 2) == [2, 3] and pick(9) == [2, 3] and pick(25, df=few.filter("zone = 4")) == [4] and pick(25, df=few.limit(0)) == []
+
+
 def test_access(spark):
     d = access.rail_minutes([("a", "b", 2.0), ("b", "c", 3.0), ("a", "c", 9.0)])
     assert d["a", "c"] == 5.0 and d["c", "c"] == 0.0
