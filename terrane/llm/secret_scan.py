@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 One pass over whole texts finds candidates. Their values are hashed, and the hashes are counted over the corpus by
-distinct repositories and distinct owners: a value that many owners hold is a copied example; one that few owners hold,
-and that looks random, is taken for live. The base spans stay whatever their frequency; the method adds the live
+distinct repositories and distinct owners: a value that many owners or many repositories hold is a copied example; one
+that few of both hold, and that looks random, is taken for live. The base spans stay whatever their frequency; the method adds the live
 spans of kinds that the base does not have. Only hashes, ids and spans leave the first pass.
 """
 
@@ -38,8 +38,9 @@ MORE = (
 #: Marks in a text without which none of a kind can be there: most texts are done after a few plain searches.
 _ASSIGN_MARKS = ("passw", "secret", "token", "api")
 _MORE_MARKS = {"vendor": ("gh", "xox", "sk", "glpat"), "jwt": ("eyJ",), "pem": ("PRIVATE KEY",), "url": ("://",)}
-#: Values of at most this many owners may be live; those of more are examples.
+#: Values of at most this many owners and this many repositories may be live; those of more of either are examples.
 MAX_OWNERS = 2
+MAX_REPOS = 16
 MIN_ENTROPY = 3.5
 
 
@@ -102,11 +103,12 @@ def _scan_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), cols[0], batch.column(1), batch.column(2), *cols[1:]], [x.split()[0] for x in _FOUND.split(", ")])
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """The contract's columns, then n_example and n_live, for every row of df.
 
-    n_example counts a row's candidates (base ones too) whose value more than max_owners owners hold, n_live the rest
-    that the base or the method reports. Null and empty texts have no spans. A null repository or owner counts as one.
+    n_example counts a row's candidates (base ones too) whose value more than max_owners owners or more than max_repos
+    repositories hold, n_live the rest. A repository is an owner's: its name under two owners counts as two. Null and
+    empty texts have no spans. A null repository or owner counts as one.
     Rows that repeat an id and text get the same result each.
     """
     named = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.col(text_col).alias("text"))
@@ -117,11 +119,11 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owners = each.groupBy("value", "owner", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repos")).groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
     spread = each.select("doc_id", "text_hash", "kind", "start", "end", "value", "base").distinct().join(owners, "value")
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    reported = F.col("base") | (F.col("n_owners") <= max_owners)
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    reported = F.col("base") | live
     span = F.when(reported, F.struct(F.col("start"), order[F.col("kind")].alias("rank"), F.col("end"), F.col("kind")))
     per = spread.groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_list(span)).alias("spans"), F.sum((F.col("n_owners") > max_owners).cast("long")).alias("n_example"),
-        F.sum((F.col("n_owners") <= max_owners).cast("long")).alias("n_live"),
+        F.array_sort(F.collect_list(span)).alias("spans"), F.sum((~live).cast("long")).alias("n_example"), F.sum(live.cast("long")).alias("n_live"),
     )
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     per = per.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), text.alias("spans"), "n_example", "n_live")

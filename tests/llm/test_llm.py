@@ -312,6 +312,16 @@ def test_secrets(spark, docs, odd, none):
     assert secret_scan.op7_secrets(odd).count() == len(BAD) and secret_scan.op7_secrets(none).count() == 0
 
 
+def test_secret_of_many_repositories(spark):
+    often, seldom = "ghp_" + "q7W8e9R0t1Y2u3I4o5P6", "ghp_" + "m1N2b3V4c5X6z7L8k9J0"
+    made = [(i, f"key {often}" + (f" and {seldom}" if i <= secret_scan.MAX_REPOS else ""), "a") for i in range(1, secret_scan.MAX_REPOS + 2)]
+    df = spark.createDataFrame(made + made[:3], "doc_id long, text string, source string")
+    by = {r.doc_id: r for r in secret_scan.op7_secrets(df).collect()}
+    assert (by[1].spans, by[1].n_example, by[1].n_live) == ("vendor:33:57", 1, 1)
+    assert (by[len(made)].spans, by[len(made)].n_example, by[len(made)].n_live) == ("", 1, 0)
+    assert secret_scan.scan_secrets(df, max_repos=99).filter("doc_id = 1").first().n_live == 2
+
+
 def brute_url(url):
     host = path = ""
     if url and "://" in url:
