@@ -27,13 +27,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # [0-9a-f]+ takes whole runs, so a least len
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 #: Kinds in the order of the spans; those after hex are the method's own.
 KINDS = ("assign", "access", "hex", "vendor", "jwt", "pem", "url", "random")
-#: The method's patterns; group 1 is the value.
+#: The method's patterns; group 1 is the value. Runs have no upper length and are not given back, so a pass is linear.
 MORE = (
     ("vendor", re.compile(r"\b((?:gh[pousr]_|xox[abprs]-|sk_live_|sk-|glpat-)[A-Za-z0-9_-]{16,})")),
     ("jwt", re.compile(r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
     ("pem", re.compile(r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----)")),
-    ("url", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s:/@]{6,64})@")),
-    ("random", re.compile(r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_-]{24,128}={0,2})(?![A-Za-z0-9+/_=-])")),
+    ("url", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]++:([^\s:/@]{6,}+)@")),
+    ("random", re.compile(r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_-]{24,}+={0,2}+)(?![A-Za-z0-9+/_=-])")),
 )
 #: Marks in a text without which none of a kind can be there: most texts are done after a few plain searches.
 _ASSIGN_MARKS = ("passw", "secret", "token", "api")

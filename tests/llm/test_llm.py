@@ -322,6 +322,17 @@ def test_secret_of_many_repositories(spark):
     assert secret_scan.scan_secrets(df, max_repos=99).filter("doc_id = 1").first().n_live == 2
 
 
+@pytest.mark.parametrize("n", [24, 128, 129, 5000])
+def test_long_secrets(n):
+    rng = random.Random(n)
+    run = "".join(rng.choices("abcdefghijkLMNOPQRSTUVWXYZ0123456789", k=n - 2)) + "9Z"
+    assert [x[:4] for x in secret_scan.candidates(f"see {run}== end") if x[0] == "random"] == [("random", 4, n + 6, run + "==")]
+    assert not [x for x in secret_scan.candidates(f"see {run}=== end") if x[0] == "random"]
+    for user in ("me", "u" * n):
+        found = secret_scan.candidates(f"ftp://{user}:{run}@host")
+        assert [x[:4] for x in found if x[0] == "url"] == [("url", 7 + len(user), 7 + len(user) + n, run)]
+
+
 def brute_url(url):
     host = path = ""
     if url and "://" in url:
