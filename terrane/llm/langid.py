@@ -7,8 +7,8 @@ Executors send one count for each (language, feature), a number fixed by the lan
 Prediction reads the text alone. A word's script is told from its bytes, and languages that were not seen in that
 script are out for that word. Each word has a log-likelihood for each language; Viterbi finds the labelling of the
 words with the best sum less PENALTY for each switch, and runs of equal labels are the spans. Where no stretch of
-words favours any language over the best single one by more than the penalty, no labelling with switches can win, and
-the single one is taken without the walk; this is exact.
+words favours any language over the best single one by more than half the penalty, no labelling with switches can win:
+k runs need k - 1 switches, which is at least k / 2. The single one is then taken without the walk; this is exact.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ class Model:
         total = scores.sum(axis=0)
         best = int(total.argmax())
         gain = np.cumsum(np.vstack([np.zeros(len(self.langs)), scores - scores[:, best : best + 1]]), axis=0)
-        if (gain - np.minimum.accumulate(gain, axis=0)).max() <= PENALTY:
+        if (gain - np.minimum.accumulate(gain, axis=0)).max() <= PENALTY / 2:
             return np.full(len(scores), best)
         n, k = scores.shape
         stay = np.empty((n, k), bool)

@@ -280,6 +280,20 @@ def test_viterbi_shortcut():
         assert value(model.labels(scores)) == pytest.approx(best[-1].max())
 
 
+def test_viterbi_shortcut_with_a_third_language():
+    """Two languages that each gain less than the penalty over the best single one, on their halves."""
+    model = langid.Model(("a", "b", "c"), np.zeros((1, 3)), np.ones((1, 3), bool), 0)
+    assert model.labels(np.array([[11.0, -12.0, 0.0], [-12.0, 11.0, 0.0]])).tolist() == [0, 1]
+    assert model.labels(np.array([[6.0, -12.0, 0.0], [-12.0, 6.0, 0.0]])).tolist() == [2, 2]
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(2, 6))
+        scores = np.c_[rng.uniform(-12, 12, (n, 2)), rng.uniform(-1, 1, n)]
+        value = lambda lab: scores[np.arange(n), lab].sum() - langid.PENALTY * np.count_nonzero(np.diff(lab))  # noqa: E731, B023
+        best = max(value(np.array(lab)) for lab in np.ndindex(*[3] * n))
+        assert value(model.labels(scores)) == pytest.approx(best)
+
+
 def brute_spans(text):
     text = text or ""
     out = [("assign", *m.span(), 0) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 12]
