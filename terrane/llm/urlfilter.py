@@ -37,14 +37,14 @@ def parts(url: str | None) -> tuple[str, str]:
 
 
 def build(rules: tuple[tuple[str, str, str], ...], listed: tuple[str, ...] = ()) -> bytes:
-    """The file: count, the path lengths in use, sorted keys, verdict codes, string offsets, strings.
+    """The file: count, the path lengths that rules have (0 for a whole host), sorted keys, verdict codes, string offsets, strings.
 
     Codes: 0 allow and 1 block for rules, 2 for a listed host. Equal digests of different strings stay side by side.
     """
     rows = [((host + path).encode(), len(path.encode()), int(verdict == "block")) for verdict, host, path in rules] + [(b"\0" + host.encode(), 0, 2) for host in listed]
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(r[0]), r[0]))
     keys = np.array([xxhash.xxh64_intdigest(r[0]) for r in rows], np.uint64)
-    lengths = np.array(sorted({r[1] for r in rows}), np.int64)
+    lengths = np.array(sorted({r[1] for r in rows if r[2] != 2}), np.int64)
     offsets = np.r_[0, np.cumsum([len(r[0]) for r in rows])].astype(np.int64)
     codes = np.array([r[2] for r in rows], np.int64)
     head = np.array([len(rows), len(lengths)], np.int64)
@@ -100,7 +100,7 @@ def judge(urls: list[str | None], digests: Digests) -> list[tuple[str, str, str
         raw = path.encode("utf-8", "surrogatepass")
         for suffix in _suffixes(host) if host else []:
             key = suffix.encode("utf-8", "surrogatepass")
-            probes = [key + raw[:n] for n in lengths if n and n <= len(raw)] + [b"\0" + key]
+            probes = [key + raw[:n] for n in lengths if n <= len(raw)] + [b"\0" + key]
             wanted.extend(probes)
             owner.extend([k] * len(probes))
     best: dict[int, bytes] = {}

@@ -368,6 +368,13 @@ def test_urls(spark):
     assert urlfilter.op8_urls(df.filter("false")).count() == 0
 
 
+def test_rules_without_path(spark):
+    urls = ["http://a.example.org", "http://example.org/x", "http://www.good.example.org/es/1", "http://example.net/de/8", "http://xexample.org/", "http://spam-farm.example.com/", None]
+    rules = (("block", "example.org", ""), ("allow", "good.example.org", ""), ("allow", "net", "/de/"), ("allow", "spam-farm.example.com", ""))
+    got = urlfilter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == [("example.org", "block"), ("example.org", "block"), ("good.example.org", "allow"), ("net/de/", "allow"), (None, "allow"), ("spam-farm.example.com", "allow"), (None, "allow")]
+
+
 def test_digest_collisions(tmp_path, monkeypatch):
     monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda x: 5 if len(x) < 30 else 9)
     f = tmp_path / "d"
