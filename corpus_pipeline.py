@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.common import load, written
+from terrane.llm.common import free_name, load, written
 from terrane.llm.decontam import clean_documents
 from terrane.llm.mixing import mix
 from terrane.llm.neardup import near_duplicates
@@ -26,16 +26,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id; one row where it is repeated.
+    """One document of each group of near duplicates: that of the smallest doc_id, rows without one last.
 
-    A row without doc_id stays unless its text's class holds a row that has one.
+    Where a doc_id is null or repeated, each row has a key of its own for this stage, so all rows are grouped by their
+    texts; rows that repeat doc_id and text stay once.
     """
-    found = written(near_duplicates(docs), "near-duplicates").filter("kept").select(F.col("id").alias("_id")).distinct()
-    keep = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi")
-    counts = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    if counts[0] == counts[1]:
-        return keep
-    return keep.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(keep.filter("doc_id IS NULL"))
+    counts = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if counts[0] == counts[1] == counts[2]:
+        found = written(near_duplicates(docs), "near-duplicates").filter("kept").select(F.col("id").alias("_id"))
+        return docs.join(found, docs["doc_id"] == found["_id"], "left_semi")
+    key = free_name(docs, "_key")
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")  # written, so that keys stay
+    found = written(near_duplicates(keyed, key), "near-duplicates").select(F.col("id").alias("_id"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key))
+    best = found.join(keyed.select("doc_id", key), F.col("_id") == F.col(key)).groupBy("component_id").agg(F.min(rank).alias("best"))
+    best = best.select(F.col(f"best.{key}").alias("_best"))
+    keep = keyed.join(best, F.col(key) == F.col("_best"), "left_semi").drop(key)
+    return keep.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(keep.filter("doc_id IS NULL"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

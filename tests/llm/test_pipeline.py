@@ -63,3 +63,17 @@ def test_odd_rows(spark, rows):
         assert name == "shard" or out.columns == docs.columns
         assert out.count() <= 3 * len(rows)
     assert rows == [] or ids(cp.near_dedup(spark, docs.filter(F.col("doc_id") == 7), SF)) == [7]
+
+
+def test_null_and_repeated_ids(spark):
+    one, two, three = (" ".join(f"{w}{i * i % 997}" for i in range(200)) for w in ("a", "b", "c"))
+    rows = [
+        (None, ""), (None, None), (None, one), (None, one), (4, one + " more"), (3, one), (None, one + " and more"),
+        (None, two), (None, two + " end"), (7, three), (7, "another short text"), (7, three), (8, ""), (8, ""), (9, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _key long")
+    got = sorted(((r.doc_id, r.text) for r in cp.near_dedup(spark, docs, SF).collect()), key=repr)
+    null = [x for x in got if x[0] is None]
+    assert sorted(x for x in got if x[0] is not None) == [(3, one), (7, "another short text"), (7, three), (8, ""), (9, "")]
+    assert sorted((t or "") for _, t in null) in (["", "", two], ["", "", two + " end"])
+    assert cp.near_dedup(spark, docs, SF).columns == docs.columns
