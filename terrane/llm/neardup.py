@@ -7,10 +7,11 @@ COORDS * ln(COORDS) / n rounds, and the share of equal coordinates is concentrat
 
 Documents with equal sets form one class, of which one row goes on. Classes that agree on a band (four coordinates)
 meet in a bucket. In each bucket a class is compared with the bucket's leader only; classes that turn out linked are
-one component. Buckets that still hold several components try other leaders while that finds links, and at last
-compare all classes of different components with each other. So a bucket of thousands of copies costs as many comparisons as it has members, and no
-candidate is left out. A comparison first needs sizes that allow the threshold and 128-bit sketches that do not rule
-it out, and then the full shingle sets, made again from whole texts.
+one component. Buckets that still hold several components try other leaders for a few turns, and at last compare all
+classes of different components with each other, in blocks of bounded size. So a bucket of thousands of copies costs
+about as many comparisons as it has members, and no candidate is left out. A comparison first needs sizes that allow
+the threshold and 128-bit sketches that do not rule it out (max_bits=None turns that off), and then the full shingle
+sets, made again from whole texts.
 
 Misses: two sets at similarity 0.75 share no band with probability (1 - 0.75 ** 4) ** 32 = 5e-6, and at 0.9 less than
 1e-14; the sketch test turns down a pair at 0.75 with probability below 1e-8.
@@ -18,6 +19,8 @@ Misses: two sets at similarity 0.75 share no band with probability (1 - 0.75 **
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,10 +35,12 @@ PERCENT = 75
 COORDS = 128
 BAND = 4
 BANDS = COORDS // BAND
-#: Differing bits, of 128, beyond which a pair is not compared: 16 are expected at similarity 0.75.
+#: Differing bits, of 128, beyond which a pair is not compared: 16 are expected at similarity 0.75. None compares all.
 MAX_BITS = 40
-#: While more candidate pairs than this for each row of the buckets are left, classes try another leader first.
-PAIRS_PER_ROW = 2
+#: Most turns of comparing with leaders before what is left is compared block by block; results do not depend on it.
+TURNS = 3
+#: Most rows of one block of a bucket where sizes and sketches alone are compared.
+PARTNER_ROWS = 4000
 #: Most rows and shingles of one block of a bucket.
 BLOCK_ROWS, BLOCK_SHINGLES = 1000, 500_000
 WORD_CACHE = 50_000
@@ -194,27 +199,31 @@ def _rename(pairs: DataFrame, hooks: DataFrame, *names: str) -> DataFrame:
     return pairs.select(*[F.least(*names).alias(names[0]), F.greatest(*names).alias(names[1])])
 
 
-def _possible(n1: str, n2: str, *bits: tuple[str, str]) -> F.Column:
-    """Sizes allow the threshold, and the sketches do not rule it out."""
-    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in bits), F.lit(0))
-    return (F.lit(100) * F.least(n1, n2) >= F.lit(PERCENT) * F.greatest(n1, n2)) & (differ <= MAX_BITS)
+def _possible(n1: str, n2: str, max_bits: int | None, *bits: tuple[str, str]) -> F.Column:
+    """Sizes allow the threshold, and the sketches do not rule it out (if they may)."""
+    sizes = F.lit(100) * F.least(n1, n2) >= F.lit(PERCENT) * F.greatest(n1, n2)
+    return sizes if max_bits is None else sizes & (_apart(*bits) <= max_bits)
+
+
+def _apart(*bits: tuple[str, str]) -> F.Column:
+    """Differing bits of two sketches."""
+    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in bits), F.lit(0))
 
 
-def _stars(rest: DataFrame, traits: DataFrame, turn: int) -> DataFrame:
+def _stars(rest: DataFrame, traits: DataFrame, turn: int, max_bits: int | None) -> DataFrame:
     """(x, u, v, apart): each class x of a mixed bucket with the bucket's leader, if that is of another component.
 
     The first leaders are the classes that meet most others, as an original does among its altered copies; later
     ones are drawn by hash.
     """
     order = F.struct("weight", F.negative("node").alias("k")) if not turn else F.struct(F.xxhash64("node", F.lit(turn)).alias("weight"), F.negative("node").alias("k"))
-    leaders = rest.groupBy("bucket").agg(F.max(order).alias("best")).select("bucket", F.negative("best.k").alias("leader"))
-    met = rest.select("bucket", "node", "root").join(leaders, "bucket")
-    lead_root = met.filter("node = leader").select("bucket", F.col("root").alias("lroot"))
-    pairs = met.join(lead_root, "bucket").filter("root <> lroot").select("node", "leader").distinct()
+    leaders = rest.groupBy("bucket").agg(F.max(F.struct(order.alias("by"), F.col("root").alias("root"))).alias("best"))
+    leaders = leaders.select("bucket", F.negative("best.by.k").alias("leader"), F.col("best.root").alias("lroot"))
+    pairs = rest.select("bucket", "node", "root").join(leaders, "bucket").filter("root <> lroot").select("node", "leader").distinct()
     pairs = pairs.join(traits.select("node", "n", "b1", "b2"), "node").join(traits.select(F.col("node").alias("leader"), F.col("n").alias("ln"), F.col("b1").alias("lb1"), F.col("b2").alias("lb2")), "leader")
-    apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("lb1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("lb2")))
-    return pairs.filter(_possible("n", "ln", ("b1", "lb1"), ("b2", "lb2"))).select(
-        F.col("node").alias("x"), F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"), apart.alias("apart")
+    bits = (("b1", "lb1"), ("b2", "lb2"))
+    return pairs.filter(_possible("n", "ln", max_bits, *bits)).select(
+        F.col("node").alias("x"), F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"), _apart(*bits).alias("apart")
     )
 
 
@@ -237,7 +246,7 @@ class _Sets:
         self.of[self.of == self.of[j]] = self.of[i]
 
 
-def _group_links(rows: dict) -> list[tuple[int, int]]:
+def _group_links(rows: dict, max_bits: int | None) -> list[tuple[int, int]]:
     """Links that join different components of one group: rows of block bi against rows of block bj, on full sets."""
     n, b1, b2, own = (np.asarray(rows[c], np.int64) for c in ("n", "b1", "b2", "own"))
     left, right = (np.flatnonzero(own == rows[c][0]) for c in ("bi", "bj"))
@@ -245,8 +254,10 @@ def _group_links(rows: dict) -> list[tuple[int, int]]:
 
     def partners(i: int) -> np.ndarray:
         small, large = np.minimum(n[right], n[i]), np.maximum(n[right], n[i])
-        bits = sum(np.bitwise_count((b[right] ^ b[i]).view(np.uint64)).astype(np.int64) for b in (b1, b2))
-        return right[(sets.of[right] != sets.of[i]) & (100 * small >= PERCENT * large) & (bits <= MAX_BITS)]
+        near = (sets.of[right] != sets.of[i]) & (100 * small >= PERCENT * large)
+        if max_bits is not None:
+            near &= sum(np.bitwise_count((b[right] ^ b[i]).view(np.uint64)).astype(np.int64) for b in (b1, b2)) <= max_bits
+        return right[near]
 
     wanted = [len(partners(i)) > 0 for i in left]
     if not any(wanted):
@@ -271,13 +282,13 @@ def _group_links(rows: dict) -> list[tuple[int, int]]:
     return out
 
 
-def _sorted_groups(batches):
+def _sorted_groups(batches, max_bits: int | None):
     """Links of each group of rows sorted by (bucket, bi, bj); a group may run over several batches."""
     at, held = None, None
     names = ["node", "root", "n", "b1", "b2", "own", "bi", "bj", "text"]
 
     def made() -> pa.RecordBatch:
-        links = _group_links(held)
+        links = _group_links(held, max_bits)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     for batch in batches:
@@ -298,38 +309,50 @@ def _sorted_groups(batches):
         yield made()
 
 
-def _with_partners(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that have a possible partner of another component in the same bucket, each once."""
-    cols = ("node", "root", "n", "b1", "b2")
-    x, y = (rows.select(F.col("bucket").alias(f"bucket{i}"), *[F.col(c).alias(f"{c}{i}") for c in cols]) for i in "xy")
-    possible = (F.col("bucketx") == F.col("buckety")) & (F.col("rootx") != F.col("rooty")) & _possible("nx", "ny", ("b1x", "b1y"), ("b2x", "b2y"))
-    return x.join(y, possible, "left_semi").select(*[F.col(f"{c}x").alias(c) for c in ("bucket", *cols)])
+def _with_partners(rows: DataFrame, max_bits: int | None) -> DataFrame:
+    """The rows of buckets that have a possible partner of another component in the same bucket, each once.
 
-
-def _links_left(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    Large buckets are cut into blocks first and a row is compared within pairs of blocks, so a task compares no more
+    than PARTNER_ROWS rows with as many, whatever a bucket holds. Sizes and sketches alone travel.
+    """
+    cols = ("node", "root", "n", "b1", "b2", "size")
+    blocks = F.ceil(F.col("size") / PARTNER_ROWS)  # size: the classes that the bucket had at first
+    dealt = rows.select("bucket", *cols, F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("other"))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", *cols)
+    x, y = (dealt.select(*[F.col(c).alias(f"{c}{i}") for c in ("bucket", "bi", "bj", "own", *cols)]) for i in "xy")
+    same = (F.col("bucketx") == F.col("buckety")) & (F.col("bix") == F.col("biy")) & (F.col("bjx") == F.col("bjy"))
+    # in a pair of different blocks, rows meet those of the other one alone
+    across = (F.col("bix") == F.col("bjx")) | (F.col("ownx") != F.col("owny"))
+    possible = same & across & (F.col("rootx") != F.col("rooty")) & _possible("nx", "ny", max_bits, ("b1x", "b1y"), ("b2x", "b2y"))
+    found = x.join(y, possible, "left_semi").select(*[F.col(f"{c}x").alias(c) for c in ("bucket", *cols)])
+    return found.distinct()
+
+
+def _links_left(rest: DataFrame, texts: DataFrame, max_bits: int | None) -> DataFrame:
     """Links between classes of different components in the same bucket, written.
 
     A large bucket is cut into blocks, and each pair of blocks is a group of its own, of bounded rows and shingles;
     failing pairs never leave the group, and links leave it only while they join components.
     """
-    some = written(_with_partners(rest), "possible")
+    some = written(_with_partners(rest, max_bits), "possible")
     blocks = some.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
     dealt = some.join(blocks, "bucket").select("*", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "root", "n", "b1", "b2")
     grouped = dealt.join(texts.withColumnRenamed("id", "node"), "node").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
     ship_package(grouped.sparkSession)
-    out = written(grouped.mapInArrow(_sorted_groups, "u long, v long").distinct(), "links-left")
+    out = written(grouped.mapInArrow(partial(_sorted_groups, max_bits=max_bits), "u long, v long").distinct(), "links-left")
     forget(some)
     return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int | None = MAX_BITS) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of df.
 
     Rows that repeat an id count as one document. Empty and null texts have no shingles and are their own component.
     A row without an id belongs to the component of its text's class, and has none (null) if no row of the class has
-    an id. Other columns of df are not read. An empty table gives an empty table.
+    an id. Other columns of df are not read. An empty table gives an empty table. With max_bits None no pair of a
+    bucket is turned down by its sketches; sizes alone spare comparisons then, which is exact.
     """
     sig = written(signatures(df, id_col, text_col), "signatures")
     reps = written(
@@ -338,37 +361,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     banded = reps.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = written(banded.join(shared, "bucket").join(reps.select("node", "n", "b1", "b2"), "node").withColumn("root", F.col("node")), "buckets")
-    pool = written(_with_partners(met).join(met.groupBy("node").agg(F.sum("size").alias("weight")), "node"), "candidates")
+    pool = written(_with_partners(met, max_bits).join(met.groupBy("node").agg(F.sum("size").alias("weight")), "node"), "candidates")
     forget(met)
     traits = written(pool.select("node", "n", "b1", "b2").distinct(), "traits")
     # candidates are too many to broadcast where it matters, so the join is a shuffle at every size
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = written(texts.join(traits.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi"), "candidate-texts")
-    n_rows = pool.count()
-    roots, tried, turn = None, None, 0
-    while True:
-        placed = pool if roots is None else pool.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("bucket")
-        rest = written(placed.join(mixed, "bucket"), "mixed-buckets")
-        if turn:
-            each = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
-            left = each.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0))).first()[0]
-            if left <= PAIRS_PER_ROW * n_rows or n_found * 10 < n_tried:
-                break
-        stars = _stars(rest, traits, turn)
+    texts = texts.join(traits.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    texts = written(texts.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["id", "_hash"]).drop("_hash"), "candidate-texts")
+
+    # turns of comparing with leaders: each links some components or is the last one
+    roots, tried = None, None
+    rest = _mixed(pool, roots)
+    for turn in range(TURNS):
+        stars = _stars(rest, traits, turn, max_bits)
         if tried is not None:
             stars = stars.join(tried, ["u", "v"], "left_anti")
         nearest = written(stars.groupBy("x").agg(F.min(F.struct("apart", "u", "v")).alias("best")).select("best.u", "best.v").distinct(), "tried")
+        if nearest.isEmpty():
+            break
         found = linked(nearest, texts)
-        n_found, n_tried = found.count(), nearest.count()
+        if found.isEmpty():
+            break
         roots = _merged(roots, found)
         tried = nearest if tried is None else tried.unionByName(nearest)
         forget(rest)
-        turn += 1
+        rest = _mixed(pool, roots)
 
     # what is left: classes of different components that share a bucket
-    roots = _merged(roots, _links_left(rest, texts))
-    for table in (rest, pool, texts):
+    roots = _merged(roots, _links_left(rest, texts, max_bits))
+    for table in (rest, pool, traits, texts):
         forget(table)
 
     rooted = reps.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
@@ -377,6 +398,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def _mixed(pool: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The rows of buckets that hold classes of several components, with the components' roots, written."""
+    placed = pool if roots is None else pool.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("bucket")
+    return written(placed.join(mixed, "bucket"), "mixed-buckets")
+
+
 def op3_neardup(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).withColumnRenamed("id", "doc_id")
 

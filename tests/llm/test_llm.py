@@ -141,6 +141,32 @@ def test_neardup_blocks(spark, monkeypatch):
     assert got == brute_components(pairs)
 
 
+def test_neardup_two_families(spark, monkeypatch):
+    """Near copies of a text, and of an excerpt that is too short to be linked with it: they share bands."""
+    rng = random.Random(7)
+    base = [f"f{i}" for i in range(400)]
+    pairs = [(i, altered(rng, base, 0.004)) for i in range(40)] + [(i, altered(rng, base[:285], 0.004)) for i in range(40, 80)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    want = brute_components(pairs)
+    assert {tuple(r) for r in neardup.op3_neardup(df).collect()} == want and len({x[2] for x in want}) == 2
+    monkeypatch.setattr(neardup, "PARTNER_ROWS", 7)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 9)
+    got = neardup.near_duplicates(df, max_bits=None).collect()
+    assert {tuple(r) for r in got} == want
+
+
+def test_neardup_unlinked_bucket(spark, monkeypatch):
+    """Many classes that share a band and are not linked: every pair is compared in blocks, and none is lost."""
+    rng = random.Random(8)
+    core = [f"c{i}" for i in range(130)]
+    pairs = [(i, " ".join(core + [f"u{i}x{j}" for j in range(45)])) for i in range(300)]
+    pairs += [(300 + i, altered(rng, pairs[7 * i][1].split(), 0.01)) for i in range(40)]
+    monkeypatch.setattr(neardup, "PARTNER_ROWS", 50)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 40)
+    got = {tuple(r) for r in neardup.op3_neardup(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert got == brute_components(pairs)
+
+
 def test_neardup_odd(odd):
     got = rows(neardup.op3_neardup(odd), "doc_id", "n_shingles", "component_id", "kept")
     assert (1, 0, 1, True) in got and (None, 1, 3, False) in got and (6, 29996, 5, False) in got and got.count((7, 3, 7, True)) == 2
