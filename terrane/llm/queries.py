@@ -11,7 +11,7 @@ from terrane.llm.decontam import op9_decontam, op9_sql
 from terrane.llm.langid import op6_language
 from terrane.llm.licenses import op5_licenses
 from terrane.llm.linededup import op4_lines, op4_sql
-from terrane.llm.mixing import op10_mix
+from terrane.llm.mixing import mix_targets, mix_targets_sql, op10_mix
 from terrane.llm.neardup import op3_neardup, op3_sql
 from terrane.llm.quality import op2_quality, op2_sql
 from terrane.llm.secret_scan import op7_secrets
@@ -35,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": _over(op8_urls, "pages"),
         "op9_decontamination": _over(op9_decontam, "documents", "benchmark"),
         "op10_mixing": _over(op10_mix, "documents"),
+        "mix_targets": _over(mix_targets, "documents"),
     }
 
 
@@ -46,4 +47,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": op4_sql(),
         "op8_url_filter": op8_sql(),
         "op9_decontamination": op9_sql(),
+        "mix_targets": mix_targets_sql(),
     }

@@ -1,13 +1,16 @@
 """Operators against brute force, the shared DuckDB oracles, and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from terrane.llm import decontam, langid, licenses, linededup, mixing, neardup, quality, secret_scan, sharding, urlfilter
@@ -483,9 +486,83 @@ def test_mixing(spark, docs, odd, none):
     assert mixing.op10_mix(none).count() == 0 and mixing.mix(none).count() == 0
 
 
-def test_mixing_tree(spark):
-    """Shards get equal numbers of block draws, and each source's share of them is near its share of all."""
+def spark_hash(*values):
+    """Spark's xxhash64 of longs, ints (as booleans of Python are not used) and strings."""
+    seed = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else int(v[0]).to_bytes(4, "little", signed=True) if isinstance(v, tuple) else int(v).to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed
+
+
+def brute_draws(items, half, node, tag):
+    """Sequential hypergeometric draws by the exact distribution, outcomes in the operator's order."""
+    total, out = sum(n for _, n in items), []
+    for i, n in items:
+        low, high = max(0, half - (total - n)), min(half, n)
+        mode = min(high, max(low, math.floor((half + 1) * ((n + 1) / (total + 2)))))
+        weight = {x: Fraction(math.comb(n, x) * math.comb(total - n, half - x)) for x in range(low, high + 1)}
+        goal = Fraction((spark_hash((mixing.SEED,), tag, node, i) >> 11) / float(1 << 53)) * sum(weight.values())
+        for x in [*range(mode, high + 1), *range(mode - 1, low - 1, -1)]:
+            goal -= weight[x]
+            if goal < 0:
+                break
+        out.append((i, n, x))
+        total, half = total - n, half - x
+    return out
+
+
+def brute_leaves(items, levels, node=1, half=None, tag="groups"):
+    """{leaf: [(id, n)]}; half(node) says how many go left."""
+    if node >= 1 << levels:
+        return {node - (1 << levels): items}
+    drawn = brute_draws(items, (sum(n for _, n in items) + 1) // 2 if half is None else half(node), node, tag)
+    left, right = [(i, x) for i, _, x in drawn if x], [(i, n - x) for i, n, x in drawn if n - x]
+    return brute_leaves(left, levels, 2 * node, half, tag) | brute_leaves(right, levels, 2 * node + 1, half, tag)
+
+
+def test_mixing_tree(spark, monkeypatch):
+    """The quotas of all shards, against a replay by exact distributions, with sources in several groups."""
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    quotas = {1: 400, 2: 3, 3: 77, 4: 1, 5: 120, 6: 58, 7: 9, 8: 33}
+    got = {(r.src, r["shard"]): r.n for r in mixing.split_quotas(spark.createDataFrame(list(quotas.items()), "src long, n long"), levels=3).collect()}
+    grouped = defaultdict(list)
+    for s, n in quotas.items():
+        grouped[(s - 1) // 3].append((s, n))
+    tops = brute_leaves([(g, sum(n for _, n in x)) for g, x in sorted(grouped.items())], 3)
+    want = {}
+    for g, items in grouped.items():
+        sums = {leaf: dict(x).get(g, 0) for leaf, x in tops.items()}
+
+        def half(node):
+            width = 8 >> (2 * node).bit_length() - 1
+            first = (2 * node - (1 << (2 * node).bit_length() - 1)) * width
+            return sum(sums[k] for k in range(first, first + width))  # noqa: B023
+
+        want |= {(s, leaf): n for leaf, x in brute_leaves(items, 3, half=half, tag="sources").items() for s, n in x}
+    assert got == want
+    sizes = [sum(n for (_, k), n in got.items() if k == leaf) for leaf in range(8)]
+    assert max(sizes) - min(sizes) <= 1 and all(sum(n for (s, _), n in got.items() if s == x) == q for x, q in quotas.items())
+
+
+def test_mixing_places_draws_by_quota(spark):
+    """Each shard draws just as many blocks of each source as its leaf says, and every draw of a row lies in one."""
     df = spark.range(6000).selectExpr("if(id % 3 = 0, 'hot', concat('s', id % 10)) source", "xxhash64(id) unit", "5 + id % 40 AS size").withColumn("size", F.col("size").cast("long"))
-    _, draws = mixing.mix_plan(df)
-    per = draws.select("src", F.explode("shards").alias("shard")).groupBy("shard").count().collect()
-    assert len(per) == 16 and max(r["count"] for r in per) < 1.6 * min(r["count"] for r in per)
+    plan = mixing.mix_plan(df)
+    drawn = {(r.src, r["shard"]): r["count"] for r in plan.placed.select("src", F.explode("placed").alias("shard")).groupBy("src", "shard").count().collect()}
+    assert drawn == {(r.src, r["shard"]): r.n for r in plan.quotas.collect()}
+    per = defaultdict(int)
+    for (_, leaf), n in drawn.items():
+        per[leaf] += n
+    assert len(per) == 16 and max(per.values()) - min(per.values()) <= 1
+
+
+def test_hypergeometric(spark):
+    """The mean and spread of many draws, and the bounds."""
+    rows = spark.range(4000).select(F.shiftrightunsigned(F.xxhash64("id"), 11).alias("u"))
+    x = mixing.hypergeometric(*[F.lit(v).cast("long") for v in (1000, 300, 450)], F.col("u") / float(1 << 53))
+    got = rows.select(x.alias("x")).agg(F.avg("x"), F.stddev("x"), F.min("x"), F.max("x")).first()
+    sd = math.sqrt(450 * 0.3 * 0.7 * 550 / 999)
+    assert abs(got[0] - 135) < 5 * sd / math.sqrt(4000) and abs(got[1] / sd - 1) < 0.06 and 0 <= got[2] <= got[3] <= 300
+    for n, k, d, want in ((5, 5, 3, 3), (5, 0, 3, 0), (5, 3, 0, 0), (5, 3, 5, 3), (0, 0, 0, 0)):
+        assert spark.range(1).select(mixing.hypergeometric(*[F.lit(v).cast("long") for v in (n, k, d)], F.lit(0.999))).first()[0] == want
