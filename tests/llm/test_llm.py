@@ -218,6 +218,14 @@ def test_lines(docs, odd, none):
     assert set(linededup.dedup_lines(odd).columns) == {*odd.columns, "n_lines", "n_dropped"}
 
 
+def test_lines_of_rows_without_ids(spark):
+    common, other = "a line of many documents, long enough", "Another Line that many documents hold "
+    made = [(i, f"{common}\nown {i}\n{other}") for i in range(5)] + [(None, f"{common}\nunique of this row {i} and long\n{other.lower()}") for i in range(40)] + [(None, common)] * 30
+    made += [(3, "second text of three\n" + other), (None, None), (None, ""), (None, "short\n\n")]
+    got = rows(linededup.op4_lines(spark.createDataFrame(made, "doc_id long, text string")), "doc_id", "n_lines", "n_dropped", "kept_sha256")
+    assert got == brute_lines(made)
+
+
 def brute_phrases(text):
     words = ALNUM.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     at = [(i, label) for phrase, label in licenses.BASE.items() for p in [phrase.split()] for i in range(len(words)) if words[i : i + len(p)] == p]
