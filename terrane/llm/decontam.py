@@ -3,12 +3,15 @@
 Of every WINDOW - GRAM + 1 consecutive word k-grams the least hash is a fingerprint, so any span of WINDOW words that a
 document shares with an item gives both the same fingerprint. Fingerprints of documents and items are joined by
 equality; documents that share one are then compared by whole windows, which extends each hit to the full shared
-span. Items of fewer than WINDOW words are one window of their own length, looked up by their own hash.
+span. Items of fewer than WINDOW words are one window of their own length, looked up by their own hash in the same pass.
+Equal windows of items are one class with one list of items, so a passage that many items share is joined once.
 DataFrame functions only. Spark broadcasts the item side only where its written size is below its own threshold.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,20 +50,33 @@ def _winnowed(hashes: Column) -> Column:
     return bound(grams, lambda g: F.array_distinct(F.transform(_starts(F.size(g), width), lambda i: F.least(*[F.get(g, i + j) for j in range(width)]))))
 
 
-def fingerprints(df: DataFrame, keep: list[str], text: Column) -> DataFrame:
-    """keep, then prints: the distinct winnowed fingerprints of texts; none of a text of fewer than WINDOW words."""
-    return df.select(*keep, bound(_hashes(words(text)), _winnowed).alias("prints"))
+def _short(hashes: Column, lengths: list[int]) -> Column:
+    """Hashes of all runs of these lengths; the length is hashed too."""
+    runs = [F.transform(_starts(F.size(hashes), n), partial(_run, hashes, n)) for n in lengths]
+    return F.concat(*runs) if runs else F.array().cast("array<bigint>")
+
+
+def _run(hashes: Column, length: int, at: Column) -> Column:
+    return F.xxhash64(F.lit(length), *[F.get(hashes, at + j) for j in range(length)])
+
+
+def fingerprints(df: DataFrame, keep: list[str], text: Column, short: list[int]) -> DataFrame:
+    """keep, then prints: the distinct winnowed fingerprints of texts (none of a text of fewer than WINDOW words), and
+    the hashes of all runs of the short lengths, in one pass over a text whatever their number."""
+    prints = lambda h: F.array_distinct(F.concat(_winnowed(h), _short(h, short)))
+    return df.select(*keep, bound(_hashes(words(text)), prints).alias("prints"))
 
 
-def _windows(hashed: DataFrame, keep: list[str], length: int) -> DataFrame:
-    """keep, at, w1, w2: every window of so many words, by two independent hashes."""
+def _windows(hashed: DataFrame, keep: list, lengths: list[int]) -> DataFrame:
+    """keep, length, at, w1, w2: every window of so many words, by two independent hashes; one pass for all lengths."""
 
-    def each(h1: Column, h2: Column) -> Column:
+    def each(h1: Column, h2: Column, length: int) -> Column:
         second = lambda i: F.xxhash64(F.lit(length), *[F.get(h2, i + j) for j in range(length)])
-        return F.transform(_starts(F.size(h1), length), lambda i: F.struct(i.alias("at"), _gram(h1, i, length).alias("w1"), second(i).alias("w2")))
+        return F.transform(_starts(F.size(h1), length), lambda i: F.struct(F.lit(length).alias("length"), i.alias("at"), _gram(h1, i, length).alias("w1"), second(i).alias("w2")))
 
-    both = bound(F.struct(F.col("_h1").alias("h1"), F.col("_h2").alias("h2")), lambda s: each(s["h1"], s["h2"]))
-    return hashed.select(*keep, F.explode(both).alias("_w")).select(*keep, F.lit(length).alias("length"), "_w.at", "_w.w1", "_w.w2")
+    every = lambda s: F.concat(*[each(s["h1"], s["h2"], n) for n in lengths])
+    both = bound(F.struct(F.col("_h1").alias("h1"), F.col("_h2").alias("h2")), every)
+    return hashed.select(*keep, F.explode(both).alias("_w")).select("*", "_w.length", "_w.at", "_w.w1", "_w.w2").drop("_w")
 
 
 def _hashed(df: DataFrame, keep: list[str], text: Column) -> DataFrame:
@@ -78,27 +94,26 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     named = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     items = written(_hashed(named, ["item"], F.col("text")).filter(F.size("_h1") > 0), "benchmark-words")
     short = sorted(r[0] for r in items.filter(F.size("_h1") < WINDOW).select(F.size("_h1")).distinct().collect())  # fewer than WINDOW values
-    prints = written(fingerprints(named, ["item"], F.col("text")).select(F.explode("prints").alias("print")).distinct(), "benchmark-prints")
-    windows = _windows(items.filter(F.size("_h1") >= WINDOW), ["item"], WINDOW)
-    for length in short:
-        windows = windows.unionByName(_windows(items.filter(F.size("_h1") == length), ["item"], length))
-    windows = written(windows.select("item", "length", "w1", "w2").distinct(), "benchmark-windows")
+    lengths = [*short, WINDOW]
+    # an item's windows all have one length: WINDOW, or that of the whole item
+    windows = _windows(items, ["item", F.least(F.size("_h1"), F.lit(WINDOW)).alias("own")], lengths).filter("length = own").select("item", "length", "w1", "w2").distinct()
+    # equal windows are one, and windows found in the same items share one list of them
+    windows = windows.groupBy("length", "w1", "w2").agg(F.array_sort(F.collect_set("item")).alias("found"))
+    windows = written(windows.withColumn("list", F.xxhash64("found")), "benchmark-windows")
+    prints = written(_item_prints(named, short), "benchmark-prints")
+    classes = windows.select("length", "w1", "w2", "list")
+    lists = windows.select("list", "found").distinct()
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     key = ["id", "text_hash"]
-    hit = fingerprints(rows, key, F.col("text")).select(*key, F.explode("prints").alias("print")).join(prints, "print", "left_semi").select(*key)
-    for length in short:
-        found = _windows(_hashed(rows, key, F.col("text")), key, length).join(windows.filter(F.col("length") == length), ["w1", "w2"], "left_semi")
-        hit = hit.unionByName(found.select(*key))
+    hit = fingerprints(rows, key, F.col("text"), short).select(*key, F.explode("prints").alias("print")).join(prints, "print", "left_semi").select(*key)
     hit = written(hit.distinct().withColumnsRenamed({"id": "_id", "text_hash": "_hash"}), "print-hits")
 
     # extend: every window of the documents that share a fingerprint
     near = rows.join(hit, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi").dropDuplicates(key)
     hashed = written(_hashed(near, key, F.col("text")), "hit-words")
-    spans = _windows(hashed, key, WINDOW)
-    for length in short:
-        spans = spans.unionByName(_windows(hashed, key, length))
-    spans = written(spans.join(windows, ["length", "w1", "w2"]).select(*key, "at", (F.col("at") + F.col("length")).alias("end"), "item"), "hit-spans")
+    spans = _windows(hashed, key, lengths)
+    spans = written(spans.join(classes, ["length", "w1", "w2"]).select(*key, "at", (F.col("at") + F.col("length")).alias("end"), "list"), "hit-spans")
     # of the windows at one start the longest counts; a text has no more starts than words
     ends = spans.groupBy(*key, "at").agg(F.max("end").alias("end"))
     covered = F.aggregate(
@@ -108,18 +123,33 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         lambda acc: acc["n"].cast("long"),
     )
     counted = ends.groupBy(*key).agg(covered.alias("n_hit"))
-    listed = spans.select(*key, "item").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("found"))
-    sizes = hashed.select(*key, F.size("_h1").cast("long").alias("n_words"))
-    out = sizes
-    for more in (counted, listed):
+    # texts that hit the same lists share one result: a passage of many items in many documents is listed once
+    listed = written(spans.select(*key, "list").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("list")).alias("lists")), "hit-lists")
+    merged = listed.select("lists").distinct().withColumn("list", F.explode("lists")).join(lists, "list").select("lists", F.explode("found").alias("item")).distinct()
+    merged = merged.groupBy("lists").agg(F.array_sort(F.collect_list("item")).alias("found"))
+    merged = merged.select("lists", F.size("found").cast("long").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"))
+    merged = listed.join(merged, "lists", "left").select(*key, F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
+    out = hashed.select(*key, F.size("_h1").cast("long").alias("n_words"))
+    for more in (counted, merged):
         renamed = more.withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
         out = out.join(renamed, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).drop("_id", "_hash")
     return out.select(
-        *key, "n_words", "n_hit", F.size("found").cast("long").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.lit(SHARE) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        *key, "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (F.lit(SHARE) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def _item_prints(named: DataFrame, short: list[int]) -> DataFrame:
+    """Distinct fingerprints of items: winnowed ones of items of WINDOW words and more, the whole of shorter ones."""
+
+    def prints(h: Column) -> Column:
+        whole = F.lit(None).cast("bigint")
+        for n in short:
+            whole = F.when(F.size(h) == n, _run(h, n, F.lit(0))).otherwise(whole)
+        return F.array_compact(F.concat(_winnowed(h), F.array(whole)))
+
+    return named.select(F.explode(bound(_hashes(words(F.col("text"))), prints)).alias("print")).distinct()
+
+
 def op9_decontam(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns for all documents; those without a hit have an empty list of items."""
     found = written(contamination(documents, benchmark), "contamination").drop("n_words").withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
