@@ -4,7 +4,7 @@ Training counts, for each language, hashed byte trigrams of words and the script
 sample of about SAMPLE texts of each language, chosen by a hash of doc_id, so its size is bounded whatever the table's.
 Executors send one count for each (language, feature), a number fixed by the languages and FEATURES.
 
-Prediction reads the text alone. A word's script is told from its bytes, and languages that were not seen in that
+Prediction reads the text alone. A word's script is told from its code points, and languages that were not seen in that
 script are out for that word. Each word has a log-likelihood for each language; Viterbi finds the labelling of the
 words with the best sum less PENALTY for each switch, and runs of equal labels are the spans. Where no stretch of
 words favours any language over the best single one by more than half the penalty, no labelling with switches can win:
@@ -29,6 +29,8 @@ SAMPLE = 2000
 FEATURES = 1 << 13
 PENALTY = 12.0
 SMOOTHING = 0.5
+#: Most languages of a model; more is an error.
+MAX_LANGS = 1000
 #: A language is a candidate for a script that at least this share of its training words has.
 SCRIPT_SHARE = 0.002
 FOLDS = 5
@@ -38,17 +40,41 @@ _GAP = bytes(32 if c < 0x80 and not (chr(c).isalpha() or chr(c) in "'") else c f
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+#: Fixed values: (first code point, script) of Unicode's ranges; a range ends where the next begins. 0 says nothing:
+#: digits, punctuation, symbols and marks. 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian, 5 Hebrew, 6 Arabic, 7 Indic,
+#: 8 Thai, 9 Georgian, 10 Hangul, 11 Kana, 12 Han, 13 other.
+RANGES = (
+    (0x0, 0), (0x41, 1), (0x5B, 0), (0x61, 1), (0x7B, 0), (0xAA, 1), (0xAB, 0), (0xBA, 1), (0xBB, 0), (0xC0, 1), (0xD7, 0), (0xD8, 1), (0xF7, 0), (0xF8, 1), (0x2B0, 0),
+    (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 13), (0x750, 6), (0x780, 13), (0x8A0, 6), (0x900, 7), (0xE00, 8), (0xE80, 13), (0x10A0, 9), (0x1100, 10), (0x1200, 13),
+    (0x1C80, 3), (0x1C90, 9), (0x1CC0, 13), (0x1D00, 1), (0x1DC0, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x2C00, 13), (0x2C60, 1), (0x2C80, 13), (0x2DE0, 3), (0x2E00, 0),
+    (0x2E80, 12), (0x2FF0, 0), (0x3005, 12), (0x3008, 0), (0x3040, 11), (0x3100, 12), (0x3130, 10), (0x3190, 12), (0x31F0, 11), (0x3200, 0), (0x3400, 12), (0xA000, 13), (0xA640, 3), (0xA6A0, 13),
+    (0xA720, 1), (0xA800, 13), (0xA960, 10), (0xA980, 13), (0xAB30, 1), (0xAB70, 13), (0xAC00, 10), (0xD800, 0), (0xF900, 12), (0xFB00, 1), (0xFB13, 4), (0xFB1D, 5), (0xFB50, 6), (0xFE00, 0),
+    (0xFE70, 6), (0xFEFF, 0), (0xFF21, 1), (0xFF3B, 0), (0xFF41, 1), (0xFF5B, 0), (0xFF66, 11), (0xFFA0, 10), (0xFFE0, 0), (0x10000, 13), (0x1F000, 0), (0x20000, 12), (0x32000, 0),
+)
+N_SCRIPTS = 14
+
+
 def _script_table() -> np.ndarray:
-    """Script of a UTF-8 lead byte: 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian or Hebrew, 5 Arabic, 6 Indic, 7 Kana or
-    CJK marks, 8 Han, 9 Hangul, 10 other; 0 says nothing."""
-    table = np.zeros(256, np.int64)
-    for low, high, script in ((0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xCB, 1), (0xCC, 0xCD, 2), (0xCE, 0xCF, 2), (0xD0, 0xD3, 3), (0xD4, 0xD7, 4), (0xD8, 0xDF, 5), (0xE0, 0xE0, 6), (0xE1, 0xE2, 10), (0xE3, 0xE3, 7), (0xE4, 0xE9, 8), (0xEA, 0xED, 9), (0xEE, 0xF4, 10)):
-        table[low : high + 1] = script
+    """Script of each code point."""
+    table = np.zeros(0x110000, np.uint8)
+    for (low, script), (high, _) in zip(RANGES, [*RANGES[1:], (0x110000, 0)]):
+        table[low:high] = script
     return table
 
 
 _SCRIPTS = _script_table()
-N_SCRIPTS = 11
+
+
+def _scripts(b: np.ndarray) -> np.ndarray:
+    """Script of the code point that begins at each byte of UTF-8; 0 at the bytes that continue one."""
+    if b.max(initial=0) < 0x80:
+        return _SCRIPTS[b]
+    c = np.r_[b, np.zeros(3, b.dtype)] & 0x3F
+    one, two, three = c[1:-2], c[2:-1], c[3:]
+    points = np.where(b < 0x80, b, 0)
+    for low, high, at in ((0xC2, 0xE0, (b & 0x1F) << 6 | one), (0xE0, 0xF0, (b & 0x0F) << 12 | one << 6 | two), (0xF0, 0xF5, (b & 0x07) << 18 | one << 12 | two << 6 | three)):
+        points = np.where((b >= low) & (b < high), at, points)
+    return _SCRIPTS[np.minimum(points, 0x10FFFF)]
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +86,7 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grams = ((b[:-2] * 961 + b[1:-1] * 31 + b[2:]) * 40503 >> 4) & (FEATURES - 1)
     starts = np.flatnonzero(b[:-1] == 32)  # the trigram that begins with a word's blank is its first
     starts = starts[starts < len(grams)]
-    scripts = np.maximum.reduceat(_SCRIPTS[b[: len(grams) + 1]], starts) if len(starts) else np.empty(0, np.int64)
+    scripts = np.maximum.reduceat(_scripts(b)[: len(grams) + 1], starts).astype(np.int64) if len(starts) else np.empty(0, np.int64)
     return grams, starts, scripts
 
 
@@ -140,13 +166,13 @@ def fold(doc_id: F.Column) -> F.Column:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from the rows of folds other than 0 with a language and a text. No such rows: a model of no languages."""
     rows = df.filter((fold(F.col(id_col)) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row for each language
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MAX_LANGS + 1).collect()}  # one row for each language
     if not counts:
         return Model((), np.zeros((FEATURES, 0)), np.zeros((N_SCRIPTS, 0), bool), 0)
     langs = sorted(counts)
-    share = F.lit(0)
-    for lang in langs:
-        share = F.when(F.col(lang_col) == lang, F.lit(min(2**31, 2**31 * sample // counts[lang]))).otherwise(share)
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"{len(langs)} languages; a model is given to every task and holds {FEATURES} numbers for each, for at most {MAX_LANGS}")
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(2**31, 2**31 * sample // counts[lang]))])[F.col(lang_col)]
     chosen = rows.filter(F.crc32(F.encode(F.concat(F.col(id_col).cast("string"), F.lit("sample")), "UTF-8")) % 2**31 < share)
     index = {lang: i for i, lang in enumerate(langs)}
 
@@ -172,7 +198,12 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, n_spans) of every row; `und` for a null text and one without a letter."""
+    """(doc_id, lang_pred, score, n_spans) of every row; `und` for a null text and one without a letter.
+
+    Repeated rows and rows without an id are predicted each by its text alone; equal texts get equal predictions. Of
+    languages that score the same, the first by name wins. An empty table gives an empty table, and a model of no
+    languages gives `und`. Other columns of df are not read.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols = list(zip(*map(model.predict, texts_as_bytes(batch.column(1))))) or [()] * 3

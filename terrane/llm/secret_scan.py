@@ -31,7 +31,7 @@ KINDS = ("assign", "access", "hex", "vendor", "jwt", "pem", "url", "random")
 MORE = (
     ("vendor", re.compile(r"\b((?:gh[pousr]_|xox[abprs]-|sk_live_|sk-|glpat-)[A-Za-z0-9_-]{16,})")),
     ("jwt", re.compile(r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
-    ("pem", re.compile(r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----)")),
+    ("pem", re.compile(r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----\s*(?:[A-Za-z0-9-]+:[^\n]*\n)*+[A-Za-z0-9+/=\s]++-----END (?:[A-Z]+ )*PRIVATE KEY-----)")),
     ("url", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]++:([^\s:/@]{6,}+)@")),
     ("random", re.compile(r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_-]{24,}+={0,2}+)(?![A-Za-z0-9+/_=-])")),
 )
@@ -41,6 +41,7 @@ _MORE_MARKS = {"vendor": ("gh", "xox", "sk", "glpat"), "jwt": ("eyJ",), "pem": (
 #: Values of at most this many owners and this many repositories may be live; those of more of either are examples.
 MAX_OWNERS = 2
 MAX_REPOS = 16
+SALTS = 16
 MIN_ENTROPY = 3.5
 
 
@@ -107,17 +108,22 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The contract's columns, then n_example and n_live, for every row of df.
 
     n_example counts a row's candidates (base ones too) whose value more than max_owners owners or more than max_repos
-    repositories hold, n_live the rest. A repository is an owner's: its name under two owners counts as two. Null and
-    empty texts have no spans. A null repository or owner counts as one.
-    Rows that repeat an id and text get the same result each.
+    repositories hold, n_live the rest. Distinct repositories count whoever owns them, so one that two owners name
+    counts once. Where the owner is null, each repository counts as an owner of its own; where the repository is null,
+    each text does. Null and empty texts have no spans. Rows that repeat an id and text get the same result each. An
+    empty table gives an empty table. Columns of df beyond the four named are not read.
     """
-    named = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.col(text_col).alias("text"))
+    text_key = F.concat(F.lit("text "), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).cast("string"))
+    repo = F.coalesce(F.concat(F.lit("repo "), F.col(repo_col).cast("string")), text_key)
+    owner = F.coalesce(F.concat(F.lit("owner "), F.col(owner_col).cast("string")), repo)
+    named = df.select(F.col(id_col).cast("long").alias("doc_id"), repo.alias("repo"), owner.alias("owner"), F.col(text_col).alias("text"))
     found = written(arrow_pass(named, _scan_batch, _FOUND), "secret-candidates")
     each = found.filter(F.size("kinds") > 0).select("doc_id", "text_hash", "repo", "owner", F.explode(F.arrays_zip("kinds", "starts", "ends", "h1", "bases")).alias("c"))
     each = each.select("doc_id", "text_hash", "repo", "owner", F.col("c.kinds").alias("kind"), F.col("c.starts").alias("start"), F.col("c.ends").alias("end"), F.col("c.h1").alias("value"), F.col("c.bases").alias("base"))
-    # distinct (value, owner) first, so an example in every third row is counted in many tasks
-    owners = each.groupBy("value", "owner", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repos")).groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
-    spread = each.select("doc_id", "text_hash", "kind", "start", "end", "value", "base").distinct().join(owners, "value")
+    spread = held_by(each).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # an example that very many documents hold is dealt to SALTS tasks
+    salt = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int").alias("salt")
+    spread = each.select("doc_id", "text_hash", "kind", "start", "end", "value", "base").distinct().select("*", salt).join(spread, ["value", "salt"])
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
     reported = F.col("base") | live
@@ -132,6 +138,16 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), zero("n_example"), zero("n_live"))
 
 
+def held_by(each: DataFrame) -> DataFrame:
+    """(value, n_owners, n_repos): distinct owners and repositories of each value.
+
+    Distinct (value, owner) and (value, repo) come first, so an example in every third row is counted in many tasks.
+    """
+    names = F.explode(F.array(F.struct(F.lit("owner").alias("what"), F.col("owner").alias("name")), F.struct(F.lit("repo").alias("what"), F.col("repo").alias("name")))).alias("n")
+    one = each.select("value", names).select("value", "n.what", "n.name").distinct()
+    return one.groupBy("value").agg(F.count_if(F.col("what") == "owner").alias("n_owners"), F.count_if(F.col("what") == "repo").alias("n_repos"))
+
+
 def op7_secrets(documents: DataFrame) -> DataFrame:
     """Owners are sources, repositories are documents."""
     return scan_secrets(documents)

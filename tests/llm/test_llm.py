@@ -301,6 +301,21 @@ def test_language(spark, docs, odd, none):
     assert {r.lang_pred for r in langid.op6_language(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+@pytest.mark.parametrize(("word", "script"), [
+    ("hello", 1), ("\u201chello\u201d", 1), ("it\u2019s", 1), ("Ti\u1ebfng", 1), ("Vi\u1ec7t", 1), ("stra\u00dfe", 1), ("\u03b1\u03b2\u03b3", 2), ("\u043c\u0438\u0440", 3),
+    ("\u10d2\u10d0\u10db", 9), ("\u05e9\u05dc\u05d5\u05dd", 5), ("\u0633\u0644\u0627\u0645", 6), ("\u0928\u092e\u0938\u094d\u0924\u0947", 7), ("\ud55c\uae00", 10), ("\u3042", 11), ("\u4e2d\u6587", 12), ("\U00020000", 12), ("\u2014\u2014", 0),
+])
+def test_scripts(word, script):
+    assert langid.features(word.encode())[2].tolist() == [script]
+    assert langid.features(f"a {word} b".encode())[2].tolist() == [1, script, 1]
+
+
+def test_language_ties_and_repeats(spark):
+    model = langid.Model(("a", "b"), np.zeros((langid.FEATURES, 2)), np.ones((langid.N_SCRIPTS, 2), bool), 1)
+    df = spark.createDataFrame([(1, "same words"), (1, "same words"), (None, "same words"), (2, "12 34")], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.lang_pred) for r in langid.identify(df, model).collect()), key=repr) == [(1, "a"), (1, "a"), (2, "und"), (None, "a")]
+
+
 def test_viterbi_shortcut():
     """The walk that is skipped would give the same labels."""
     rng = np.random.default_rng(1)
@@ -373,6 +388,24 @@ def test_secret_of_many_repositories(spark):
     assert secret_scan.scan_secrets(df, max_repos=99).filter("doc_id = 1").first().n_live == 2
 
 
+def test_secret_owners(spark):
+    """Null owners and repositories are apart, and a repository of two names of its owner counts once."""
+    one, two, three, four = (f"ghp_{x * 4}a1B2c3D4e5F6g7H8" for x in "wxyz")
+    made = [(i, f"key {one}", f"r{i % 3}", None) for i in range(6)] + [(10 + i, f"see {two}", "same", f"o{i}") for i in range(2)]
+    made += [(20 + i, f"{'pad ' * i}{three}", None, None) for i in range(3)] + [(30, f"own {four}", "p", None), (31, f"own {four}", "p", None)]
+    df = spark.createDataFrame(made, "doc_id long, text string, repo string, owner string")
+    by = {r.doc_id: (r.n_example, r.n_live) for r in secret_scan.scan_secrets(df, repo_col="repo", owner_col="owner", max_repos=2).collect()}
+    assert {by[i] for i in range(6)} == {(1, 0)} and by[10] == by[11] == (0, 1) and by[20] == (1, 0) and by[30] == by[31] == (0, 1)
+    rows_ = spark.createDataFrame([(1, "a", "r"), (1, "b", "r"), (1, None, "q"), (2, "a", "r")], "value long, owner string, repo string").fillna("repo q", ["owner"])
+    assert sorted(tuple(r) for r in secret_scan.held_by(rows_).collect()) == [(1, 3, 2), (2, 1, 1)]
+
+
+def test_encrypted_key():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\nMIIEow+/abc\nQUJD==\n-----END RSA PRIVATE KEY-----"
+    assert [x[:3] for x in secret_scan.candidates(f"see {key} end") if x[0] == "pem"] == [("pem", 4, 4 + len(key))]
+    assert [x[0] for x in secret_scan.candidates("-----BEGIN PRIVATE KEY-----\nMIIE\n-----END PRIVATE KEY-----")] == ["pem"]
+
+
 @pytest.mark.parametrize("n", [24, 128, 129, 5000])
 def test_long_secrets(n):
     rng = random.Random(n)
