@@ -199,4 +199,44 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op5_licenses(documents: DataFrame) -> DataFrame:
-    return scan_licenses(documents)
+    """The contract's columns for all documents."""
+    return scan_licenses(documents).drop("expression", "permissive")
+
+
+def op5_sql() -> str:
+    """Phrases by position, and the longest leading run of tokens after each tag that is an expression, token by token."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    phrases = ", ".join(f"('{p}', {len(p.split())}, '{label}', {str(p in BASE).lower()})" for p, label in (BASE | NOTICES).items())
+    families = ", ".join(f"('{name}', '{label}')" for name, label in LABEL_OF.items())
+    return rf"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, regexp_extract_all({low}, '{word}') AS w FROM documents),
+    phrase(said, k, label, base) AS (VALUES {phrases}),
+    hits AS (
+      SELECT id, pos - 1 AS pos, label, base FROM (SELECT id, w, said, k, label, base, unnest(range(1, len(w) - k + 2)) AS pos FROM d, phrase WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || said || ' '))
+      WHERE array_to_string(w[pos : pos + k - 1], ' ') = said),
+    p AS (
+      SELECT id, count(*) FILTER (base) AS n_base, min(pos) FILTER (base) AS first_word, max(pos) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels
+      FROM hits GROUP BY id),
+    piece AS (
+      SELECT id, unnest(parts[2:]) AS said, unnest(range(2, len(parts) + 1)) AS no
+      FROM (SELECT id, string_split_regex(text, '(?i)spdx-license-identifier[ \t]*:') AS parts FROM d WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' {TAG} '))),
+    tokens AS (SELECT id, no, regexp_extract_all(regexp_extract(said, '^[^\r\n]*'), '[()]|[A-Za-z0-9.+-]+') AS t FROM piece),
+    walk AS (
+      SELECT id, no, t, 0 AS i, 0 AS depth, TRUE AS operand, 0 AS whole, TRUE AS going FROM tokens
+      UNION ALL
+      SELECT id, no, t, i + 1, depth + CASE WHEN NOT ok THEN 0 WHEN x = '(' THEN 1 WHEN x = ')' THEN -1 ELSE 0 END, after,
+        CASE WHEN ok AND NOT after AND depth + CASE WHEN x = '(' THEN 1 WHEN x = ')' THEN -1 ELSE 0 END = 0 THEN i + 1 ELSE whole END, ok
+      FROM (SELECT *, CASE WHEN x = ')' THEN NOT operand AND depth > 0 WHEN lower(x) IN ('and', 'or', 'with') THEN NOT operand ELSE operand END AS ok, x = '(' OR lower(x) IN ('and', 'or', 'with') AS after
+        FROM (SELECT *, t[i + 1] AS x FROM walk WHERE going AND i < len(t)))),
+    runs AS (SELECT id, no, any_value(t) AS t, max(whole) AS whole FROM walk GROUP BY id, no HAVING max(whole) > 0),
+    used AS (SELECT id, unnest(t[1:whole]) AS x, unnest(list_prepend('', t[1:whole - 1])) AS before FROM runs),
+    family(name, label) AS (VALUES {families}),
+    named AS (
+      SELECT DISTINCT id, label FROM hits
+      UNION SELECT id, label FROM used JOIN family ON rtrim(lower(x), '+') = name WHERE lower(before) <> 'with'),
+    l AS (SELECT id, string_agg(label, ',' ORDER BY label) AS labels FROM named GROUP BY id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+      CASE WHEN coalesce(n_base, 0) > 0 OR id IN (SELECT id FROM runs) THEN 1e0 WHEN labels IS NOT NULL THEN 0.5e0 ELSE 0e0 END AS score
+    FROM d LEFT JOIN p USING (id) LEFT JOIN l USING (id)
+    """

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from terrane.llm.common import load
 from terrane.llm.decontam import op9_decontam, op9_sql
 from terrane.llm.langid import op6_language
-from terrane.llm.licenses import op5_licenses
+from terrane.llm.licenses import op5_licenses, op5_sql
 from terrane.llm.linededup import op4_lines, op4_sql
 from terrane.llm.mixing import mix_targets, mix_targets_sql, op10_mix
 from terrane.llm.neardup import op3_neardup, op3_sql
@@ -45,6 +45,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": op2_sql(),
         "op3_minhash_neardup": op3_sql(),
         "op4_line_dedup": op4_sql(),
+        "op5_license_scan": op5_sql(),
         "op8_url_filter": op8_sql(),
         "op9_decontamination": op9_sql(),
         "mix_targets": mix_targets_sql(),

@@ -23,8 +23,8 @@ from terrane.sources.ship import put_shared, shared_dir
 
 #: Fixed values of the contract: verdict, host, path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: The method's own list: hosts that are blocked where no rule fits.
-LISTED = ("spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org")
+#: The method's own list: hosts that are blocked where no rule fits. A real one comes from a table.
+LISTED = tuple(f"{name}.example.{end}" for name in ("spam-farm", "casino-win", "free-bets", "cheap-pills") for end in ("com", "net", "org"))
 MAGIC = b"URLDIGST"
 _PARTS = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -36,6 +36,11 @@ def parts(url: str | None) -> tuple[str, str]:
     return (found[1].translate(_UPPER), found[2]) if found else ("", "")
 
 
+def _packed(digests: np.ndarray, codes: np.ndarray, lengths: np.ndarray, offsets: np.ndarray, strings: bytes) -> bytes:
+    head = np.array([len(digests), len(lengths)], np.int64)
+    return MAGIC + b"".join(x.tobytes() for x in (head, lengths.astype(np.int64), digests.astype(np.uint64), codes.astype(np.int64), offsets.astype(np.int64))) + strings
+
+
 def build(rules: tuple[tuple[str, str, str], ...], listed: tuple[str, ...] = ()) -> bytes:
     """The file: count, the path lengths that rules have (0 for a whole host), sorted keys, verdict codes, string offsets, strings.
 
@@ -43,12 +48,36 @@ def build(rules: tuple[tuple[str, str, str], ...], listed: tuple[str, ...] = ())
     """
     rows = [((host + path).encode(), len(path.encode()), int(verdict == "block")) for verdict, host, path in rules] + [(b"\0" + host.encode(), 0, 2) for host in listed]
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(r[0]), r[0]))
-    keys = np.array([xxhash.xxh64_intdigest(r[0]) for r in rows], np.uint64)
     lengths = np.array(sorted({r[1] for r in rows if r[2] != 2}), np.int64)
-    offsets = np.r_[0, np.cumsum([len(r[0]) for r in rows])].astype(np.int64)
-    codes = np.array([r[2] for r in rows], np.int64)
-    head = np.array([len(rows), len(lengths)], np.int64)
-    return MAGIC + b"".join(x.tobytes() for x in (head, lengths, keys, codes, offsets)) + b"".join(r[0] for r in rows)
+    offsets = np.r_[0, np.cumsum([len(r[0]) for r in rows])]
+    return _packed(np.array([xxhash.xxh64_intdigest(r[0]) for r in rows], np.uint64), np.array([r[2] for r in rows]), lengths, offsets, b"".join(r[0] for r in rows))
+
+
+def build_from_tables(rules: DataFrame, listed: DataFrame) -> bytes:
+    """The file of build() from tables: rules (verdict, host, path) and listed (host), of any length.
+
+    Executors lower-case, hash, sort and drop what is repeated; the driver holds the list once, as columns, since the
+    file goes to every machine whole. Rules without a host or verdict and hosts that are null are left out; of rules
+    with the same host and path a block wins.
+    """
+    low = lambda name: F.translate(F.col(name), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    path = F.coalesce("path", F.lit(""))
+    ruled = rules.filter("host IS NOT NULL AND verdict IS NOT NULL").select(F.concat(low("host"), path).alias("key"), F.octet_length(path).cast("long").alias("length"), (F.col("verdict") == "block").cast("long").alias("code"))
+    names = listed.filter("host IS NOT NULL").select(F.concat(F.lit("\0"), low("host")).alias("key"), F.lit(0).cast("long").alias("length"), F.lit(2).cast("long").alias("code"))
+    every = ruled.groupBy("key", "length").agg(F.max("code").alias("code")).unionByName(names.distinct())
+
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = batch.column(0).cast(pa.binary())
+        hashed = np.fromiter(map(xxhash.xxh64_intdigest, raw.to_pylist()), np.uint64, len(raw))
+        # with the top bit turned round, signed numbers sort as unsigned ones do
+        return pa.RecordBatch.from_arrays([pa.array((hashed ^ np.uint64(1 << 63)).view(np.int64)), raw, batch.column(1), batch.column(2)], ["digest", "key", "length", "code"])
+
+    got = arrow_pass(every, digest, "digest long, key binary, length long, code long", 65536).orderBy("digest", "key", "length").toArrow()
+    codes, lengths = (got[c].to_numpy() for c in ("code", "length"))
+    keys = got["key"].to_pylist()
+    return _packed(
+        got["digest"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63), codes, np.unique(lengths[codes != 2]), np.r_[0, np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))], b"".join(keys)
+    )
 
 
 class Digests:
@@ -128,8 +157,14 @@ def hand_out(spark: SparkSession, data: bytes) -> str:
 
 
 def filter_urls(df: DataFrame, rules=RULES, listed=LISTED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict, listed) for every row of df. Null urls have empty parts and are allowed."""
-    data = build(tuple(rules), tuple(listed))
+    """(page_id, host, path, rule, verdict, listed) for every row of df.
+
+    rules (verdict, host, path) and listed (hosts) are tuples, or tables of which none may be missing: build_from_tables.
+    Null urls and those without :// have empty parts and are allowed. Repeated rows and rows without an id are judged
+    each by its url alone. Of rules that fit, the longest wins; equal ones of both verdicts block. An empty table gives
+    an empty table; other columns of df are not read.
+    """
+    data = build_from_tables(rules, listed) if isinstance(rules, DataFrame) else build(tuple(rules), tuple(listed))
     name = hand_out(df.sparkSession, data)
     opened: list[Digests] = []
 

@@ -273,6 +273,21 @@ def test_tags_of_one_line():
     assert licenses.scan(text)[5:] == ("isc,mit", "MIT; ISC", 1.0, True)
 
 
+def test_license_sql():
+    """The oracle's parser against the operator's, on made texts: the shared tables hold few identifier tags."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(6)
+    parts = ["(", ")", "AND", "or", "WITH", "MIT", "GPL-2.0-only", "Apache-2.0", "*/", "\n", "SPDX-License-Identifier:", "spdx-license-identifier :", "mit license", "Classpath-exception-2.0", "ISC+", "cc by", "CC-BY", "BSD 2 clause", "xSPDX-License-Identifier:"]
+    texts = [(i, " ".join(rng.choices(parts, k=rng.randrange(25)))) for i in range(800)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    got = {r[0]: r[1:] for r in con.execute(licenses.op5_sql()).fetchall()}
+    for i, text in texts:
+        want = licenses.scan(text.encode())
+        assert got[i] == (*want[:6], want[7])
+
+
 def brute_leading(tokens):
     return next((tokens[:i] for i in range(len(tokens), 0, -1) if licenses.postfix(tokens[:i]) is not None), None)
 
@@ -445,6 +460,20 @@ def test_rules_without_path(spark):
     assert [(r.rule, r.verdict) for r in got] == [("example.org", "block"), ("example.org", "block"), ("good.example.org", "allow"), ("net/de/", "allow"), (None, "allow"), ("spam-farm.example.com", "allow"), (None, "allow")]
 
 
+def test_rules_from_tables(spark):
+    """A list read from tables gives the same file as one of tuples; repeats, nulls and capitals do no harm."""
+    rules = [("block", "Com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"), ("block", "whole.example", None)]
+    rules_table = spark.createDataFrame([*rules, ("allow", "com", "/en/"), (None, "x", "/"), ("block", None, "/")], "verdict string, host string, path string")
+    hosts = [f"h{i}.example" for i in range(500)]
+    listed = spark.createDataFrame([(h,) for h in [*hosts, "H3.example", None]], "host string")
+    plain = tuple((v, h.lower(), p or "") for v, h, p in rules)
+    assert urlfilter.build_from_tables(rules_table, listed) == urlfilter.build(plain, tuple(hosts))
+    df = spark.createDataFrame([(1, "x://a.h7.EXAMPLE/"), (2, "x://whole.example/q"), (3, "x://h500.example"), (None, "x://h7.example"), (1, "x://a.h7.EXAMPLE/")], "page_id long, url string")
+    got = urlfilter.filter_urls(df, rules_table, listed)
+    assert sorted(((r.page_id, r.verdict, r.rule) for r in got.collect()), key=repr) == [(1, "block", None), (1, "block", None), (2, "block", "whole.example"), (3, "allow", None), (None, "block", None)]
+    assert urlfilter.filter_urls(df.filter("false"), rules_table.filter("false"), listed.filter("false")).count() == 0
+
+
 def test_digest_collisions(tmp_path, monkeypatch):
     monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda x: 5 if len(x) < 30 else 9)
     f = tmp_path / "d"
