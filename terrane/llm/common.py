@@ -27,21 +27,53 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """The rows of df as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors.
+
+    The table goes when the application ends, or before that by forget() or forget_since().
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, target = _target(spark, path)
+    fs.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
+    _WRITTEN.append(path)
     return out
 
 
+#: Paths of the tables that written() made and nothing deleted, in order.
+_WRITTEN: list[str] = []
+
+
+def _target(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def written_so_far() -> int:
+    """A mark for forget_since()."""
+    return len(_WRITTEN)
+
+
+def forget_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Deletes the tables made since the mark, but for keep, which no longer reads them."""
+    kept = getattr(keep, "_written_path", None)
+    for path in _WRITTEN[mark:]:
+        if path != kept:
+            fs, target = _target(spark, path)
+            fs.delete(target, True)
+    _WRITTEN[mark:] = [kept] if kept else []
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table made by written() that no later result reads."""
     path = getattr(df, "_written_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        fs, target = _target(df.sparkSession, path)
+        fs.delete(target, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
 
 
 def ascii_lower(text: Column) -> Column:

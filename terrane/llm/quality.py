@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import BLANK_WORD, BLANKS, arrow_pass
+from terrane.llm.common import BLANK_WORD, BLANKS, arrow_pass, written
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -116,13 +116,15 @@ def kept_documents(df: DataFrame, policy: str = POLICY, text_col: str = "text")
     return arrow_pass(df, judge, df.schema)
 
 
-def ablations(entries: DataFrame, policy: str = POLICY) -> DataFrame:
+def ablations(entries: DataFrame, policy: str = POLICY, held: str | None = None) -> DataFrame:
     """For each rule of a policy: documents it fails, and documents that only it rejects.
 
-    The ledger is first counted by bitmask (at most 2 ** rules rows), so no other pass reads documents.
+    The ledger is first counted by bitmask (at most 2 ** rules rows), so no other pass reads documents; held names a
+    column of counts, where entries are counted already.
     """
     rules = POLICIES[policy]
-    masks = entries.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask(rules))).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.count(F.lit(1)) if held is None else F.sum(held)
+    masks = entries.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask(rules))).alias("bits")).agg(n.alias("n"))
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << RULES[r]).cast("long").alias("bit")) for r in rules])).alias("r")
     hit = F.col("bits").bitwiseAND(F.col("r.bit")) != 0
     return masks.select("bits", "n", each).groupBy(F.lit(policy).alias("policy"), F.col("r.rule").alias("rule")).agg(
@@ -141,6 +143,26 @@ def op2_quality(documents: DataFrame) -> DataFrame:
     )
 
 
+def op2_ablations(documents: DataFrame) -> DataFrame:
+    """What each rule of each policy fails, and what it alone rejects, from one ledger."""
+    entries = ledger(documents, ["doc_id"])
+    masks = written(entries.groupBy("fail_bits").agg(F.count(F.lit(1)).alias("held")), "bitmasks")  # at most 2 ** rules rows
+    out = None
+    for policy in POLICIES:
+        one = ablations(masks, policy, "held")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def op2_ablations_sql() -> str:
+    """The same from the ledger's SQL."""
+    parts = [
+        f"SELECT '{policy}' AS policy, '{rule}' AS rule, count(*) FILTER (fail_bits & {1 << RULES[rule]} <> 0) AS n_failed, count(*) FILTER (fail_bits & {mask(rules)} = {1 << RULES[rule]}) AS n_only FROM ledger"
+        for policy, rules in POLICIES.items() for rule in rules
+    ]
+    return f"WITH ledger AS ({op2_sql()}) {' UNION ALL '.join(parts)}"
+
+
 def op2_sql() -> str:
     """The ledger in DuckDB."""
     blanks = r"[\x20\x09-\x0D]"

@@ -13,8 +13,8 @@ from terrane.llm.licenses import op5_licenses, op5_sql
 from terrane.llm.linededup import op4_lines, op4_sql
 from terrane.llm.mixing import mix_targets, mix_targets_sql, op10_mix
 from terrane.llm.neardup import op3_neardup, op3_sql
-from terrane.llm.quality import op2_quality, op2_sql
-from terrane.llm.secret_scan import op7_secrets
+from terrane.llm.quality import op2_ablations, op2_ablations_sql, op2_quality, op2_sql
+from terrane.llm.secret_scan import base_spans, base_spans_sql, op7_secrets
 from terrane.llm.sharding import op1_shards, op1_sql
 from terrane.llm.urlfilter import op8_sql, op8_urls
 
@@ -35,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": _over(op8_urls, "pages"),
         "op9_decontamination": _over(op9_decontam, "documents", "benchmark"),
         "op10_mixing": _over(op10_mix, "documents"),
+        # more of what operators find, where SQL can check it
+        "quality_ablations": _over(op2_ablations, "documents"),
+        "secret_base_spans": _over(base_spans, "documents"),
         "mix_targets": _over(mix_targets, "documents"),
     }
 
@@ -48,5 +51,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": op5_sql(),
         "op8_url_filter": op8_sql(),
         "op9_decontamination": op9_sql(),
+        "quality_ablations": op2_ablations_sql(),
+        "secret_base_spans": base_spans_sql(),
         "mix_targets": mix_targets_sql(),
     }

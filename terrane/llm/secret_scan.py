@@ -151,3 +151,31 @@ def held_by(each: DataFrame) -> DataFrame:
 def op7_secrets(documents: DataFrame) -> DataFrame:
     """Owners are sources, repositories are documents."""
     return scan_secrets(documents)
+
+
+def base_spans(documents: DataFrame) -> DataFrame:
+    """The base columns of the scan, which SQL expresses."""
+    return scan_secrets(documents).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def base_spans_sql() -> str:
+    """Spans from the pieces between matches: a match begins where the pieces and matches before it end."""
+    either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    names = "|".join(either(w) for w in ("password", "passwd", "secret", "token")) + f"|{either('api')}_?{either('key')}"
+    patterns = {
+        "assign": rf"""({names})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "access": f"AKIA[A-Z0-9]{{{{{MIN_ACCESS - 4},}}}}", "hex": "[0-9a-f]{{16,}}",
+    }
+    kinds = []
+    for rank, (kind, pattern) in enumerate(patterns.items()):
+        pattern = pattern.replace("{{", "{").replace("}}", "}")
+        value = f"length(regexp_extract_all(text, '{pattern}', 2)[i]) >= {MIN_ASSIGN}" if kind == "assign" else "TRUE"
+        kinds.append(f"""SELECT id, '{kind}' AS kind, {rank} AS rank, start, start + length(m[i]) AS stop FROM (
+          SELECT id, m, i, ok, list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS start
+          FROM (SELECT id, m, gaps, i, {value} AS ok FROM (SELECT id, text, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS gaps, unnest(range(1, len(regexp_extract_all(text, '{pattern}')) + 1)) AS i FROM d))) WHERE ok""")
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+    s AS ({' UNION ALL '.join(kinds)}),
+    p AS (SELECT id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM s GROUP BY id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN p USING (id)
+    """
