@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.common import free_name, load, written
+from terrane.llm.common import forget, forget_since, free_name, load, written, written_so_far
 from terrane.llm.decontam import clean_documents
 from terrane.llm.mixing import mix
 from terrane.llm.neardup import near_duplicates
@@ -21,7 +21,7 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the policy keeps."""
+    """Documents that the policy keeps; each row is judged by its own text, and a null or empty one goes."""
     return kept_documents(docs)
 
 
@@ -46,17 +46,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passages, or too little of them to count."""
+    """Documents that hold no benchmark passages, or too little of them to count.
+
+    Rows without a text or an id stay or go by their own text; repeated rows share one verdict. An empty benchmark or
+    an empty table changes nothing.
+    """
     return clean_documents(docs, load(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix draws, each as often as it is drawn."""
+    """The documents that the mix draws, each as often as it is drawn, dealt to files by the output shards of the
+    splitting tree and in each shard's order.
+
+    A null source is a source; null texts have size 0; rows equal in id, source and text are drawn together.
+    """
     return mix(docs).drop("out_shard", "out_order")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents with row_number, position, shard and slot."""
+    """The mixed documents with row_number, position, shard and slot, which replace columns of these names.
+
+    Null ids and texts, ties and repeated rows each get a position of their own.
+    """
     return shard_rows(docs)
 
 
@@ -73,5 +84,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, applied to documents."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        mark = written_so_far()
+        made = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget_since(spark, mark, made)  # what the stage wrote on its way
+        forget(docs)  # the stage before; documents themselves are not a table of written()
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
