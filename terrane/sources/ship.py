@@ -15,10 +15,12 @@ import terrane
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a private one only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a private one only in local mode."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = os.path.join(tempfile.gettempdir(), "checkpoints")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
