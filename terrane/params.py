@@ -43,6 +43,10 @@ class Params:
             raise ParamError(f"no parameter {path}")
         return deepcopy(self._leaves[path])
 
+    def paths(self, under: str = "") -> list[str]:
+        """Paths of all leaves, or of those under one."""
+        return sorted(x for x in self._leaves if not under or x == under or x.startswith(f"{under}."))
+
     def value(self, path: str) -> Any:
         out = self.leaf(path)["value"]
         if out is None:
@@ -63,6 +67,10 @@ class Params:
             leaves[path] = self.leaf(path) | {"value": value}
         return Params(leaves)
 
+    def deterministic(self) -> Params:
+        """The same values without bounds, so that nothing is drawn."""
+        return Params({path: {k: v for k, v in leaf.items() if k not in ("low", "high")} for path, leaf in self._leaves.items()})
+
     def hash(self) -> str:
         return hashlib.sha256(json.dumps(self._leaves, sort_keys=True).encode()).hexdigest()
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Fixed vocabularies, in order where order has meaning.
-SECTORS = ("agriculture", "manufacturing", "construction", "retail_svc", "office_it", "education", "health", "logistics")
+SECTORS = ("agri", "manuf_heavy", "manuf_light", "logistics", "it_office", "retail_svc", "public_edu", "construction")
 BANDS = ("low", "mid", "upper_mid", "high")
 STAGES = ("announced", "feasibility", "dpr_prepared", "dpr_approved", "funded", "land_majority", "construction", "half_complete")
 UTILITIES = ("none", "water", "water_sewer", "water_sewer_power")
@@ -68,13 +68,18 @@ class Table:
         out += [f"{n}: {types[n]} is not {c.type}" for n, c in known.items() if n in types and types[n] != c.type]
         if out:
             return out
-        there = [c for c in self.columns if c.name in types]
-        row = df.agg(*[F.count_if(~c.check()).alias(c.name) for c in there]).first()
-        out = [f"{c.name}: {row[c.name]} rows out of bounds" for c in there if row[c.name]]
+        found = {r["check"]: r["n"] for r in self.counts(df).collect()}  # a row a column
+        return [f"key {self.key}: {n} repeated" if name == "key" else f"{name}: {n} rows out of bounds" for name, n in sorted(found.items())]
+
+    def counts(self, df: DataFrame) -> DataFrame:
+        """(check, n) of every column with rows out of bounds, and of repeated keys as 'key': two aggregates."""
+        there = [c for c in self.columns if c.name in df.columns]
+        row = df.agg(*[F.count_if(~c.check()).alias(c.name) for c in there])
+        out = row.select(F.explode(F.array(*[F.struct(F.lit(c.name).alias("check"), F.col(c.name).alias("n")) for c in there])).alias("c")).select("c.check", "c.n")
         if self.key:
-            again = df.groupBy(*self.key).count().filter("count > 1").count()
-            out += [f"key {self.key}: {again} repeated"] if again else []
-        return out
+            again = df.groupBy(*self.key).count().filter("count > 1").agg(F.lit("key").alias("check"), F.count(F.lit(1)).alias("n"))
+            out = out.unionByName(again)
+        return out.filter("n > 0")
 
     def validate(self, df: DataFrame) -> DataFrame:
         found = self.violations(df)
@@ -106,4 +111,10 @@ PROJECTS = Table("projects", ("project_id",), (
 ))
 PROJECT_HISTORY = Table("project_history", (), (*(Col(n, "string") for n in ("project_id", "field")), *(Col(n, "string", nullable=True) for n in ("old_value", "new_value")), Col("changed_at", "timestamp_ntz"), Col("source_url", "string"), Col("changed_by", "string")))
 ANNOUNCERS = Table("announcers", ("announcer_id",), (Col("announcer_id", "string"), Col("name", "string"), *_numbers("delivery_ratio median_slip_months mean_annual_capex_3y_inr_cr", nullable=True)))
-TABLES = {t.name: t for t in (CELLS, CELLS_HISTORY, PROJECTS, PROJECT_HISTORY, ANNOUNCERS)}
+PHYSICAL_HISTORY = Table("project_physical_history", ("project_id", "month"), (
+    Col("project_id", "string"), Col("month", "date"), *_numbers("ndvi ndbi bsi brightness cloud_frac", nullable=True), Col("valid", "boolean"), *_numbers("dndvi dndbi dbsi", nullable=True),
+    Col("light_rose", "boolean"), Col("state", "string", nullable=True, among=("none", "cleared", "earthworks", "structure", "operational")), Col("state_cum", "string", nullable=True),
+))
+INGEST_RUNS = Table("ingest_runs", ("run_id",), (Col("run_id", "string"), Col("source", "string"), Col("city", "string"), Col("columns", "array<string>"), Col("rows", "bigint", low=0), Col("params_hash", "string"), Col("content_hash", "string"), Col("parents", "array<string>")))
+CELL_IMPUTATION = Table("cell_imputation", (), (Col("h3", "string"), Col("column", "string"), Col("method", "string"), Col("run_id", "string")))
+TABLES = {t.name: t for t in (CELLS, CELLS_HISTORY, PROJECTS, PROJECT_HISTORY, ANNOUNCERS, PHYSICAL_HISTORY, INGEST_RUNS, CELL_IMPUTATION)}
