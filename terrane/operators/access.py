@@ -26,28 +26,32 @@ def destinations(cells: DataFrame, zone: str, jobs: str, min_jobs: float, limit:
     return by.join(F.broadcast(most)).filter(enough).drop("_most").orderBy(F.desc("jobs"), zone).limit(limit)
 
 
-def gravity(od: DataFrame, opp: DataFrame, origin: str, zone: str, shares: dict[str, float], betas: dict[str, dict[str, float]], weights: dict[str, float]) -> DataFrame:
-    """ln(A + 1) of each purpose and their weighted sum, in one join and one aggregate over the OD table."""
-    joined = od.join(opp, zone)
-    terms = []
-    for purpose, beta in betas.items():
-        parts = None
-        for mode, share in shares.items():
-            here = share * F.exp(-beta[mode] * F.col("minutes")) * F.col(f"o_{purpose}")
-            parts = F.when(F.col("mode") == mode, here) if parts is None else parts.when(F.col("mode") == mode, here)
-        terms.append(F.sum(F.when(F.col("minutes").isNotNull() & ~F.isnan("minutes"), parts.otherwise(0.0)).otherwise(0.0)).alias(f"a_{purpose}"))
-    out = joined.groupBy(origin).agg(*terms)
+def od_pairs(cells: DataFrame, targets: DataFrame, origin: str, zone: str) -> DataFrame:
+    """Every origin with every destination, and their distance: targets are those of destinations(), a capped set that
+    is broadcast for that reason, with whatever columns they bring."""
+    to = targets.withColumnsRenamed({"x_m": "_tx", "y_m": "_ty"})
+    pairs = cells.select(origin, "x_m", "y_m").join(F.broadcast(to))
+    return pairs.withColumn("dist_m", F.hypot(F.col("x_m") - F.col("_tx"), F.col("y_m") - F.col("_ty"))).drop("x_m", "y_m", "_tx", "_ty")
+
+
+def minutes(metres: Column, kmh: float) -> Column:
+    return metres / 1000 / kmh * 60
+
+
+def gravity(pairs: DataFrame, origin: str, kmh: dict[str, float], shares: dict[str, float], betas: dict[str, dict[str, float]], weights: dict[str, float]) -> DataFrame:
+    """ln(A + 1) of each purpose and their weighted sum: one aggregate over the pairs, whose minutes by mode come from
+    dist_m and are infinite where that is null. Pairs of an origin lie in one task, so partial sums are all there is."""
+    term = lambda purpose, mode: shares[mode] * F.exp(-betas[purpose][mode] * minutes(F.col("dist_m"), kmh[mode]))
+    sums = [F.sum(F.coalesce(sum((term(x, m) for m in shares), F.lit(0.0)) * F.col(f"o_{x}"), F.lit(0.0))).alias(f"a_{x}") for x in betas]
+    out = pairs.groupBy(origin).agg(*sums)
     logs = out.select(origin, *[F.log1p(f"a_{x}").alias(f"lna_{x}") for x in betas])
     return logs.withColumn("lna", sum((w * F.col(f"lna_{x}") for x, w in weights.items()), F.lit(0.0)))
 
 
-def reachable(od: DataFrame, opp: DataFrame, origin: str, zone: str, measure: str, shares: dict[str, float], limits: list[int]) -> DataFrame:
+def reachable(pairs: DataFrame, origin: str, kmh: dict[str, float], shares: dict[str, float], measure: str, limits: list[int]) -> DataFrame:
     """Opportunity within each limit of minutes, by mode share."""
-    share = None
-    for mode, s in shares.items():
-        share = F.when(F.col("mode") == mode, F.lit(s)) if share is None else share.when(F.col("mode") == mode, F.lit(s))
-    share = share.otherwise(0.0)
-    return od.join(opp, zone).groupBy(origin).agg(*[F.sum(F.when(F.col("minutes") <= t, share * F.col(measure)).otherwise(0.0)).alias(f"jobs_{t}") for t in limits])
+    within = lambda t: sum((F.when(minutes(F.col("dist_m"), kmh[m]) <= t, F.lit(float(s))).otherwise(0.0) for m, s in shares.items()), F.lit(0.0))
+    return pairs.groupBy(origin).agg(*[F.sum(within(t) * F.col(measure)).alias(f"jobs_{t}") for t in limits])
 
 
 def station_weight(pairs: DataFrame, key: str, distance: str, feeder: str, p: Params) -> DataFrame:
@@ -64,25 +68,3 @@ def via_rail(access: DataFrame, rail: DataFrame, egress: DataFrame, penalty: flo
     """Least access + line haul + egress of each (origin, destination): two equi-joins and a min."""
     legs = access.join(rail, "board").join(egress, "alight")
     return legs.groupBy("origin", "destination").agg(F.min(F.col("walk_in") + F.col("haul") + F.col("walk_out") + penalty).alias("minutes"))
-
-
-def rail_minutes(edges: list[tuple[str, str, float]]) -> dict[tuple[str, str], float]:
-    """All pairs of stations on the driver's small rail graph, by relaxation over each middle station."""
-    import numpy as np
-
-    names = sorted({x for a, b, _ in edges for x in (a, b)})
-    at = {n: i for i, n in enumerate(names)}
-    d = np.full((len(names), len(names)), np.inf)
-    np.fill_diagonal(d, 0.0)
-    for a, b, w in edges:
-        d[at[a], at[b]] = d[at[b], at[a]] = min(w, d[at[a], at[b]])
-    for k in range(len(names)):
-        d = np.minimum(d, d[:, k : k + 1] + d[k : k + 1, :])
-    return {(a, b): float(d[at[a], at[b]]) for a in names for b in names}
-
-
-def network_states(projects: DataFrame, years: DataFrame, project: str, open_year: str) -> DataFrame:
-    """For each year the projects that are open, in order, and a hash of them."""
-    open_then = years.join(projects, F.col(open_year) <= F.col("year"), "left")
-    out = open_then.groupBy("year").agg(F.array_sort(F.collect_list(project)).alias("ids"))
-    return out.select("year", F.size("ids").cast("long").alias("n_open"), F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("state"))

@@ -70,3 +70,47 @@ def fit_lag(df: DataFrame, weights: DataFrame, key: str, other: str, y: str, xs:
     beta, *_ = ols(rows, y, [*xs, "_wy"])
     rho = float(beta[-1])
     return {"rho": rho, "intercept": float(beta[0])} | {x: float(b) for x, b in zip(xs, beta[1:])} | {f"total_{x}": float(b) / (1 - rho) for x, b in zip(xs, beta[1:])}
+
+
+def fit_error(df: DataFrame, weights: DataFrame, key: str, other: str, y: str, xs: list[str]) -> dict[str, float]:
+    """Spatial error model by moments: lambda from those of the residuals and their first two lags, then least squares
+    on y - lambda Wy and X - lambda WX. Sums are over the rows, algebra here."""
+    beta, _, _, n = ols(df, y, xs)
+    fit = sum((float(b) * F.col(x) for b, x in zip(beta[1:], xs)), F.lit(float(beta[0])))
+    rows = lagged(df.withColumn("_e", F.col(y) - fit), weights, key, other, ["_e"])
+    rows = lagged(rows, weights, key, other, ["w__e"])
+    u, v, w = F.col("_e"), F.col("w__e"), F.col("w_w__e")
+    got = rows.agg(*[F.sum(a * b).alias(f"s{i}") for i, (a, b) in enumerate(((u, u), (u, v), (v, v), (w, v), (w, w), (u, w)))]).first()
+    uu, uv, vv, wv, ww, uw = (float(x or 0.0) / n for x in got)
+    trace = float(weights.agg(F.sum(F.col("weight") ** 2)).first()[0]) / n
+    # the three moments: what lambda and the variance should make of them
+    left = np.array([[2 * uv, -vv, 1.0], [2 * wv, -ww, trace], [uw + vv, -wv, 0.0]])
+    right = np.array([uu, vv, uv])
+
+    def loss(lam: float) -> float:
+        base = left[:, 0] * lam + left[:, 1] * lam * lam
+        s2 = max(float(left[:, 2] @ (right - base) / (left[:, 2] @ left[:, 2])), 0.0)
+        miss = base + left[:, 2] * s2 - right
+        return float(miss @ miss)
+
+    lam, width = 0.0, 0.99
+    for _ in range(40):  # a finer grid about the best point each time
+        grid = np.clip(np.linspace(lam - width, lam + width, 21), -0.99, 0.99)
+        lam, width = float(grid[np.argmin([loss(float(g)) for g in grid])]), width / 4
+    rows = lagged(df, weights, key, other, [y, *xs])
+    turned = rows.select((F.col(y) - lam * F.col(f"w_{y}")).alias("_y"), *[(F.col(x) - lam * F.col(f"w_{x}")).alias(x) for x in xs])
+    beta, *_ = ols(turned, "_y", xs)
+    # weights that sum to one turn the constant into 1 - lambda of itself
+    return {"lambda": lam, "intercept": float(beta[0]) / (1 - lam)} | {x: float(b) for x, b in zip(xs, beta[1:])} | {f"total_{x}": float(b) for x, b in zip(xs, beta[1:])}
+
+
+def hedonic(df: DataFrame, weights: DataFrame, key: str, other: str, y: str, xs: list[str], alpha: float = 0.05) -> dict[str, object]:
+    """The model that the tests choose, fitted, with the tests."""
+    tests = lm_tests(df, weights, key, other, y, xs)
+    model = choose(tests, alpha)
+    if model == "ols":
+        beta, *_ = ols(df, y, xs)
+        fitted = {"intercept": float(beta[0])} | {x: float(b) for x, b in zip(xs, beta[1:])} | {f"total_{x}": float(b) for x, b in zip(xs, beta[1:])}
+    else:
+        fitted = (fit_lag if model == "lag" else fit_error)(df, weights, key, other, y, xs)
+    return {"model": model, **fitted, **tests}

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.scalar import in_ring, segment_distance
@@ -124,6 +124,42 @@ def distance_to_lines(points: DataFrame, lines: DataFrame, key: str, ceiling: fl
     return points.select(key).join(best, key, "left").select(key, F.least(F.coalesce("_d", F.lit(ceiling)), F.lit(ceiling)).alias("dist_m"))
 
 
+def slope_percent(grid: DataFrame, row: str, col: str, z: str, width_m: float, height_m: float) -> DataFrame:
+    """grid with slope_pct: central differences along rows and columns, one-sided at the edges."""
+
+    def gradient(by: str, along: str) -> Column:
+        w = Window.partitionBy(by).orderBy(along)
+        after, before = F.lead(z).over(w), F.lag(z).over(w)
+        two = F.when(after.isNotNull() & before.isNotNull(), 2).otherwise(1)
+        return (F.coalesce(after, F.col(z)) - F.coalesce(before, F.col(z))) / two
+
+    return grid.withColumn("_dx", gradient(row, col) / width_m).withColumn("_dy", gradient(col, row) / height_m).withColumn("slope_pct", 100 * F.hypot("_dx", "_dy")).drop("_dx", "_dy")
+
+
+def population_by(year_people: Column, rate: float, years: float) -> Column:
+    """People after some years of compound growth."""
+    return year_people * F.pow(F.lit(1 + rate), F.lit(float(years)))
+
+
+def outer_merge(frame: DataFrame, other: DataFrame, cells: DataFrame, key: str) -> DataFrame:
+    """Both frames by key, whichever has it, then on the cells' own keys alone."""
+    return cells.select(key).join(frame.join(other, key, "full"), key, "left")
+
+
+def registry_problems(projects: DataFrame, stages: list[str], forms: list[str]) -> DataFrame:
+    """(project_id, problem) of every rule that a register breaks, all together: no id or a repeated one, an unknown
+    stage or form, a size that is not positive, a completion before the announcement, and a later stage than is seen."""
+    c = F.col
+    again = F.count(F.lit(1)).over(Window.partitionBy("project_id")) > 1
+    rules = {
+        "no_id": c("project_id").isNull(), "repeated": F.coalesce(again, F.lit(False)) & c("project_id").isNotNull(), "stage": ~F.coalesce(c("stage").isin(*stages), F.lit(False)),
+        "commitment": ~c("is_public") & ~F.coalesce(c("commitment_form").isin(*forms), F.lit(False)), "size": ~F.coalesce(c("capex") > 0, F.lit(False)),
+        "dates": F.coalesce(c("open_year") < c("announced_year"), F.lit(False)), "not_seen": c("claims_construction") & (c("physical_state") == "none"),
+    }
+    found = F.array_compact(F.array(*[F.when(bad, name) for name, bad in rules.items()]))
+    return projects.select("project_id", found.alias("_f")).select("project_id", F.explode("_f").alias("problem"))
+
+
 def power_flag(cells: DataFrame, key: str, station_m: str, line_m: str, station_reach: float = 2000.0, line_reach: float = 500.0) -> DataFrame:
     return cells.select(key, F.when((F.col(station_m) <= station_reach) | (F.col(line_m) <= line_reach), 1).otherwise(0).cast("long").alias("util_power"))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.functions.normal import uniform
 from terrane.functions.scalar import clip
-from terrane.params import Params
+from terrane.operators.measures import quantiles, running_total
+from terrane.params import ParamError, Params
 
 
 def damping(inventory_months: Column, p: Params) -> Column:
@@ -39,7 +41,7 @@ def deliver(cells: DataFrame) -> DataFrame:
 def utility(cells: DataFrame, coefficients: dict[str, float], out: str) -> DataFrame:
     """Logit utility of a band; a price that is null or not positive is the median of the others."""
     c = F.col
-    median = cells.agg(F.median(F.when(c("price") > 0, c("price"))).alias("_median"))
+    median = quantiles(cells.filter(c("price") > 0), {"_median": ("price", 0.5)})
     rows = cells.join(F.broadcast(median)).withColumn("_price", F.when(c("price") > 0, c("price")).otherwise(c("_median")))
     k = coefficients
     value = (
@@ -118,13 +120,22 @@ def attribute(runs: DataFrame, key: str, factors: list[str], p: Params) -> DataF
 
 
 def overheat(cells: DataFrame, p: Params) -> DataFrame:
-    """Residual above its percentile, yield below its floor; the score counts both, and its maximum is 1 less without a rent."""
+    """Flags and score: residual above its percentile, yield below its floor, and price growth beyond what is built.
+
+    The third needs price_cagr, builtup_cagr and light_cagr; where a table has none of them, or a value is null, it
+    does not hold. The score counts the flags; score_max is one less without a rent.
+    """
     c = F.col
-    cut = cells.agg(F.percentile("residual", F.lit(float(p.value("price.residual_percentile")))).alias("_cut"))
+    cut = quantiles(cells, {"_cut": ("residual", float(p.value("price.residual_percentile")))})
     out = cells.join(F.broadcast(cut)).withColumn("flag_residual", c("residual") > c("_cut"))
     out = out.withColumn("flag_yield", c("rent") * 12 / c("price") < p.value("price.yield_min"))
-    score = c("flag_residual").cast("int") + F.coalesce(c("flag_yield").cast("int"), F.lit(0))
-    return out.withColumn("score", score).withColumn("score_max", F.when(c("flag_yield").isNull(), 1).otherwise(2)).drop("_cut")
+    score = F.coalesce(c("flag_residual").cast("int"), F.lit(0)) + F.coalesce(c("flag_yield").cast("int"), F.lit(0))
+    n = 2
+    if {"price_cagr", "builtup_cagr", "light_cagr"} <= set(cells.columns):
+        grown = (c("price_cagr") > p.value("price.physical_ratio") * F.greatest("builtup_cagr", "light_cagr")) & (c("price_cagr") > p.value("price.physical_min_cagr"))
+        out = out.withColumn("flag_physical", F.coalesce(grown, F.lit(False)))
+        score, n = score + c("flag_physical").cast("int"), 3
+    return out.withColumn("score", score).withColumn("score_max", F.when(c("flag_yield").isNull(), n - 1).otherwise(n)).drop("_cut")
 
 
 def ensemble_quantiles(draws: DataFrame, by: list[str], value: str, at: list[float]) -> DataFrame:
@@ -140,7 +151,92 @@ def outperformance(draws: DataFrame, draw: str, key: str, value: str) -> DataFra
     return rows.groupBy(key).agg(F.avg((F.col(value) > F.col("_m")).cast("double")).alias("p_outperform"), F.avg((F.col(value) >= F.col("_d")).cast("double")).alias("p_top_decile"))
 
 
+def price_paths(cells: DataFrame, draws: DataFrame, years: list[int], base_year: int, p: Params, seed: int, macro: str = "base") -> DataFrame:
+    """(draw, cell, year, log_change): cumulative log price change since the base year, of the years named.
+
+    cells: cell, eps, quantity, headroom_sqm, cap, households, and d_lna, new_hh and field where they are not 0. Every
+    year redraws trend, access elasticity and demand elasticity between their bounds from (seed, draw, year), clears
+    the market and adds up. The columns for all years of a draw are made from its few numbers, so the plan is one join
+    of cells and draws and one explode; nothing is shuffled but the result of a later aggregate.
+    """
+    if not years or years != sorted(years) or years[0] <= base_year:
+        raise ValueError("years must rise and follow the base year")
+    c = F.col
+    have = set(cells.columns)
+    part = lambda name: F.coalesce(c(name), F.lit(0.0)) if name in have else F.lit(0.0)
+    grown = F.when(c("households") > 0, F.ln((c("households") + part("new_hh")) / F.when(c("households") > 0, c("households")))).otherwise(0.0)
+    rest = grown + clip(part("field"), p.value("price.field_low"), p.value("price.field_high"))
+    ceiling = F.when(c("quantity") > 0, F.ln((c("quantity") + F.least(c("headroom_sqm"), c("cap") if "cap" in have else c("headroom_sqm"))) / F.when(c("quantity") > 0, c("quantity"))))
+
+    def drawn(path: str, year: Column) -> Column:
+        leaf = p.leaf(path)
+        low, high = leaf.get("low"), leaf.get("high")
+        return F.lit(float(p.value(path))) if low is None or high is None else float(low) + float(high - low) * uniform(seed, path, c("draw").cast("long"), year.cast("long"))
+
+    last = years[-1]
+    steps = F.transform(F.sequence(F.lit(base_year + 1), F.lit(last)), lambda y: F.struct(y.alias("year"), drawn(f"price.phi_{macro}", y).alias("phi"), drawn("price.gamma", y).alias("gamma"), drawn("price.eta", y).alias("eta")))
+    per = draws.select("draw", steps.alias("_steps"))
+    rows = cells.select("cell", "eps", "quantity", part("d_lna").alias("_a"), rest.alias("_r"), ceiling.alias("_top")).join(per)
+
+    def change(s: Column) -> Column:
+        demand = s["gamma"] * c("_a") + c("_r")
+        free = c("eps") * demand / (s["eta"] + c("eps"))
+        held = F.coalesce(free > c("_top"), F.lit(False))
+        return s["phi"] + F.when(c("quantity") <= 0, demand / s["eta"]).when(held, (demand - c("_top")) / s["eta"]).otherwise(demand / (s["eta"] + c("eps")))
+
+    moves = rows.select("draw", "cell", F.transform("_steps", lambda s: F.struct(s["year"].alias("year"), change(s).alias("move"))).alias("_m"))
+    upto = lambda y: F.aggregate(F.filter("_m", lambda m: m["year"] <= y), F.lit(0.0), lambda a, m: a + m["move"])
+    each = F.explode(F.array(*[F.struct(F.lit(y).cast("long").alias("year"), upto(y).alias("log_change")) for y in years]))
+    return moves.select("draw", "cell", each.alias("y")).select("draw", "cell", "y.year", "y.log_change")
+
+
+def effects_of_year(effects: DataFrame, year: int, capacity: Column) -> DataFrame:
+    """(cell, delta, capacity): what starts in a year, and the capacity that is left, never below zero."""
+    out = effects.filter(F.col("start_year") == year).groupBy("cell").agg(F.sum("delta").alias("delta"))
+    return out.withColumn("capacity", F.greatest(F.lit(0.0), capacity - F.col("delta")))
+
+
+def delivery_split(delivered: Column, res: Column, com: Column) -> tuple[Column, Column]:
+    """What is delivered, split by the standing shares; all residential where nothing stands."""
+    total = res + com
+    share = F.when(total > 0, res / F.when(total > 0, total)).otherwise(1.0)
+    return delivered * share, delivered * (1 - share)
+
+
+def firm_shares(cells: DataFrame, coefficients: dict[str, float | None], jobs: float, open_to: Column) -> DataFrame:
+    """(cell, jobs) that firms bring to cells open to them, by logit; a coefficient that is null raises."""
+    lost = sorted(k for k, v in coefficients.items() if v is None)
+    if lost:
+        raise ParamError(f"firm logit needs {lost}")
+    u = sum((float(v) * F.col(k) for k, v in coefficients.items()), F.lit(0.0))
+    return softmax(cells.filter(open_to).withColumn("_u", u), "_u", "_s").select("cell", (jobs * F.col("_s")).alias("jobs"))
+
+
+def land_prices(d_ln_p: Column, multiple: float) -> Column:
+    """Log change of land, which moves by a multiple of what stands on it."""
+    return multiple * d_ln_p
+
+
+def residuals(panel: DataFrame, base: DataFrame, last: int, key: str = "cell") -> DataFrame:
+    """(key, ln_price, explained, residual) of the last year: log price less the base year's and all moves since.
+
+    panel: key, year, price, d_ln_p; base: key, price. Cells without a price in either have a null residual.
+    """
+    c = F.col
+    at = F.max(F.when(c("year") == last, F.when(c("price") > 0, F.ln(F.when(c("price") > 0, c("price"))))))
+    moved = panel.filter(c("year") <= last).groupBy(key).agg(F.sum("d_ln_p").alias("_moves"), at.alias("ln_price"))
+    start = base.select(key, F.when(c("price") > 0, F.ln(F.when(c("price") > 0, c("price")))).alias("_start"))
+    out = moved.join(start, key, "left").withColumn("explained", c("_start") + c("_moves"))
+    return out.select(key, "ln_price", "explained", (c("ln_price") - c("explained")).alias("residual"))
+
+
 def running_fill(cells: DataFrame, score: str, key: str, room: str, budget: float, by: list[str]) -> DataFrame:
     """Greedy fill in descending score, ties by key: what each cell takes of the budget, by group."""
     before = F.coalesce(F.sum(room).over(Window.partitionBy(*by).orderBy(F.desc(score), key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return cells.withColumn("take", F.greatest(F.lit(0.0), F.least(F.col(room), F.lit(float(budget)) - before)))
+
+
+def greedy_fill(cells: DataFrame, score: str, key: str, room: str, budget: float) -> DataFrame:
+    """running_fill over all cells: no task orders all of them."""
+    rows = running_total(cells.withColumn("_down", -F.col(score)), "_down", room, "_before", [key]).drop("_down")
+    return rows.withColumn("take", F.greatest(F.lit(0.0), F.least(F.col(room), F.lit(float(budget)) - F.col("_before")))).drop("_before")

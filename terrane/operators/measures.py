@@ -6,6 +6,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], bins: int = 4096, rounds: int = 5) -> DataFrame:
+    """One row of exact quantiles {name: (column, q)} over whole tables, with linear interpolation.
+
+    A percentile aggregate would hold all distinct values in one task. Here the ranks that a quantile lies between are
+    closed in by counting passes over bins (each pass is a partial aggregate of at most bins rows for each quantile),
+    until few values are left between; nulls and NaN do not count. Without values a quantile is null.
+    """
+    names = list(wanted)
+    cols = {n: F.when(~F.isnan(F.col(wanted[n][0]).cast("double")), F.col(wanted[n][0]).cast("double")) for n in names}
+    rows = df.select(*[cols[n].alias(n) for n in names])
+    first = rows.agg(*[x for n in names for x in (F.count(n).alias(f"n_{n}"), F.min(n).alias(f"lo_{n}"), F.max(n).alias(f"hi_{n}"))]).first()
+    spark, out = df.sparkSession, {}
+    # (low, high, rank in the open interval's values) of each quantile's lower rank
+    at = {n: [first[f"lo_{n}"], first[f"hi_{n}"], wanted[n][1] * (first[f"n_{n}"] - 1), first[f"n_{n}"]] for n in names if first[f"n_{n}"]}
+    todo = {n for n in at if at[n][0] < at[n][1]}
+    out |= {n: at[n][0] for n in at if n not in todo}
+    for turn in range(rounds):
+        wide = {n for n in todo if at[n][3] > bins} if turn else set(todo)
+        if not wide:
+            break
+        pieces = []
+        for n in sorted(wide):
+            low, high = at[n][0], at[n][1]
+            bin_ = F.least(F.lit(bins - 1), F.floor((F.col(n) - low) / (high - low) * bins)).cast("int")
+            pieces.append(F.when(F.col(n).between(low, high), F.struct(F.lit(n).alias("name"), bin_.alias("bin"), F.col(n).alias("v"))))
+        long = rows.select(F.explode(F.array_compact(F.array(*pieces))).alias("x")).groupBy("x.name", "x.bin").agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi"))
+        found = sorted(long.collect())  # at most bins rows a quantile
+        for n in wide:
+            rank, before = at[n][2], 0
+            mine = [r for r in found if r["name"] == n]
+            for i, r in enumerate(mine):
+                if rank < before + r["n"]:
+                    high, count = r["hi"], r["n"]
+                    if rank > before + r["n"] - 1 and i + 1 < len(mine):  # between the last of one bin and the first of the next
+                        after = mine[i + 1]
+                        f = rank - (before + r["n"] - 1)
+                        out[n] = r["hi"] + f * (after["lo"] - r["hi"])
+                        todo.discard(n)
+                    at[n] = [r["lo"], high, rank - before, count]
+                    break
+                before += r["n"]
+            if n in todo and at[n][0] == at[n][1]:
+                out[n] = at[n][0]
+                todo.discard(n)
+    for n in sorted(todo):
+        # few values, or values that floating point cannot part further: count them by value
+        held = rows.filter(F.col(n).between(at[n][0], at[n][1])).groupBy(n).agg(F.count(F.lit(1)).alias("n")).orderBy(n).collect()
+        rank, values = at[n][2], []
+        low, high, upto = int(rank), int(rank) + 1, 0
+        for value, k in held:
+            values += [value for i in (low, high) if upto <= i < upto + k]
+            upto += k
+        out[n] = values[0] + (rank - low) * ((values[1] if len(values) > 1 else values[0]) - values[0])
+    return spark.createDataFrame([tuple(float(out[n]) if n in out else None for n in names)], ", ".join(f"`{n}` double" for n in names))
+
+
 def gini(df: DataFrame, by: str, value: str) -> DataFrame:
     """Gini coefficient and parcel statistics of each group, by sorted rank; 0 where the total is 0."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(value))
@@ -15,17 +71,54 @@ def gini(df: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(n.alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), coefficient.alias("gini"))
 
 
+def cut_points(df: DataFrame, value: str, parts: int = 64) -> list[float]:
+    """At most parts - 1 values that cut the rows into parts of about the same size, from one approximate pass."""
+    at = [i / parts for i in range(1, parts)]
+    got = df.agg(F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(x) for x in at]), F.lit(10_000)).alias("q")).first()[0]
+    return sorted(set(got or []))
+
+
+def part_of(value: Column, cuts: list[float]) -> Column:
+    """Number of the part that a value is in: the cuts at or below it."""
+    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x <= value)) if cuts else F.lit(0)
+
+
+def running_total(df: DataFrame, value: str, amount: str, out: str, order: list[Column | str] | None = None) -> DataFrame:
+    """df with out, the sum of amount over the rows before it in order of value (then of order).
+
+    Rows are cut into parts of about the same size; sums of whole parts (a few dozen rows) are added up first, and rows
+    are ordered within their part alone, so no task orders all of them. Equal values lie in one part.
+    """
+    rows = df.withColumn("_part", part_of(F.col(value).cast("double"), cut_points(df, value)))
+    parts = rows.groupBy("_part").agg(F.sum(amount).alias("_all"))
+    before = F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("_part", before.alias("_start"))  # a row a part
+    inside = F.sum(amount).over(Window.partitionBy("_part").orderBy(value, *(order or [])).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_in", F.coalesce(inside, F.lit(0))).join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_in")).drop("_part", "_start", "_in")
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: rank correlation with average ranks, over rows with both values."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     for c in (x, y):
         # ranks by value: each distinct value's rows and the rows before it, so ties meet in an aggregate first
-        counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        before = F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-        rows = rows.join(counts.select(c, (before + (F.col("_n") + 1) / 2).alias(f"_r_{c}")), c)
+        counts = running_total(rows.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), c, "_n", "_before")
+        rows = rows.join(counts.select(c, (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"_r_{c}")), c)
     return rows.agg(F.corr(f"_r_{x}", f"_r_{y}").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
+def spearman_p(rho: float, n: int) -> float:
+    """Two-sided p-value of a rank correlation by Student's t; 0 where it is perfect, NaN with fewer than three rows."""
+    from terrane.operators.ensemble import beta_cdf
+
+    if n < 3 or rho != rho:
+        return float("nan")
+    if abs(rho) >= 1:
+        return 0.0
+    t2 = rho * rho * (n - 2) / (1 - rho * rho)
+    return beta_cdf((n - 2) / (n - 2 + t2), (n - 2) / 2, 0.5)
+
+
 def latest_as_of(df: DataFrame, key: list[str], when: str, until: Column, values: list[str]) -> DataFrame:
     """The last values of each key no later than a moment; ties by the values themselves."""
     best = F.max(F.struct(F.col(when), *[F.col(v) for v in values]))
@@ -50,6 +143,72 @@ def percentile_cap(df: DataFrame, by: list[str], value: str, q: float, floor: fl
     return df.join(cut, by).withColumn("capped", F.when(F.col(value) >= floor, F.least(F.col(value), F.col("_cut")))).drop("_cut")
 
 
+def monthly_mean(df: DataFrame, key: str, when: str, value: str) -> DataFrame:
+    """(key, year, month, mean)."""
+    return df.groupBy(key, F.year(when).alias("year"), F.month(when).alias("month")).agg(F.avg(value).alias("mean"))
+
+
+def annual_median(df: DataFrame, key: str, when: str, value: str) -> DataFrame:
+    """(key, year, median)."""
+    return df.groupBy(key, F.year(when).alias("year")).agg(F.median(value).alias("median"))
+
+
+def quarterly(df: DataFrame, when: str, value: str) -> DataFrame:
+    """(year, quarter, units, price): how many were taken up, and their mean price."""
+    return df.groupBy(F.year(when).alias("year"), F.quarter(when).alias("quarter")).agg(F.count(F.lit(1)).alias("units"), F.avg(value).alias("price"))
+
+
+def forward_supply(projects: DataFrame, key: str, year: str, size: str) -> DataFrame:
+    """(key, year, n, size) of what is due to open; projects without a year are left out."""
+    return projects.filter(F.col(year).isNotNull()).groupBy(key, F.floor(year).alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias(size))
+
+
+def outcomes(events: DataFrame, key: str, when: str, outcome: str, known: list[str]) -> DataFrame:
+    """(key, outcome): the last of the known outcomes of each project."""
+    return latest_as_of(events.filter(F.col(outcome).isin(*known)), [key], when, F.expr("TIMESTAMP_NTZ '9999-12-31 00:00:00'"), [outcome]).select(key, outcome)
+
+
+def dead_share(projects: DataFrame, dead: str, least: int, least_share: float) -> DataFrame:
+    """One row: how many projects died, their share, and whether these are enough for a test without survivorship."""
+    out = projects.agg(F.count_if(dead).alias("n_dead"), F.avg(F.col(dead).cast("double")).alias("share"))
+    return out.withColumn("ok", (F.col("n_dead") >= least) & (F.col("share") >= least_share))
+
+
+def clipped_date(when: Column, last_year: int) -> Column:
+    """A date no later than the end of a year."""
+    return F.to_date(F.least(when.cast("timestamp_ntz"), F.expr(f"TIMESTAMP_NTZ '{last_year}-12-31 00:00:00'")))
+
+
+def district_totals(df: DataFrame, by: str, people: Column, expected: Column | float, tolerance: float) -> DataFrame:
+    """(by, population, within): totals, and whether they are within a share of what is expected."""
+    out = df.groupBy(by).agg(F.sum(people).alias("population"))
+    expected = expected if isinstance(expected, Column) else F.lit(float(expected))
+    return out.withColumn("within", F.abs(F.col("population") - expected) <= tolerance * expected)
+
+
+def zone_means(df: DataFrame, zone: str, value: str) -> DataFrame:
+    """(zone, value, priced): mean, and whether any is known."""
+    return df.groupBy(zone).agg(F.avg(value).alias(value), F.bool_or(F.col(value).isNotNull()).alias("priced"))
+
+
+def price_test(df: DataFrame, zone: str, value: str, least: float) -> DataFrame:
+    """One row: the share of zones with any value, and whether it is enough to test prices."""
+    shares = zone_means(df, zone, value).agg(F.avg(F.col("priced").cast("double")).alias("share"))
+    return shares.withColumn("enabled", F.col("share") >= least)
+
+
+def bands(draws: DataFrame, by: list[str], value: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
+    """p_low, median, p_high and width of each group."""
+    out = draws.groupBy(*by).agg(F.percentile(value, F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias("q"))
+    return out.select(*by, F.col("q")[0].alias("p_low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p_high"), (F.col("q")[2] - F.col("q")[0]).alias("width"))
+
+
+def converged(draws: DataFrame, by: str, value: str, draw: str, half: int, tolerance: float) -> DataFrame:
+    """One row: the largest relative change of a median from the first draws to all of them, and whether it is small."""
+    both = draws.groupBy(by).agg(F.median(F.when(F.col(draw) < half, F.col(value))).alias("a"), F.median(value).alias("b"))
+    return both.agg(F.max(F.abs(F.col("a") - F.col("b")) / F.abs("b")).alias("worst")).withColumn("converged", F.col("worst") <= tolerance)
+
+
 def majority(df: DataFrame, by: str, category: str, weight: str) -> DataFrame:
     """The heaviest category of each group, its share, and how many; ties go to the smallest name."""
     per = df.groupBy(by, category).agg(F.sum(weight).alias("_w"))
@@ -106,7 +265,7 @@ def cagr(df: DataFrame, key: str, year: str, value: str, first: int, last: int,
 
 def top_k_precision(df: DataFrame, key: str, pred: str, actual: str, k: int, q: float) -> DataFrame:
     """Share of the k highest predictions whose actual reaches a percentile of all."""
-    cut = df.agg(F.percentile(actual, F.lit(q)).alias("_cut"))
+    cut = quantiles(df, {"_cut": (actual, q)})
     top = df.orderBy(F.desc(pred), key).limit(k)
     return top.join(F.broadcast(cut)).agg(F.avg((F.col(actual) >= F.col("_cut")).cast("double")).alias("precision"), F.count(F.lit(1)).alias("k"))
 

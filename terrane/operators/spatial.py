@@ -21,6 +21,30 @@ def nearest(pairs: DataFrame, key: str, candidate: str, distance: str = "dist_m"
     return pairs.groupBy(key).agg(best.alias("b")).select(key, F.col(f"b.{candidate}").alias(candidate), F.col(f"b.{distance}").alias(distance))
 
 
+def knn(points: DataFrame, key: str, other: str, k: int, x: str, y: str, start: float, cut) -> DataFrame:
+    """(key, other, dist_m) of the k nearest others of each point, ties by id, however far: points that have fewer than
+    k within a radius are asked again with twice the radius, until it spans all. cut writes a round."""
+    own = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    them = points.select(F.col(key).alias(other), F.col(x).alias("_ox"), F.col(y).alias("_oy"))
+    box = own.agg(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y")).first()
+    span = max(start, ((box[0] or 0.0) ** 2 + (box[1] or 0.0) ** 2) ** 0.5)
+    radius, out = float(start), None
+    while True:
+        pairs = within(own, them, radius, "_x", "_y", "_ox", "_oy").filter(F.col(key) != F.col(other))
+        rank = F.row_number().over(Window.partitionBy(key).orderBy("dist_m", other))
+        near = pairs.select(key, other, "dist_m", rank.alias("_r")).filter(F.col("_r") <= k)
+        counted = cut(near.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))))
+        done = counted.filter(F.col("_n") == k) if radius < span else counted
+        part = done.select(key, other, "dist_m")
+        out = part if out is None else out.unionByName(part)
+        if radius >= span:
+            return out
+        own = cut(own.join(done.select(key).distinct(), key, "left_anti"))
+        if own.isEmpty():
+            return out
+        radius = min(2 * radius, span)
+
+
 def knn_weights(pairs: DataFrame, key: str, other: str, k: int, distance: str = "dist_m") -> DataFrame:
     """Row-standardised weights of the k nearest others; ties by id."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(distance, other))
