@@ -77,7 +77,7 @@ def b4_growth(train: DataFrame, now: DataFrame, features: list[str], label: str,
     state = now.withColumn("built", F.lit(0.0))
     for _ in range(steps):
         scored = model.transform(vectors.transform(state)).withColumn("chance", vector_to_array("_p")[1]).select(*state.columns, "chance")
-        taken = market.running_fill(scored.withColumn("_one", F.lit(1)), "chance", "cell", room, budget, ["_one"])
+        taken = market.greedy_fill(scored, "chance", "cell", room, budget)
         state = cut(taken.withColumn("built", F.col("built") + F.col("take")).withColumn(room, F.col(room) - F.col("take")).select(*state.columns))
     return state
 
@@ -90,13 +90,25 @@ def score(rows: DataFrame, pred: str, actual: str, start: str, years: int, k: in
     return out.join(F.broadcast(ms.band_coverage(rows, actual, low, high).select("coverage"))) if low and high else out
 
 
+#: Modulus of the resampling's arithmetic, which any engine can repeat.
+PRIME = 2147483647
+
+
+def resampled(seed: int, draws: int, n: int) -> np.ndarray:
+    """Indices of draws samples of n with replacement, from whole-number arithmetic on seed, sample and place alone."""
+    i, j = np.arange(draws, dtype=np.int64)[:, None], np.arange(n, dtype=np.int64)[None, :]
+    x = (seed % PRIME + i * 69621 + j * 48271) % PRIME
+    x = (x * x + 12345 + i) % PRIME
+    x = (x * 16807 + j) % PRIME
+    return (x * x + 67891) % PRIME % n
+
+
 def bootstrap_ci(values: list[float], seed: int, draws: int = 2000, level: float = 0.9) -> tuple[float, float, float]:
     """(low, median, high) of the median over a handful of cities."""
     x = np.asarray(values, float)
     if not len(x):
         raise ValueError("no values")
-    rng = np.random.default_rng(seed)
-    medians = np.median(x[rng.integers(0, len(x), (draws, len(x)))], axis=1)
+    medians = np.median(x[resampled(seed, draws, len(x))], axis=1)
     low, high = np.quantile(medians, [(1 - level) / 2, (1 + level) / 2])
     return float(low), float(np.median(x)), float(high)
 

@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions import scalar as sc
-from terrane.operators import access, credibility as cr, ingest, market, measures as ms, spatial, substrate as sub
+from terrane.operators import access, cell_columns as cc, credibility as cr, govern, ingest, market, measures as ms, networks, spatial, substrate as sub
 from terrane.params import load_params
 from terrane.plans.views import table, view, with_views
+from terrane.schema import Col, Table
+from terrane.sources.readers import adapter_for
+from terrane.sources.ship import kept
 
 P = load_params()
 c = F.col
@@ -74,21 +77,22 @@ add("l0_jobs_dasymetric", "a_cells", """SELECT cell, round(sum(jobs) OVER z * CA
     lambda x: sub.spread_by_weight(x.withColumn("_t", F.expr("sum(jobs) over (partition by zone)")), "zone", c("_t"), c("com_sqm"), "jobs_est").select("cell", "jobs_est"))
 
 # --- accessibility ---------------------------------------------------------------------------------------------
-ZONES = "zones AS (SELECT zone, avg(x_m) AS zx, avg(y_m) AS zy, sum(jobs) AS zjobs FROM a_cells GROUP BY zone)"
-OD = f"""{ZONES}, od1 AS (SELECT cell, z.zone, sqrt((x_m - zx) * (x_m - zx) + (y_m - zy) * (y_m - zy)) AS d FROM a_cells, zones z),
-  od AS (SELECT cell, zone, mode, d / 1000 / kmh * 60 AS minutes FROM od1, (VALUES ('car', 26e0), ('transit', 18e0), ('walk', 4.5e0)) m(mode, kmh) WHERE d <= 3000)"""
 KMH = {"car": 26.0, "transit": 18.0, "walk": 4.5}
 SHARES = {m: P.value(f"access.mode_share.{m}") for m in KMH}
 _B = lambda k: P.value(f"access.beta.{k}")
 BETAS = {"work": {m: _B(f"work_{m}") for m in KMH}, "retail": dict.fromkeys(KMH, _B("retail")), "education": dict.fromkeys(KMH, _B("education")), "health": dict.fromkeys(KMH, _B("health"))}
 WEIGHTS = {k: P.value(f"access.purpose_weight.{k}") for k in BETAS}
+MIN_JOBS, MAX_DESTINATIONS = P.value("access.min_destination_jobs"), P.value("access.max_destinations")
+DEST = f"""zone_jobs AS (SELECT zone, sum(jobs) AS jobs, avg(x_m) AS zx, avg(y_m) AS zy FROM a_cells GROUP BY zone),
+  dest AS (SELECT * FROM zone_jobs WHERE jobs >= {MIN_JOBS} OR (SELECT max(jobs) FROM zone_jobs) < {MIN_JOBS} ORDER BY jobs DESC, zone LIMIT {MAX_DESTINATIONS})"""
+OD = f"""{DEST}, od1 AS (SELECT cell, dest.zone, sqrt((x_m - zx) * (x_m - zx) + (y_m - zy) * (y_m - zy)) AS d FROM a_cells, dest),
+  od AS (SELECT cell, zone, mode, d / 1000 / kmh * 60 AS minutes FROM od1, (VALUES ('car', 26e0), ('transit', 18e0), ('walk', 4.5e0)) m(mode, kmh))"""
 
 
-def _od(cells: DataFrame) -> DataFrame:
-    zones = cells.groupBy("zone").agg(F.avg("x_m").alias("zx"), F.avg("y_m").alias("zy"))
-    pairs = spatial.within(cells.select("cell", "x_m", "y_m"), zones, 3000.0, "x_m", "y_m", "zx", "zy")
-    modes = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(v).alias("kmh")) for m, v in KMH.items()])).alias("m")
-    return pairs.select("cell", "zone", "dist_m", modes).select("cell", "zone", "m.mode", (c("dist_m") / 1000 / c("m.kmh") * 60).alias("minutes"))
+def _pairs(cells: DataFrame) -> DataFrame:
+    """All origins with all selected destinations and their opportunities."""
+    targets = access.destinations(cells, "zone", "jobs", MIN_JOBS, MAX_DESTINATIONS).drop("jobs").join(access.opportunities(cells, "zone", P), "zone")
+    return access.od_pairs(cells, targets, "cell", "zone")
 
 
 OPP = """opp AS (SELECT zone, sum(jobs) AS o_work, sum(CASE WHEN retail_poi > 0 AND com_sqm > 0 THEN com_sqm ELSE 120 * retail_poi END) AS o_retail,
@@ -101,22 +105,23 @@ add("l1_gravity", "a_cells", f"""WITH {OD}, {OPP},
     ln(1 + sum({SHARE} * exp(-0.027e0 * minutes) * o_health)) AS lna_health FROM od JOIN opp USING (zone) GROUP BY cell)
   SELECT cell, round(lna_work, 6) AS lna_work, round(lna_retail, 6) AS lna_retail, round(lna_education, 6) AS lna_education, round(lna_health, 6) AS lna_health,
     round(0.55e0 * lna_work + 0.2e0 * lna_retail + 0.15e0 * lna_education + 0.1e0 * lna_health, 6) AS lna FROM g""",
-    lambda x: access.gravity(_od(x), access.opportunities(x, "zone", P), "cell", "zone", SHARES, BETAS, WEIGHTS))
+    lambda x: access.gravity(_pairs(x), "cell", KMH, SHARES, BETAS, WEIGHTS))
 add("l1_reachable_jobs", "a_cells", f"""WITH {OD}, {OPP} SELECT cell, {', '.join(f'round(sum(CASE WHEN minutes <= {t} THEN {SHARE} * o_work ELSE 0 END), 6) AS jobs_{t}' for t in (5, 10, 20))} FROM od JOIN opp USING (zone) GROUP BY cell""",
-    lambda x: access.reachable(_od(x), access.opportunities(x, "zone", P), "cell", "zone", "o_work", SHARES, [5, 10, 20]))
+    lambda x: access.reachable(_pairs(x), "cell", KMH, SHARES, "o_work", [5, 10, 20]))
 add("l1_station_weight", "a_cells", """WITH st AS (SELECT cell AS station, x_m AS sx, y_m AS sy, cell % 2 = 0 AS feeder FROM a_cells WHERE brand = 'Brand#13'),
   p AS (SELECT a.cell, feeder, sqrt((x_m - sx) * (x_m - sx) + (y_m - sy) * (y_m - sy)) AS d FROM a_cells a, st)
   SELECT cell, max(CASE WHEN d <= 400 THEN 1e0 WHEN d <= 800 THEN 0.6e0 WHEN d <= 1200 THEN 0.3e0 WHEN d <= 1600 THEN 0.12e0 WHEN d <= 6000 AND feeder THEN 0.15e0 ELSE 0e0 END) AS station_weight FROM p WHERE d <= 6000 GROUP BY cell""",
     lambda x: access.station_weight(spatial.within(x, x.filter("brand = 'Brand#13'").select(c("cell").alias("station"), c("x_m").alias("sx"), c("y_m").alias("sy"), (c("cell") % 2 == 0).alias("feeder")), 6000.0, "x_m", "y_m", "sx", "sy"), "cell", "dist_m", "feeder", P))
-add("l1_destinations", "a_cells", "SELECT zone, sum(jobs) AS jobs, round(avg(x_m), 6) AS x_m, round(avg(y_m), 6) AS y_m FROM a_cells GROUP BY zone HAVING sum(jobs) >= 25 ORDER BY sum(jobs) DESC, zone LIMIT 100",
-    lambda x: access.destinations(x, "zone", "jobs", P.value("access.min_destination_jobs"), P.value("access.max_destinations")))
+add("l1_destinations", "a_cells", f"WITH {DEST} SELECT zone, jobs, round(zx, 6) AS x_m, round(zy, 6) AS y_m FROM dest",
+    lambda x: access.destinations(x, "zone", "jobs", MIN_JOBS, MAX_DESTINATIONS))
 add("l1_congestion", "a_cells", "SELECT cell, round(30 / greatest(0.45e0, 1 - 0.35e0 * (builtup_frac + builtup_frac / 2 + builtup_frac * builtup_frac) / 3), 6) AS minutes FROM a_cells",
     lambda x: x.select("cell", access.congested(F.lit(30.0), c("builtup_frac"), c("builtup_frac") / 2, c("builtup_frac") * c("builtup_frac"), P).alias("minutes")))
-add("l1_origins", "a_cells", "SELECT cell FROM a_cells WHERE households > 0 OR jobs > 100", lambda x: x.filter("households > 0 OR jobs > 100").select("cell"))
+add("l1_origins", "a_cells", "WITH c AS (SELECT *, households * 4 AS population, absorbed - 1500 AS headroom FROM a_cells WHERE zone % 5 <> 0) SELECT cell FROM c WHERE population > 0 OR headroom > 0 OR NOT (SELECT bool_or(population > 0 OR headroom > 0) FROM c)",
+    lambda x: networks.origins(x.withColumn("in_city", c("zone") % 5 != 0).withColumn("population", c("households") * 4).withColumn("headroom_sqm", c("absorbed") - 1500)).select("cell"))
 add("l1_rail_min_plus", "a_cells", """WITH s AS (SELECT cell, x_m, y_m FROM a_cells WHERE brand = 'Brand#13'),
   w AS (SELECT a.cell AS origin, s.cell AS station, sqrt((a.x_m - s.x_m) * (a.x_m - s.x_m) + (a.y_m - s.y_m) * (a.y_m - s.y_m)) AS m FROM a_cells a, s),
   h AS (SELECT a.cell AS board, b.cell AS alight, sqrt((a.x_m - b.x_m) * (a.x_m - b.x_m) + (a.y_m - b.y_m) * (a.y_m - b.y_m)) AS m FROM s a, s b WHERE a.cell <> b.cell)
-  SELECT p.origin, q.origin AS destination, round(min(p.m / 75 + h.m / 533 + q.m / 75 + 6), 6) AS minutes FROM w p JOIN h ON h.board = p.station AND h.m <= 2500 JOIN w q ON q.station = h.alight WHERE p.m <= 800 AND q.m <= 800 GROUP BY ALL""",
+  SELECT p.origin, q.origin AS destination, round(min(p.m / 75 + h.m / 533 + q.m / 75 + 6), 6) AS minutes FROM w p JOIN h ON h.board = p.station AND h.m <= 2500 JOIN w q ON q.station = h.alight WHERE p.m <= 1500 AND q.m <= 1500 GROUP BY ALL""",
     lambda x: _rail(x))
 
 
@@ -129,9 +134,10 @@ def _rail(x: DataFrame) -> DataFrame:
     return access.via_rail(into, rail, walk.select(c("cell").alias("destination"), c("station").alias("alight"), c("walk").alias("walk_out")), 6.0)
 
 
-add("l1_network_states", "a_projects", """WITH y AS (SELECT CAST(y AS BIGINT) AS year FROM range(1998, 2008) t(y)), p AS (SELECT project_id, open_year FROM a_projects WHERE is_public AND stage = 'half_complete' AND open_year IS NOT NULL)
-  SELECT year, count(project_id) AS n_open, sha256(coalesce(string_agg(CAST(project_id AS VARCHAR), ',' ORDER BY project_id), '')) AS state FROM y LEFT JOIN p ON open_year <= year GROUP BY year""",
-    lambda x: access.network_states(x.filter("is_public AND stage = 'half_complete' AND open_year IS NOT NULL").select("project_id", "open_year"), x.sparkSession.range(1998, 2008).withColumnRenamed("id", "year"), "project_id", "open_year"))
+STATES = """h AS (SELECT project_id, CAST(ceil(open_year) AS BIGINT) AS y, CAST('0x' || substr(sha256(CAST(project_id AS VARCHAR)), 1, 15) AS BIGINT)::HUGEINT AS h FROM a_projects WHERE is_public AND stage = 'half_complete' AND open_year IS NOT NULL),
+  st AS (SELECT CAST(y.year AS BIGINT) AS year, count(project_id) AS n_open, coalesce(sum(h), 0)::HUGEINT AS s FROM range(1998, 2008) y(year) LEFT JOIN h ON h.y <= y.year GROUP BY y.year)"""
+add("l1_network_states", "a_projects", f"WITH {STATES} SELECT year, n_open, sha256(n_open || ':' || s) AS state FROM st",
+    lambda x: networks.network_states(x.filter("is_public AND stage = 'half_complete'"), x.sparkSession.range(1998, 2008).withColumnRenamed("id", "year"), P))
 
 # --- credibility -----------------------------------------------------------------------------------------------
 #: Products of short decimals often end in a 5 at the seventh place, where the engines' round() differ; added on both sides.
@@ -183,10 +189,10 @@ add("l2_fields", "a_projects a_cells", f"""WITH {SITE}, d AS (SELECT cell, x_m,
     lambda p, x: spatial.within(x, _sites(p, x), 1500.0, "x_m", "y_m", "sx", "sy")
     .withColumn("v", F.when(c("dist_m") <= 500, sc.field_decay("step", F.lit(0.2), c("dist_m"), 500)).otherwise(sc.field_decay("linear", F.lit(0.1), c("dist_m"), 1500)))
     .groupBy("cell").agg(F.sum("v").alias("raw")).withColumn("field", sc.clip(c("raw"), P.value("price.field_low"), P.value("price.field_high"))).withColumn("capped", c("raw") != c("field")))
-add("l2_wedge", "a_projects a_cells", f"""WITH {SITE}, d AS (SELECT project_id, cell, x_m - sx AS dx, y_m - sy AS dy, 10000 - sx AS ex, 10000 - sy AS ey FROM a_cells, pr WHERE {DIST} <= 600)
+add("l2_wedge", "a_projects a_cells", f"""WITH {SITE}, d AS (SELECT project_id, cell, x_m - sx AS dx, y_m - sy AS dy, 10000 - sx AS ex, 10000 - sy AS ey FROM a_cells, pr WHERE {DIST} <= 1000)
   SELECT project_id, cell, round(0.5e0 * (1 + CASE WHEN sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey) > 0 THEN (dx * ex + dy * ey) / (sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey)) ELSE 1 END), 6) AS factor FROM d""",
     lambda p, x: spatial.within(x, _sites(p, x), 1000.0, "x_m", "y_m", "sx", "sy").select("project_id", "cell", sc.wedge(c("sx"), c("sy"), c("x_m"), c("y_m"), F.lit(10000.0), F.lit(10000.0), 0.5).alias("factor")))
-add("l2_nearest_site", "a_projects a_cells", f"""WITH {SITE}, d AS (SELECT cell, project_id, {DIST} AS d, row_number() OVER (PARTITION BY cell ORDER BY {DIST}, project_id) AS r FROM a_cells, pr WHERE {DIST} <= 1000)
+add("l2_nearest_site", "a_projects a_cells", f"""WITH {SITE}, one AS (SELECT sx, sy, min(project_id) AS project_id FROM pr GROUP BY ALL), d AS (SELECT cell, project_id, {DIST} AS d, row_number() OVER (PARTITION BY cell ORDER BY {DIST}, project_id) AS r FROM a_cells, one WHERE {DIST} <= 4000)
   SELECT cell, project_id, round(d, 6) AS dist_m FROM d WHERE r = 1""", lambda p, x: spatial.nearest(spatial.within(x, _sites(p, x).groupBy("sx", "sy").agg(F.min("project_id").alias("project_id")), 4000.0, "x_m", "y_m", "sx", "sy"), "cell", "project_id"))
 add("l2_households", "a_projects", "SELECT project_id, round(capex / 1000 * 0.4e0 / 1.45e0 * 0.9e0 * 0.7e0, 6) AS households, round(capex / 1000 * 0.1e0, 6) AS dormitory, CAST(CASE WHEN capex * 1.45e0 * 1.15e0 >= 200000 THEN 3 WHEN capex * 1.45e0 * 1.15e0 >= 75000 THEN 2 WHEN capex * 1.45e0 * 1.15e0 >= 25000 THEN 1 ELSE 0 END AS INTEGER) AS band FROM a_projects",
     lambda p: p.select("project_id", (c("capex") / 1000 * 0.4 / P.value("behaviour.workers_per_household") * 0.9 * 0.7).alias("households"), (c("capex") / 1000 * 0.1).alias("dormitory"),
@@ -235,8 +241,6 @@ def _fill_sql(rounds: int) -> str:
 
 for _r in (1, 2):
     add(f"l5_fill_round{_r}", "a_cells", _fill_sql(_r), lambda x, r=_r: _fill(x, r))
-add("l5_service_jobs", "a_cells", "SELECT cell, round(0.215e0 * households * 4 + 0.215e0 * 0.35e0 * band_households, 6) AS jobs FROM a_cells",
-    lambda x: x.select("cell", (P.value("behaviour.service_jobs_per_resident") * (c("households") * 4 + P.value("behaviour.dormitory_factor") * c("band_households"))).alias("jobs")))
 SHIFT = "0.25e0 * lna / 10 + CASE WHEN households > 0 THEN ln((households + 25) / households) ELSE 0 END + greatest(-0.45e0, least(0.6e0, amenity - 0.3e0))"
 add("l6_demand_shift", "a_cells", f"SELECT cell, round({SHIFT}, 6) AS shift FROM a_cells", lambda x: x.select("cell", market.demand_shift(c("lna") / 10, c("households"), F.lit(25.0), c("amenity") - 0.3, P).alias("shift")))
 add("l6_supply_shift", "a_cells", "SELECT cell, round(CASE WHEN res_sqm > 0 THEN ln((res_sqm + 500) / res_sqm) ELSE 0 END, 6) AS shift FROM a_cells", lambda x: x.select("cell", market.supply_shift(c("res_sqm"), F.lit(500.0)).alias("shift")))
@@ -272,9 +276,9 @@ add("mc_quantiles", "a_draws", "SELECT cell, q AS quantile, round(CASE q WHEN 0.
 add("mc_outperform", "a_draws", "WITH k AS (SELECT draw, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.9) AS d FROM a_draws GROUP BY draw) SELECT cell, round(avg(CASE WHEN value > m THEN 1e0 ELSE 0 END), 6) AS p_outperform, round(avg(CASE WHEN value >= d THEN 1e0 ELSE 0 END), 6) AS p_top_decile FROM a_draws JOIN k USING (draw) GROUP BY cell",
     lambda d: market.outperformance(d, "draw", "cell", "value"))
 add("mc_band", "a_draws", "SELECT cell, round(quantile_cont(value, 0.1), 6) AS p_low, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p_high, round(quantile_cont(value, 0.9) - quantile_cont(value, 0.1), 6) AS width FROM a_draws GROUP BY cell",
-    lambda d: d.groupBy("cell").agg(F.percentile("value", F.lit(0.1)).alias("p_low"), F.median("value").alias("median"), F.percentile("value", F.lit(0.9)).alias("p_high")).withColumn("width", c("p_high") - c("p_low")))
+    lambda d: ms.bands(d, ["cell"], "value"))
 add("mc_p50_converged", "a_draws", "WITH h AS (SELECT cell, quantile_cont(value, 0.5) FILTER (draw < 6) AS a, quantile_cont(value, 0.5) AS b FROM a_draws GROUP BY cell) SELECT round(max(abs(a - b) / abs(b)), 6) AS worst, max(abs(a - b) / abs(b)) <= 0.02 AS converged FROM h",
-    lambda d: d.groupBy("cell").agg(F.median(F.when(c("draw") < 6, c("value"))).alias("a"), F.median("value").alias("b")).agg(F.max(F.abs(c("a") - c("b")) / F.abs("b")).alias("worst")).withColumn("converged", c("worst") <= 0.02))
+    lambda d: ms.converged(d, "cell", "value", "draw", 6, 0.02))
 
 # --- shared measures -------------------------------------------------------------------------------------------
 add("gini_by_zone", "a_cells", """WITH r AS (SELECT zone, mean_parcel_sqm AS v, row_number() OVER (PARTITION BY zone ORDER BY mean_parcel_sqm) AS i FROM a_cells WHERE mean_parcel_sqm IS NOT NULL)
@@ -289,8 +293,8 @@ add("state_ratchet", "a_events", "SELECT event_id, CAST(CASE WHEN state_rank IS
 add("yearly_change", "a_history", "SELECT cell, year, round(coalesce(price - lag(price) OVER (PARTITION BY cell ORDER BY year), 0), 6) AS change FROM a_history", lambda h: ms.yearly_change(h, "cell", "year", "price", "change").select("cell", "year", "change"))
 add("light_outliers", "a_history", "WITH q AS (SELECT year, quantile_cont(light, 0.95) AS cut FROM a_history GROUP BY year) SELECT cell, year, round(CASE WHEN light >= 5 THEN least(light, cut) END, 6) AS capped FROM a_history JOIN q USING (year)",
     lambda h: ms.percentile_cap(h, ["year"], "light", 0.95, 5.0).select("cell", "year", "capped"))
-add("annual_median", "lineitem", "SELECT l_partkey, CAST(year(l_shipdate) AS INTEGER) AS year, quantile_cont(l_quantity, 0.5) AS median FROM lineitem GROUP BY ALL", lambda h: h.groupBy("l_partkey", F.year("l_shipdate").alias("year")).agg(F.median("l_quantity").alias("median")))
-add("monthly_mean", "lineitem", "SELECT l_partkey, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY ALL", lambda h: h.groupBy("l_partkey", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")).agg(F.avg("l_quantity").alias("mean")))
+add("annual_median", "lineitem", "SELECT l_partkey, CAST(year(l_shipdate) AS INTEGER) AS year, quantile_cont(l_quantity, 0.5) AS median FROM lineitem GROUP BY ALL", lambda h: ms.annual_median(h, "l_partkey", "l_shipdate", "l_quantity"))
+add("monthly_mean", "lineitem", "SELECT l_partkey, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY ALL", lambda h: ms.monthly_mean(h, "l_partkey", "l_shipdate", "l_quantity"))
 add("landcover_majority", "a_cells", """WITH w AS (SELECT zone, land_type, sum(area_sqm) AS w FROM a_cells GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY w DESC, land_type) AS r, sum(w) OVER (PARTITION BY zone) AS t, count(*) OVER (PARTITION BY zone) AS n FROM w)
   SELECT zone, land_type AS majority, round(w / t, 6) AS share, n AS n_classes FROM r WHERE r = 1""", lambda x: ms.majority(x, "zone", "land_type", "area_sqm"))
 add("landcover_fractions", "a_cells", "WITH w AS (SELECT zone, land_type, sum(area_sqm) AS w FROM a_cells GROUP BY ALL) SELECT zone, land_type, round(w / sum(w) OVER (PARTITION BY zone), 6) AS frac FROM w", lambda x: ms.fractions(x, "zone", "land_type", "area_sqm"))
@@ -311,13 +315,16 @@ add("smeared_price", "a_cells", """WITH p AS (SELECT cell AS point, x_m AS px, y
     lambda x: spatial.gaussian_smear(spatial.within(x.drop("price"), x.filter("price IS NOT NULL").select(c("cell").alias("point"), c("x_m").alias("px"), c("y_m").alias("py"), "price"), 2000.0, "x_m", "y_m", "px", "py"), "cell", "price", 800.0))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    return kept(df, "round")
+
+
 def _knn(x: DataFrame) -> DataFrame:
-    o = x.select(c("cell").alias("other"), c("x_m").alias("ox"), c("y_m").alias("oy"))
-    return spatial.knn_weights(spatial.within(x.select("cell", "x_m", "y_m"), o, 1500.0, "x_m", "y_m", "ox", "oy"), "cell", "other", 4)
+    return spatial.knn_weights(spatial.knn(x, "cell", "other", 4, "x_m", "y_m", 1500.0, _cut), "cell", "other", 4)
 
 
-KNN = """d AS (SELECT a.cell, b.cell AS other, sqrt((a.x_m - b.x_m) * (a.x_m - b.x_m) + (a.y_m - b.y_m) * (a.y_m - b.y_m)) AS d FROM a_cells a, a_cells b WHERE a.cell <> b.cell AND abs(a.x_m - b.x_m) <= 1500 AND abs(a.y_m - b.y_m) <= 1500),
-  k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY d, other) AS r FROM d WHERE d <= 1500) WHERE r <= 4), w AS (SELECT cell, other, 1e0 / count(*) OVER (PARTITION BY cell) AS weight FROM k)"""
+KNN = """d AS (SELECT a.cell, b.cell AS other, sqrt((a.x_m - b.x_m) * (a.x_m - b.x_m) + (a.y_m - b.y_m) * (a.y_m - b.y_m)) AS d FROM a_cells a, a_cells b WHERE a.cell <> b.cell),
+  k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY d, other) AS r FROM d) WHERE r <= 4), w AS (SELECT cell, other, 1e0 / count(*) OVER (PARTITION BY cell) AS weight FROM k)"""
 add("knn_weights", "a_cells", f"WITH {KNN} SELECT cell, other, round(weight, 6) AS weight FROM w", lambda x: _knn(x).select("cell", "other", "weight"))
 add("morans_i", "a_cells", f"""WITH {KNN}, u AS (SELECT cell, amenity - avg(amenity) OVER () AS u FROM a_cells), t AS (SELECT sum(weight * p.u * q.u) AS t, sum(weight) AS s0 FROM w JOIN u p ON p.cell = w.cell JOIN u q ON q.cell = w.other), b AS (SELECT sum(u * u) AS b, count(*) AS n FROM u)
   SELECT round(n / s0 * t / b, 6) AS moran_i FROM t, b""", lambda x: spatial.morans_i(_knn(x), "cell", "other", x, "amenity"))
@@ -331,29 +338,16 @@ add("promoter_record", "orders", """SELECT o_custkey, count(DISTINCT o_orderkey)
     lambda o: ms.delivery_record(o.withColumn("done", F.when(c("o_orderstatus") == "F", c("o_totalprice")).otherwise(0.0)).withColumn("slip", (c("o_orderkey") % 30).cast("double")), "o_custkey", "o_orderkey", "o_totalprice", "done", "slip").withColumn("planned", F.round("planned", 2)).withColumn("done", F.round("done", 2)))
 add("quarter_end", "orders", "SELECT o_orderkey, make_date(CAST(year(o_orderdate) AS BIGINT), CAST(quarter(o_orderdate) * 3 AS BIGINT), 1) AS month FROM orders",
     lambda o: o.select("o_orderkey", sc.quarter_end(F.concat(F.lit("FY"), F.year("o_orderdate").cast("string"), F.lit(" Q"), F.quarter("o_orderdate").cast("string"))).alias("month")))
-add("storeys", "a_cells", "SELECT cell, greatest(1, CASE WHEN cell % 3 = 0 THEN round_even(slope_pct / 3.2e0, 0) ELSE 2 + zone % 3 END) AS storeys, round(least(1, res_sqm / area_sqm), 6) AS built FROM a_cells",
-    lambda x: x.select("cell", F.greatest(F.lit(1.0), F.when(c("cell") % 3 == 0, F.rint(c("slope_pct") / 3.2)).otherwise((2 + c("zone") % 3).cast("double"))).alias("storeys"), F.least(F.lit(1.0), c("res_sqm") / c("area_sqm")).alias("built")))
-add("population_growth", "a_cells", "SELECT cell, round(households * 4 * pow(1.021e0, 13), 6) AS population FROM a_cells", lambda x: x.select("cell", (c("households") * 4 * F.pow(F.lit(1.021), F.lit(13.0))).alias("population")))
-add("guidance_units", "a_cells", "SELECT cell, round(raw_price / 9, 6) AS inr_sqft FROM a_cells", lambda x: x.select("cell", (c("raw_price") / 9).alias("inr_sqft")))
+add("storeys", "a_cells", "SELECT cell, greatest(1, coalesce(CASE WHEN cell % 3 = 0 THEN round_even(slope_pct / 3.2e0, 0) END, 2 + zone % 3)) AS storeys, round(least(1, res_sqm / area_sqm), 6) AS built FROM a_cells",
+    lambda x: x.select("cell", cc.storeys(F.when(c("cell") % 3 == 0, c("slope_pct")), 2 + c("zone") % 3).alias("storeys"), sc.clip(c("res_sqm") / c("area_sqm"), 0.0, 1.0).alias("built")))
+add("population_growth", "a_cells", "SELECT cell, round(households * 4 * pow(1.021e0, 13), 6) AS population FROM a_cells", lambda x: x.select("cell", ingest.population_by(c("households") * 4, 0.021, 13).alias("population")))
+add("guidance_units", "a_cells", "SELECT CAST(cell AS VARCHAR) AS locality_id, CAST(zone AS VARCHAR) AS sro_code, CAST(NULL AS BIGINT) AS effective_year, round(raw_price / 9, 6) AS guidance_inr_sqft FROM a_cells",
+    lambda x: adapter_for("AP").guidance(x.select(c("cell").alias("locality_id"), c("zone").alias("sro_code"), c("raw_price").alias("guidance_inr_sqyd"))))
 add("slope_from_grid", "a_cells", """WITH g AS (SELECT cell % 40 AS col, CAST(floor(cell / 40) AS BIGINT) AS row, cell, raw_price AS z FROM a_cells),
   d AS (SELECT cell, CASE WHEN lead(z) OVER r IS NULL AND lag(z) OVER r IS NULL THEN 0 WHEN lead(z) OVER r IS NULL THEN z - lag(z) OVER r WHEN lag(z) OVER r IS NULL THEN lead(z) OVER r - z ELSE (lead(z) OVER r - lag(z) OVER r) / 2 END / 500 AS dx,
     CASE WHEN lead(z) OVER q IS NULL AND lag(z) OVER q IS NULL THEN 0 WHEN lead(z) OVER q IS NULL THEN z - lag(z) OVER q WHEN lag(z) OVER q IS NULL THEN lead(z) OVER q - z ELSE (lead(z) OVER q - lag(z) OVER q) / 2 END / 433 AS dy FROM g WINDOW r AS (PARTITION BY row ORDER BY col), q AS (PARTITION BY col ORDER BY row))
-  SELECT cell, round(100 * sqrt(dx * dx + dy * dy), 6) AS slope_pct FROM d""", lambda x: _slope(x))
-
-
-def _slope(x: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    g = x.select("cell", (c("cell") % 40).alias("col"), F.floor(c("cell") / 40).alias("row"), c("raw_price").alias("z"))
-
-    def gradient(by: str, along: str) -> F.Column:
-        w = Window.partitionBy(by).orderBy(along)
-        after, before = F.lead("z").over(w), F.lag("z").over(w)
-        two = F.when(after.isNotNull() & before.isNotNull(), 2).otherwise(1)
-        return (F.coalesce(after, c("z")) - F.coalesce(before, c("z"))) / two
-
-    return g.withColumn("dx", gradient("row", "col") / 500).withColumn("dy", gradient("col", "row") / 433).select("cell", (100 * F.hypot("dx", "dy")).alias("slope_pct"))
-
+  SELECT cell, round(100 * sqrt(dx * dx + dy * dy), 6) AS slope_pct FROM d""",
+    lambda x: ingest.slope_percent(x.select("cell", (c("cell") % 40).alias("col"), F.floor(c("cell") / 40).alias("row"), c("raw_price").alias("z")), "row", "col", "z", 500.0, 433.0).select("cell", "slope_pct"))
 
 # --- backtest --------------------------------------------------------------------------------------------------
 add("bt_stage_rollback", "a_events", "SELECT project, event_type AS stage FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, event_type DESC) AS r FROM a_events WHERE ts <= TIMESTAMP '2024-01-10' AND event_type <> 'error') WHERE r = 1",
@@ -374,11 +368,10 @@ add("bt_greedy_fill", "a_cells", """SELECT cell, round(greatest(0, least(absorbe
 add("bt_top_k", "a_cells", "WITH t AS (SELECT lna FROM a_cells ORDER BY amenity DESC, cell LIMIT 50) SELECT round(avg(CASE WHEN lna >= (SELECT quantile_cont(lna, 0.9) FROM a_cells) THEN 1e0 ELSE 0 END), 6) AS precision, count(*) AS k FROM t", lambda x: ms.top_k_precision(x, "cell", "amenity", "lna", 50, 0.9))
 add("bt_band_coverage", "a_cells", "SELECT round(avg(CASE WHEN raw_price BETWEEN 920 AND 980 + slope_pct THEN 1e0 ELSE 0 END), 6) AS coverage, count(*) AS n FROM a_cells", lambda x: ms.band_coverage(x.withColumn("lo", F.lit(920.0)).withColumn("hi", 980 + c("slope_pct")), "raw_price", "lo", "hi"))
 add("bt_mape", "a_cells", "SELECT round(avg(abs((amenity - lna) / lna)), 6) AS mape, count(*) AS n FROM a_cells WHERE abs(lna) >= 0.05", lambda x: ms.mape(x, "amenity", "lna", 0.05))
-add("bt_zone_mean", "a_cells", "SELECT zone, round(avg(price), 6) AS price, bool_or(price IS NOT NULL) AS priced FROM a_cells GROUP BY zone", lambda x: x.groupBy("zone").agg(F.avg("price").alias("price"), F.bool_or(c("price").isNotNull()).alias("priced")))
+add("bt_zone_mean", "a_cells", "SELECT zone, round(avg(price), 6) AS price, bool_or(price IS NOT NULL) AS priced FROM a_cells GROUP BY zone", lambda x: ms.zone_means(x, "zone", "price"))
+add("bt_price_test", "a_cells", "WITH z AS (SELECT zone, bool_or(rent IS NOT NULL AND cell % 3 = 0) AS priced FROM a_cells GROUP BY zone) SELECT round(avg(CASE WHEN priced THEN 1e0 ELSE 0 END), 6) AS share, avg(CASE WHEN priced THEN 1e0 ELSE 0 END) >= 0.3 AS enabled FROM z",
+    lambda x: ms.price_test(x.withColumn("rent", F.when(c("cell") % 3 == 0, c("rent"))), "zone", "rent", 0.3))
 add("bt_no_lookahead", "a_history", "SELECT count(*) FILTER (year > 1999) AS n_after, max(year) AS last FROM a_history", lambda h: h.agg(F.count_if(c("year") > 1999).alias("n_after"), F.max("year").alias("last")))
-add("bt_gate", "a_history", """WITH s AS (SELECT year, corr(price, light) AS r, avg(price) AS p FROM a_history GROUP BY year) SELECT round(quantile_cont(r, 0.5), 6) AS median_r, quantile_cont(r, 0.5) >= 0 AS pass_r, min(p) > 0 AS pass_p, quantile_cont(r, 0.5) >= 0 AND min(p) > 0 AS ship FROM s""",
-    lambda h: h.groupBy("year").agg(F.corr("price", "light").alias("r"), F.avg("price").alias("p")).agg(F.median("r").alias("median_r"), F.min("p").alias("p")).select("median_r", (c("median_r") >= 0).alias("pass_r"), (c("p") > 0).alias("pass_p"), ((c("median_r") >= 0) & (c("p") > 0)).alias("ship")))
-
 # --- satellite -------------------------------------------------------------------------------------------------
 add("sat_composite", "a_events", """WITH p AS (SELECT project, CAST(date_trunc('week', ts) AS DATE) AS month, pixel, quantile_cont(CASE WHEN clear THEN value END, 0.5) AS v, max(CASE WHEN clear THEN 1 ELSE 0 END) AS k FROM a_events GROUP BY ALL),
   m AS (SELECT project, month, avg(v) AS value, avg(k) AS clear FROM p GROUP BY ALL) SELECT project, month, round(value, 6) AS value, round(clear, 6) AS clear FROM m WHERE clear >= 0.6""",
@@ -398,12 +391,13 @@ def _priority(p: DataFrame, n: int) -> DataFrame:
 # --- store and governance --------------------------------------------------------------------------------------
 add("store_read_where", "a_cells", "SELECT cell FROM a_cells WHERE zone IN (3, 5, 8) AND price IS NULL", lambda x: ms.read_where(x, zone=[3, 5, 8], price=None).select("cell"))
 add("store_upsert", "a_cells", "SELECT cell, CASE WHEN brand = 'Brand#3' THEN zone + 1000 ELSE zone END AS zone FROM a_cells", lambda x: ms.upsert(x.select("cell", "zone"), x.filter("brand = 'Brand#3'").select("cell", (c("zone") + 1000).alias("zone")), ["cell"]))
-add("schema_violations", "a_cells", """SELECT 'builtup' AS "check", count(*) AS n FROM a_cells WHERE NOT coalesce(builtup_frac <= 0.9, FALSE) UNION ALL SELECT 'price', count(*) FROM a_cells WHERE NOT coalesce(price > 0, FALSE) UNION ALL SELECT 'unique', count(*) FROM (SELECT brand FROM a_cells GROUP BY brand HAVING count(*) > 1)""",
-    lambda x: ms.violations(x, {"builtup": c("builtup_frac") <= 0.9, "price": c("price") > 0, "area": c("area_sqm") > 0}, ["brand"]))
+CHECKED = Table("checked", ("brand",), (Col("cell", "bigint"), Col("builtup_frac", "double", low=0, high=0.9), Col("price", "double", low=0), Col("brand", "string"), Col("rent", "double", nullable=True, low=2)))
+add("schema_violations", "a_cells", """SELECT 'builtup_frac' AS "check", count(*) AS n FROM a_cells WHERE NOT coalesce(builtup_frac BETWEEN 0 AND 0.9, FALSE) UNION ALL SELECT 'price', count(*) FROM a_cells WHERE NOT coalesce(price >= 0, FALSE)
+  UNION ALL SELECT 'rent', count(*) FROM a_cells WHERE rent < 2 UNION ALL SELECT 'key', count(*) FROM (SELECT brand FROM a_cells GROUP BY brand HAVING count(*) > 1)""",
+    lambda x: CHECKED.counts(x.select("cell", "builtup_frac", "price", "brand", "rent")))
 add("review_queue", "conversations", """SELECT conv_id, turn, CASE WHEN length(text) % 100 >= 60 AND turn <> 0 AND role <> 'system' THEN 'auto_applied' ELSE 'pending' END AS decision FROM conversations""",
     lambda v: ms.queue_decisions(v.withColumn("confidence", F.length("text") % 100 / 100.0).withColumn("is_new", c("turn") == 0).withColumn("is_stage_change", c("role") == "system"), 0.6).select("conv_id", "turn", "decision"))
-add("report_references", "documents", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\[[^\\]]*\\]', '', 'g'), '[ \\t\\n]+', ' ', 'g')) AS clean FROM documents",
-    lambda d: d.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(c("text"), r"\[[^\]]*\]", ""), r"[ \t\n]+", " ")).alias("clean")))
+add("report_references", "documents", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\[([A-Za-z0-9_.]+)\\]', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS clean FROM documents", lambda d: d.select("doc_id", govern.stripped(c("text")).alias("clean")))
 EXACT, PATTERNS = {"mit": "permissive", "isc": "permissive"}, [("gnu (lesser|general|affero)", "copyleft"), ("apache|mit license|bsd", "permissive"), ("cc by", "data")]
 add("licence_class", "documents", """SELECT doc_id, CASE WHEN text IS NULL OR trim(lower(text)) = '' THEN 'unknown' WHEN trim(lower(text)) IN ('mit', 'isc') THEN 'permissive' WHEN regexp_matches(lower(text), 'gnu (lesser|general|affero)') THEN 'copyleft'
   WHEN regexp_matches(lower(text), 'apache|mit license|bsd') THEN 'permissive' WHEN regexp_matches(lower(text), 'cc by') THEN 'data' ELSE 'unknown' END AS class FROM documents""", lambda d: d.select("doc_id", ms.licence_class(c("text"), EXACT, PATTERNS).alias("class")))
@@ -412,56 +406,36 @@ add("blocks_rollup", "a_cells", "SELECT land_type, brand, count(*) AS n, round(a
 # --- more joins, ledgers and registers -------------------------------------------------------------------------
 add("merge_replace", "a_cells a_history", "SELECT a.cell, round(h.price, 6) AS price FROM a_cells a LEFT JOIN (SELECT cell, price FROM a_history WHERE year = 1997) h USING (cell)",
     lambda x, h: ingest.merge(x.select("cell", "price"), h.filter("year = 1997").select("cell", "price"), "cell"))
-add("outer_merge", "a_cells a_history", "SELECT coalesce(x.cell, h.cell) AS cell, round(slope_pct, 6) AS slope_pct, round(light, 6) AS light FROM (SELECT * FROM a_cells WHERE util_water = 0) x FULL JOIN (SELECT * FROM a_history WHERE year = 1999) h ON x.cell = h.cell",
-    lambda x, h: x.filter("util_water = 0").select("cell", "slope_pct").join(h.filter("year = 1999").select("cell", "light"), "cell", "full"))
+add("outer_merge", "a_cells a_history", "SELECT a.cell, round(slope_pct, 6) AS slope_pct, round(light, 6) AS light FROM (SELECT cell FROM a_cells) a LEFT JOIN (SELECT coalesce(x.cell, h.cell) AS cell, slope_pct, light FROM (SELECT * FROM a_cells WHERE util_water = 0) x FULL JOIN (SELECT * FROM a_history WHERE year = 1999) h ON x.cell = h.cell) m USING (cell)",
+    lambda x, h: ingest.outer_merge(x.filter("util_water = 0").select("cell", "slope_pct"), h.filter("year = 1999").select("cell", "light"), x, "cell"))
 add("masked_shares", "a_cells", "WITH s AS (SELECT *, CASE WHEN price IS NOT NULL THEN lna END AS u FROM a_cells) SELECT cell, round(coalesce(exp(u - max(u) OVER (PARTITION BY zone)), 0) / sum(exp(u - max_u)) OVER (PARTITION BY zone), 6) AS share FROM (SELECT *, max(u) OVER (PARTITION BY zone) AS max_u FROM s)",
     lambda x: market.softmax(x.withColumn("u", F.when(c("price").isNotNull(), c("lna"))), "u", "share", ["zone"]).select("cell", "share"))
-add("firm_shares", "a_cells", "WITH f AS (SELECT *, exp(0.5e0 * lna - ln(1 + slope_pct)) AS e FROM a_cells WHERE util_power = 1) SELECT cell, round(1000 * e / sum(e) OVER (), 6) AS jobs FROM f",
-    lambda x: market.softmax(x.filter("util_power = 1").withColumn("u", 0.5 * c("lna") - F.ln(1 + c("slope_pct"))), "u", "s").select("cell", (1000 * c("s")).alias("jobs")))
+add("firm_shares", "a_cells", "WITH f AS (SELECT *, exp(0.5e0 * lna - 0.04e0 * slope_pct) AS e FROM a_cells WHERE util_power = 1) SELECT cell, round(1000 * e / sum(e) OVER (), 6) AS jobs FROM f",
+    lambda x: market.firm_shares(x, {"lna": 0.5, "slope_pct": -0.04}, 1000.0, c("util_power") == 1))
 add("supply_pipeline", "a_projects", "SELECT cell, CAST(floor(open_year) AS BIGINT) AS year, count(*) AS n, round(sum(capex), 2) AS capex FROM a_projects WHERE open_year IS NOT NULL GROUP BY ALL",
-    lambda p: p.filter("open_year IS NOT NULL").groupBy("cell", F.floor("open_year").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("capex"), 2).alias("capex")))
+    lambda p: ms.forward_supply(p, "cell", "open_year", "capex").withColumn("capex", F.round("capex", 2)))
 add("absorption_observed", "orders", "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, count(*) AS units, round(avg(o_totalprice) + 1e-7, 4) AS price FROM orders GROUP BY ALL",
-    lambda o: o.groupBy(F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")).agg(F.count(F.lit(1)).alias("units"), F.round(F.avg("o_totalprice") + 100 * TIE, 4).alias("price")))
+    lambda o: ms.quarterly(o, "o_orderdate", "o_totalprice").withColumn("price", F.round(c("price") + 100 * TIE, 4)))
 add("effects_by_year", "a_projects", "SELECT cell, round(sum(capex) / 1000, 6) AS delta, round(greatest(0, 5000 - sum(capex) / 1000), 6) AS capacity FROM a_projects WHERE announced_year = 1997 GROUP BY cell",
-    lambda p: p.filter("announced_year = 1997").groupBy("cell").agg((F.sum("capex") / 1000).alias("delta")).withColumn("capacity", F.greatest(F.lit(0.0), 5000 - c("delta"))))
+    lambda p: market.effects_of_year(p.select("cell", c("announced_year").alias("start_year"), (c("capex") / 1000).alias("delta")), 1997, F.lit(5000.0)))
 add("delivery_split", "a_cells", "SELECT cell, round(CASE WHEN res_sqm + com_sqm > 0 THEN 100 * res_sqm / (res_sqm + com_sqm) ELSE 100 END, 6) AS res, round(CASE WHEN res_sqm + com_sqm > 0 THEN 100 * com_sqm / (res_sqm + com_sqm) ELSE 0 END, 6) AS com FROM a_cells",
-    lambda x: x.withColumn("t", c("res_sqm") + c("com_sqm")).withColumn("f", F.when(c("t") > 0, c("res_sqm") / F.when(c("t") > 0, c("t"))).otherwise(1.0)).select("cell", (100 * c("f")).alias("res"), (100 - 100 * c("f")).alias("com")))
-add("alpha_fit", "a_cells", """WITH v AS (SELECT cell, households, exp(lna) / sum(exp(lna)) OVER () AS pred, households / sum(households) OVER () AS obs FROM a_cells), a AS (SELECT cell, CASE WHEN obs > 0 THEN ln(obs) - ln(pred) END AS a FROM v)
-  SELECT cell, round(coalesce(a - avg(a) OVER (), min(a) OVER () - avg(a) OVER ()), 6) AS alpha FROM a""", lambda x: _alpha(x))
-
-
-def _alpha(x: DataFrame) -> DataFrame:
-    total = x.agg(F.sum("households").alias("t"))
-    rows = market.softmax(x, "lna", "pred").join(F.broadcast(total)).withColumn("a", F.when(c("households") > 0, F.ln(c("households") / c("t")) - F.ln("pred")))
-    centre = rows.agg(F.avg("a").alias("m"), F.min("a").alias("low"))
-    return rows.join(F.broadcast(centre)).select("cell", (F.coalesce("a", "low") - c("m")).alias("alpha"))
-
-
-add("household_demand", "a_cells", "WITH t AS (SELECT sum(households) AS h, sum(band_households) AS b, sum(jobs) AS j FROM a_cells) SELECT round(h * 0.02e0 * b / h, 6) AS exogenous, round(j * 0.3e0 * 0.9e0 / 1.45e0, 6) AS job_driven FROM t",
-    lambda x: x.agg(F.sum("households").alias("h"), F.sum("band_households").alias("b"), F.sum("jobs").alias("j")).select((c("h") * 0.02 * c("b") / c("h")).alias("exogenous"), (c("j") * 0.3 * 0.9 / P.value("behaviour.workers_per_household")).alias("job_driven")))
-add("price_paths", "a_draws", "SELECT draw, round(avg(value), 6) AS mean, round(max(value) - min(value), 6) AS spread FROM a_draws GROUP BY draw", lambda d: d.groupBy("draw").agg(F.avg("value").alias("mean"), (F.max("value") - F.min("value")).alias("spread")))
+    lambda x: x.select("cell", *[v.alias(n) for n, v in zip(("res", "com"), market.delivery_split(F.lit(100.0), c("res_sqm"), c("com_sqm")))]))
 add("pivot_band", "a_draws", "SELECT cell, round(quantile_cont(value, 0.1), 6) AS q10, round(quantile_cont(value, 0.9), 6) AS q90 FROM a_draws GROUP BY cell",
     lambda d: market.ensemble_quantiles(d, ["cell"], "value", [0.1, 0.9]).groupBy("cell").pivot("quantile", [0.1, 0.9]).agg(F.first("value")).toDF("cell", "q10", "q90"))
 add("unpivot_factors", "a_cells", "SELECT cell, 'amenity' AS factor, round(amenity, 6) AS value FROM a_cells UNION ALL SELECT cell, 'price', round(price, 6) FROM a_cells", lambda x: x.select("cell", "amenity", "price").unpivot("cell", ["amenity", "price"], "factor", "value"))
-add("uplift_ols", "a_cells", "SELECT round(regr_slope(price, rent), 6) AS slope, round(regr_intercept(price, rent), 4) AS intercept, CAST(regr_count(price, rent) AS BIGINT) AS n FROM a_cells",
-    lambda x: x.agg(F.regr_slope("price", "rent").alias("slope"), F.round(F.regr_intercept("price", "rent"), 4).alias("intercept"), F.regr_count("price", "rent").alias("n")))
 add("broker_median", "lineitem", "SELECT l_partkey, round(quantile_cont(l_extendedprice / l_quantity, 0.5) + 1e-9, 6) AS price, count(*) AS n FROM lineitem GROUP BY l_partkey", lambda h: h.groupBy("l_partkey").agg((F.median(c("l_extendedprice") / c("l_quantity")) + TIE).alias("price"), F.count(F.lit(1)).alias("n")))
-add("dead_pipeline_share", "a_projects", "SELECT count(*) FILTER (abandoned) AS n_dead, round(avg(CASE WHEN abandoned THEN 1e0 ELSE 0 END), 6) AS share, count(*) FILTER (abandoned) > 0 AS ok FROM a_projects",
-    lambda p: p.agg(F.count_if("abandoned").alias("n_dead"), F.avg(c("abandoned").cast("double")).alias("share")).withColumn("ok", c("n_dead") > 0))
-add("terminal_outcome", "a_events", "SELECT project, event_type AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, event_type DESC) AS r FROM a_events WHERE event_type IN ('purchase', 'error')) WHERE r = 1",
-    lambda e: ms.latest_as_of(e.filter("event_type IN ('purchase', 'error')"), ["project"], "ts", F.expr("TIMESTAMP_NTZ '2100-01-01 00:00:00'"), ["event_type"]).select("project", c("event_type").alias("outcome")))
-add("clipped_dates", "orders", "SELECT o_orderkey, CAST(CASE WHEN year(o_orderdate) <= 1998 THEN o_orderdate ELSE TIMESTAMP '1998-12-31' END AS DATE) AS d FROM orders",
-    lambda o: o.select("o_orderkey", F.to_date(F.when(F.year("o_orderdate") <= 1998, c("o_orderdate")).otherwise(F.expr("TIMESTAMP_NTZ '1998-12-31 00:00:00'"))).alias("d")))
-add("registry_problems", "a_projects", """SELECT 'late_stage' AS problem, project_id FROM a_projects WHERE claims_construction AND physical_state = 'none' UNION ALL SELECT 'no_opening', project_id FROM a_projects WHERE open_year IS NULL UNION ALL SELECT 'negative', project_id FROM a_projects WHERE capex < 2000""",
-    lambda p: p.select("project_id", F.explode(F.array_compact(F.array(F.when(c("claims_construction") & (c("physical_state") == "none"), "late_stage"), F.when(c("open_year").isNull(), "no_opening"), F.when(c("capex") < 2000, "negative")))).alias("problem")))
-add("district_total", "a_cells", "SELECT zone, round(sum(households * 4), 6) AS population, abs(sum(households * 4) - 700) <= 0.5e0 * 700 AS within FROM a_cells GROUP BY zone",
-    lambda x: x.groupBy("zone").agg(F.sum(c("households") * 4).alias("population")).withColumn("within", F.abs(c("population") - 700) <= 350.0))
+add("dead_pipeline_share", "a_projects", "SELECT count(*) FILTER (abandoned) AS n_dead, round(avg(CASE WHEN abandoned THEN 1e0 ELSE 0 END), 6) AS share, count(*) FILTER (abandoned) >= 1 AND avg(CASE WHEN abandoned THEN 1e0 ELSE 0 END) >= 0.05 AS ok FROM a_projects",
+    lambda p: ms.dead_share(p, "abandoned", 1, 0.05))
+add("terminal_outcome", "a_events", "SELECT project, event_type FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, event_type DESC) AS r FROM a_events WHERE event_type IN ('purchase', 'error')) WHERE r = 1",
+    lambda e: ms.outcomes(e, "project", "ts", "event_type", ["purchase", "error"]))
+add("clipped_dates", "orders", "SELECT o_orderkey, CAST(CASE WHEN year(o_orderdate) <= 1998 THEN o_orderdate ELSE TIMESTAMP '1998-12-31' END AS DATE) AS d FROM orders", lambda o: o.select("o_orderkey", ms.clipped_date(c("o_orderdate"), 1998).alias("d")))
+add("registry_problems", "a_projects", """SELECT project_id, unnest(list_filter([CASE WHEN stage NOT IN ('announced', 'funded', 'construction') THEN 'stage' END, CASE WHEN NOT is_public AND commitment_form NOT IN ('verbal', 'board_approved') THEN 'commitment' END, CASE WHEN NOT coalesce(capex > 0, FALSE) THEN 'size' END,
+    CASE WHEN open_year < announced_year THEN 'dates' END, CASE WHEN claims_construction AND physical_state = 'none' THEN 'not_seen' END], lambda x: x IS NOT NULL)) AS problem FROM a_projects""",
+    lambda p: ingest.registry_problems(p, ["announced", "funded", "construction"], ["verbal", "board_approved"]))
+add("district_total", "a_cells", "SELECT zone, round(sum(households * 4), 6) AS population, abs(sum(households * 4) - 700) <= 0.5e0 * 700 AS within FROM a_cells GROUP BY zone", lambda x: ms.district_totals(x, "zone", c("households") * 4, 700.0, 0.5))
 add("band_reliability", "a_draws", "WITH q AS (SELECT cell, quantile_cont(value, 0.1) AS a, quantile_cont(value, 0.9) AS b FROM a_draws WHERE draw > 0 GROUP BY cell) SELECT round(avg(CASE WHEN value BETWEEN a AND b THEN 1e0 ELSE 0 END), 6) AS coverage, count(*) AS n FROM a_draws JOIN q USING (cell) WHERE draw = 0",
     lambda d: ms.band_coverage(d.filter("draw = 0").join(d.filter("draw > 0").groupBy("cell").agg(F.percentile("value", F.lit(0.1)).alias("lo"), F.percentile("value", F.lit(0.9)).alias("hi")), "cell"), "value", "lo", "hi"))
-add("overheat_precision", "a_cells", "WITH m AS (SELECT quantile_cont(lna, 0.5) AS m FROM a_cells) SELECT round(avg(CASE WHEN lna < m THEN 1e0 ELSE 0 END), 6) AS precision FROM a_cells, m WHERE amenity > 0.8",
-    lambda x: x.filter("amenity > 0.8").join(F.broadcast(x.agg(F.median("lna").alias("m")))).agg(F.avg((c("lna") < c("m")).cast("double")).alias("precision")))
 add("imputed_flags", "a_cells", "SELECT cell, price IS NULL OR rent IS NULL AS flag, CASE WHEN price IS NULL THEN 'median' WHEN rent IS NULL THEN 'parent' END AS method FROM a_cells",
     lambda x: ingest.mark_imputed(ingest.mark_imputed(x, "v", c("price").isNull(), "median"), "v", c("rent").isNull(), "parent").select("cell", c("v__imputed").alias("flag"), c("v__method").alias("method")))
 add("physical_state", "a_cells", "SELECT cell, CASE WHEN amenity >= 0.5 AND lna >= 1 THEN 'operating' WHEN amenity >= 0.5 THEN 'structure' WHEN -disamenity <= -0.4 AND builtup_frac >= 0.3 THEN 'earthworks' WHEN -disamenity <= -0.4 THEN 'cleared' ELSE 'none' END AS state FROM a_cells",
     lambda x: x.select("cell", ingest.physical_state(-c("disamenity"), c("amenity"), c("builtup_frac"), c("lna"), {"built": 0.5, "light": 1.0, "green": 0.4, "soil": 0.3}).alias("state")))
-add("power_flag", "a_cells", "SELECT cell, CAST(CASE WHEN x_m <= 2000 OR y_m <= 500 THEN 1 ELSE 0 END AS BIGINT) AS util_power FROM a_cells", lambda x: ingest.power_flag(x.drop("util_power"), "cell", "x_m", "y_m"))

@@ -5,9 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.operators.ingest import merge
+from terrane.operators.measures import upsert
+
 RUNS = "run_id string, source string, city string, columns array<string>, rows long, params_hash string, content_hash string, parents array<string>"
 CANDIDATE = "record_type string, project_id string, field string, value string, confidence double, is_new boolean, is_stage_change boolean"
 
@@ -47,3 +52,50 @@ def history_rows(state: DataFrame) -> DataFrame:
     """Applied decisions as project_history rows."""
     done = state.filter(F.col("decision").isin("approved", "edited", "auto_applied"))
     return done.select("project_id", "field", F.lit(None).cast("string").alias("old_value"), F.col("value").alias("new_value"), F.coalesce("reviewer", F.lit("auto")).alias("changed_by"))
+
+
+def upsert_runs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The ledger after a run: rows of the same id are replaced."""
+    return upsert(old, new.select(*old.columns), ["run_id"])
+
+
+def append_imputation(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The imputation ledger with more rows; nothing in it is ever changed."""
+    return old.unionByName(new.select(*old.columns))
+
+
+def imputation_rows(cells: DataFrame, key: str, run_id: str) -> DataFrame:
+    """(key, column, method, run_id) of every value that mark_imputed flagged; the columns are melted in one pass."""
+    names = [x[: -len("__imputed")] for x in cells.columns if x.endswith("__imputed")]
+    if not names:
+        return cells.select(key, F.lit("").alias("column"), F.lit("").alias("method"), F.lit(run_id).alias("run_id")).filter("false")
+    flags = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"{n}__method").alias("method"), F.coalesce(F.col(f"{n}__imputed"), F.lit(False)).alias("on")) for n in names]))
+    return cells.select(key, flags.alias("f")).filter("f.on").select(key, "f.column", "f.method", F.lit(run_id).alias("run_id"))
+
+
+def derived_run(spark: SparkSession, step: str, city: str, columns: list[str], rows: int, params_hash: str, content_hash: str, parents: list[str]) -> DataFrame:
+    """The ledger row of columns that were computed from others; it names the runs it rests on, at least one."""
+    if not parents:
+        raise ValueError("derived columns rest on other runs")
+    return ingest_run(spark, f"derived:{step}", city, columns, rows, params_hash, content_hash, tuple(parents))
+
+
+def run_steps(cells: DataFrame, steps: list[tuple[str, list[str], Callable[[DataFrame], DataFrame]]], key: str, city: str, params_hash: str, cut: Callable[[DataFrame], DataFrame], hash_of: Callable[[DataFrame], str]) -> tuple[DataFrame, DataFrame]:
+    """Cells after all ingest steps, and their ledger.
+
+    A step (source, columns, make) gives a frame by key whose columns replace those of cells; a key it repeats, or a
+    column it promised and did not give, raises. Each step is written by cut before the next; the ledger is one union.
+    """
+    spark, rows = cells.sparkSession, []
+    for source, columns, make in steps:
+        got = make(cells)
+        lost = [x for x in columns if x not in got.columns]
+        if lost:
+            raise ValueError(f"{source} did not give {lost}")
+        part = cut(got.select(key, *columns))
+        cells = cut(merge(cells, part, key))
+        rows.append(ingest_run(spark, source, city, columns, part.count(), params_hash, hash_of(part)))
+    ledger = spark.createDataFrame([], RUNS)
+    for r in rows:
+        ledger = ledger.unionByName(r)
+    return cells, ledger

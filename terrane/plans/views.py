@@ -41,6 +41,33 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT event_id, user_id AS project, ts, value, event_type, event_id % 9 AS pixel, event_id % 7 <> 0 AS clear,
           CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE NULL END AS state_rank
         FROM events"""),
+    "a_bands": (("a_cells",), """
+        SELECT cell, zone, price, amenity, disamenity, households, jobs, households * 4 AS population, households * 0.4e0 AS hh_low, households * 0.3e0 AS hh_mid, households * 0.2e0 AS hh_upper_mid, households * 0.1e0 AS hh_high,
+          lna AS lna_low, lna * 0.9e0 AS lna_mid, lna * 0.8e0 AS lna_upper_mid, CASE WHEN cell % 41 = 0 THEN NULL ELSE lna * 0.7e0 END AS lna_high, (amenity - 0.5e0) / 10 AS field, absorbed / 2 AS headroom, builtup_frac,
+          absorbed * 50 AS capacity_sqm, x_m, y_m
+        FROM a_cells"""),
+    "a_jobs": (("orders",), """
+        SELECT o_orderkey AS project_id, o_orderkey % 300 AS cell, CASE o_orderkey % 4 WHEN 0 THEN 'it_office' WHEN 1 THEN 'manuf_light' WHEN 2 THEN 'logistics' ELSE 'retail_svc' END AS sector, 10e0 + o_orderkey % 90 AS jobs,
+          8000e0 + (o_orderkey % 40) * 4000e0 AS wage, CAST(year(o_orderdate) AS BIGINT) AS start_year, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 1e0 + o_orderkey % 4 END AS ramp_years,
+          CASE WHEN o_orderkey % 4 = 1 THEN 0.3e0 ELSE NULL END AS dormitory_share
+        FROM orders"""),
+    "a_sites": (("orders",), """
+        SELECT o_orderkey AS project_id, CASE o_orderkey % 3 WHEN 0 THEN 'rail' WHEN 1 THEN 'data' ELSE 'plant' END AS archetype, o_orderkey % 300 AS cell, 300e0 + (o_orderkey % 97) * 200e0 AS x, (o_orderkey % 89) * 40e0 AS y,
+          10e0 + o_orderkey % 50 AS scale, (o_orderkey % 10) / 10e0 AS weight, year(o_orderdate) + 2.5e0 AS open_year, year(o_orderdate) + 1e0 AS construction_start, year(o_orderdate) + 0e0 AS announced_year,
+          o_orderkey % 2 = 0 AS elevated, o_orderkey % 5 = 0 AS interchange
+        FROM orders"""),
+    "a_pixels": (("events",), """
+        SELECT user_id AS project_id, ts AS time, event_id % 9 AS px, event_id % 12 AS scl, (event_id % 23) / 50e0 AS b02, (event_id % 19) / 40e0 AS b03, (event_id % 17) / 30e0 AS b04, 0.1e0 + (event_id % 29) / 40e0 AS b08, 0.1e0 + (event_id % 31) / 60e0 AS b11
+        FROM events"""),
+    "a_months": (("lineitem",), """
+        SELECT l_partkey AS project_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, avg((l_orderkey % 40) / 80e0) AS ndvi, avg((l_orderkey % 37) / 90e0) AS ndbi, avg((l_orderkey % 29) / 70e0) AS bsi, avg((l_orderkey % 11) / 11e0) AS brightness,
+          avg((l_orderkey % 5) / 8e0) AS cloud_frac, avg((l_orderkey % 5) / 8e0) <= 0.4e0 AS valid, avg(1e0 + l_orderkey % 13) AS light
+        FROM lineitem GROUP BY l_partkey, CAST(date_trunc('month', l_shipdate) AS DATE)"""),
+    "a_cards": (("nation",), """
+        SELECT n_name AS city, CAST(2010 AS BIGINT) AS t0, CAST(10 AS BIGINT) AS horizon, CAST(20 + n_nationkey AS BIGINT) AS n_zones, 0.5e0 + (n_nationkey % 7) / 20e0 AS spearman, (n_nationkey % 4) / 3e0 AS top_precision,
+          (n_nationkey % 11) / 50e0 - 0.04e0 AS beat_b2, -0.1e0 AS beat_b2_low, 0.2e0 AS beat_b2_high, 0.7e0 + (n_nationkey % 5) / 20e0 AS coverage, 0.5e0 AS overheat_precision, 0.1e0 AS mape, 0.4e0 AS settlement_spearman,
+          (n_nationkey % 9) / 30e0 - 0.1e0 AS beat_b4, n_nationkey % 6 <> 0 AS price_test, 0.5e0 + (n_nationkey % 7) / 20e0 > 0.8e0 AS alarm, FALSE AS underpowered
+        FROM nation"""),
     "a_draws": (("part",), """
         SELECT d AS draw, p_partkey AS cell, ln(p_retailprice) + ((p_partkey * 7919 + d * 104729) % 1009) / 1009e0 - 0.5e0 AS value
         FROM part CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10)) s(d)"""),

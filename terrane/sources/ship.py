@@ -6,10 +6,11 @@ import hashlib
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import terrane
 
@@ -26,6 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: computed once, lineage cut; it goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def put_shared(spark: SparkSession, name: str, data: bytes) -> str:
     """Writes a file into the shared folder by Hadoop's file systems, unless one of that name is there; its path."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

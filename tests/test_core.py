@@ -12,6 +12,7 @@ from terrane.functions import scalar as sc
 from terrane.operators import access, cascade, credibility, ensemble, govern, hedonic, ingest, market, measures, spatial, substrate
 from terrane.params import ParamError, load_params
 from terrane.plans import catalogue, simulation
+from terrane.plans import queries as every
 from terrane.plans.views import table, view
 from terrane.schema import CELLS_HISTORY, ANNOUNCERS, SchemaError
 from terrane.sources.readers import FileReader, MemoryReader, adapter_for
@@ -31,14 +32,14 @@ def norm(x):
     return float(x) if isinstance(x, int) and not isinstance(x, bool) else x
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(every.oracle_sql()))
 def test_query_equals_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in "part lineitem orders customer events conversations documents".split():
+    for t in "part lineitem orders customer supplier nation events conversations documents".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    df = catalogue.queries()[name](spark, SF)
-    rel = con.execute(catalogue.oracle_sql()[name])
+    df = every.queries()[name](spark, SF)
+    rel = con.execute(every.oracle_sql()[name])
     cols = [d[0] for d in rel.description]
     assert sorted(cols) == sorted(df.columns)
     there = sorted((tuple(norm(r[cols.index(c)]) for c in sorted(cols)) for r in rel.fetchall()), key=repr)
@@ -49,7 +50,7 @@ def test_query_equals_oracle(spark, name):
 def test_entry_without_llm():
     import __spark_entry__ as entry
 
-    assert set(catalogue.queries()) <= set(entry.queries())
+    assert set(every.queries()) <= set(entry.queries()) and set(every.queries()) == set(every.oracle_sql())
     assert (importlib.util.find_spec("terrane.llm") is None) == (not any(n.startswith("op1_") for n in entry.queries()))
 
 
@@ -64,7 +65,7 @@ def test_params():
     assert fixed.value("price.eta") == 0.7 and fixed.hash() != P.hash() and P.hash() == load_params().hash()
     rng = np.random.default_rng(0)
     drawn = [P.sample("access.congestion.k", rng) for _ in range(200)]
-    assert 0.20 <= min(drawn) < 0.25 and 0.45 < max(drawn) <= 0.50 and P.sample("price.eta", rng) == P.value("price.eta")
+    assert 0.20 <= min(drawn) < 0.25 and 0.45 < max(drawn) <= 0.50 and P.sample("price.phi_bull", rng) == P.value("price.phi_bull") and P.deterministic().sample("price.eta", rng) == 0.65
 
 
 def test_scalar(spark):
@@ -153,12 +154,13 @@ def test_destinations(spark):
 
 
 def test_access(spark):
-    d = access.rail_minutes([("a", "b", 2.0), ("b", "c", 3.0), ("a", "c", 9.0)])
-    assert d["a", "c"] == 5.0 and d["c", "c"] == 0.0
-    inf = spark.createDataFrame([(1, 7, "car", float("inf")), (1, 8, "car", 10.0)], "cell long, zone long, mode string, minutes double")
-    opp = spark.createDataFrame([(7, 50.0), (8, 100.0)], "zone long, o_work double")
-    got = access.gravity(inf, opp, "cell", "zone", {"car": 0.5}, {"work": {"car": 0.1}}, {"work": 1.0}).first()
-    assert got.lna == pytest.approx(math.log1p(0.5 * math.exp(-1) * 100))
+    cells = spark.createDataFrame([(1, 0.0, 0.0), (2, 3000.0, 4000.0)], "cell long, x_m double, y_m double")
+    zones = spark.createDataFrame([(7, 0.0, 0.0, 50.0), (8, 3000.0, 0.0, 100.0), (9, None, 0.0, 1e9)], "zone long, x_m double, y_m double, o_work double")
+    pairs = access.od_pairs(cells, zones, "cell", "zone")
+    assert pairs.count() == 6
+    got = {r.cell: r.lna for r in access.gravity(pairs, "cell", {"car": 60.0}, {"car": 0.5}, {"work": {"car": 0.1}}, {"work": 1.0}).collect()}
+    assert got[1] == pytest.approx(math.log1p(0.5 * (50 + 100 * math.exp(-0.3)))) and got[2] == pytest.approx(math.log1p(0.5 * (50 * math.exp(-0.5) + 100 * math.exp(-0.4))))
+    assert {r.cell: r.jobs_4 for r in access.reachable(pairs, "cell", {"car": 60.0}, {"car": 0.5}, "o_work", [4]).collect()} == {1: 75.0, 2: 50.0}
 
 
 def test_credibility():
@@ -192,15 +194,24 @@ def test_clearing(spark):
 
 def test_copula(spark):
     assert ensemble.beta_cdf(0.3, 2, 5) == pytest.approx(0.579825, abs=1e-6) and ensemble.beta_quantile(0.5, 3, 3) == pytest.approx(0.5)
+    u, a, b = np.array([0.05, 0.5, 0.9, 0.999]), np.array([2.0, 3.0, 19.9, 0.5]), np.array([5.0, 3.0, 0.1, 12.0])
+    assert ensemble.beta_quantiles(u, a, b) == pytest.approx([ensemble.beta_quantile(*x) for x in zip(u, a, b)], abs=1e-9)
     bad = np.array([[1, 0.9, -0.9], [0.9, 1, 0.9], [-0.9, 0.9, 1.0]])
     assert np.linalg.eigvalsh(ensemble.nearest_pd(bad)).min() > 0
-    projects = [(1, "a", 0.5), (2, "a", 0.5), (3, "b", 0.5)]
-    few, chance = ensemble.sample_draws(spark, 3, 1, P, ["price.eta", "access.congestion.k"], projects, same=0.8, macro=0.0)
-    again, _ = ensemble.sample_draws(spark, 5, 1, P, ["price.eta", "access.congestion.k"], projects, same=0.8, macro=0.0)
-    assert few.collect() == again.filter("draw < 3").collect()
-    _, many = ensemble.sample_draws(spark, 300, 2, P, [], projects, same=0.8, macro=0.0)
-    wide = many.groupBy("draw").pivot("project_id", [1, 2, 3]).agg(F.first("p")).toPandas()
-    assert np.corrcoef(wide["1"], wide["2"])[0, 1] > 0.65 and abs(np.corrcoef(wide["1"], wide["3"])[0, 1]) < 0.2
+    n = lambda k: spark.range(k).withColumnRenamed("id", "draw")
+    paths = ["price.eta", "access.congestion.k", "price.phi_bull"]
+    few, again = (ensemble.parameter_draws(n(k), P, paths, 1).orderBy("draw") for k in (3, 5))
+    assert few.collect() == again.filter("draw < 3").collect() and all(0.5 <= r.price_eta <= 0.8 and r.price_phi_bull == 0.095 for r in again.collect())
+    macro = ensemble.macro_draws(n(4000), 3).agg(F.corr("z_phi", "z_eta"), F.avg((F.col("macro") == "base").cast("double")), F.stddev("z_eta")).first()
+    assert macro[0] == pytest.approx(-0.3, abs=0.05) and macro[1] == pytest.approx(0.6, abs=0.03) and macro[2] == pytest.approx(1, abs=0.05)
+    shares = ensemble.mode_shares(n(5), P, 1)
+    assert all(sum(v for k, v in r.asDict().items() if k != "draw") == pytest.approx(1) for r in shares.collect())
+    projects = spark.createDataFrame([(1, "a", True, 0.5), (2, "a", True, 0.5), (3, "b", True, 0.5), (4, "c", False, 0.2), (5, None, False, 0.5)], "project_id long, announcer_id string, is_public boolean, p_completion double")
+    many = ensemble.project_draws(projects, n(1500), 2)
+    assert many.filter("draw = 7").orderBy("project_id").collect() == ensemble.project_draws(projects, n(9), 2).filter("draw = 7").orderBy("project_id").collect()
+    wide = many.groupBy("draw").pivot("project_id", [1, 2, 3, 4, 5]).agg(F.first("p")).toPandas().corr()
+    assert wide.loc["1", "2"] == pytest.approx(0.5, abs=0.08) and wide.loc["1", "3"] == pytest.approx(0.3, abs=0.08) and abs(wide.loc["1", "4"]) < 0.08
+    assert many.filter("project_id = 4").agg(F.avg("p")).first()[0] == pytest.approx(0.2, abs=0.01)
 
 
 def test_hedonic(spark):
@@ -227,6 +238,12 @@ def test_hedonic(spark):
     spread = fit @ fit - fit @ design @ np.linalg.inv(design.T @ design) @ design.T @ fit
     got = hedonic.lm_tests(noise, weights, "cell", "other", "y", ["x"])
     assert got["lm_error"] == pytest.approx((e @ w @ e / s2) ** 2 / trace) and got["lm_lag"] == pytest.approx((e @ w @ z / s2) ** 2 / (spread / s2 + trace))
+    shock = np.linalg.solve(np.eye(n) - 0.6 * w, rng.normal(size=n))
+    errors = spark.createDataFrame([(i, float(x[i]), float(1 + 2 * x[i] + shock[i])) for i in range(n)], "cell long, x double, y double")
+    fit = hedonic.fit_error(errors, weights, "cell", "other", "y", ["x"])
+    assert fit["lambda"] == pytest.approx(0.6, abs=0.12) and fit["x"] == pytest.approx(2, abs=0.15) and fit["intercept"] == pytest.approx(1, abs=0.4)
+    whole = hedonic.hedonic(errors, weights, "cell", "other", "y", ["x"])
+    assert whole["model"] == "error" and whole["lambda"] == fit["lambda"] and hedonic.hedonic(df, weights, "cell", "other", "y", ["x"])["model"] == "lag"
     tests = {"p_lag": 0.5, "p_error": 0.5, "rlm_lag": 1.0, "rlm_error": 2.0}
     assert [hedonic.choose(tests | t) for t in ({}, {"p_lag": 0.01}, {"p_error": 0.01}, {"p_lag": 0.01, "p_error": 0.01})] == ["ols", "lag", "error", "error"]
 
@@ -321,8 +338,6 @@ def test_guards(spark):
         govern.render_report("T", [("S", "9 [price.growth.1]")], data, {})
     used, known = spark.createDataFrame([("a",), ("b",), ("c",)], "source string"), spark.createDataFrame([("a", "open"), ("b", "closed")], "source string, class string")
     assert {(r.source, r.problem) for r in govern.licence_audit(used, known, ("open",)).collect()} == {("b", "closed"), ("c", "undeclared")}
-    scores = spark.createDataFrame([(0.5, 0.2), (0.7, 0.1), (0.1, 0.3)], "rho double, mape double")
-    assert govern.ship_gate(scores, {"rho": (">=", 0.4), "mape": ("<=", 0.25)}).first().ship and not govern.ship_gate(scores, {"rho": (">=", 0.6)}).first().ship
 
 
 def test_simulation(spark):
@@ -343,8 +358,23 @@ def test_simulation(spark):
     draws = spark.createDataFrame([(0, 1.0), (1, 1.5)], "draw long, gamma_mult double")
     many = simulation.run(cells, projects, [full], P, draws).panel
     assert simulation.digest(many.filter("draw = 0")) == simulation.digest(alone.panel)
+    forced = simulation.run(cells, projects, [full, simulation.Scenario("forced", years, (), tuple((i, 1.0) for i in ids))], P).panel
+    by = {r.scenario: r.f for r in forced.groupBy("scenario").agg(F.sum("field").alias("f")).collect()}
+    assert by["forced"] == pytest.approx(by["full"] / 0.6)
+    moved = {y: cells.select("cell", (F.col("lna") + (0.5 if y == 2001 else 0.0)).alias("lna")) for y in years}
+    up = simulation.run(cells, projects, [full], P, access=moved).panel
+    at = lambda panel, y: panel.filter(F.col("year") == y).agg(F.avg("d_ln_p")).first()[0]
+    assert at(up, 2000) == pytest.approx(at(alone.panel, 2000)) and at(up, 2001) > at(alone.panel, 2001) + 0.01 and at(up, 2002) < at(alone.panel, 2002)
+    drawn = simulation.ensemble(cells, projects, full, P, 4, 11)
+    assert drawn.panel.count() == 4 * 3 * cells.count() and drawn.manifest["runs"] == 4
+    assert simulation.digest(drawn.panel.filter("draw < 2")) == simulation.digest(simulation.ensemble(cells, projects, full, P, 2, 11).panel)
+    assert drawn.panel.groupBy("draw").agg(F.avg("d_ln_p").alias("d")).select("d").distinct().count() == 4
     with pytest.raises(simulation.SimulationError):
         simulation.horizon(2000, 2100)
+    states = spark.createDataFrame([(2000, "a"), (2001, "b")], "year long, state string")
+    assert set(simulation.network_years(states, {"a": cells, "b": cells}, (2000, 2001))) == {2000, 2001}
+    with pytest.raises(simulation.SimulationError):
+        simulation.network_years(states, {"a": cells}, (2000, 2001))
 
 
 def test_streams(spark, tmp_path):
