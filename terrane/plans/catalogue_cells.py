@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrane.operators import cell_columns as cc, detection, govern, ingest, measures as ms
 from terrane.plans import ledger, scorecard
 from terrane.plans.backtest import PRIME
-from terrane.plans.catalogue import P, add
+from terrane.plans.catalogue import P, TIE, add
 
 c = F.col
 
@@ -47,9 +47,9 @@ add("guidance_by_polygon", "supplier a_cells", f"""WITH s AS ({SQUARES}), m AS (
   SELECT a.cell, round(value, 6) AS value FROM a_cells a LEFT JOIN m ON m.cell = a.cell AND r = 1""", lambda s, x: cc.values_by_polygon(x, _squares(s), "value", "locality"))
 add("project_cells", "supplier a_sites", f"""WITH s AS ({SQUARES}), p AS (SELECT project_id, x + 3.7e0 AS x, y + 1.3e0 AS y FROM a_sites), m AS (SELECT project_id, locality, row_number() OVER (PARTITION BY project_id ORDER BY locality) AS r FROM p JOIN s ON x > x0 AND x < x1 AND y > y0 AND y < y1)
   SELECT project_id, locality AS cell FROM m WHERE r = 1""", lambda s, p: cc.project_cells(p.select("project_id", (c("x") + 3.7).alias("x"), (c("y") + 1.3).alias("y")), _squares(s).withColumnRenamed("locality", "cell")).select("project_id", "cell"))
-add("listing_medians", "lineitem a_cells", """WITH l AS (SELECT l_orderkey AS listing, l_partkey AS cell, l_extendedprice AS ask, l_quantity AS rent, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS r FROM lineitem),
+add("listing_medians", "lineitem a_cells", """WITH l AS (SELECT l_orderkey AS listing, l_partkey AS cell, l_extendedprice AS ask, l_quantity AS rent, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_extendedprice, l_quantity) AS r FROM lineitem),
   m AS (SELECT cell, quantile_cont(ask, 0.5) AS ask, quantile_cont(rent, 0.5) AS rent, count(*) AS n FROM l WHERE r = 1 GROUP BY cell) SELECT a.cell, round(CASE WHEN n >= 2 THEN m.ask END, 6) AS ask, round(CASE WHEN n >= 2 THEN m.rent END, 6) AS rent, coalesce(n, 0) AS n FROM a_cells a LEFT JOIN m USING (cell)""",
-    lambda h, x: cc.listings(cc.first_match(h, ["l_orderkey"], ["l_partkey", "l_linenumber"]).select(c("l_orderkey").alias("listing"), c("l_partkey").alias("cell"), c("l_extendedprice").alias("ask"), c("l_quantity").alias("rent")), x, "ask", "rent", 2))
+    lambda h, x: cc.listings(cc.first_match(h, ["l_orderkey"], ["l_partkey", "l_extendedprice", "l_quantity"]).select(c("l_orderkey").alias("listing"), c("l_partkey").alias("cell"), c("l_extendedprice").alias("ask"), c("l_quantity").alias("rent")), x, "ask", "rent", 2))
 add("jobs_proxy", "a_cells", "SELECT cell, retail_poi * 6e0 AS retail_svc, education_poi * 25e0 + health_poi * 40e0 AS public_edu, 0e0 AS agri FROM a_cells",
     lambda x: x.select("cell", cc.jobs_proxy({k: c(k) for k in ("retail_poi", "education_poi", "health_poi")}, {"retail_poi": ("retail_svc", 6.0), "education_poi": ("public_edu", 25.0), "health_poi": ("public_edu", 40.0)}).alias("j")).select("cell", c("j")[5].alias("retail_svc"), c("j")[6].alias("public_edu"), c("j")[0].alias("agri")))
 add("households_from_people", "a_cells", "SELECT cell, round(households * 4 / 4.25e0, 6) AS households FROM a_cells", lambda x: x.select("cell", cc.households(c("households") * 4, {"low": 5.0, "mid": 4.5, "upper_mid": 4.0, "high": 3.5}).alias("households")))
@@ -92,8 +92,8 @@ add("sat_monthly", "a_pixels", """WITH p AS (SELECT project_id, CAST(date_trunc(
     count(*) AS n, count(*) FILTER (NOT ok) AS bad FROM p GROUP BY ALL),
   a AS (SELECT project_id, month, avg((b08 - b04) / nullif(b08 + b04, 0)) AS ndvi, avg((b11 - b08) / nullif(b11 + b08, 0)) AS ndbi, avg((b11 + b04 - b08 - b02) / nullif(b11 + b04 + b08 + b02, 0)) AS bsi, avg((b02 + b03 + b04) / 3) AS brightness,
     sum(bad) / sum(n) AS cloud_frac, avg(CASE WHEN bad < n THEN 1e0 ELSE 0 END) AS clear FROM m GROUP BY ALL)
-  SELECT project_id, month, round(ndvi, 6) AS ndvi, round(ndbi, 6) AS ndbi, round(bsi, 6) AS bsi, round(brightness, 6) AS brightness, round(cloud_frac, 6) AS cloud_frac, cloud_frac <= 0.4 AND clear >= 0.5 AND ndvi IS NOT NULL AS valid FROM a""",
-    lambda p: detection.monthly(p, P))
+  SELECT project_id, month, round(ndvi + 1e-9, 6) AS ndvi, round(ndbi + 1e-9, 6) AS ndbi, round(bsi + 1e-9, 6) AS bsi, round(brightness + 1e-9, 6) AS brightness, round(cloud_frac + 1e-9, 6) AS cloud_frac, cloud_frac <= 0.4 AND clear >= 0.5 AND ndvi IS NOT NULL AS valid FROM a""",
+    lambda p: detection.monthly(p, P).withColumns({n: c(n) + TIE for n in ("ndvi", "ndbi", "bsi", "brightness", "cloud_frac")}))
 DETECT = """b AS (SELECT project_id, avg(ndvi) FILTER (valid) AS v0, avg(ndbi) FILTER (valid) AS b0, avg(bsi) FILTER (valid) AS s0, avg(light) AS l0 FROM a_months WHERE month < DATE '1995-06-01' GROUP BY project_id HAVING count(*) FILTER (valid) >= 3),
   d AS (SELECT m.*, ndvi - v0 AS dv, ndbi - b0 AS db, bsi - s0 AS ds, coalesce(CASE WHEN l0 <> 0 THEN (light - l0) / abs(l0) END > 0.3, FALSE) AS rose FROM a_months m JOIN b USING (project_id)),
   e AS (SELECT *, CASE WHEN valid THEN CASE WHEN db > 0.1 AND rose THEN 5 WHEN db > 0.1 THEN 4 WHEN dv < -0.15 AND ds > 0.08 AND db < 0.1 THEN 3 WHEN dv < -0.15 AND db < 0.05 THEN 2 ELSE 1 END END AS k FROM d),
@@ -105,8 +105,8 @@ def _projects(m: DataFrame) -> DataFrame:
     return m.select("project_id").distinct().withColumn("announced_date", F.lit("1995-06-01").cast("date"))
 
 
-add("sat_detect", "a_months", f"WITH {DETECT} SELECT project_id, month, round(dv, 6) AS dndvi, round(db, 6) AS dndbi, round(ds, 6) AS dbsi, rose AS light_rose, {NAMED}[k] AS state, {NAMED}[top] AS state_cum FROM f",
-    lambda m: detection.detect(m, _projects(m), P, "skip").select("project_id", "month", "dndvi", "dndbi", "dbsi", "light_rose", "state", "state_cum"))
+add("sat_detect", "a_months", f"WITH {DETECT} SELECT project_id, month, round(dv + 1e-9, 6) AS dndvi, round(db + 1e-9, 6) AS dndbi, round(ds + 1e-9, 6) AS dbsi, rose AS light_rose, {NAMED}[k] AS state, {NAMED}[top] AS state_cum FROM f",
+    lambda m: detection.detect(m, _projects(m), P, "skip").select("project_id", "month", *[(c(n) + TIE).alias(n) for n in ("dndvi", "dndbi", "dbsi")], "light_rose", "state", "state_cum"))
 add("sat_baseline", "a_months", f"WITH {DETECT} SELECT project_id, round(v0, 6) AS ndvi0, round(b0, 6) AS ndbi0, round(s0, 6) AS bsi0, round(l0, 6) AS light0 FROM b", lambda m: detection.baselines(m, _projects(m), P, "skip"))
 add("sat_latest_state", "a_months", f"""WITH {DETECT} SELECT project_id, coalesce(arg_max({NAMED}[top], CASE WHEN top IS NOT NULL THEN month END), 'none') AS physical_state, coalesce(max(CASE WHEN top IS NOT NULL THEN month END), min(month)) AS physical_asof FROM f GROUP BY project_id""",
     lambda m: detection.latest_states(detection.detect(m, _projects(m), P, "skip")))

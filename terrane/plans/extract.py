@@ -147,7 +147,8 @@ def routed(outcomes: DataFrame, task: str, threshold: float) -> DataFrame:
     Columns is_new and is_stage_change are read where there are such; new projects and changes of stage always wait.
     """
     rows = parsed(outcomes, task)
-    sure = F.col("got.confidence") if "confidence " in SCHEMAS[task].rpartition(">>")[2] else F.array_min(F.transform("got.projects", lambda x: x["confidence"]))
+    least = lambda: F.array_min(F.transform("got.projects", lambda x: x["confidence"]))
+    sure = least() if task == "project_extraction" else F.col("got.confidence")
     flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in rows.columns else F.lit(False)
     rows = rows.withColumn("confidence", sure)
     waits = flag("is_new") | flag("is_stage_change") | F.coalesce(F.col("confidence") < threshold, F.lit(True))
