@@ -69,12 +69,14 @@ def _scripts(b: np.ndarray) -> np.ndarray:
     """Script of the code point that begins at each byte of UTF-8; 0 at the bytes that continue one."""
     if b.max(initial=0) < 0x80:
         return _SCRIPTS[b]
-    c = np.r_[b, np.zeros(3, b.dtype)] & 0x3F
-    one, two, three = c[1:-2], c[2:-1], c[3:]
-    points = np.where(b < 0x80, b, 0)
-    for low, high, at in ((0xC2, 0xE0, (b & 0x1F) << 6 | one), (0xE0, 0xF0, (b & 0x0F) << 12 | one << 6 | two), (0xF0, 0xF5, (b & 0x07) << 18 | one << 12 | two << 6 | three)):
-        points = np.where((b >= low) & (b < high), at, points)
-    return _SCRIPTS[np.minimum(points, 0x10FFFF)]
+    out = _SCRIPTS[np.where(b < 0x80, b, 0)]
+    lead = np.flatnonzero(b >= 0xC2)  # the other bytes of a code point say nothing
+    c = np.r_[b, np.zeros(3, b.dtype)]
+    first, one, two, three = b[lead], c[lead + 1] & 0x3F, c[lead + 2] & 0x3F, c[lead + 3] & 0x3F
+    long = ((first & 0x0F) << 12 | one << 6 | two, (first & 0x07) << 18 | one << 12 | two << 6 | three)
+    points = np.where(first < 0xE0, (first & 0x1F) << 6 | one, np.where(first < 0xF0, *long))
+    out[lead] = _SCRIPTS[np.minimum(points, 0x10FFFF)]
+    return out
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
