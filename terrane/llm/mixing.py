@@ -147,13 +147,18 @@ def split_quotas(quotas: DataFrame, seed: int = SEED, levels: int = LEVELS) -> D
     """(src, shard, n) from (src, n): the leaves of the splitting tree; nodes are numbered 1, then 2i and 2i + 1."""
     item = lambda i, n: F.sort_array(F.collect_list(F.struct(F.col(i).cast("long").alias("id"), F.col(n).cast("long").alias("n"))))
     groups = quotas.filter("n > 0").withColumn("grp", F.expr(f"(src - 1) div {GROUP}")).groupBy("grp").agg(item("src", "n").alias("items"), F.sum("n").alias("n"))  # GROUP sources at most
-    nodes = groups.agg(item("grp", "n").alias("items")).withColumn("node", F.lit(1).cast("long"))
-    split = _drawn(seed)  # made once: columns of this size take the driver a while
-    half = F.expr("(aggregate(items, 0L, (a, x) -> a + x.n) + 1) div 2")
-    for _ in range(levels):
-        nodes = _next(nodes.select("node", "items", half.alias("half"), F.lit("groups").alias("tag")).select("node", split.alias("split")), [])
     leaf = (F.col("node") - (1 << levels)).cast("int")
-    sums = nodes.select(leaf.alias("shard"), F.explode("items").alias("i")).groupBy(F.col("i.id").alias("grp")).agg(F.collect_list(F.struct("shard", F.col("i.n").alias("n"))).alias("sums"))
+    split = _drawn(seed)  # made once: columns of this size take the driver a while
+    top, total = quotas.agg(F.max("src"), F.sum("n")).first()
+    if top is None or top <= GROUP:
+        # one group: all of its draws are each half's, so its tree is halving alone
+        sums = groups.select("grp", F.array(*[F.struct(F.lit(i).alias("shard"), F.lit(n).cast("long").alias("n")) for i, n in enumerate(_halved(total or 0, levels))]).alias("sums"))
+    else:
+        nodes = groups.agg(item("grp", "n").alias("items")).withColumn("node", F.lit(1).cast("long"))
+        half = F.expr("(aggregate(items, 0L, (a, x) -> a + x.n) + 1) div 2")
+        for _ in range(levels):
+            nodes = _next(nodes.select("node", "items", half.alias("half"), F.lit("groups").alias("tag")).select("node", split.alias("split")), [])
+        sums = nodes.select(leaf.alias("shard"), F.explode("items").alias("i")).groupBy(F.col("i.id").alias("grp")).agg(F.collect_list(F.struct("shard", F.col("i.n").alias("n"))).alias("sums"))
     nodes = groups.select("grp", "items", F.lit(1).cast("long").alias("node")).join(sums, "grp")
     for level in range(levels):
         # what the groups' tree sent to the left of this node is known: the sums of the shards below its left child
@@ -165,6 +170,14 @@ def split_quotas(quotas: DataFrame, seed: int = SEED, levels: int = LEVELS) -> D
     return nodes.select(leaf.alias("shard"), F.explode("items").alias("i")).select(F.col("i.id").alias("src"), "shard", F.col("i.n").alias("n"))
 
 
+def _halved(total: int, levels: int) -> list[int]:
+    """Draws of each leaf: a node's left half is the larger one."""
+    out = [total]
+    for _ in range(levels):
+        out = [x for n in out for x in ((n + 1) // 2, n // 2)]
+    return out
+
+
 def _next(nodes: DataFrame, keep: list[str]) -> DataFrame:
     """Two rows for each node that was split, of its children."""
     left, right = _children(F.col("split"))
@@ -217,7 +230,8 @@ def mix_plan(sizes: DataFrame, seed: int = SEED, levels: int = LEVELS) -> Plan:
 
     # the quotas: passes draws of each block, and one more of a block that is taken whole or lies at the edge
     n_draws = F.col("passes") + F.when(F.col("whole") | F.col("room").isNotNull(), 1).otherwise(0)
-    quotas = written(split_quotas(blocks.groupBy("src").agg(F.sum(n_draws).alias("n")), seed, levels), "quotas")
+    wanted = written(blocks.groupBy("src").agg(F.sum(n_draws).alias("n")), "draws")
+    quotas = written(split_quotas(wanted, seed, levels), "quotas")
     upto = F.sum("n").over(Window.partitionBy("src").orderBy("shard"))  # 2 ** levels rows a source
     ends = quotas.withColumn("upto", upto).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("ends"))
     draws = blocks.withColumn("draw", F.explode(F.sequence(F.lit(1), n_draws + 1))).filter(F.col("draw") <= n_draws)

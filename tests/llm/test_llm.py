@@ -582,13 +582,15 @@ def brute_draws(items, half, node, tag):
     return out
 
 
-def brute_leaves(items, levels, node=1, half=None, tag="groups"):
-    """{leaf: [(id, n)]}; half(node) says how many go left."""
+def brute_leaves(items, levels, node=1, half=None, tag="groups", seen=None):
+    """{leaf: [(id, n)]}; half(node) says how many go left; seen is told each node's items."""
+    if seen is not None:
+        seen[node] = items
     if node >= 1 << levels:
         return {node - (1 << levels): items}
     drawn = brute_draws(items, (sum(n for _, n in items) + 1) // 2 if half is None else half(node), node, tag)
     left, right = [(i, x) for i, _, x in drawn if x], [(i, n - x) for i, n, x in drawn if n - x]
-    return brute_leaves(left, levels, 2 * node, half, tag) | brute_leaves(right, levels, 2 * node + 1, half, tag)
+    return brute_leaves(left, levels, 2 * node, half, tag, seen) | brute_leaves(right, levels, 2 * node + 1, half, tag, seen)
 
 
 def test_mixing_tree(spark, monkeypatch):
@@ -611,6 +613,10 @@ def test_mixing_tree(spark, monkeypatch):
 
         want |= {(s, leaf): n for leaf, x in brute_leaves(items, 3, half=half, tag="sources").items() for s, n in x}
     assert got == want
+    monkeypatch.setattr(mixing, "GROUP", 1000)
+    one = {(r.src, r["shard"]): r.n for r in mixing.split_quotas(spark.createDataFrame(list(quotas.items()), "src long, n long"), levels=3).collect()}
+    whole = brute_leaves(list(quotas.items()), 3, half=lambda node: (sum(n for _, n in at[node]) + 1) // 2, tag="sources", seen=(at := {}))
+    assert one == {(s, leaf): n for leaf, x in whole.items() for s, n in x}
     sizes = [sum(n for (_, k), n in got.items() if k == leaf) for leaf in range(8)]
     assert max(sizes) - min(sizes) <= 1 and all(sum(n for (s, _), n in got.items() if s == x) == q for x, q in quotas.items())
 
