@@ -30,7 +30,9 @@ def od_pairs(cells: DataFrame, targets: DataFrame, origin: str, zone: str) -> Da
     """Every origin with every destination, and their distance: targets are those of destinations(), a capped set that
     is broadcast for that reason, with whatever columns they bring."""
     to = targets.withColumnsRenamed({"x_m": "_tx", "y_m": "_ty"})
-    pairs = cells.select(origin, "x_m", "y_m").join(F.broadcast(to))
+    # origins are few bytes and pairs many: origins are dealt out by key first, and what is summed by origin stays there
+    dealt = cells.select(origin, "x_m", "y_m").repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), origin)
+    pairs = dealt.join(F.broadcast(to))
     return pairs.withColumn("dist_m", F.hypot(F.col("x_m") - F.col("_tx"), F.col("y_m") - F.col("_ty"))).drop("x_m", "y_m", "_tx", "_ty")
 
 

@@ -83,13 +83,13 @@ def part_of(value: Column, cuts: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x <= value)) if cuts else F.lit(0)
 
 
-def running_total(df: DataFrame, value: str, amount: str, out: str, order: list[Column | str] | None = None) -> DataFrame:
+def running_total(df: DataFrame, value: str, amount: str, out: str, order: list[Column | str] | None = None, cuts: list[float] | None = None) -> DataFrame:
     """df with out, the sum of amount over the rows before it in order of value (then of order).
 
     Rows are cut into parts of about the same size; sums of whole parts (a few dozen rows) are added up first, and rows
     are ordered within their part alone, so no task orders all of them. Equal values lie in one part.
     """
-    rows = df.withColumn("_part", part_of(F.col(value).cast("double"), cut_points(df, value)))
+    rows = df.withColumn("_part", part_of(F.col(value).cast("double"), cut_points(df, value) if cuts is None else cuts))
     parts = rows.groupBy("_part").agg(F.sum(amount).alias("_all"))
     before = F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = parts.select("_part", before.alias("_start"))  # a row a part
@@ -100,9 +100,11 @@ def running_total(df: DataFrame, value: str, amount: str, out: str, order: list[
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: rank correlation with average ranks, over rows with both values."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    for c in (x, y):
+    at = F.array(*[F.lit(i / 64) for i in range(1, 64)])
+    both = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), at, F.lit(10_000)).alias(f"q{i}") for i, c in enumerate((x, y))]).first()
+    for i, c in enumerate((x, y)):
         # ranks by value: each distinct value's rows and the rows before it, so ties meet in an aggregate first
-        counts = running_total(rows.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), c, "_n", "_before")
+        counts = running_total(rows.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), c, "_n", "_before", cuts=sorted(set(both[i] or [])))
         rows = rows.join(counts.select(c, (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"_r_{c}")), c)
     return rows.agg(F.corr(f"_r_{x}", f"_r_{y}").alias("rho"), F.count(F.lit(1)).alias("n"))
 

@@ -39,9 +39,10 @@ def knn(points: DataFrame, key: str, other: str, k: int, x: str, y: str, start:
         out = part if out is None else out.unionByName(part)
         if radius >= span:
             return out
-        own = cut(own.join(done.select(key).distinct(), key, "left_anti"))
+        own = own.join(done.select(key).distinct(), key, "left_anti")
         if own.isEmpty():
             return out
+        own = cut(own)
         radius = min(2 * radius, span)
 
 
