@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrane.functions.scalar import in_ring, segment_distance
+from terrane.functions.normal import let
+from terrane.functions.scalar import in_ring, ring_area, segment_distance
 from terrane.operators.measures import majority
 from terrane.operators.spatial import in_polygons
-from terrane.sources.ship import ship_package
 
 RING = "array<struct<x:double,y:double>>"
 #: Neighbours of an axial hexagon.
@@ -51,24 +48,27 @@ def counts_in(points: DataFrame, polygons: DataFrame, cell: str, kind: str, kind
     return polygons.select(cell).join(counts, cell, "left").fillna(0, kinds)
 
 
-def clip_area(subject: list, window: list) -> float:
-    """Area of a ring inside a convex ring that runs anticlockwise: each edge of the window cuts the ring in turn."""
-    out = [(float(x), float(y)) for x, y in subject]
-    for (ax, ay), (bx, by) in zip(window, window[1:] + window[:1]):
-        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in out]
-        kept = []
-        for i, here in enumerate(out):
-            s, t, there = side[i - 1], side[i], out[i - 1]
-            if (s >= 0) != (t >= 0):
-                f = s / (s - t)
-                kept.append((there[0] + f * (here[0] - there[0]), there[1] + f * (here[1] - there[1])))
-            if t >= 0:
-                kept.append(here)
-        out = kept
-        if not out:
-            return 0.0
-    x, y = np.array(out).T
-    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
+def clipped(subject: Column, window: Column) -> Column:
+    """A ring inside a convex ring that runs anticlockwise: each edge of the window cuts the ring in turn. Both are
+    arrays of (x, y); nothing leaves the engine."""
+    none = F.array().cast(RING)
+
+    def cut(ring: Column, k: Column) -> Column:
+        a, b = F.get(window, k), F.get(window, (k + 1) % F.size(window))
+        side = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+        def kept(p: Column, before: Column, s: Column) -> Column:
+            f = s["before"] / (s["before"] - s["here"])
+            met = F.struct((before["x"] + f * (p["x"] - before["x"])).alias("x"), (before["y"] + f * (p["y"] - before["y"])).alias("y"))
+            return F.concat(F.when((s["before"] >= 0) != (s["here"] >= 0), F.array(met)).otherwise(none), F.when(s["here"] >= 0, F.array(p)).otherwise(none))
+
+        def corner(p: Column, i: Column) -> Column:
+            last = F.get(ring, F.when(i == 0, F.size(ring) - 1).otherwise(i - 1))
+            return let(last, lambda q: let(F.struct(side(q).alias("before"), side(p).alias("here")), lambda s: kept(p, q, s)))
+
+        return F.flatten(F.transform(ring, corner))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(window) - 1), subject, cut)
 
 
 def overlay(cells: DataFrame, layer: DataFrame, cell: str, keep: list[str], square: float = 1000.0) -> DataFrame:
@@ -87,15 +87,7 @@ def overlay(cells: DataFrame, layer: DataFrame, cell: str, keep: list[str], squa
     # a pair that shares several squares meets in the first of them alone
     pairs = a.join(b, ["_bx", "_by"]).filter((F.col("_bx") == F.greatest("_c0x", "_l0x")) & (F.col("_by") == F.greatest("_c0y", "_l0y"))).select(cell, *keep, "_c", "_l")
 
-    def areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            ring = lambda r: [(p["x"], p["y"]) for p in r]
-            area = [clip_area(ring(s), ring(w)) for w, s in zip(rows["_c"], rows["_l"])]
-            yield rows.drop(columns=["_c", "_l"]).assign(area=np.array(area, float))
-
-    kinds = dict(pairs.dtypes)
-    ship_package(cells.sparkSession)
-    out = pairs.mapInPandas(areas, ", ".join(f"`{n}` {kinds[n]}" for n in (cell, *keep)) + ", area double")
+    out = pairs.select(cell, *keep, ring_area(clipped(F.col("_l"), F.col("_c"))).alias("area"))
     return out.filter("area > 0")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from terrane.functions.scalar import clip
 from terrane.operators.measures import quantiles, running_total
 from terrane.params import ParamError, Params
 
+LOG = logging.getLogger(__name__)
+
 
 def damping(inventory_months: Column, p: Params) -> Column:
     ratio = p.value("supply.absorption.inventory_cap_months") / F.greatest(inventory_months, F.lit(1.0))
@@ -68,13 +72,17 @@ def fill_round(state: DataFrame, sqm: float) -> DataFrame:
 
 
 def fill(cells: DataFrame, demand: float, sqm: float, cut, rounds: int = 50, tolerance: float = 1e-9) -> DataFrame:
-    """Rounds until nothing is left over or every cell is closed; cut writes a round and reads it again."""
+    """Rounds until nothing is left over or every cell is closed; cut writes a round and reads it again. What cannot be
+    placed stays in rest, the same on every row, and is logged."""
     state = cells.withColumn("active", F.lit(True)).withColumn("got", F.lit(0.0)).withColumn("rest", F.lit(float(demand)))
     for _ in range(rounds):
         state = cut(fill_round(state, sqm))
         rest, active = state.agg(F.max("rest"), F.max(F.col("active").cast("int"))).first()
         if not active or rest <= tolerance:
             break
+    rest = state.agg(F.max("rest")).first()[0] or 0.0
+    if rest > tolerance:
+        LOG.warning("%.1f households could not be housed", rest)
     return state
 
 

@@ -259,8 +259,27 @@ def test_cascade(spark):
 
 
 def test_ingest(spark):
-    square = [(0, 0), (2, 0), (2, 2), (0, 2)]
-    assert ingest.clip_area([(1, 1), (3, 1), (3, 3), (1, 3)], square) == pytest.approx(1) and ingest.clip_area([(5, 5), (6, 5), (6, 6)], square) == 0
+    hexagon = [(100 * math.cos(math.radians(60 * i)), 100 * math.sin(math.radians(60 * i))) for i in range(6)]
+    rng = np.random.default_rng(4)
+    rings = [[(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)], [(500.0, 500.0), (600.0, 500.0), (600.0, 600.0)]]
+    for _ in range(12):  # stars about a point, so rings that are not convex
+        a, r = np.sort(rng.uniform(0, 2 * np.pi, 9)), rng.uniform(20, 180, 9)
+        x, y = rng.uniform(-80, 80, 2)
+        rings.append([(float(x + s * np.cos(t)), float(y + s * np.sin(t))) for t, s in zip(a, r)])
+    df = spark.createDataFrame([(i, ring, hexagon) for i, ring in enumerate(rings)], f"i long, s {ingest.RING}, w {ingest.RING}")
+    got = [r.a for r in df.orderBy("i").select(sc.ring_area(ingest.clipped(F.col("s"), F.col("w"))).alias("a")).collect()]
+    for ring, area in zip(rings, got):
+        # the share of a fine grid of points that lie in both
+        gx, gy = np.meshgrid(np.arange(-100, 100, 0.5) + 0.25, np.arange(-100, 100, 0.5) + 0.25)
+        both = np.ones(gx.shape, bool)
+        for poly in (ring, hexagon):
+            odd = np.zeros(gx.shape, bool)
+            for (ax, ay), (bx, by) in zip(poly, poly[1:] + poly[:1]):
+                if ay != by:
+                    odd ^= ((ay > gy) != (by > gy)) & (gx < (bx - ax) * (gy - ay) / (by - ay) + ax)
+            both &= odd
+        assert area == pytest.approx(both.sum() * 0.25, abs=60)
+    assert got[0] == pytest.approx(4.0) and (got[1] or 0.0) == 0
     grid = ingest.hex_grid(spark, 100.0, 1000.0, 1000.0)
     near = ingest.neighbours(grid).groupBy("cell").count().collect()
     assert max(r["count"] for r in near) == 6 and grid.select("cell").distinct().count() == grid.count()
