@@ -13,8 +13,6 @@ from terrane.operators.measures import majority
 from terrane.operators.spatial import in_polygons
 
 RING = "array<struct<x:double,y:double>>"
-#: Neighbours of an axial hexagon.
-HEX_STEPS = ((1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1))
 
 
 def hex_ring(q: int, r: int, size: float) -> list[tuple[float, float]]:
@@ -34,13 +32,36 @@ def hex_grid(spark: SparkSession, size: float, width: float, height: float, pare
     return out.select(name(F.col("q"), F.col("r")).alias("cell"), name(F.floor(F.col("q") / parent), F.floor(F.col("r") / parent)).alias("parent"), "q", "r", "x_m", "y_m", F.lit(1.5 * math.sqrt(3) * size * size).alias("area_sqm"))
 
 
-def neighbours(cells: DataFrame) -> DataFrame:
-    """(cell, other) of adjacent hexagons: an equi-join on coordinates."""
-    steps = F.explode(F.array(*[F.struct((F.col("q") + dq).alias("q"), (F.col("r") + dr).alias("r")) for dq, dr in HEX_STEPS])).alias("n")
-    near = cells.select("cell", steps).select("cell", "n.q", "n.r")
+def neighbours(cells: DataFrame, k: int = 1) -> DataFrame:
+    """(cell, other) of hexagons at most k steps apart, themselves left out: an equi-join on coordinates."""
+    steps = [(dq, dr) for dq in range(-k, k + 1) for dr in range(max(-k, -dq - k), min(k, -dq + k) + 1) if (dq, dr) != (0, 0)]
+    near = cells.select("cell", F.explode(F.array(*[F.struct((F.col("q") + dq).alias("q"), (F.col("r") + dr).alias("r")) for dq, dr in steps])).alias("n")).select("cell", "n.q", "n.r")
     return near.join(cells.select(F.col("cell").alias("other"), "q", "r"), ["q", "r"]).select("cell", "other")
 
 
+def hex_rings(cells: DataFrame, size: float) -> DataFrame:
+    """cells (q, r, x_m, y_m) with ring, their corners, anticlockwise."""
+    corner = lambda i: F.struct((F.col("x_m") + size * math.cos(math.radians(60 * i - 30))).alias("x"), (F.col("y_m") + size * math.sin(math.radians(60 * i - 30))).alias("y"))
+    return cells.withColumn("ring", F.array(*[corner(i) for i in range(6)]))
+
+
+def hex_cover(spark: SparkSession, boundary: DataFrame, size: float, halo: int, parent: int = 3) -> DataFrame:
+    """Hexagons that share area with a boundary's rings (x and y from 0 up), and those at most halo steps from them.
+
+    (cell, parent, q, r, x_m, y_m, area_sqm, ring, in_city): the cover is where the area shared is above zero, so a
+    boundary's own cells are never lost at its edge; the halo has in_city false.
+    """
+    most = lambda n: F.max(F.array_max(F.transform("ring", lambda p: p[n]))).alias(n)
+    box = boundary.agg(most("x"), most("y")).first()
+    grid = hex_rings(hex_grid(spark, size, box["x"] + 2 * size * (halo + 1), box["y"] + 2 * size * (halo + 1), parent), size)
+    inside = overlay(grid, boundary, "cell", [], 4 * size).select("cell").distinct()
+    named = grid.join(inside.withColumn("_in", F.lit(True)), "cell", "left").withColumn("in_city", F.coalesce("_in", F.lit(False))).drop("_in")
+    if not halo:
+        return named.filter("in_city")
+    near = neighbours(named, halo).join(named.filter("in_city").select(F.col("cell").alias("other")), "other").select("cell").distinct()
+    return named.join(near.withColumn("_near", F.lit(True)), "cell", "left").filter("in_city OR _near").drop("_near")
+
+
 def counts_in(points: DataFrame, polygons: DataFrame, cell: str, kind: str, kinds: list[str], square: float = 1000.0) -> DataFrame:
     """Points of each kind in each polygon; polygons without points have zeros."""
     inside = in_polygons(points, polygons, square, "x", "y", "ring", in_ring(F.col("x"), F.col("y"), F.col("ring")))

@@ -89,3 +89,50 @@ def fit_log_elasticity(zones: DataFrame, y: str, xs: list[str], min_abs: float)
     yy, n = got[-2:]
     tss = yy - right[0] ** 2 / n if n else 0.0
     return dict(zip(["intercept", *xs], map(float, beta))) | {"r2": 1 - (yy - float(beta @ right)) / tss if tss else float("nan"), "n": n}
+
+
+#: Terms of the elasticity regression, in order after the constant.
+TERMS = ("_open", "regulatory_index", "_unbuilt", "_parcel")
+
+
+def _design(rows: DataFrame, offset: float) -> DataFrame:
+    c = F.col
+    return rows.withColumn("_open", F.ln(1 - c("undevelopable_frac") + offset)).withColumn("_unbuilt", F.ln(1 - c("builtup_frac") + offset)).withColumn("_parcel", F.when(c("mean_parcel_sqm") > 0, F.ln(F.when(c("mean_parcel_sqm") > 0, c("mean_parcel_sqm")))))
+
+
+def fit_elasticity(zones: DataFrame, min_abs: float, offset: float = 0.01) -> dict[str, float]:
+    """Log elasticity on developable share, regulation, open land and parcel size, with r2 and n.
+
+    zones: dln_price, dln_floorspace, undevelopable_frac, regulatory_index, builtup_frac, mean_parcel_sqm. Zones whose
+    price hardly moved, or whose elasticity is not positive, are left out; none left raises.
+    """
+    c = F.col
+    moved = _design(zones, offset).filter(F.abs("dln_price") >= min_abs).withColumn("_e", c("dln_floorspace") / c("dln_price")).filter("_e > 0")
+    got = fit_log_elasticity(moved.withColumn("_y", F.ln("_e")), "_y", list(TERMS), 0.0)
+    if not got["n"]:
+        raise ValueError("no zone can be fitted")
+    return got
+
+
+def regressed_elasticity(cells: DataFrame, fit: dict[str, float], offset: float = 0.01) -> DataFrame:
+    """cells with eps by a fit; a term it lacks raises."""
+    lost = [x for x in ("intercept", *TERMS) if fit.get(x) is None]
+    if lost:
+        raise ValueError(f"the fit lacks {lost}")
+    rows = _design(cells, offset)
+    value = sum((float(fit[x]) * F.col(x) for x in TERMS), F.lit(float(fit["intercept"])))
+    return rows.withColumn("eps", F.exp(value)).drop("_open", "_unbuilt", "_parcel")
+
+
+def refine_population(pieces: DataFrame, cells: DataFrame, least: float, ward: str = "ward", people: str = "people") -> DataFrame:
+    """(cell, population, unweighted) from pieces (ward, people, cell, area): a cell belongs to the ward that it shares
+    most area with (of equal ones the last by name), and a ward's people go to its cells by their floorspace; by area, and flagged, where a ward has too
+    little of it. cells (cell, weight); cells in no ward have nobody."""
+    c = F.col
+    best = pieces.groupBy("cell").agg(F.max(F.struct("area", F.col(ward).alias("ward"), F.col(people).alias("people"))).alias("b"))
+    rows = best.select("cell", "b.ward", "b.people", "b.area").join(cells.select("cell", F.coalesce("weight", F.lit(0.0)).alias("_w")), "cell")
+    held = rows.groupBy("ward").agg(F.sum("_w").alias("_tw"), F.sum("area").alias("_ta"))
+    thin = c("_tw") < least
+    share = F.when(thin, c("area") / F.when(c("_ta") > 0, c("_ta"))).otherwise(c("_w") / F.when(c("_tw") > 0, c("_tw")))
+    got = rows.join(held, "ward").select("cell", (c("people") * share).alias("_p"), thin.alias("_t"))
+    return cells.select("cell").join(got, "cell", "left").select("cell", F.coalesce("_p", F.lit(0.0)).alias("population"), F.coalesce("_t", F.lit(False)).alias("unweighted"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators import cell_columns as cc, detection, govern, ingest, measures as ms
+from terrane.operators import cell_columns as cc, detection, govern, ingest, measures as ms, substrate as sub
 from terrane.plans import ledger, scorecard
 from terrane.plans.backtest import PRIME
 from terrane.plans.catalogue import P, TIE, add
@@ -86,6 +86,25 @@ add("dependency_audit", "part", """WITH i AS (SELECT p_brand AS package, CAST(p_
     lambda x: govern.dependency_audit(x.select(c("p_brand").alias("package"), c("p_size").cast("string").alias("version"), F.element_at(F.array(*[F.lit(v) for v in ("None", "Collect", "deliver", "other")]), (c("p_partkey") % 4 + 1).cast("int")).alias("licence")).distinct(),
                                      x.sparkSession.createDataFrame(list(POLICY.items()), "licence string, class string"), ["Brand#1", "brand#2", "Brand#3"], ["BRAND#1"]))
 
+add("grid_k_ring", "a_cells", """WITH g AS (SELECT cell, cell % 40 AS q, CAST(floor(cell / 40) AS BIGINT) AS r FROM a_cells) SELECT a.cell, b.cell AS other FROM g a JOIN g b ON abs(a.q - b.q) <= 2 AND abs(a.r - b.r) <= 2 AND abs(a.q + a.r - b.q - b.r) <= 2 AND a.cell <> b.cell""",
+    lambda x: ingest.neighbours(x.select("cell", (c("cell") % 40).alias("q"), F.floor(c("cell") / 40).alias("r")), 2))
+add("population_refined", "a_cells", """WITH p AS (SELECT zone + d AS ward, 1000e0 + 10 * (zone + d) AS people, cell, (1 + (cell + d) % 3) * 100e0 AS area FROM a_cells, (VALUES (0), (1)) t(d) WHERE cell % 11 <> 0),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY area DESC, ward DESC) AS r FROM p) WHERE r = 1), w AS (SELECT b.*, CASE WHEN ward % 4 = 0 THEN 0 ELSE res_sqm END AS w FROM b JOIN a_cells USING (cell)),
+  s AS (SELECT *, sum(w) OVER z AS tw, sum(area) OVER z AS ta FROM w WINDOW z AS (PARTITION BY ward))
+  SELECT a.cell, round(coalesce(people * CASE WHEN tw < 50 THEN s.area / ta ELSE w / tw END, 0), 6) AS population, coalesce(tw < 50, FALSE) AS unweighted FROM a_cells a LEFT JOIN s USING (cell)""", lambda x: _refined(x))
+
+
+def _refined(x: DataFrame) -> DataFrame:
+    d = F.explode(F.array(F.lit(0), F.lit(1))).alias("d")
+    pieces = x.filter("cell % 11 <> 0").select("cell", "zone", d).select("cell", (c("zone") + c("d")).alias("ward"), (1000.0 + 10 * (c("zone") + c("d"))).alias("people"), ((1 + (c("cell") + c("d")) % 3) * 100.0).alias("area"))
+    ward = pieces.groupBy("cell").agg(F.max(F.struct("area", "ward")).alias("b")).select("cell", "b.ward")
+    weights = x.select("cell", "res_sqm").join(ward, "cell", "left").select("cell", F.when(c("ward") % 4 == 0, 0.0).otherwise(c("res_sqm")).alias("weight"))
+    return sub.refine_population(pieces, weights, 50.0)
+
+
+add("elasticity_regressed", "a_cells", "SELECT cell, round(exp(0.3e0 + 0.5e0 * ln(1 - coalesce(undevelopable_frac, 0) + 0.01e0) - 0.2e0 * amenity + 0.1e0 * ln(1 - builtup_frac + 0.01e0) + 0.05e0 * ln(CASE WHEN mean_parcel_sqm > 0 THEN mean_parcel_sqm END)), 6) AS eps FROM a_cells",
+    lambda x: sub.regressed_elasticity(x.fillna(0.0, ["undevelopable_frac"]).withColumn("regulatory_index", c("amenity")), {"intercept": 0.3, "_open": 0.5, "regulatory_index": -0.2, "_unbuilt": 0.1, "_parcel": 0.05}).select("cell", "eps"))
+
 # --- detection -------------------------------------------------------------------------------------------------
 add("sat_monthly", "a_pixels", """WITH p AS (SELECT project_id, CAST(date_trunc('month', time) AS DATE) AS month, px, scl NOT IN (3, 8, 9, 10) AS ok, b02, b03, b04, b08, b11 FROM a_pixels),
   m AS (SELECT project_id, month, px, quantile_cont(b02, 0.5) FILTER (ok) AS b02, quantile_cont(b03, 0.5) FILTER (ok) AS b03, quantile_cont(b04, 0.5) FILTER (ok) AS b04, quantile_cont(b08, 0.5) FILTER (ok) AS b08, quantile_cont(b11, 0.5) FILTER (ok) AS b11,

@@ -51,17 +51,49 @@ class MemoryReader:
         return self.tables[name]
 
 
+class MissingCapability(LookupError):
+    """A state has no such register."""
+
+
+def _typed(raw: DataFrame, wanted: dict[str, str]) -> list:
+    """Columns by name and type; absent ones are typed nulls."""
+    return [F.col(c).cast(t).alias(c) if c in raw.columns else F.lit(None).cast(t).alias(c) for c, t in wanted.items()]
+
+
 class StateAdapter:
-    """Normalises one state's registers; a method returns None where the state has no such register."""
+    """Normalises one state's registers. What a state does not have raises for guidance and projects, which every city
+    needs, and is None for the rest."""
 
     code = ""
+    #: How the registers may be read: seconds between requests, and whether in bulk.
+    terms: dict = {"seconds_between": 1.0, "bulk": False}
 
-    def guidance(self, raw: DataFrame) -> DataFrame | None:
-        return None
+    def guidance(self, raw: DataFrame) -> DataFrame:
+        raise MissingCapability(f"{self.code}: guidance")
+
+    def projects(self, raw: DataFrame) -> DataFrame:
+        raise MissingCapability(f"{self.code}: projects")
 
     def registrations(self, raw: DataFrame) -> DataFrame | None:
         return None
 
+    def parcels(self, raw: DataFrame) -> DataFrame | None:
+        return None
+
+    def allotments(self, raw: DataFrame) -> DataFrame | None:
+        return None
+
+    def capabilities(self) -> set[str]:
+        """What this state has."""
+        return {n for n in ("guidance", "projects", "registrations", "parcels", "allotments") if getattr(type(self), n) is not getattr(StateAdapter, n)}
+
+    def access_terms(self) -> dict:
+        return dict(self.terms)
+
+    def check_bulk(self, what: str) -> None:
+        if not self.terms["bulk"]:
+            raise PermissionError(f"{self.code}: {what} may not be read in bulk")
+
 
 class SquareYardAdapter(StateAdapter):
     """A state whose guidance values are by the square yard; absent columns become typed nulls."""
@@ -69,13 +101,22 @@ class SquareYardAdapter(StateAdapter):
     code = "AP"
 
     def guidance(self, raw: DataFrame) -> DataFrame:
-        wanted = {"locality_id": "string", "sro_code": "string", "effective_year": "long"}
-        cols = [F.col(c).cast(t).alias(c) if c in raw.columns else F.lit(None).cast(t).alias(c) for c, t in wanted.items()]
-        return raw.select(*cols, (F.col("guidance_inr_sqyd") / 9).alias("guidance_inr_sqft"))
+        return raw.select(*_typed(raw, {"locality_id": "string", "sro_code": "string", "effective_year": "long"}), (F.col("guidance_inr_sqyd") / 9).alias("guidance_inr_sqft"))
+
+    def projects(self, raw: DataFrame) -> DataFrame:
+        return raw.select(*_typed(raw, {"rera_id": "string", "project_name": "string", "promoter": "string", "lat": "double", "lon": "double", "total_units": "long", "declared_completion": "date"}))
 
     def registrations(self, raw: DataFrame) -> DataFrame:
-        wanted = {"rera_id": "string", "project_name": "string", "promoter": "string", "lat": "double", "lon": "double", "total_units": "long", "declared_completion": "date"}
-        return raw.select(*[F.col(c).cast(t).alias(c) if c in raw.columns else F.lit(None).cast(t).alias(c) for c, t in wanted.items()])
+        """Transactions by the square foot; rows without a price or an area go."""
+        price = F.col("consideration_inr") / F.when(F.col("area_sqyd") > 0, F.col("area_sqyd") * 9)
+        rows = raw.select(*_typed(raw, {"document_id": "string", "locality_id": "string", "registered_on": "date"}), price.alias("price_inr_sqft"))
+        return rows.filter("price_inr_sqft IS NOT NULL")
+
+    def parcels(self, raw: DataFrame) -> DataFrame:
+        return raw.select(*_typed(raw, {"parcel_id": "string", "survey_no": "string", "lat": "double", "lon": "double"}), (F.col("extent_acres") * 4046.8564224).alias("area_sqm"))
+
+    def allotments(self, raw: DataFrame) -> DataFrame:
+        return raw.select(*_typed(raw, {"allotment_id": "string", "allottee": "string", "sector": "string", "allotted_on": "date", "lat": "double", "lon": "double"}), (F.col("extent_acres") * 4046.8564224).alias("area_sqm"))
 
 
 ADAPTERS = {a.code: a for a in (SquareYardAdapter,)}

@@ -255,6 +255,10 @@ def test_cascade(spark):
     out = cascade.resolve(anchors, tiers, cells, 1000.0, 2, cut)
     first = out.filter("generation = 1").collect()
     assert {r.cell for r in first} == {0, 1, 3} and sum(r.jobs for r in first) == pytest.approx(50) and first[0].p == pytest.approx(0.72) and first[0].open_year == 2032
+    reached = cells.withColumn("freight_access", F.col("cell") / 10.0)
+    assert {r.cell for r in cascade.inject(anchors, tiers, reached, 1000.0, 0.1).collect()} == {3}
+    with pytest.raises(ParamError):
+        cascade.inject(anchors, tiers, reached, 1000.0)
     assert out.filter("generation = 2").agg(F.sum("jobs")).first()[0] == pytest.approx(5) and out.agg(F.max("generation")).first()[0] == 2
 
 

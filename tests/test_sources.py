@@ -9,13 +9,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import cell_columns as cc, govern, ingest, measures as ms
+from terrane.operators import cell_columns as cc, govern, ingest, measures as ms, substrate
 from terrane.params import ParamError, load_params
 from terrane.plans import extract, ledger, scorecard, service
 from terrane.plans.backtest import resampled
 from terrane.schema import TABLES, Col, SchemaError, Table
 from terrane.sources import clients, migrate
-from terrane.sources.readers import MemoryReader
+from terrane.sources.readers import MemoryReader, MissingCapability, StateAdapter, adapter_for
 from terrane.sources.ship import kept
 from terrane.sources.store import Store, StoreError, content_hash
 
@@ -291,3 +291,49 @@ def test_registry_and_quantile_helpers(spark):
     got = sorted(map(tuple, ingest.registry_problems(df, ["funded"], ["verbal"]).collect()), key=str)
     assert got == sorted([(None, "no_id"), ("p", "repeated"), ("p", "repeated"), ("p", "stage"), ("p", "commitment"), ("p", "size"), ("p", "dates"), ("p", "not_seen")], key=str)
     assert ms.cut_points(spark.range(1000), "id", 4) == pytest.approx([250, 500, 750], abs=3)
+
+
+def test_adapters(spark):
+    ap = adapter_for("AP")
+    assert ap.capabilities() == {"guidance", "projects", "registrations", "parcels", "allotments"} and StateAdapter().capabilities() == set() and StateAdapter().parcels(None) is None
+    deals = spark.createDataFrame([("d", 900.0, 10.0), ("e", 900.0, 0.0)], "document_id string, consideration_inr double, area_sqyd double")
+    assert [r.price_inr_sqft for r in ap.registrations(deals).collect()] == [10.0]
+    assert ap.parcels(spark.createDataFrame([(2.0,)], "extent_acres double")).first().area_sqm == pytest.approx(8093.7, abs=0.1)
+    assert ap.allotments(spark.createDataFrame([(1.0, "x")], "extent_acres double, allottee string")).first().allottee == "x"
+    with pytest.raises(PermissionError):
+        ap.check_bulk("parcels")
+    for missing in (StateAdapter().guidance, StateAdapter().projects):
+        with pytest.raises(MissingCapability):
+            missing(None)
+
+
+def test_hex_cover(spark):
+    ring = [(2000.0, 2000.0), (2600.0, 2000.0), (2600.0, 2600.0), (2000.0, 2600.0)]
+    boundary = spark.createDataFrame([(ring,)], f"ring {ingest.RING}")
+    cover = ingest.hex_cover(spark, boundary, 200.0, 2)
+    rows = cover.collect()
+    city = [r for r in rows if r.in_city]
+    pieces = ingest.overlay(cover, boundary.withColumn("k", F.lit(1)), "cell", ["k"]).agg(F.sum("area")).first()[0]
+    assert pieces == pytest.approx(360_000) and len({r.cell for r in rows}) == len(rows)
+    step = lambda a, b: max(abs(a.q - b.q), abs(a.r - b.r), abs(a.q + a.r - b.q - b.r))
+    assert all(min(step(r, x) for x in city) <= 2 for r in rows) and any(min(step(r, x) for x in city) == 2 for r in rows)
+    assert ingest.hex_cover(spark, boundary, 200.0, 0).count() == len(city)
+
+
+def test_elasticity_fit(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(300):
+        u, g, b, m = rng.uniform(0, 0.8), rng.normal(), rng.uniform(0, 0.9), rng.uniform(200, 9000)
+        eps = np.exp(0.4 + 0.6 * np.log(1 - u + 0.01) - 0.3 * g + 0.2 * np.log(1 - b + 0.01) + 0.05 * np.log(m))
+        rows.append((0.3, float(0.3 * eps), float(u), float(g), float(b), float(m)))
+    rows += [(0.0001, 5.0, 0.1, 0.0, 0.1, 500.0), (0.3, -0.2, 0.1, 0.0, 0.1, 500.0)]
+    df = spark.createDataFrame(rows, "dln_price double, dln_floorspace double, undevelopable_frac double, regulatory_index double, builtup_frac double, mean_parcel_sqm double")
+    fit = substrate.fit_elasticity(df, 0.01)
+    assert [fit[k] for k in ("intercept", *substrate.TERMS)] == pytest.approx([0.4, 0.6, -0.3, 0.2, 0.05], abs=1e-6) and fit["n"] == 300 and fit["r2"] == pytest.approx(1)
+    back = substrate.regressed_elasticity(df.limit(1), fit).first()
+    assert back.eps == pytest.approx(back.dln_floorspace / back.dln_price)
+    with pytest.raises(ValueError, match="lacks"):
+        substrate.regressed_elasticity(df, {"intercept": 1.0})
+    with pytest.raises(ValueError, match="no zone"):
+        substrate.fit_elasticity(df, 9.0)
