@@ -245,3 +245,29 @@ def test_detection(spark):
     assert (83.0 - west) * 111320 * math.cos(math.radians(17.7)) == pytest.approx(500, rel=0.01) and (north - 17.7) * 110650 == pytest.approx(500, rel=0.01)
     with pytest.raises(ValueError, match="bounds"):
         detection.aoi_bounds(10, 0, 5, 1, 1.0)
+
+
+def test_city(spark):
+    """Two years through all layers; projects raise the price where they are, and a network that opens does so everywhere."""
+    few = "cell < 60"
+    base = view(spark, SF, "a_bands").filter(few).drop(*[f"lna_{b}" for b in al.BANDS], "headroom", "field")
+    base = base.join(view(spark, SF, "a_cells").filter(few).select("cell", "com_sqm", "retail_poi", "education_poi", "health_poi", "school_seats", "beds", "absorbed", "inventory", F.col("res_sqm").alias("built")), "cell").withColumn("eps", F.lit(1.0))
+    cells = kept(base.fillna({"price": 900.0}), "cells")
+    flags = F.array_compact(F.array(F.when(F.col("interchange"), "interchange")))
+    sites = view(spark, SF, "a_sites").filter("project_id < 90").withColumn("flags", flags).withColumn("p_completion", F.lit(0.8)).withColumn("open_year", F.lit(1999.5)).withColumn("construction_start", F.lit(1998.0)).withColumn("announced_year", F.lit(1997.0))
+    pairs = access.od_pairs(cells, access.destinations(cells, "zone", "jobs", 25, 50).drop("jobs"), "cell", "zone")
+    modes = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), access.minutes(F.col("dist_m"), v).alias("minutes")) for m, v in (("car", 26.0), ("walk", 4.5), ("transit", 18.0), ("two_wheeler", 26.0))])).alias("m")
+    slow = kept(pairs.select("cell", "zone", modes).select("cell", "zone", "m.*"), "od")
+    quick = slow.withColumn("minutes", F.when(F.col("mode") == "transit", F.col("minutes") / 2).otherwise(F.col("minutes")))
+    tables = ce._tables(sites)
+    persons = {"low": 5.0, "mid": 4.5, "upper_mid": 4.0, "high": 3.5}
+    from terrane.plans import city
+
+    run = lambda projects, od: city.simulate(city.City(cells, projects, *tables, od, (10000.0, 10000.0)), (2000, 2001), P, persons, 0.02)
+    full = run(sites, lambda year: slow if year == 2000 else quick)
+    none = run(sites.filter("false"), lambda year: slow)
+    mean = lambda r, y: r.panel.filter(F.col("year") == y).agg(F.avg("d_ln_p")).first()[0]
+    assert full.panel.count() == 2 * cells.count() and [y.year for y in full.years] == [2000, 2001]
+    lifted = full.panel.filter("year = 2000 AND field > 0.05").join(none.panel.filter("year = 2000").select("cell", F.col("d_ln_p").alias("d0")), "cell")
+    assert lifted.filter("d_ln_p <= d0").count() == 0 and lifted.count() > 0
+    assert mean(full, 2001) > mean(none, 2001) and full.years[1].delivered > 0
