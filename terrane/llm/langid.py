@@ -8,7 +8,8 @@ Prediction reads the text alone. A word's script is told from its code points, a
 script are out for that word. Each word has a log-likelihood for each language; Viterbi finds the labelling of the
 words with the best sum less PENALTY for each switch, and runs of equal labels are the spans. Where no stretch of
 words favours any language over the best single one by more than half the penalty, no labelling with switches can win:
-k runs need k - 1 switches, which is at least k / 2. The single one is then taken without the walk; this is exact.
+k runs need k - 1 switches, which is at least k / 2. Where none does by more than two thirds of it, only two runs over
+the whole text could, and the best two are looked up. The single one is then taken without the walk; this is exact.
 """
 
 from __future__ import annotations
@@ -118,22 +119,25 @@ class Model:
         total = scores.sum(axis=0)
         best = int(total.argmax())
         gain = np.cumsum(np.vstack([np.zeros(len(self.langs)), scores - scores[:, best : best + 1]]), axis=0)
-        if (gain - np.minimum.accumulate(gain, axis=0)).max() <= PENALTY / 2:
+        most = (gain - np.minimum.accumulate(gain, axis=0)).max()
+        if most <= PENALTY / 2 or (most <= PENALTY * 2 / 3 and (gain.max(axis=1) + (gain[-1] - gain).max(axis=1)).max() <= PENALTY):
             return np.full(len(scores), best)
-        n, k = scores.shape
-        stay = np.empty((n, k), bool)
-        source = np.empty(n, np.int64)
-        at = scores[0].copy()
-        for i in range(1, n):
-            top = int(at.argmax())
-            switched = at[top] - PENALTY
-            source[i] = top
-            stay[i] = at >= switched
-            at = np.where(stay[i], at, switched) + scores[i]
-        out = np.empty(n, np.int64)
-        out[-1] = at.argmax()
-        for i in range(n - 1, 0, -1):
-            out[i - 1] = out[i] if stay[i, out[i]] else source[i]
+        # few languages: plain lists are faster than arrays here
+        rows = scores.tolist()
+        at = rows[0]
+        held = [at]
+        for row in rows[1:]:
+            low = max(at) - PENALTY
+            at = [(a if a >= low else low) + s for a, s in zip(at, row)]
+            held.append(at)
+        out = np.empty(len(rows), np.int64)
+        out[-1] = now = at.index(max(at))
+        for i in range(len(rows) - 1, 0, -1):
+            before = held[i - 1]
+            top = max(before)
+            if before[now] < top - PENALTY:
+                now = before.index(top)
+            out[i - 1] = now
         return out
 
     def predict(self, text: bytes | None) -> tuple[str, float, int]:
