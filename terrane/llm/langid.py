@@ -15,7 +15,6 @@ the whole text could, and the best two are looked up. The single one is then tak
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
