@@ -92,7 +92,7 @@ _BLANKS = r"[ \t\n\x0B\f\r]+"
 
 def strip_references(text: str) -> str:
     """The text without [references], and single blanks."""
-    return re.sub(_BLANKS, " ", _REFERENCE.sub("", text)).strip(" ")
+    return re.sub(_BLANKS, " ", _REFERENCE.sub("", text)).strip(" ")  # references to figures stay: they name a picture
 
 
 def stripped(text: Column) -> Column:
@@ -100,6 +100,36 @@ def stripped(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, _REFERENCE.pattern, ""), _BLANKS, " "))
 
 
+_FIGURE = re.compile(r"\[figure:([A-Za-z0-9_.-]+)\]")
+
+
+def figure_problems(references: DataFrame, figures: DataFrame) -> DataFrame:
+    """(figure, problem): referenced and not made, made and not referenced, or made twice. references (figure),
+    figures (figure): two anti joins and one count."""
+    known, said = figures.select("figure"), references.select("figure").distinct()
+    dangling = said.join(known, "figure", "left_anti").select("figure", F.lit("never made").alias("problem"))
+    orphan = known.distinct().join(said, "figure", "left_anti").select("figure", F.lit("never referenced").alias("problem"))
+    twice = known.groupBy("figure").count().filter("count > 1").select("figure", F.lit("made twice").alias("problem"))
+    return dangling.unionByName(orphan).unionByName(twice)
+
+
+def verify_report(sections: list[tuple[str, str]], figures: list[str], data: dict, every: bool = True) -> int:
+    """The number of references checked, if the report holds: each [figure:id] was made, each figure made is referenced
+    (with every), none was made twice, and each [path] has its number beside it. Else it raises, with all that is wrong."""
+    said = [x for _, body in sections for x in _FIGURE.findall(body)]
+    problems = [f"{x} was never made" for x in sorted(set(said) - set(figures))] + [f"{x} was made twice" for x in sorted({x for x in figures if figures.count(x) > 1})]
+    if every:
+        problems += [f"{x} is never referenced" for x in sorted(set(figures) - set(said))]
+    n = len(said)
+    for head, body in sections:
+        plain = _FIGURE.sub("", body)
+        n += len(_REFERENCE.findall(plain))
+        problems += [f"{head}: {x}" for x in unverified(plain, data)]
+    if problems:
+        raise GuardError("; ".join(problems))
+    return n
+
+
 def render_report(title: str, sections: list[tuple[str, str]], data: dict, provenance: dict) -> str:
     """A report as text; refused where a reference is not borne out."""
     bad = {head: found for head, body in sections if (found := unverified(body, data))}

@@ -276,6 +276,12 @@ def band_coverage(df: DataFrame, actual: str, low: str, high: str) -> DataFrame:
     return df.agg(F.avg(F.col(actual).between(F.col(low), F.col(high)).cast("double")).alias("coverage"), F.count(F.lit(1)).alias("n"))
 
 
+def aligned(pred: DataFrame, actual: DataFrame, key: list[str], value: str = "value") -> DataFrame:
+    """(key, pred, actual) of keys that both have a value for; NaN counts as none."""
+    there = lambda df, name: df.select(*key, F.col(value).cast("double").alias(name)).filter(F.col(name).isNotNull() & ~F.isnan(name))
+    return there(pred, "pred").join(there(actual, "actual"), key)
+
+
 def mape(df: DataFrame, pred: str, actual: str, least: float) -> DataFrame:
     """Mean absolute percentage error over rows whose actual is not near 0."""
     rows = df.filter(F.abs(actual) >= least)

@@ -144,4 +144,9 @@ add("bt_gate", "a_cards", f"""WITH v AS (SELECT beat_b2 AS v, row_number() OVER
 add("bt_reliability", "a_draws", """WITH q AS (SELECT cell, quantile_cont(value, 0.1) AS a, quantile_cont(value, 0.9) AS b, quantile_cont(value, 0.25) AS e, quantile_cont(value, 0.75) AS f FROM a_draws WHERE draw > 0 GROUP BY cell), r AS (SELECT * FROM a_draws JOIN q USING (cell) WHERE draw = 0)
   SELECT 0.8e0 AS nominal, round(avg(CASE WHEN value BETWEEN a AND b THEN 1e0 ELSE 0 END), 6) AS observed FROM r UNION ALL SELECT 0.5e0, round(avg(CASE WHEN value BETWEEN e AND f THEN 1e0 ELSE 0 END), 6) FROM r""",
     lambda d: scorecard.reliability(d.filter("draw = 0").join(d.filter("draw > 0").groupBy("cell").agg(*[F.percentile("value", F.lit(q)).alias(n) for n, q in (("a", 0.1), ("b", 0.9), ("e", 0.25), ("f", 0.75))]), "cell"), "value", [(0.8, "a", "b"), (0.5, "e", "f")]))
+add("bt_aligned", "a_cells a_history", "SELECT a.cell, round(a.price, 6) AS pred, round(h.price, 6) AS actual FROM a_cells a JOIN a_history h ON h.cell = a.cell AND h.year = 1998 WHERE a.price IS NOT NULL",
+    lambda x, h: ms.aligned(x, h.filter("year = 1998"), ["cell"], "price"))
+add("report_figures", "a_projects a_announcers", """WITH f AS (SELECT CAST(announcer_id AS VARCHAR) AS figure FROM a_announcers UNION ALL SELECT CAST(announcer_id AS VARCHAR) FROM a_announcers WHERE mean_capex = 0), r AS (SELECT DISTINCT CAST(announcer_id + 3 AS VARCHAR) AS figure FROM a_projects WHERE abandoned)
+  SELECT figure, 'never made' AS problem FROM r WHERE figure NOT IN (SELECT figure FROM f) UNION ALL SELECT DISTINCT figure, 'never referenced' FROM f WHERE figure NOT IN (SELECT figure FROM r) UNION ALL SELECT figure, 'made twice' FROM f GROUP BY figure HAVING count(*) > 1""",
+    lambda p, a: govern.figure_problems(p.filter("abandoned").select((c("announcer_id") + 3).cast("string").alias("figure")), a.select(c("announcer_id").cast("string").alias("figure")).unionByName(a.filter("mean_capex = 0").select(c("announcer_id").cast("string").alias("figure")))))
 add("overheat_precision", "a_cells", "WITH m AS (SELECT quantile_cont(lna, 0.5) AS m FROM a_cells) SELECT round(avg(CASE WHEN lna < m THEN 1e0 ELSE 0 END), 6) AS overheat_precision FROM a_cells, m WHERE amenity > 0.8", lambda x: scorecard.overheat_precision(x, c("amenity") > 0.8, "lna"))

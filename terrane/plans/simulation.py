@@ -162,6 +162,12 @@ def decompose(cells: DataFrame, projects: DataFrame, groups: dict[str, tuple[int
     return market.attribute(out.select("cell", "scenario", F.ln("price").alias("value")), "cell", list(groups), p)
 
 
+def run_digest(run: Run, *more: DataFrame) -> str:
+    """Digest of a whole run: its manifest, its panel and other frames in the order given."""
+    said = [json.dumps(run.manifest, sort_keys=True), digest(run.panel), *map(digest, more)]
+    return hashlib.sha256("\n".join(said).encode()).hexdigest()
+
+
 def digest(panel: DataFrame) -> str:
     """Order-free digest of a panel, to 12 significant digits."""
     from terrane.sources.store import content_hash

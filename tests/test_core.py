@@ -373,6 +373,7 @@ def test_simulation(spark):
     assert out.panel.count() == 2 * 3 * cells.count()
     again = simulation.run(cells.repartition(3), projects, [full, none], P)
     assert simulation.digest(out.panel) == simulation.digest(again.panel) and out.manifest == again.manifest
+    assert simulation.run_digest(out) == simulation.run_digest(again) != simulation.run_digest(out, cells)
     alone = simulation.run(cells, projects, [full], P)
     assert simulation.digest(alone.panel) == simulation.digest(out.panel.filter("scenario = 'full'"))
     parts = simulation.decompose(cells, projects, {"a": tuple(ids[::2]), "b": tuple(ids[1::2])}, years, P)

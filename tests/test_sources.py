@@ -337,3 +337,13 @@ def test_elasticity_fit(spark):
         substrate.regressed_elasticity(df, {"intercept": 1.0})
     with pytest.raises(ValueError, match="no zone"):
         substrate.fit_elasticity(df, 9.0)
+
+
+def test_report_figures():
+    data = {"growth": 3.0}
+    good = [("A", "Prices rose 3.0 % [growth], see [figure:one]."), ("B", "And [figure:two].")]
+    assert govern.verify_report(good, ["one", "two"], data) == 3
+    assert govern.verify_report(good, ["one", "two", "three"], data, every=False) == 3
+    for sections, figures in ((good, ["one"]), (good, ["one", "two", "three"]), (good, ["one", "two", "two"]), ([("A", "9 % [growth]")], [])):
+        with pytest.raises(govern.GuardError):
+            govern.verify_report(sections, figures, data)
