@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.operators import credibility as cr, ensemble as en, market
+from terrane.operators import allocation as al, credibility as cr, ensemble as en, market, shocks
 from terrane.params import Params
 from terrane.sources.ship import kept
 
@@ -82,6 +82,28 @@ def effects(weights: DataFrame, per_capex: float = 1e-6, jobs_per_capex: float =
     )
 
 
+def resolved_effects(projects: DataFrame, archetypes: DataFrame, fields: DataFrame, multipliers: DataFrame, cells: DataFrame, scenarios: list[Scenario], p: Params, centre: tuple[float, float], target: str = "residential") -> DataFrame:
+    """(scenario, cell, year, field, new_jobs) by archetypes instead of capex, for run's effect: all scenarios of a year
+    are resolved in one plan, whose projects are named by scenario; each year is written.
+
+    projects: project_id, archetype, cell, x, y, scale, flags, p_completion, announced_year, construction_start,
+    construction_year, open_year. new_jobs is what a year adds to the jobs that are active.
+    """
+    weights, out = kept(active(projects, scenarios, p), "weights"), None
+    for year in scenarios[0].years:
+        now = weights.filter(F.col("year") == year).withColumn("project_id", F.concat_ws("|", "scenario", F.col("project_id").cast("string"))).drop("year", "scenario", "draw")
+        found = shocks.resolve(now, archetypes, fields, multipliers, cells, year, p, centre, "skip")
+        of = F.split_part(F.col("project_id"), F.lit("|"), F.lit(1)).alias("scenario")
+        felt = found.fields.filter(F.col("target") == target).select(of, "cell", "value").groupBy("scenario", "cell").agg(F.sum("value").alias("field"))
+        jobs = found.employment.select(of, "cell", "jobs", "start_year", "ramp_years", F.lit(0.0).alias("dormitory_share"))
+        both = al.active_jobs(jobs, year, p).select("scenario", "cell", F.col("active").alias("n")).unionByName(al.active_jobs(jobs, year - 1, p).select("scenario", "cell", (-F.col("active")).alias("n")))
+        added = both.groupBy("scenario", "cell").agg(F.greatest(F.lit(0.0), F.sum("n")).alias("new_jobs"))
+        part = felt.join(added, ["scenario", "cell"], "full").select("scenario", "cell", F.lit(year).cast("long").alias("year"), F.coalesce("field", F.lit(0.0)).alias("field"), F.coalesce("new_jobs", F.lit(0.0)).alias("new_jobs"))
+        part = kept(part, f"effects-{year}")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def network_years(states: DataFrame, tables: dict[str, DataFrame], years: tuple[int, ...]) -> dict[int, DataFrame]:
     """The accessibility table (cell, lna) of each year, by the state of the network in it; a state without one raises."""
     named = {r.year: r.state for r in states.collect()}  # a row a year
@@ -91,12 +113,13 @@ def network_years(states: DataFrame, tables: dict[str, DataFrame], years: tuple[
     return {y: tables[named[y]] for y in years}
 
 
-def run(cells: DataFrame, projects: DataFrame, scenarios: list[Scenario], p: Params, draws: DataFrame | None = None, growth: float = 0.02, sqm: float = 65.0, chances: DataFrame | None = None, access: dict[int, DataFrame] | None = None) -> Run:
+def run(cells: DataFrame, projects: DataFrame, scenarios: list[Scenario], p: Params, draws: DataFrame | None = None, growth: float = 0.02, sqm: float = 65.0, chances: DataFrame | None = None, access: dict[int, DataFrame] | None = None, effect: DataFrame | None = None) -> Run:
     """The panel (scenario, draw, cell, year, ...) of all scenarios and draws.
 
     cells has the substrate's columns. draws (draw, and any of gamma_mult, phi) gives each draw's price response and
     trend; without it there is draw 0. chances are the draws' probabilities of projects. access gives accessibility by
-    year, as networks open; its change moves demand. Each year: effects, delivery against last year's demand,
+    year, as networks open; its change moves demand. effect gives the scenarios' effects (resolved_effects); without it
+    they are in proportion to capex. Each year: effects, delivery against last year's demand,
     households by logit share, clearing; floorspace and households must add up.
     """
     spark: SparkSession = cells.sparkSession
@@ -110,10 +133,10 @@ def run(cells: DataFrame, projects: DataFrame, scenarios: list[Scenario], p: Par
     n_runs = runs.count()
     if n_runs > MAX_RUNS:
         raise SimulationError(f"{n_runs} runs; at most {MAX_RUNS} share one plan")
-    weights = active(projects, scenarios, p, chances)
-    effect = kept(effects(weights), "effects")
-    on = ["scenario", "cell"] if chances is None else ["scenario", "draw", "cell"]
-    effect = effect.drop("draw") if chances is None else effect
+    on = ["scenario", "cell"] if chances is None or effect is not None else ["scenario", "draw", "cell"]
+    if effect is None:
+        made = kept(effects(active(projects, scenarios, p, chances)), "effects")
+        effect = made.drop("draw") if chances is None else made
     state = cells.select("cell", "households", "lna", "amenity", "absorbed", "inventory", "capacity_sqm", "eps", F.col("res_sqm").alias("built"), F.coalesce("price", F.lit(0.0)).alias("price"))
     state = state.join(F.broadcast(runs)).withColumn("backlog", F.lit(0.0)).withColumn("demand", F.lit(0.0))
     state, panel = kept(state, "state"), None

@@ -271,3 +271,24 @@ def test_city(spark):
     lifted = full.panel.filter("year = 2000 AND field > 0.05").join(none.panel.filter("year = 2000").select("cell", F.col("d_ln_p").alias("d0")), "cell")
     assert lifted.filter("d_ln_p <= d0").count() == 0 and lifted.count() > 0
     assert mean(full, 2001) > mean(none, 2001) and full.years[1].delivered > 0
+
+
+def test_resolved_effects(spark):
+    """Effects by archetype for two scenarios at once, and a run with them."""
+    from terrane.operators import substrate
+    from terrane.plans import simulation
+
+    cells = kept(substrate.substrate(view(spark, SF, "a_cells"), P).filter("cell < 60"), "cells")
+    sites = view(spark, SF, "a_sites").filter("project_id < 60").withColumn("flags", F.array().cast("array<string>")).withColumn("p_completion", F.lit(0.5))
+    sites = sites.withColumns({"open_year": F.lit(2000.0), "construction_start": F.lit(1999.0), "construction_year": F.lit(1999.0), "announced_year": F.lit(1998.0)}).drop("weight")
+    years = simulation.horizon(2000, 2001)
+    scenarios = [simulation.Scenario("full", years), simulation.Scenario("no_plants", years, tuple(range(2, 60, 3)))]
+    effect = simulation.resolved_effects(sites, *ce._tables(sites), cells, scenarios, P, (10000.0, 10000.0))
+    by = {(r.scenario, r.year): r for r in effect.groupBy("scenario", "year").agg(F.sum("new_jobs").alias("j"), F.sum("field").alias("f")).collect()}
+    assert by["full", 2000].j > 0 and by["full", 2001].j > by["no_plants", 2001].j > 0 and by["full", 2001].f < by["no_plants", 2001].f
+    alone = ce.shocks.resolve(cr.activation(sites, spark.createDataFrame([(2001,)], "year long"), P).drop("year"), *ce._tables(sites), cells, 2001, P, (10000.0, 10000.0), "skip")
+    assert by["full", 2001].f == pytest.approx(alone.fields.filter("target = 'residential'").agg(F.sum("value")).first()[0])
+    panel = simulation.run(cells, sites, scenarios, P, effect=effect).panel
+    assert panel.count() == 4 * cells.count()
+    gap = panel.filter("year = 2001").groupBy("scenario").agg(F.sum("households").alias("h")).collect()
+    assert {r.scenario: r.h for r in gap}["full"] > {r.scenario: r.h for r in gap}["no_plants"]
