@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrane.llm.common import load
 from terrane.llm.decontam import op9_decontam, op9_sql
+from terrane.llm.interactions import op11_audit, op11_sql
 from terrane.llm.langid import op6_language
 from terrane.llm.licenses import op5_licenses, op5_sql
 from terrane.llm.linededup import op4_lines, op4_sql
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": _over(op8_urls, "pages"),
         "op9_decontamination": _over(op9_decontam, "documents", "benchmark"),
         "op10_mixing": _over(op10_mix, "documents"),
+        "op11_filter_audit": _over(op11_audit, "documents", "labels"),
         # more of what operators find, where SQL can check it
         "quality_ablations": _over(op2_ablations, "documents"),
         "secret_base_spans": _over(base_spans, "documents"),
@@ -51,6 +53,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": op5_sql(),
         "op8_url_filter": op8_sql(),
         "op9_decontamination": op9_sql(),
+        "op11_filter_audit": op11_sql(),
         "quality_ablations": op2_ablations_sql(),
         "secret_base_spans": base_spans_sql(),
         "mix_targets": mix_targets_sql(),
