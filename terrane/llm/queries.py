@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from terrane.llm.common import load
+from terrane.llm.conversations import op12_sql, op12_trie
 from terrane.llm.decontam import op9_decontam, op9_sql
 from terrane.llm.interactions import op11_audit, op11_sql
 from terrane.llm.langid import op6_language
@@ -37,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": _over(op9_decontam, "documents", "benchmark"),
         "op10_mixing": _over(op10_mix, "documents"),
         "op11_filter_audit": _over(op11_audit, "documents", "labels"),
+        "op12_prefix_trie": _over(op12_trie, "conversations"),
         # more of what operators find, where SQL can check it
         "quality_ablations": _over(op2_ablations, "documents"),
         "secret_base_spans": _over(base_spans, "documents"),
@@ -54,6 +56,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_url_filter": op8_sql(),
         "op9_decontamination": op9_sql(),
         "op11_filter_audit": op11_sql(),
+        "op12_prefix_trie": op12_sql(),
         "quality_ablations": op2_ablations_sql(),
         "secret_base_spans": base_spans_sql(),
         "mix_targets": mix_targets_sql(),
