@@ -7,11 +7,16 @@ COORDS * ln(COORDS) / n rounds, and the share of equal coordinates is concentrat
 
 Documents with equal sets form one class, of which one row goes on. Classes that agree on a band (four coordinates)
 meet in a bucket. In each bucket a class is compared with the bucket's leader only; classes that turn out linked are
-one component. Buckets that still hold several components try other leaders for a few turns, and at last compare all
-classes of different components with each other, in blocks of bounded size. So a bucket of thousands of copies costs
-about as many comparisons as it has members, and no candidate is left out. A comparison first needs sizes that allow
-the threshold and 128-bit sketches that do not rule it out (max_bits=None turns that off), and then the full shingle
-sets, made again from whole texts.
+one component, and buckets that still hold several components try other leaders for a few turns. So a bucket of
+thousands of copies costs about as many comparisons as it has members.
+
+What is left is classes that share a bucket and are not linked so far, a page template's for example. They meet anew
+by their rarest shingles: of two sets that reach the threshold, the shorter one's first (1 - 2t / (1 + t)) n + 1
+shingles and the longer one's first (1 - t) n + 1, rarest first, have one in common. Sets that share a large common
+part and differ too much in the rest share none of these and never meet; what does meet is compared block by block.
+This step is exact whatever the order of the shingles is; counting them decides speed alone. A comparison first needs
+sizes that allow the threshold and 128-bit sketches that do not rule it out (max_bits=None turns that off), and then
+the full shingle sets, made again from whole texts.
 
 Misses: two sets at similarity 0.75 share no band with probability (1 - 0.75 ** 4) ** 32 = 5e-6, and at 0.9 less than
 1e-14; the sketch test turns down a pair at 0.75 with probability below 1e-8.
@@ -19,6 +24,7 @@ Misses: two sets at similarity 0.75 share no band with probability (1 - 0.75 **
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -32,6 +38,24 @@ from terrane.sources.ship import ship_package
 
 SHINGLE_WORDS = 5
 PERCENT = 75
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Which documents are linked: 100 * intersection >= percent * union of their sets of `words`-word shingles."""
+
+    words: int = SHINGLE_WORDS
+    percent: int = PERCENT
+
+    def probe(self, n: int) -> int:
+        """How many of a set's n shingles must hold one that any linked set of the same size or less looks up."""
+        return n - -(-self.percent * n // 100) + 1
+
+    def index(self, n: int) -> int:
+        """The same for the shorter one of two sets: 2t / (1 + t) of it are shared at least."""
+        return n - -(-2 * self.percent * n // (100 + self.percent)) + 1
+
+
 COORDS = 128
 BAND = 4
 BANDS = COORDS // BAND
@@ -44,6 +68,8 @@ PARTNER_ROWS = 4000
 #: Most rows and shingles of one block of a bucket.
 BLOCK_ROWS, BLOCK_SHINGLES = 1000, 500_000
 WORD_CACHE = 50_000
+#: Most shingles whose counts decide the order of all: more than 64 classes hold each, and no more than this many can.
+COMMON = 1 << 19
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
@@ -73,14 +99,14 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def shingles(text: bytes | None) -> np.ndarray:
-    """Sorted distinct hashes of the five-word shingles; of the whole sequence, where there are fewer words."""
+def shingles(text: bytes | None, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of so many words; of the whole sequence, where there are fewer words."""
     words = text.lower().split() if text else []  # of bytes: A-Z alone, and the six ASCII blanks alone
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
-    k = min(n, SHINGLE_WORDS)
+    k = min(n, size)
     out = h[: n - k + 1].copy()
     for j in range(1, k):
         out = out * _FACTOR + h[j : n - k + 1 + j]
@@ -141,25 +167,25 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return arrow_pass(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), _signature_batch, "id long, n long, h1 long, h2 long, b1 long, b2 long, bands array<long>")
 
 
-def _linked_batch(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+def _linked_batch(batch: pa.RecordBatch, rule: Rule) -> pa.RecordBatch | None:
     """Pairs (u, v) whose full shingle sets reach the threshold. Rows come sorted by u, so its set is made once."""
     us, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     held, left, keep = None, None, []
     for i, (tu, tv) in enumerate(zip(texts_as_bytes(batch.column(2)), texts_as_bytes(batch.column(3)))):
         if tu != held:
-            held, left = tu, shingles(tu)
-        right = shingles(tv)
+            held, left = tu, shingles(tu, rule.words)
+        right = shingles(tv, rule.words)
         both = len(np.intersect1d(left, right, assume_unique=True))
-        if 100 * both >= PERCENT * (len(left) + len(right) - both) and both:
+        if 100 * both >= rule.percent * (len(left) + len(right) - both) and both:
             keep.append(i)
     return pa.RecordBatch.from_arrays([pa.array([us[i] for i in keep], pa.int64()), pa.array([vs[i] for i in keep], pa.int64())], ["u", "v"])
 
 
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (u, v) that the full sets of texts (id, text) confirm, written."""
     with_v = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
     both = with_v.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").select("u", "v", "tu", "tv")
-    return written(arrow_pass(both, _linked_batch, "u long, v long", 4096).distinct(), "links")
+    return written(arrow_pass(both, partial(_linked_batch, rule=rule), "u long, v long", 4096).distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,9 +225,9 @@ def _rename(pairs: DataFrame, hooks: DataFrame, *names: str) -> DataFrame:
     return pairs.select(*[F.least(*names).alias(names[0]), F.greatest(*names).alias(names[1])])
 
 
-def _possible(n1: str, n2: str, max_bits: int | None, *bits: tuple[str, str]) -> F.Column:
+def _possible(rule: Rule, n1: str, n2: str, max_bits: int | None, *bits: tuple[str, str]) -> F.Column:
     """Sizes allow the threshold, and the sketches do not rule it out (if they may)."""
-    sizes = F.lit(100) * F.least(n1, n2) >= F.lit(PERCENT) * F.greatest(n1, n2)
+    sizes = F.lit(100) * F.least(n1, n2) >= F.lit(rule.percent) * F.greatest(n1, n2)
     return sizes if max_bits is None else sizes & (_apart(*bits) <= max_bits)
 
 
@@ -210,20 +236,22 @@ def _apart(*bits: tuple[str, str]) -> F.Column:
     return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in bits), F.lit(0))
 
 
-def _stars(rest: DataFrame, traits: DataFrame, turn: int, max_bits: int | None) -> DataFrame:
+def _stars(rest: DataFrame, traits: DataFrame, turn: int, rule: Rule, max_bits: int | None) -> DataFrame:
     """(x, u, v, apart): each class x of a mixed bucket with the bucket's leader, if that is of another component.
 
+    apart orders a class's leaders: by differing bits of the sketches, then by how many buckets they share.
+
     The first leaders are the classes that meet most others, as an original does among its altered copies; later
     ones are drawn by hash.
     """
     order = F.struct("weight", F.negative("node").alias("k")) if not turn else F.struct(F.xxhash64("node", F.lit(turn)).alias("weight"), F.negative("node").alias("k"))
     leaders = rest.groupBy("bucket").agg(F.max(F.struct(order.alias("by"), F.col("root").alias("root"))).alias("best"))
     leaders = leaders.select("bucket", F.negative("best.by.k").alias("leader"), F.col("best.root").alias("lroot"))
-    pairs = rest.select("bucket", "node", "root").join(leaders, "bucket").filter("root <> lroot").select("node", "leader").distinct()
+    pairs = rest.select("bucket", "node", "root").join(leaders, "bucket").filter("root <> lroot").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("shared"))
     pairs = pairs.join(traits.select("node", "n", "b1", "b2"), "node").join(traits.select(F.col("node").alias("leader"), F.col("n").alias("ln"), F.col("b1").alias("lb1"), F.col("b2").alias("lb2")), "leader")
     bits = (("b1", "lb1"), ("b2", "lb2"))
-    return pairs.filter(_possible("n", "ln", max_bits, *bits)).select(
-        F.col("node").alias("x"), F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"), _apart(*bits).alias("apart")
+    return pairs.filter(_possible(rule, "n", "ln", max_bits, *bits)).select(
+        F.col("node").alias("x"), F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"), F.struct(_apart(*bits).alias("bits"), F.negative("shared").alias("by")).alias("apart")
     )
 
 
@@ -246,7 +274,7 @@ class _Sets:
         self.of[self.of == self.of[j]] = self.of[i]
 
 
-def _group_links(rows: dict, max_bits: int | None) -> list[tuple[int, int]]:
+def _group_links(rows: dict, rule: Rule, max_bits: int | None) -> list[tuple[int, int]]:
     """Links that join different components of one group: rows of block bi against rows of block bj, on full sets."""
     n, b1, b2, own = (np.asarray(rows[c], np.int64) for c in ("n", "b1", "b2", "own"))
     left, right = (np.flatnonzero(own == rows[c][0]) for c in ("bi", "bj"))
@@ -254,7 +282,7 @@ def _group_links(rows: dict, max_bits: int | None) -> list[tuple[int, int]]:
 
     def partners(i: int) -> np.ndarray:
         small, large = np.minimum(n[right], n[i]), np.maximum(n[right], n[i])
-        near = (sets.of[right] != sets.of[i]) & (100 * small >= PERCENT * large)
+        near = (sets.of[right] != sets.of[i]) & (100 * small >= rule.percent * large)
         if max_bits is not None:
             near &= sum(np.bitwise_count((b[right] ^ b[i]).view(np.uint64)).astype(np.int64) for b in (b1, b2)) <= max_bits
         return right[near]
@@ -262,7 +290,7 @@ def _group_links(rows: dict, max_bits: int | None) -> list[tuple[int, int]]:
     wanted = [len(partners(i)) > 0 for i in left]
     if not any(wanted):
         return []
-    found = [shingles(t) for part in rows["text"] for t in texts_as_bytes(part)]
+    found = [shingles(t, rule.words) for part in rows["text"] for t in texts_as_bytes(part)]
     offsets = np.r_[0, np.cumsum([len(x) for x in found])]
     numbers = np.unique(np.concatenate(found), return_inverse=True)[1].ravel()
     flags, out = np.zeros(len(numbers) + 1, np.int64), []
@@ -275,20 +303,20 @@ def _group_links(rows: dict, max_bits: int | None) -> list[tuple[int, int]]:
         for j in near:
             if sets.of[i] != sets.of[j]:
                 both = int(flags[numbers[offsets[j] : offsets[j + 1]]].sum())
-                if 100 * both >= PERCENT * (len(found[i]) + len(found[j]) - both):
+                if 100 * both >= rule.percent * (len(found[i]) + len(found[j]) - both):
                     out.append((rows["node"][i], rows["node"][j]))
                     sets.join(i, j)
         flags[mine] = 0
     return out
 
 
-def _sorted_groups(batches, max_bits: int | None):
+def _sorted_groups(batches, rule: Rule, max_bits: int | None):
     """Links of each group of rows sorted by (bucket, bi, bj); a group may run over several batches."""
     at, held = None, None
     names = ["node", "root", "n", "b1", "b2", "own", "bi", "bj", "text"]
 
     def made() -> pa.RecordBatch:
-        links = _group_links(held, max_bits)
+        links = _group_links(held, rule, max_bits)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     for batch in batches:
@@ -309,39 +337,93 @@ def _sorted_groups(batches, max_bits: int | None):
         yield made()
 
 
-def _with_partners(rows: DataFrame, max_bits: int | None) -> DataFrame:
+def _with_partners(rows: DataFrame, rule: Rule, max_bits: int | None) -> DataFrame:
     """The rows of buckets that have a possible partner of another component in the same bucket, each once.
 
     Large buckets are cut into blocks first and a row is compared within pairs of blocks, so a task compares no more
-    than PARTNER_ROWS rows with as many, whatever a bucket holds. Sizes and sketches alone travel.
+    than PARTNER_ROWS rows with as many, whatever a bucket holds. Sizes and sketches alone travel. Of two rows, the
+    shorter one must be in the bucket by one of its first shingles (`first`).
     """
-    cols = ("node", "root", "n", "b1", "b2", "size")
-    blocks = F.ceil(F.col("size") / PARTNER_ROWS)  # size: the classes that the bucket had at first
+    cols = ("node", "root", "n", "b1", "b2", "first", "size")
+    blocks = F.ceil(F.col("size") / PARTNER_ROWS)
     dealt = rows.select("bucket", *cols, F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("other"))
     dealt = dealt.select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", *cols)
     x, y = (dealt.select(*[F.col(c).alias(f"{c}{i}") for c in ("bucket", "bi", "bj", "own", *cols)]) for i in "xy")
     same = (F.col("bucketx") == F.col("buckety")) & (F.col("bix") == F.col("biy")) & (F.col("bjx") == F.col("bjy"))
     # in a pair of different blocks, rows meet those of the other one alone
     across = (F.col("bix") == F.col("bjx")) | (F.col("ownx") != F.col("owny"))
-    possible = same & across & (F.col("rootx") != F.col("rooty")) & _possible("nx", "ny", max_bits, ("b1x", "b1y"), ("b2x", "b2y"))
+    looked_up = (F.col("firstx") & (F.col("nx") <= F.col("ny"))) | (F.col("firsty") & (F.col("ny") <= F.col("nx")))
+    possible = same & across & (F.col("rootx") != F.col("rooty")) & looked_up & _possible(rule, "nx", "ny", max_bits, ("b1x", "b1y"), ("b2x", "b2y"))
     found = x.join(y, possible, "left_semi").select(*[F.col(f"{c}x").alias(c) for c in ("bucket", *cols)])
     return found.distinct()
 
 
-def _links_left(rest: DataFrame, texts: DataFrame, max_bits: int | None) -> DataFrame:
-    """Links between classes of different components in the same bucket, written.
+def _shingle_batch(batch: pa.RecordBatch, rule: Rule) -> pa.RecordBatch:
+    sets = [_signed(shingles(t, rule.words)) for t in texts_as_bytes(batch.column(1))]
+    offsets = np.r_[0, np.cumsum([len(x) for x in sets])]
+    values = np.concatenate(sets) if sets else np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], ["node", "shingles"])
+
+
+def _rare_batch(batch: pa.RecordBatch, rule: Rule, common) -> pa.RecordBatch:
+    """The rarest shingles of each set, as many as it is looked up by, and whether it is by the shorter set's measure."""
+    known, counts = common.value
+    nodes, firsts, tokens = [], [], []
+    lists = batch.column(1)
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    for node, start, end in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:]):
+        x = values[start:end]
+        at = np.searchsorted(known, x)
+        at[at == len(known)] = 0
+        count = np.where(known[at] == x, counts[at], 0) if len(known) else np.zeros(len(x), np.int64)
+        take = np.lexsort((x, count))[: rule.probe(len(x))]
+        nodes.append(np.full(len(take), node))
+        firsts.append(np.arange(len(take)) < rule.index(len(x)))
+        tokens.append(x[take])
+    parts = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (tokens, nodes)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in parts), pa.array(np.concatenate(firsts) if firsts else [], pa.bool_())], ["bucket", "node", "first"])
+
+
+def _rare_buckets(rest: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """(bucket, node, root, n, b1, b2, first, size), written: classes of mixed buckets, met anew by their rarest shingles.
+
+    Shingles that many classes hold come last in the order. Their counts go to all tasks: COMMON of them at most, as
+    more cannot pass the limit. Any order is right, so what is not counted as common is ordered by its hash.
+    """
+    left = written(rest.select("node", "root", "n", "b1", "b2").distinct(), "left")
+    sets = arrow_pass(texts.withColumnRenamed("id", "node").join(left.select("node"), "node", "left_semi").select("node", "text"), partial(_shingle_batch, rule=rule), "node long, shingles array<long>")
+    sets = written(sets, "left-sets")
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    counts = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > max(64, total // COMMON))
+    rows = counts.toArrow()
+    known, many = (rows.column(c).to_numpy() for c in ("s", "c"))
+    by = np.argsort(known)
+    common = sets.sparkSession.sparkContext.broadcast((known[by], many[by]))
+    met = arrow_pass(sets, partial(_rare_batch, rule=rule, common=common), "bucket long, node long, first boolean")
+    met = written(met.join(left, "node"), "rarest")
+    mixed = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("first").alias("any")).filter("any AND r0 < r1")
+    out = written(met.join(mixed.select("bucket", "size"), "bucket"), "rarest-met")
+    for table in (left, sets, met):
+        forget(table)
+    return out
+
+
+def _links_left(rest: DataFrame, texts: DataFrame, rule: Rule, max_bits: int | None) -> DataFrame:
+    """Links between classes of different components that are left in mixed buckets, written.
 
     A large bucket is cut into blocks, and each pair of blocks is a group of its own, of bounded rows and shingles;
     failing pairs never leave the group, and links leave it only while they join components.
     """
-    some = written(_with_partners(rest, max_bits), "possible")
+    rare = _rare_buckets(rest, texts, rule)
+    some = written(_with_partners(rare, rule, max_bits), "possible")
+    forget(rare)
     blocks = some.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
     dealt = some.join(blocks, "bucket").select("*", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "root", "n", "b1", "b2")
     grouped = dealt.join(texts.withColumnRenamed("id", "node"), "node").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
     ship_package(grouped.sparkSession)
-    out = written(grouped.mapInArrow(partial(_sorted_groups, max_bits=max_bits), "u long, v long").distinct(), "links-left")
+    out = written(grouped.mapInArrow(partial(_sorted_groups, rule=rule, max_bits=max_bits), "u long, v long").distinct(), "links-left")
     forget(some)
     return out
 
@@ -354,32 +436,41 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an id. Other columns of df are not read. An empty table gives an empty table. With max_bits None no pair of a
     bucket is turned down by its sketches; sizes alone spare comparisons then, which is exact.
     """
-    sig = written(signatures(df, id_col, text_col), "signatures")
+    return linked_components(df, signatures(df, id_col, text_col), Rule(), id_col, text_col, max_bits)
+
+
+def linked_components(df: DataFrame, sig: DataFrame, rule: Rule, id_col: str, text_col: str, max_bits: int | None) -> DataFrame:
+    """(id, n_shingles, component_id, kept) from signatures of df's rows (id, n, h1, h2, b1, b2, bands).
+
+    Rows meet where they share a value of bands; with max_bits None, b1 and b2 decide nothing.
+    """
+    sig = written(sig, "signatures")
     reps = written(
         sig.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("n", "b1", "b2", "bands")]).filter("node IS NOT NULL"), "classes"
     )
     banded = reps.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = written(banded.join(shared, "bucket").join(reps.select("node", "n", "b1", "b2"), "node").withColumn("root", F.col("node")), "buckets")
-    pool = written(_with_partners(met, max_bits).join(met.groupBy("node").agg(F.sum("size").alias("weight")), "node"), "candidates")
+    met = written(banded.join(shared, "bucket"), "buckets")
+    weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
+    traits = written(reps.select("node", "n", "b1", "b2").join(weights, "node"), "traits")
+    pool = written(met.select("bucket", "node").join(traits, "node").withColumn("root", F.col("node")), "candidates")
     forget(met)
-    traits = written(pool.select("node", "n", "b1", "b2").distinct(), "traits")
     # candidates are too many to broadcast where it matters, so the join is a shuffle at every size
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(traits.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    texts = texts.join(traits.select(F.col("node").alias("id")).hint("merge"), "id", "left_semi")
     texts = written(texts.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["id", "_hash"]).drop("_hash"), "candidate-texts")
 
     # turns of comparing with leaders: each links some components or is the last one
     roots, tried = None, None
     rest = _mixed(pool, roots)
     for turn in range(TURNS):
-        stars = _stars(rest, traits, turn, max_bits)
+        stars = _stars(rest, traits, turn, rule, max_bits)
         if tried is not None:
             stars = stars.join(tried, ["u", "v"], "left_anti")
         nearest = written(stars.groupBy("x").agg(F.min(F.struct("apart", "u", "v")).alias("best")).select("best.u", "best.v").distinct(), "tried")
         if nearest.isEmpty():
             break
-        found = linked(nearest, texts)
+        found = linked(nearest, texts, rule)
         if found.isEmpty():
             break
         roots = _merged(roots, found)
@@ -388,7 +479,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rest = _mixed(pool, roots)
 
     # what is left: classes of different components that share a bucket
-    roots = _merged(roots, _links_left(rest, texts, max_bits))
+    roots = _merged(roots, _links_left(rest, texts, rule, max_bits))
     for table in (rest, pool, traits, texts):
         forget(table)
 

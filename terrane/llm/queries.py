@@ -15,6 +15,7 @@ from terrane.llm.licenses import op5_licenses, op5_sql
 from terrane.llm.linededup import op4_lines, op4_sql
 from terrane.llm.mixing import mix_targets, mix_targets_sql, op10_mix
 from terrane.llm.neardup import op3_neardup, op3_sql
+from terrane.llm.ngramjoin import op13_join, op13_sql
 from terrane.llm.quality import op2_ablations, op2_ablations_sql, op2_quality, op2_sql
 from terrane.llm.secret_scan import base_spans, base_spans_sql, op7_secrets
 from terrane.llm.sharding import op1_shards, op1_sql
@@ -39,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing": _over(op10_mix, "documents"),
         "op11_filter_audit": _over(op11_audit, "documents", "labels"),
         "op12_prefix_trie": _over(op12_trie, "conversations"),
+        "op13_ngram_join": _over(op13_join, "documents"),
         # more of what operators find, where SQL can check it
         "quality_ablations": _over(op2_ablations, "documents"),
         "secret_base_spans": _over(base_spans, "documents"),
@@ -57,6 +59,7 @@ def oracle_sql() -> dict[str, str]:
         "op9_decontamination": op9_sql(),
         "op11_filter_audit": op11_sql(),
         "op12_prefix_trie": op12_sql(),
+        "op13_ngram_join": op13_sql(),
         "quality_ablations": op2_ablations_sql(),
         "secret_base_spans": base_spans_sql(),
         "mix_targets": mix_targets_sql(),
