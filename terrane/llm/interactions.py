@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import arrow_pass, texts_as_bytes
+from terrane.llm.common import arrow_pass, texts_as_bytes, written
 
 #: The filters' letters, in the order of their bits.
 LETTERS = "ABCDE"
@@ -89,7 +89,7 @@ def failure_masks(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     an id and a text are copies only of smaller ids. An empty table gives an empty table. Other columns are not read.
     """
     plain = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.col(text_col).alias("text"))
-    rows = arrow_pass(plain, _features, "id long, part string, mask int, digest binary")
+    rows = written(arrow_pass(plain, _features, "id long, part string, mask int, digest binary"), "features")  # read twice
     # one row for each text: a group of copies of any size is combined before the shuffle
     first = rows.groupBy("digest").agg(F.min("id").alias("id")).filter("id IS NOT NULL").withColumn("first", F.lit(True))
     rows = rows.join(first, ["id", "digest"], "left")  # ids spread the copies of one text

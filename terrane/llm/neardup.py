@@ -14,7 +14,7 @@ What is left is classes that share a bucket and are not linked so far, a page te
 by their rarest shingles: of two sets that reach the threshold, the shorter one's first (1 - 2t / (1 + t)) n + 1
 shingles and the longer one's first (1 - t) n + 1, rarest first, have one in common. Sets that share a large common
 part and differ too much in the rest share none of these and never meet; what does meet is compared block by block.
-This step is exact whatever the order of the shingles is; counting them decides speed alone. A comparison first needs
+This step is exact whatever the order of the shingles is; their counts decide speed alone. A comparison first needs
 sizes that allow the threshold and 128-bit sketches that do not rule it out (max_bits=None turns that off), and then
 the full shingle sets, made again from whole texts.
 
@@ -30,7 +30,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.common import arrow_pass, forget, texts_as_bytes, written
@@ -40,6 +40,12 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 
 
+def _ratio_up(n: Column, up: int, down: int) -> Column:
+    """n * up / down, rounded up, in whole numbers."""
+    above = n * up + (down - 1)
+    return ((above - F.pmod(above, F.lit(down))) / down).cast("long")
+
+
 @dataclass(frozen=True)
 class Rule:
     """Which documents are linked: 100 * intersection >= percent * union of their sets of `words`-word shingles."""
@@ -47,13 +53,13 @@ class Rule:
     words: int = SHINGLE_WORDS
     percent: int = PERCENT
 
-    def probe(self, n: int) -> int:
-        """How many of a set's n shingles must hold one that any linked set of the same size or less looks up."""
-        return n - -(-self.percent * n // 100) + 1
+    def probe(self, n: Column) -> Column:
+        """Of n shingles in any order, so many from the start hold one that a linked set of n or fewer is looked up by."""
+        return n - _ratio_up(n, self.percent, 100) + 1
 
-    def index(self, n: int) -> int:
-        """The same for the shorter one of two sets: 2t / (1 + t) of it are shared at least."""
-        return n - -(-2 * self.percent * n // (100 + self.percent)) + 1
+    def index(self, n: Column) -> Column:
+        """So many a set is looked up by where the other one has no fewer: the two share 2t / (1 + t) of it at least."""
+        return n - _ratio_up(n, 2 * self.percent, 100 + self.percent) + 1
 
 
 COORDS = 128
@@ -68,8 +74,6 @@ PARTNER_ROWS = 4000
 #: Most rows and shingles of one block of a bucket.
 BLOCK_ROWS, BLOCK_SHINGLES = 1000, 500_000
 WORD_CACHE = 50_000
-#: Most shingles whose counts decide the order of all: more than 64 classes hold each, and no more than this many can.
-COMMON = 1 << 19
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
@@ -225,13 +229,13 @@ def _rename(pairs: DataFrame, hooks: DataFrame, *names: str) -> DataFrame:
     return pairs.select(*[F.least(*names).alias(names[0]), F.greatest(*names).alias(names[1])])
 
 
-def _possible(rule: Rule, n1: str, n2: str, max_bits: int | None, *bits: tuple[str, str]) -> F.Column:
+def _possible(rule: Rule, n1: str, n2: str, max_bits: int | None, *bits: tuple[str, str]) -> Column:
     """Sizes allow the threshold, and the sketches do not rule it out (if they may)."""
     sizes = F.lit(100) * F.least(n1, n2) >= F.lit(rule.percent) * F.greatest(n1, n2)
     return sizes if max_bits is None else sizes & (_apart(*bits) <= max_bits)
 
 
-def _apart(*bits: tuple[str, str]) -> F.Column:
+def _apart(*bits: tuple[str, str]) -> Column:
     """Differing bits of two sketches."""
     return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in bits), F.lit(0))
 
@@ -365,42 +369,22 @@ def _shingle_batch(batch: pa.RecordBatch, rule: Rule) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], ["node", "shingles"])
 
 
-def _rare_batch(batch: pa.RecordBatch, rule: Rule, common) -> pa.RecordBatch:
-    """The rarest shingles of each set, as many as it is looked up by, and whether it is by the shorter set's measure."""
-    known, counts = common.value
-    nodes, firsts, tokens = [], [], []
-    lists = batch.column(1)
-    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-    for node, start, end in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:]):
-        x = values[start:end]
-        at = np.searchsorted(known, x)
-        at[at == len(known)] = 0
-        count = np.where(known[at] == x, counts[at], 0) if len(known) else np.zeros(len(x), np.int64)
-        take = np.lexsort((x, count))[: rule.probe(len(x))]
-        nodes.append(np.full(len(take), node))
-        firsts.append(np.arange(len(take)) < rule.index(len(x)))
-        tokens.append(x[take])
-    parts = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (tokens, nodes)]
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in parts), pa.array(np.concatenate(firsts) if firsts else [], pa.bool_())], ["bucket", "node", "first"])
-
-
 def _rare_buckets(rest: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """(bucket, node, root, n, b1, b2, first, size), written: classes of mixed buckets, met anew by their rarest shingles.
 
-    Shingles that many classes hold come last in the order. Their counts go to all tasks: COMMON of them at most, as
-    more cannot pass the limit. Any order is right, so what is not counted as common is ordered by its hash.
+    A set's order is by how many of these classes hold a shingle, then by hash. Those that no other class holds come
+    first and are only counted. first: the shingle counts by the shorter set's measure.
     """
     left = written(rest.select("node", "root", "n", "b1", "b2").distinct(), "left")
-    sets = arrow_pass(texts.withColumnRenamed("id", "node").join(left.select("node"), "node", "left_semi").select("node", "text"), partial(_shingle_batch, rule=rule), "node long, shingles array<long>")
-    sets = written(sets, "left-sets")
-    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
-    counts = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > max(64, total // COMMON))
-    rows = counts.toArrow()
-    known, many = (rows.column(c).to_numpy() for c in ("s", "c"))
-    by = np.argsort(known)
-    common = sets.sparkSession.sparkContext.broadcast((known[by], many[by]))
-    met = arrow_pass(sets, partial(_rare_batch, rule=rule, common=common), "bucket long, node long, first boolean")
-    met = written(met.join(left, "node"), "rarest")
+    sets = texts.withColumnRenamed("id", "node").join(left.select("node"), "node", "left_semi").select("node", "text")
+    sets = written(arrow_pass(sets, partial(_shingle_batch, rule=rule), "node long, shingles array<long>"), "left-sets")
+    each = sets.select("node", F.explode("shingles").alias("bucket"))
+    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    held = each.join(counts, "bucket").join(left.select("node", "n"), "node")
+    of = Window.partitionBy("node")
+    place = F.col("n") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("size", "bucket"))
+    rare = held.withColumn("place", place).filter(F.col("place") <= rule.probe(F.col("n"))).select("bucket", "node", (F.col("place") <= rule.index(F.col("n"))).alias("first"))
+    met = written(rare.join(left, "node"), "rarest")
     mixed = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("first").alias("any")).filter("any AND r0 < r1")
     out = written(met.join(mixed.select("bucket", "size"), "bucket"), "rarest-met")
     for table in (left, sets, met):
@@ -415,8 +399,12 @@ def _links_left(rest: DataFrame, texts: DataFrame, rule: Rule, max_bits: int | N
     failing pairs never leave the group, and links leave it only while they join components.
     """
     rare = _rare_buckets(rest, texts, rule)
-    some = written(_with_partners(rare, rule, max_bits), "possible")
+    possible = written(_with_partners(rare, rule, max_bits), "possible")
     forget(rare)
+    # classes that share several rare shingles meet once: of buckets with equal members one stays
+    members = possible.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("m2"))
+    some = written(possible.join(members.groupBy("k", "m1", "m2").agg(F.min("bucket").alias("bucket")), "bucket", "left_semi"), "possible")
+    forget(possible)
     blocks = some.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
     dealt = some.join(blocks, "bucket").select("*", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -27,7 +27,7 @@ from terrane.llm.neardup import Rule, _mix, _signed, linked_components, shingles
 
 RULE = Rule(words=3, percent=90)
 #: Smaller parts of each part, and how many of them a signature may leave out.
-SUBPARTS, LEFT_OUT = 3, 1
+SUBPARTS, LEFT_OUT = 2, 1
 _CHOICES = list(combinations(range(SUBPARTS), SUBPARTS - LEFT_OUT))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
