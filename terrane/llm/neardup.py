@@ -402,7 +402,7 @@ def _links_left(rest: DataFrame, texts: DataFrame, rule: Rule, max_bits: int | N
     possible = written(_with_partners(rare, rule, max_bits), "possible")
     forget(rare)
     # classes that share several rare shingles meet once: of buckets with equal members one stays
-    members = possible.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("m2"))
+    members = possible.select("bucket", "node").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), *_members("node"))
     some = written(possible.join(members.groupBy("k", "m1", "m2").agg(F.min("bucket").alias("bucket")), "bucket", "left_semi"), "possible")
     forget(possible)
     blocks = some.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -427,6 +427,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return linked_components(df, signatures(df, id_col, text_col), Rule(), id_col, text_col, max_bits)
 
 
+def _members(*of: str) -> list[Column]:
+    """128 bits that tell a bucket's set of classes, each there once, from another one of its size."""
+    return [F.bit_xor(F.xxhash64(*of)).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), *of)).alias("m2")]
+
+
 def linked_components(df: DataFrame, sig: DataFrame, rule: Rule, id_col: str, text_col: str, max_bits: int | None) -> DataFrame:
     """(id, n_shingles, component_id, kept) from signatures of df's rows (id, n, h1, h2, b1, b2, bands).
 
@@ -436,9 +441,10 @@ def linked_components(df: DataFrame, sig: DataFrame, rule: Rule, id_col: str, te
     reps = written(
         sig.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("n", "b1", "b2", "bands")]).filter("node IS NOT NULL"), "classes"
     )
-    banded = reps.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = written(banded.join(shared, "bucket"), "buckets")
+    banded = reps.select("node", "h1", "h2", F.explode("bands").alias("bucket"))  # rows of one id may be several classes
+    # of buckets with equal members, which near copies have many of, one stays
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *_members("node", "h1", "h2")).filter("size > 1")
+    met = written(banded.select("bucket", "node").join(shared.groupBy("size", "m1", "m2").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "bucket"), "buckets")
     weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
     traits = written(reps.select("node", "n", "b1", "b2").join(weights, "node"), "traits")
     pool = written(met.select("bucket", "node").join(traits, "node").withColumn("root", F.col("node")), "candidates")
