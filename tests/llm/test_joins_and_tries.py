@@ -293,7 +293,7 @@ def test_rule_prefixes(spark):
     r = np.random.default_rng(3)
     for rule in (neardup.Rule(), ngramjoin.RULE):
         sizes = spark.range(0, 200).select("id", rule.probe(F.col("id")).alias("probe"), rule.index(F.col("id")).alias("index")).collect()
-        probe, index = {x.id: x.probe for x in sizes}, {x.id: x.index for x in sizes}
+        probe, index = {x.id: x.probe for x in sizes}, {x.id: x["index"] for x in sizes}
         assert all(probe[n] >= index[n] >= 1 for n in range(1, 200))
         for _ in range(300):
             n = int(r.integers(1, 80))
