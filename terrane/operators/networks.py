@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.operators.spatial import within
+from terrane.operators.spatial import nearest_of, within
 from terrane.params import Params
+from terrane.sources.ship import kept
 
 c = F.col
 OD = "state string, mode string, origin string, destination string, minutes double"
@@ -117,15 +118,15 @@ def straight_line(p: Params) -> Callable[[DataFrame, DataFrame, str], DataFrame]
     return pairs
 
 
-def with_midpoint_builtup(od: DataFrame, points: DataFrame, cells: DataFrame, reach: float) -> DataFrame:
-    """od (origin, destination) with b_mid, the built-up share of the cell nearest the middle of each pair; points has
-    (id, x, y) of both ends, cells (cell, x_m, y_m, builtup_frac). A middle without a cell within reach gets 0."""
+def with_midpoint_builtup(od: DataFrame, points: DataFrame, cells: DataFrame, start: float | None = None) -> DataFrame:
+    """od (origin, destination) with b_mid, the built-up share of the cell nearest the middle of each pair, however far;
+    points has (id, x, y) of both ends, cells (cell, x_m, y_m, builtup_frac). A cell without a share counts as 0."""
     a, b = (points.select(c("id").alias(n), c("x").alias(f"{n}_x"), c("y").alias(f"{n}_y")) for n in ("origin", "destination"))
     middle = od.join(a, "origin").join(b, "destination").withColumn("_mx", (c("origin_x") + c("destination_x")) / 2).withColumn("_my", (c("origin_y") + c("destination_y")) / 2)
     # many pairs share a middle to the metre; each is looked up once
     spots = middle.select(F.round("_mx").alias("_rx"), F.round("_my").alias("_ry")).distinct()
-    near = within(spots, cells.select("x_m", "y_m", "cell", c("builtup_frac").alias("_b")), reach, "_rx", "_ry", "x_m", "y_m")
-    best = near.groupBy("_rx", "_ry").agg(F.min_by(F.coalesce("_b", F.lit(0.0)), F.struct("dist_m", "cell")).alias("b_mid"))
+    near = nearest_of(spots, ["_rx", "_ry"], cells, "cell", "_rx", "_ry", "x_m", "y_m", lambda df: kept(df, "nearest"), start)
+    best = near.join(cells.select("cell", F.coalesce("builtup_frac", F.lit(0.0)).alias("b_mid")), "cell").select("_rx", "_ry", "b_mid")
     out = middle.withColumn("_rx", F.round("_mx")).withColumn("_ry", F.round("_my")).join(best, ["_rx", "_ry"], "left")
     return out.withColumn("b_mid", F.coalesce("b_mid", F.lit(0.0))).drop("_rx", "_ry", "_mx", "_my", "origin_x", "origin_y", "destination_x", "destination_y")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,42 @@ def nearest(pairs: DataFrame, key: str, candidate: str, distance: str = "dist_m"
     return pairs.groupBy(key).agg(best.alias("b")).select(key, F.col(f"b.{candidate}").alias(candidate), F.col(f"b.{distance}").alias(distance))
 
 
+def nearest_of(points: DataFrame, keys: list[str], sites: DataFrame, candidate: str, x: str, y: str, sx: str, sy: str, cut, start: float | None = None) -> DataFrame:
+    """(keys..., candidate, dist_m): the site nearest to each point, however far; the smallest candidate wins ties.
+
+    Points without a site within a radius are asked again with twice the radius, until it spans all. The first radius
+    leaves a site or so to a square, if none is given. Sites at one place are one; points without a place, and all
+    points where there is no site, have no row. cut writes a round, so that it is computed once.
+    """
+    own = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
+    them = sites.select(F.col(candidate), F.col(sx).cast("double").alias("_sx"), F.col(sy).cast("double").alias("_sy")).filter(f"_sx IS NOT NULL AND _sy IS NOT NULL AND `{candidate}` IS NOT NULL")
+    them = cut(them.groupBy("_sx", "_sy").agg(F.min(candidate).alias(candidate)))
+    corners = [f(v).alias(f"{n}{v}") for v in ("_sx", "_sy") for n, f in (("low", F.min), ("high", F.max))]
+    box = them.agg(F.count(F.lit(1)).alias("n"), *corners).first()
+    none = own.limit(0).select(*keys, F.lit(None).cast(them.schema[candidate].dataType).alias(candidate), F.lit(0.0).alias("dist_m"))
+    if not box["n"]:
+        return none
+    far = own.agg(*[f(v) for v in ("_x", "_y") for f in (F.min, F.max)]).first()
+    if far[0] is None:
+        return none
+    sides = [max(far[2 * i + 1], box[2 * i + 2]) - min(far[2 * i], box[2 * i + 1]) for i in (0, 1)]
+    span = math.hypot(*sides) + 1.0
+    width, height = (max(1.0, box[2 * i + 2] - box[2 * i + 1]) for i in (0, 1))
+    radius = min(float(start) if start else math.sqrt(width * height / box["n"]), span)
+    out = None
+    while True:
+        pairs = within(own, them, radius, "_x", "_y", "_sx", "_sy")
+        best = pairs.groupBy(*keys).agg(F.min(F.struct("dist_m", candidate)).alias("_b")).select(*keys, F.col(f"_b.{candidate}").alias(candidate), F.col("_b.dist_m").alias("dist_m"))
+        found = cut(best)
+        out = found if out is None else out.unionByName(found)
+        if radius >= span:
+            return out
+        own = cut(own.join(found.select(*keys), keys, "left_anti"))
+        if own.isEmpty():
+            return out
+        radius = min(2 * radius, span)
+
+
 def knn(points: DataFrame, key: str, other: str, k: int, x: str, y: str, start: float, cut) -> DataFrame:
     """(key, other, dist_m) of the k nearest others of each point, ties by id, however far: points that have fewer than
     k within a radius are asked again with twice the radius, until it spans all. cut writes a round."""
