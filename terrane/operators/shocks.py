@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from terrane.functions.scalar import clip, wedge
 from terrane.operators.allocation import wage_band
-from terrane.operators.spatial import nearest, within
+from terrane.operators.cover import POINT, distances_within, inside_polygons, line_pieces, ring_pieces
+from terrane.operators.spatial import nearest_of
 from terrane.params import ParamError, Params
+from terrane.sources.ship import kept
 
 c = F.col
 #: One row an archetype; null employment columns mean that it employs nobody.
@@ -42,16 +44,61 @@ class Effects:
     fields: DataFrame
 
 
-def site_cells(projects: DataFrame, cells: DataFrame, reach: float) -> DataFrame:
-    """projects with site, the declared cell if it is one of cells, else the nearest centre within reach; others go."""
+def site_cells(projects: DataFrame, cells: DataFrame, start: float | None = None) -> DataFrame:
+    """projects with site, the declared cell if it is one of cells, else the one with the nearest centre, however far.
+
+    Projects without a declared cell and without x and y have no site and go. start: the first radius that is tried.
+    """
     known = projects.join(cells.select(c("cell").alias("_declared")), c("cell") == c("_declared"), "left")
     centres = cells.select(c("cell").alias("_near"), c("x_m").alias("_cx"), c("y_m").alias("_cy"))
     lost = known.filter("_declared IS NULL").select("project_id", "x", "y")
-    near = nearest(within(lost, centres, reach, "x", "y", "_cx", "_cy"), "project_id", "_near").select("project_id", "_near")
+    near = nearest_of(lost, ["project_id"], centres, "_near", "x", "y", "_cx", "_cy", lambda df: kept(df, "nearest"), start).select("project_id", "_near")
     out = known.join(near, "project_id", "left").withColumn("site", F.coalesce("_declared", "_near"))
     return out.filter("site IS NOT NULL").drop("_declared", "_near")
 
 
+def _shaped(rows: DataFrame) -> DataFrame:
+    """rows with shape, an array of points (x, y), area (whether it is a ring), and the shape's centre _ox, _oy.
+
+    Without shape, or where it is null or empty, the shape is the point x, y. The centre is a line's by length and a
+    ring's by area; where these are 0, the mean of the points.
+    """
+    if "shape" not in rows.columns:
+        rows = rows.withColumn("shape", F.lit(None).cast(f"array<{POINT}>"))
+    if "area" not in rows.columns:
+        rows = rows.withColumn("area", F.lit(False))
+    point = F.array(F.struct(c("x").cast("double").alias("x"), c("y").cast("double").alias("y")))
+    rows = rows.withColumn("shape", F.when(F.size(F.coalesce("shape", F.array())) > 0, c("shape")).otherwise(point)).withColumn("area", F.coalesce("area", F.lit(False)) & (F.size("shape") > 2))
+    n, first = F.size("shape"), F.get("shape", F.lit(0))
+
+    def piece(p: Column, i: Column) -> Column:
+        q = F.get("shape", (i + 1) % n)
+        ax, ay, bx, by = p["x"] - first["x"], p["y"] - first["y"], q["x"] - first["x"], q["y"] - first["y"]
+        w = F.when(c("area"), (ax * by - bx * ay) / 3).when(i + 1 < n, F.hypot(bx - ax, by - ay) / 2).otherwise(0.0)
+        return F.struct(w.alias("w"), (w * (ax + bx)).alias("x"), (w * (ay + by)).alias("y"))
+
+    total = lambda name: F.aggregate(F.transform("shape", piece), F.lit(0.0), lambda a, v: a + v[name])
+    mean = lambda v: F.aggregate("shape", F.lit(0.0), lambda a, p: a + p[v]) / n
+    rows = rows.withColumn("_w", total("w") * F.when(c("area"), 3.0).otherwise(2.0)).withColumn("_cx", total("x")).withColumn("_cy", total("y"))
+    centre = lambda v, s: F.when(c("_w") != 0, first[v] + c(s) / F.when(c("_w") != 0, c("_w"))).otherwise(mean(v))
+    return rows.withColumn("_ox", centre("x", "_cx")).withColumn("_oy", centre("y", "_cy")).drop("_w", "_cx", "_cy")
+
+
+def cells_near(rows: DataFrame, cells: DataFrame, reach: float, key: str = "project_id") -> DataFrame:
+    """(key, cell, x_m, y_m, dist_m) of the cells within reach of each shape: 0 inside a ring, else to its edge.
+
+    rows have key, shape and area. Shapes are joined by pieces of their edges, so a line of any length is never in one
+    row with the squares of its box; what is inside a ring comes from a quadtree.
+    """
+    spots = cells.select("cell", "x_m", "y_m")
+    lines = line_pieces(rows.filter("NOT area"), "shape", [key], reach)
+    rings = rows.filter("area").select(key, F.array("shape").alias("_rings"))
+    pieces = lines.unionByName(ring_pieces(rings, "_rings", [key], reach))
+    near = distances_within(spots, pieces, ["cell", "x_m", "y_m"], [key], reach, "x_m", "y_m")
+    inside = inside_polygons(spots, rings, "_rings", [key], reach, "x_m", "y_m").select("cell", "x_m", "y_m", key, F.lit(0.0).alias("dist_m"))
+    return near.unionByName(inside).groupBy(key, "cell", "x_m", "y_m").agg(F.min("dist_m").alias("dist_m"))
+
+
 def active_projects(projects: DataFrame, archetypes: DataFrame, year: int) -> DataFrame:
     """Projects (project_id, archetype, site, scale, weight, open_year, construction_start, announced_year, flags) with
     their archetype's columns; an archetype that is not declared raises. archetypes is a table of a few dozen rows."""
@@ -129,21 +176,23 @@ def decayed(kind: Column, value: Column, distance: Column, reach: Column, rate:
 def field_effects(active: DataFrame, fields: DataFrame, multipliers: DataFrame, cells: DataFrame, centre: tuple[float, float], strength: float = 0.5) -> DataFrame:
     """(project_id, cell, target, value): of each category's bands for a target the narrowest that holds the cell counts.
 
-    active needs x and y. Premiums are multiplied by flags; a band that applies_when a flag needs it; the construction
-    penalty holds while building. Cells join by squares of the widest band's size.
+    Distances are from a project's shape: shape, an array of points (x, y), a ring where area is true and a line
+    otherwise; the point x, y where it is null. The wedge is seen from the shape's centre. Premiums are multiplied by flags; a band that applies_when a flag needs it; the construction
+    penalty holds while building.
     """
     reach = fields.agg(F.max("max_m")).first()[0]
     if reach is None:
         return active.select("project_id", c("site").alias("cell"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("value")).filter("false")
-    rows = premium_multiplier(active, multipliers).select("project_id", "archetype", "x", "y", "year", "weight", "flags", "multiplier", F.floor("construction_start").alias("_from"), F.floor("open_year").alias("_to"))
-    near = within(cells.select("cell", "x_m", "y_m"), rows, float(reach), "x_m", "y_m", "x", "y")
+    held = ["project_id", "archetype", "year", "weight", "flags", "multiplier"]
+    rows = _shaped(premium_multiplier(active, multipliers)).select(*held, "_ox", "_oy", "shape", "area", F.floor("construction_start").alias("_from"), F.floor("open_year").alias("_to"))
+    near = cells_near(rows, cells, float(reach)).join(rows.drop("shape", "area"), "project_id")
     bands = near.join(fields, "archetype").filter("dist_m <= max_m").filter(c("applies_when").isNull() | F.array_contains("flags", c("applies_when")))
     bands = bands.filter((c("category") != "construction_penalty") | ((c("_from") <= c("year")) & (c("year") < c("_to"))))
     first = F.row_number().over(Window.partitionBy("cell", "project_id", "category", "target").orderBy("max_m", "value"))
     bands = bands.withColumn("_r", first).filter("_r = 1")
     size = c("value") * F.when(c("category") == "premium", c("multiplier")).otherwise(1.0)
     value = decayed(c("decay"), size, c("dist_m"), c("max_m"))
-    turned = wedge(c("x"), c("y"), c("x_m"), c("y_m"), F.lit(float(centre[0])), F.lit(float(centre[1])), strength)
+    turned = wedge(c("_ox"), c("_oy"), c("x_m"), c("y_m"), F.lit(float(centre[0])), F.lit(float(centre[1])), strength)
     value = value * F.when(F.coalesce("wedge", F.lit(False)), turned).otherwise(1.0) * c("weight")
     each = F.explode(F.when(c("target") == "all", F.array(*[F.lit(t) for t in TARGETS])).otherwise(F.array("target")))
     out = bands.select("project_id", "cell", "category", each.alias("target"), value.alias("value"))
@@ -157,7 +206,7 @@ def composed(effects: DataFrame, p: Params) -> DataFrame:
     return out.withColumn("field", clip(c("raw"), p.value("price.field_low"), p.value("price.field_high"))).withColumn("capped", c("raw") != c("field"))
 
 
-def resolve(projects: DataFrame, archetypes: DataFrame, fields: DataFrame, multipliers: DataFrame, cells: DataFrame, year: int, p: Params, centre: tuple[float, float], office: str = "raise", reach: float = 5000.0) -> Effects:
+def resolve(projects: DataFrame, archetypes: DataFrame, fields: DataFrame, multipliers: DataFrame, cells: DataFrame, year: int, p: Params, centre: tuple[float, float], office: str = "raise") -> Effects:
     """All effects of a year's projects, that have weight in it."""
-    active = active_projects(site_cells(projects, cells, reach), archetypes, year)
+    active = active_projects(site_cells(projects, cells), archetypes, year)
     return Effects(employment(active), route_households(active, p), supply(active), floorspace(active, p, office), network(active), field_effects(active, fields, multipliers, cells, centre))

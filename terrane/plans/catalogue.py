@@ -192,8 +192,8 @@ add("l2_fields", "a_projects a_cells", f"""WITH {SITE}, d AS (SELECT cell, x_m,
 add("l2_wedge", "a_projects a_cells", f"""WITH {SITE}, d AS (SELECT project_id, cell, x_m - sx AS dx, y_m - sy AS dy, 10000 - sx AS ex, 10000 - sy AS ey FROM a_cells, pr WHERE {DIST} <= 1000)
   SELECT project_id, cell, round(0.5e0 * (1 + CASE WHEN sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey) > 0 THEN (dx * ex + dy * ey) / (sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey)) ELSE 1 END), 6) AS factor FROM d""",
     lambda p, x: spatial.within(x, _sites(p, x), 1000.0, "x_m", "y_m", "sx", "sy").select("project_id", "cell", sc.wedge(c("sx"), c("sy"), c("x_m"), c("y_m"), F.lit(10000.0), F.lit(10000.0), 0.5).alias("factor")))
-add("l2_nearest_site", "a_projects a_cells", f"""WITH {SITE}, one AS (SELECT sx, sy, min(project_id) AS project_id FROM pr GROUP BY ALL), d AS (SELECT cell, project_id, {DIST} AS d, row_number() OVER (PARTITION BY cell ORDER BY {DIST}, project_id) AS r FROM a_cells, one WHERE {DIST} <= 4000)
-  SELECT cell, project_id, round(d, 6) AS dist_m FROM d WHERE r = 1""", lambda p, x: spatial.nearest(spatial.within(x, _sites(p, x).groupBy("sx", "sy").agg(F.min("project_id").alias("project_id")), 4000.0, "x_m", "y_m", "sx", "sy"), "cell", "project_id"))
+add("l2_nearest_site", "a_projects a_cells", f"""WITH {SITE}, one AS (SELECT sx, sy, min(project_id) AS project_id FROM pr GROUP BY ALL), d AS (SELECT cell, project_id, {DIST} AS d, row_number() OVER (PARTITION BY cell ORDER BY {DIST}, project_id) AS r FROM a_cells, one)
+  SELECT cell, project_id, round(d, 6) AS dist_m FROM d WHERE r = 1""", lambda p, x: spatial.nearest_of(x, ["cell"], _sites(p, x), "project_id", "x_m", "y_m", "sx", "sy", lambda df: kept(df, "nearest")))
 add("l2_households", "a_projects", "SELECT project_id, round(capex / 1000 * 0.4e0 / 1.45e0 * 0.9e0 * 0.7e0, 6) AS households, round(capex / 1000 * 0.1e0, 6) AS dormitory, CAST(CASE WHEN capex * 1.45e0 * 1.15e0 >= 200000 THEN 3 WHEN capex * 1.45e0 * 1.15e0 >= 75000 THEN 2 WHEN capex * 1.45e0 * 1.15e0 >= 25000 THEN 1 ELSE 0 END AS INTEGER) AS band FROM a_projects",
     lambda p: p.select("project_id", (c("capex") / 1000 * 0.4 / P.value("behaviour.workers_per_household") * 0.9 * 0.7).alias("households"), (c("capex") / 1000 * 0.1).alias("dormitory"),
                        sc.digitize(c("capex") * P.value("behaviour.workers_per_household") * P.value("behaviour.other_income"), P.value("behaviour.income_bounds")).alias("band")))

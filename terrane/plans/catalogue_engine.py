@@ -39,7 +39,7 @@ def _band_sql() -> str:
 
 add("l5_band_accessibility", "a_cells", _band_sql(), lambda x: al.band_accessibility(_od(x), access.opportunities(x, "zone", P), "cell", "zone", P))
 add("l1_midpoint_builtup", "a_cells", f"""WITH {DEST}, pr AS (SELECT a.zone AS origin, b.zone AS destination, floor((a.zx + b.zx) / 2 + 0.5) AS rx, floor((a.zy + b.zy) / 2 + 0.5) AS ry FROM dest a, dest b WHERE a.zone < b.zone),
-  sp AS (SELECT DISTINCT rx, ry FROM pr), n AS (SELECT rx, ry, builtup_frac, row_number() OVER (PARTITION BY rx, ry ORDER BY sqrt((x_m - rx) * (x_m - rx) + (y_m - ry) * (y_m - ry)), cell) AS r FROM sp JOIN a_cells ON x_m BETWEEN rx - 600 AND rx + 600 AND y_m BETWEEN ry - 600 AND ry + 600 AND sqrt((x_m - rx) * (x_m - rx) + (y_m - ry) * (y_m - ry)) <= 600)
+  sp AS (SELECT DISTINCT rx, ry FROM pr), n AS (SELECT rx, ry, builtup_frac, row_number() OVER (PARTITION BY rx, ry ORDER BY sqrt((x_m - rx) * (x_m - rx) + (y_m - ry) * (y_m - ry)), cell) AS r FROM sp, a_cells)
   SELECT origin, destination, round(coalesce(builtup_frac, 0), 6) AS b_mid FROM pr LEFT JOIN n ON n.rx = pr.rx AND n.ry = pr.ry AND r = 1""", lambda x: _middle(x))
 
 
@@ -47,7 +47,7 @@ def _middle(x: DataFrame) -> DataFrame:
     zones = access.destinations(x, "zone", "jobs", P.value("access.min_destination_jobs"), P.value("access.max_destinations")).select(c("zone").alias("id"), c("x_m").alias("x"), c("y_m").alias("y"))
     zones = kept(zones, "zones")
     od = zones.select(c("id").alias("origin")).join(F.broadcast(zones.select(c("id").alias("destination"))), c("origin") < c("destination"))
-    return networks.with_midpoint_builtup(od, zones, x, 600.0)
+    return networks.with_midpoint_builtup(od, zones, x)
 
 
 add("l1_realigned", "a_cells", "SELECT a.cell, CASE WHEN amenity > 0.5 THEN round(lna, 6) END AS lna FROM a_cells a", lambda x: networks.realigned(x.filter("amenity > 0.5").select("cell", "lna"), x))
@@ -101,7 +101,16 @@ def _tables(p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _effects(p: DataFrame, x: DataFrame) -> shocks.Effects:
     flags = F.array_compact(F.array(F.when(c("elevated"), "elevated"), F.when(c("interchange"), "interchange")))
-    return shocks.resolve(p.withColumn("flags", flags), *_tables(p), x, YEAR, LOCAL, (10000.0, 10000.0), reach=2500.0)
+    return shocks.resolve(_shapes(p).withColumn("flags", flags), *_tables(p), x, YEAR, LOCAL, (10000.0, 10000.0))
+
+
+def _shapes(p: DataFrame) -> DataFrame:
+    """Rail projects are lines of three points, plants rectangles, data centres points."""
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    line = F.array(point(c("x"), c("y")), point(c("x2"), c("y2")), point(c("x3"), c("y3")))
+    right, top = c("x") + c("wide"), c("y") + c("high")
+    box = F.array(point(c("x"), c("y")), point(right, c("y")), point(right, top), point(c("x"), top))
+    return p.withColumn("shape", F.when(c("archetype") == "rail", line).when(c("archetype") == "plant", box)).withColumn("area", c("archetype") == "plant")
 
 
 def _row(values: tuple) -> str:
@@ -112,7 +121,7 @@ def _row(values: tuple) -> str:
 _names = lambda ddl: ", ".join(x.split()[0] for x in ddl.split(", "))
 SITES = f"""arch({_names(shocks.ARCHETYPES)}) AS (VALUES {', '.join(map(_row, ARCHETYPES))}), field({_names(shocks.FIELDS)}) AS (VALUES {', '.join(map(_row, FIELDS))}),
   lost AS (SELECT DISTINCT x, y FROM a_sites WHERE cell NOT IN (SELECT cell FROM a_cells)),
-  near AS (SELECT x, y, cell FROM (SELECT x, y, a.cell, row_number() OVER (PARTITION BY x, y ORDER BY sqrt(pow(x_m - x, 2) + pow(y_m - y, 2)), a.cell) AS r FROM lost, a_cells a WHERE sqrt(pow(x_m - x, 2) + pow(y_m - y, 2)) <= 2500) WHERE r = 1),
+  near AS (SELECT x, y, cell FROM (SELECT x, y, a.cell, row_number() OVER (PARTITION BY x, y ORDER BY sqrt(pow(x_m - x, 2) + pow(y_m - y, 2)), a.cell) AS r FROM lost, a_cells a) WHERE r = 1),
   act AS (SELECT p.* EXCLUDE (cell), coalesce(a.cell, n.cell) AS site, arch.* EXCLUDE (archetype) FROM a_sites p LEFT JOIN a_cells a ON a.cell = p.cell LEFT JOIN near n ON a.cell IS NULL AND n.x = p.x AND n.y = p.y JOIN arch ON arch.archetype = p.archetype WHERE weight <> 0 AND coalesce(a.cell, n.cell) IS NOT NULL)"""
 IN = P.value("behaviour.inmigrant_share")
 SHARE = f"CASE sector {' '.join(f'WHEN {k!r} THEN {v}e0' for k, v in IN.items())} END"
@@ -128,9 +137,19 @@ add("l2_floorspace", "a_sites a_cells", f"""WITH {SITES}, j AS (SELECT *, scale
   SELECT project_id, site AS cell, 'dormitory' AS use, round(jobs * coalesce(dormitory_share, 0) * dormitory_sqm + 1e-9, 6) AS sqm FROM j WHERE dormitory_sqm IS NOT NULL UNION ALL SELECT project_id, site, 'office', round(jobs * 10 + 1e-9, 6) FROM j WHERE sector = 'it_office'""",
     lambda p, x: _effects(p, x).floorspace.select("project_id", "cell", "use", (c("sqm") + 1e-9).alias("sqm")))
 add("l2_network", "a_sites a_cells", f"WITH {SITES} SELECT project_id, network AS kind, speed_kmh, CAST(floor(open_year) AS BIGINT) AS open_year FROM act WHERE network <> 'none'", lambda p, x: _effects(p, x).network)
+
+
+def _leg(ax: str, ay: str, bx: str, by: str) -> str:
+    """SQL: distance of (x_m, y_m) to the segment from a to b."""
+    t = f"greatest(0, least(1, coalesce(((x_m - {ax}) * ({bx} - {ax}) + (y_m - {ay}) * ({by} - {ay})) / nullif(pow({bx} - {ax}, 2) + pow({by} - {ay}, 2), 0), 0)))"
+    return f"sqrt(pow(x_m - {ax} - {t} * ({bx} - {ax}), 2) + pow(y_m - {ay} - {t} * ({by} - {ay}), 2))"
+
+
 COS = "CASE WHEN sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey) > 0 THEN (dx * ex + dy * ey) / (sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey)) ELSE 1 END"
-RESOLVED = f"""{SITES}, pr AS (SELECT project_id, archetype, x, y, weight, elevated, CASE WHEN archetype = 'rail' AND interchange THEN 1.75e0 ELSE 1e0 END AS mult, floor(construction_start) AS f, floor(open_year) AS t FROM act),
-  d AS (SELECT pr.*, cell, x_m, y_m, sqrt(pow(x_m - x, 2) + pow(y_m - y, 2)) AS d FROM a_cells JOIN pr ON x_m BETWEEN x - 1000 AND x + 1000 AND y_m BETWEEN y - 1000 AND y + 1000),
+RESOLVED = f"""{SITES}, pr AS (SELECT project_id, archetype, x, y, x2, y2, x3, y3, wide, high, weight, elevated, CASE WHEN archetype = 'rail' AND interchange THEN 1.75e0 ELSE 1e0 END AS mult, floor(construction_start) AS f, floor(open_year) AS t FROM act),
+  d AS (SELECT pr.*, cell, x_m, y_m, CASE archetype WHEN 'rail' THEN least({_leg('x', 'y', 'x2', 'y2')}, {_leg('x2', 'y2', 'x3', 'y3')})
+      WHEN 'plant' THEN sqrt(pow(greatest(x - x_m, 0, x_m - x - wide), 2) + pow(greatest(y - y_m, 0, y_m - y - high), 2)) ELSE sqrt(pow(x_m - x, 2) + pow(y_m - y, 2)) END AS d
+    FROM a_cells JOIN pr ON x_m BETWEEN least(x, x2, x3) - 1000 AND greatest(x + wide, x2, x3) + 1000 AND y_m BETWEEN least(y, y2, y3) - 1000 AND greatest(y + high, y2, y3) + 1000),
   e AS (SELECT d.*, category, target, max_m, value, decay, wedge FROM d JOIN field USING (archetype) WHERE d <= max_m AND (applies_when IS NULL OR (applies_when = 'elevated' AND elevated)) AND (category <> 'construction_penalty' OR (f <= {YEAR} AND {YEAR} < t))),
   n AS (SELECT *, x_m - x AS dx, y_m - y AS dy, 10000 - x AS ex, 10000 - y AS ey FROM (SELECT *, row_number() OVER (PARTITION BY cell, project_id, category, target ORDER BY max_m, value) AS r FROM e) WHERE r = 1),
   v AS (SELECT *, value * CASE WHEN category = 'premium' THEN mult ELSE 1 END * CASE decay WHEN 'linear' THEN greatest(0, 1 - d / max_m) WHEN 'exponential' THEN exp(-3e0 * d / max_m) ELSE 1 END * CASE WHEN wedge THEN 0.5e0 * (1 + {COS}) ELSE 1 END * weight AS val FROM n),
@@ -202,4 +221,4 @@ add("price_paths", "a_cells", f"""WITH {CLEAR}, w AS (SELECT cell, eps, 0.25e0 *
     lambda x: market.price_paths(_market(x, 0.0).withColumn("d_lna", c("lna") / 10).withColumn("new_hh", F.lit(25.0)).withColumn("field", c("amenity") - 0.3), x.sparkSession.range(2).withColumnRenamed("id", "draw"), [2026, 2030], 2024, FIXED, 1))
 add("l6_land", "a_cells", "SELECT cell, round(1.85e0 * amenity / 7, 6) AS d_ln_land FROM a_cells", lambda x: x.select("cell", market.land_prices(c("amenity") / 7, 1.85).alias("d_ln_land")))
 add("l2_site_cells", "a_sites a_cells", f"WITH {SITES} SELECT project_id, coalesce(a.cell, n.cell) AS site FROM a_sites p LEFT JOIN a_cells a ON a.cell = p.cell LEFT JOIN near n ON a.cell IS NULL AND n.x = p.x AND n.y = p.y WHERE coalesce(a.cell, n.cell) IS NOT NULL",
-    lambda p, x: shocks.site_cells(p, x, 2500.0).select("project_id", "site"))
+    lambda p, x: shocks.site_cells(p, x).select("project_id", "site"))

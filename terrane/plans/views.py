@@ -52,9 +52,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN o_orderkey % 4 = 1 THEN 0.3e0 ELSE NULL END AS dormitory_share
         FROM orders"""),
     "a_sites": (("orders",), """
-        SELECT o_orderkey AS project_id, CASE o_orderkey % 3 WHEN 0 THEN 'rail' WHEN 1 THEN 'data' ELSE 'plant' END AS archetype, o_orderkey % 300 AS cell, 300e0 + (o_orderkey % 97) * 200e0 AS x, (o_orderkey % 89) * 40e0 AS y,
+        SELECT o_orderkey AS project_id, CASE o_orderkey % 3 WHEN 0 THEN 'rail' WHEN 1 THEN 'data' ELSE 'plant' END AS archetype, CASE WHEN o_orderkey % 4 = 3 THEN -1 ELSE o_orderkey % 300 END AS cell, 300e0 + (o_orderkey % 97) * 200e0 AS x, (o_orderkey % 89) * 40e0 AS y,
           10e0 + o_orderkey % 50 AS scale, (o_orderkey % 10) / 10e0 AS weight, year(o_orderdate) + 2.5e0 AS open_year, year(o_orderdate) + 1e0 AS construction_start, year(o_orderdate) + 0e0 AS announced_year,
-          o_orderkey % 2 = 0 AS elevated, o_orderkey % 5 = 0 AS interchange
+          o_orderkey % 2 = 0 AS elevated, o_orderkey % 5 = 0 AS interchange,
+          300e0 + (o_orderkey % 97) * 200e0 + ((o_orderkey % 7) - 3) * 300e0 AS x2, (o_orderkey % 89) * 40e0 + ((o_orderkey % 11) - 5) * 260e0 AS y2,
+          300e0 + (o_orderkey % 97) * 200e0 + ((o_orderkey % 7) - 3) * 300e0 + ((o_orderkey % 5) - 2) * 450e0 AS x3, (o_orderkey % 89) * 40e0 + ((o_orderkey % 11) - 5) * 260e0 + 500e0 AS y3,
+          60e0 + (o_orderkey % 13) * 70e0 AS wide, 90e0 + (o_orderkey % 17) * 50e0 AS high
         FROM orders"""),
     "a_pixels": (("events",), """
         SELECT user_id AS project_id, ts AS time, event_id % 9 AS px, event_id % 12 AS scl, (event_id % 23) / 50e0 AS b02, (event_id % 19) / 40e0 AS b03, (event_id % 17) / 30e0 AS b04, 0.1e0 + (event_id % 29) / 40e0 AS b08, 0.1e0 + (event_id % 31) / 60e0 AS b11

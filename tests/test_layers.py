@@ -113,7 +113,7 @@ def test_shocks(spark):
     with pytest.raises(shocks.ShockError):
         shocks.active_projects(sites.withColumn("site", F.col("cell")).withColumn("archetype", F.lit("odd")), archetypes, 2000)
     with pytest.raises(ParamError):
-        active = shocks.active_projects(shocks.site_cells(sites, cells, 2500.0), archetypes, 2000)
+        active = shocks.active_projects(shocks.site_cells(sites, cells), archetypes, 2000)
         shocks.floorspace(active, P)
     assert shocks.floorspace(active, P, "skip").select("use").distinct().collect()[0].use == "dormitory"
     with pytest.raises(Exception, match="unknown target"):
