@@ -8,10 +8,10 @@ import logging
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.functions.scalar import in_ring
+from terrane.operators.cover import inside_polygons
 from terrane.operators.ingest import distance_to_lines, overlay
 from terrane.operators.measures import majority
-from terrane.operators.spatial import in_polygons, nearest, within
+from terrane.operators.spatial import nearest, within
 from terrane.params import ParamError, Params
 from terrane.schema import SECTORS
 
@@ -107,7 +107,7 @@ def first_match(rows: DataFrame, key: list[str], order: list[Column | str]) -> D
 
 def values_by_polygon(cells: DataFrame, polygons: DataFrame, value: str, name: str, square: float = 1000.0) -> DataFrame:
     """(cell, value) of the polygon that holds a cell's centre; of several the first by name. Cells outside have null."""
-    inside = in_polygons(cells.select("cell", c("x_m").alias("x"), c("y_m").alias("y")), polygons.select(name, value, "ring"), square, "x", "y", "ring", in_ring(c("x"), c("y"), c("ring")))
+    inside = inside_polygons(cells.select("cell", "x_m", "y_m"), polygons.select(name, value, F.array("ring").alias("rings")), "rings", [name, value], square, "x_m", "y_m")
     one = first_match(inside.select("cell", name, value), ["cell"], [name, value])
     return cells.select("cell").join(one.select("cell", value), "cell", "left")
 
@@ -181,7 +181,7 @@ def project_cells(projects: DataFrame, cells: DataFrame, square: float = 1000.0)
     """projects (project_id, x, y) with cell, that whose ring holds them (the first by id on a border); projects outside
     every cell go, and their number is logged."""
     points = projects.select("project_id", "x", "y")
-    inside = in_polygons(points, cells.select("cell", "ring"), square, "x", "y", "ring", in_ring(c("x"), c("y"), c("ring")))
+    inside = inside_polygons(points, cells.select("cell", F.array("ring").alias("rings")), "rings", ["cell"], square, "x", "y")
     one = first_match(inside.select("project_id", "cell"), ["project_id"], ["cell"])
     out = projects.join(one, "project_id")
     lost = projects.select("project_id").distinct().join(one, "project_id", "left_anti").count()

@@ -21,7 +21,7 @@ LEVELS = 24
 #: Where on an edge, and by what weights of a cell's corners, a cell is asked whether it is inside: no round shares.
 EDGE_AT, ANCHOR_STEP = 0.4871093, 0.0713
 #: Cells count as smaller by this share, so that edges of polygons along their own edges are outside, whatever the rounding.
-SHRINK = 1e-10
+SHRINK = 1e-12
 
 
 def signed_area(ring: Column) -> Column:
@@ -103,6 +103,26 @@ def distances_within(points: DataFrame, pieces: DataFrame, point: list[str], kee
     return pairs.groupBy(*point, *keep).agg(F.min("_d").alias("dist_m"))
 
 
+def distance_to_pieces(points: DataFrame, pieces: DataFrame, key: str, ceiling: float, x: str, y: str, cut, start: float) -> DataFrame:
+    """(key, dist_m): the distance of each point to the nearest piece, at most the ceiling, which no piece at all gives.
+
+    Radii grow from start, the pieces' greatest length, by two; points that have met a piece are asked no more. cut
+    writes a round.
+    """
+    pieces, own, out = cut(pieces), points.select(key, x, y), None
+    radius = min(float(start), float(ceiling))
+    while True:
+        near = cut(distances_within(own, pieces, [key], [], radius, x, y))
+        out = near if out is None else out.unionByName(near)
+        if radius >= ceiling:
+            break
+        own = cut(own.join(near.select(key), key, "left_anti"))
+        if own.isEmpty():
+            break
+        radius = min(2 * radius, float(ceiling))
+    return points.select(key).join(out, key, "left").select(key, F.coalesce("dist_m", F.lit(float(ceiling))).alias("dist_m"))
+
+
 def _crossings(segments: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """How many segments the way from (ax, ay) along x and then along y to (bx, by) crosses. Points count as a little
     to the right of and above themselves, so ends of edges and edges along the way are met once or not at all."""

@@ -7,10 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrane.functions.normal import let
-from terrane.functions.scalar import in_ring, ring_area, segment_distance
+from terrane.operators.cover import distance_to_pieces, inside_polygons, line_pieces, overlay_area
 from terrane.operators.measures import majority
-from terrane.operators.spatial import in_polygons
+from terrane.sources.ship import kept
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -64,52 +63,15 @@ def hex_cover(spark: SparkSession, boundary: DataFrame, size: float, halo: int,
 
 def counts_in(points: DataFrame, polygons: DataFrame, cell: str, kind: str, kinds: list[str], square: float = 1000.0) -> DataFrame:
     """Points of each kind in each polygon; polygons without points have zeros."""
-    inside = in_polygons(points, polygons, square, "x", "y", "ring", in_ring(F.col("x"), F.col("y"), F.col("ring")))
+    inside = inside_polygons(points, polygons.select(cell, F.array("ring").alias("rings")), "rings", [cell], square, "x", "y")
     counts = inside.groupBy(cell).pivot(kind, kinds).count()
     return polygons.select(cell).join(counts, cell, "left").fillna(0, kinds)
 
 
-def clipped(subject: Column, window: Column) -> Column:
-    """A ring inside a convex ring that runs anticlockwise: each edge of the window cuts the ring in turn. Both are
-    arrays of (x, y); nothing leaves the engine."""
-    none = F.array().cast(RING)
-
-    def cut(ring: Column, k: Column) -> Column:
-        a, b = F.get(window, k), F.get(window, (k + 1) % F.size(window))
-        side = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
-
-        def kept(p: Column, before: Column, s: Column) -> Column:
-            f = s["before"] / (s["before"] - s["here"])
-            met = F.struct((before["x"] + f * (p["x"] - before["x"])).alias("x"), (before["y"] + f * (p["y"] - before["y"])).alias("y"))
-            return F.concat(F.when((s["before"] >= 0) != (s["here"] >= 0), F.array(met)).otherwise(none), F.when(s["here"] >= 0, F.array(p)).otherwise(none))
-
-        def corner(p: Column, i: Column) -> Column:
-            last = F.get(ring, F.when(i == 0, F.size(ring) - 1).otherwise(i - 1))
-            return let(last, lambda q: let(F.struct(side(q).alias("before"), side(p).alias("here")), lambda s: kept(p, q, s)))
-
-        return F.flatten(F.transform(ring, corner))
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(window) - 1), subject, cut)
-
-
 def overlay(cells: DataFrame, layer: DataFrame, cell: str, keep: list[str], square: float = 1000.0) -> DataFrame:
-    """(cell, keep..., area) of the pieces that a layer's rings share with convex cells; boxes meet by grid square."""
-    low = lambda r, c: F.array_min(F.transform(r, lambda p: p[c]))
-    high = lambda r, c: F.array_max(F.transform(r, lambda p: p[c]))
-    sq = lambda v: F.floor(v / square).cast("long")
-
-    def dealt(df: DataFrame, ring: str, tag: str) -> DataFrame:
-        r = F.col(ring)
-        out = df.withColumn(f"{tag}x", sq(low(r, "x"))).withColumn(f"{tag}y", sq(low(r, "y")))
-        return out.withColumn("_bx", F.explode(F.sequence(F.col(f"{tag}x"), sq(high(r, "x"))))).withColumn("_by", F.explode(F.sequence(F.col(f"{tag}y"), sq(high(r, "y")))))
-
-    a = dealt(cells.select(cell, F.col("ring").alias("_c")), "_c", "_c0")
-    b = dealt(layer.select(*keep, F.col("ring").alias("_l")), "_l", "_l0")
-    # a pair that shares several squares meets in the first of them alone
-    pairs = a.join(b, ["_bx", "_by"]).filter((F.col("_bx") == F.greatest("_c0x", "_l0x")) & (F.col("_by") == F.greatest("_c0y", "_l0y"))).select(cell, *keep, "_c", "_l")
-
-    out = pairs.select(cell, *keep, ring_area(clipped(F.col("_l"), F.col("_c"))).alias("area"))
-    return out.filter("area > 0")
+    """(cell, keep..., area) of what rings of a layer share with convex cells, by columns keep of the layer."""
+    rings = layer.select(*keep, F.array("ring").alias("rings"))
+    return overlay_area(cells, rings, cell, keep, size=square)
 
 
 def zoning(pieces: DataFrame, cells: DataFrame, cell: str, least: float) -> DataFrame:
@@ -126,15 +88,10 @@ def interpolate(pieces: DataFrame, total: str, source_area: str, cell: str) -> D
     return pieces.groupBy(cell).agg(F.sum(F.col(total) * F.col("area") / F.col(source_area)).alias(total))
 
 
-def distance_to_lines(points: DataFrame, lines: DataFrame, key: str, ceiling: float) -> DataFrame:
-    """Distance to the nearest line within the ceiling, else the ceiling: lines go to every square within reach of a vertex."""
-    sq = lambda v: F.floor(v / ceiling).cast("long")
-    low = lambda c: F.array_min(F.transform("line", lambda p: p[c]))
-    high = lambda c: F.array_max(F.transform("line", lambda p: p[c]))
-    reach = lines.select("line", F.explode(F.sequence(sq(low("x")) - 1, sq(high("x")) + 1)).alias("_bx")).withColumn("_by", F.explode(F.sequence(sq(low("y")) - 1, sq(high("y")) + 1)))
-    near = points.withColumn("_bx", sq(F.col("x_m"))).withColumn("_by", sq(F.col("y_m"))).join(reach, ["_bx", "_by"])
-    best = near.groupBy(key).agg(F.min(segment_distance(F.col("x_m"), F.col("y_m"), F.col("line"))).alias("_d"))
-    return points.select(key).join(best, key, "left").select(key, F.least(F.coalesce("_d", F.lit(ceiling)), F.lit(ceiling)).alias("dist_m"))
+def distance_to_lines(points: DataFrame, lines: DataFrame, key: str, ceiling: float, start: float = 500.0) -> DataFrame:
+    """Distance to the nearest line (an array of points), at most the ceiling."""
+    pieces = line_pieces(lines, "line", [], min(start, ceiling))
+    return distance_to_pieces(points, pieces, key, ceiling, "x_m", "y_m", lambda df: kept(df, "lines"), start)
 
 
 def slope_percent(grid: DataFrame, row: str, col: str, z: str, width_m: float, height_m: float) -> DataFrame:
@@ -173,10 +130,6 @@ def registry_problems(projects: DataFrame, stages: list[str], forms: list[str])
     return projects.select("project_id", found.alias("_f")).select("project_id", F.explode("_f").alias("problem"))
 
 
-def power_flag(cells: DataFrame, key: str, station_m: str, line_m: str, station_reach: float = 2000.0, line_reach: float = 500.0) -> DataFrame:
-    return cells.select(key, F.when((F.col(station_m) <= station_reach) | (F.col(line_m) <= line_reach), 1).otherwise(0).cast("long").alias("util_power"))
-
-
 def physical_state(dndvi: Column, dndbi: Column, dbsi: Column, light: Column, cut: dict[str, float]) -> Column:
     """Most advanced state whose signs are all there; none otherwise."""
     return (

@@ -107,15 +107,15 @@ def _points(spark, sf):
     return cells, sites
 
 
-def test_nearest_site_within_4000_m(spark):
+def test_nearest_site_at_any_distance(spark):
     sf = "/root/testdata/sf0.01"
     cells, sites = _points(spark, sf)
     at = {}
     for i in sorted(sites, reverse=True):
         at[sites[i]] = i
     best = {k: min((math.hypot(x - u, y - v), i) for (u, v), i in at.items()) for k, (x, y) in cells.items()}
-    want = {k: (i, pytest.approx(d, abs=1e-6)) for k, (d, i) in best.items() if d <= 4000}
-    assert {r.cell: (r.project_id, r.dist_m) for r in catalogue.queries()["l2_nearest_site"](spark, sf).collect()} == want and len(want) == 662
+    want = {k: (i, pytest.approx(d, abs=1e-6)) for k, (d, i) in best.items()}
+    assert {r.cell: (r.project_id, r.dist_m) for r in catalogue.queries()["l2_nearest_site"](spark, sf).collect()} == want and len(want) == 2000
 
 
 def test_wedge_within_1000_m(spark):
@@ -270,8 +270,10 @@ def test_ingest(spark):
         a, r = np.sort(rng.uniform(0, 2 * np.pi, 9)), rng.uniform(20, 180, 9)
         x, y = rng.uniform(-80, 80, 2)
         rings.append([(float(x + s * np.cos(t)), float(y + s * np.sin(t))) for t, s in zip(a, r)])
-    df = spark.createDataFrame([(i, ring, hexagon) for i, ring in enumerate(rings)], f"i long, s {ingest.RING}, w {ingest.RING}")
-    got = [r.a for r in df.orderBy("i").select(sc.ring_area(ingest.clipped(F.col("s"), F.col("w"))).alias("a")).collect()]
+    df = spark.createDataFrame(list(enumerate(rings)), f"i long, ring {ingest.RING}")
+    one_cell = spark.createDataFrame([(0, hexagon)], f"cell long, ring {ingest.RING}")
+    shared = {r.i: r.area for r in ingest.overlay(one_cell, df, "cell", ["i"], 50.0).collect()}
+    got = [shared.get(i, 0.0) for i in range(len(rings))]
     for ring, area in zip(rings, got):
         # the share of a fine grid of points that lie in both
         gx, gy = np.meshgrid(np.arange(-100, 100, 0.5) + 0.25, np.arange(-100, 100, 0.5) + 0.25)
