@@ -97,12 +97,15 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     lengths = [*short, WINDOW]
     # an item's windows all have one length: WINDOW, or that of the whole item
     windows = _windows(items, ["item", F.least(F.size("_h1"), F.lit(WINDOW)).alias("own")], lengths).filter("length = own").select("item", "length", "w1", "w2").distinct()
-    # equal windows are one, and windows found in the same items share one list of them
-    windows = windows.groupBy("length", "w1", "w2").agg(F.array_sort(F.collect_set("item")).alias("found"))
-    windows = written(windows.withColumn("list", F.xxhash64("found")), "benchmark-windows")
+    # equal windows are one; those found in the same items, which a hash without an order tells, share one list of them
+    windows, window = written(windows, "benchmark-windows"), ["length", "w1", "w2"]
+    items_of = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("item")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "item")).alias("m2")]
+    classes = windows.groupBy(*window).agg(*items_of).select(*window, F.xxhash64("n", "m1", "m2").alias("list"))
+    classes = written(classes, "benchmark-classes")
     prints = written(_item_prints(named, short), "benchmark-prints")
-    classes = windows.select("length", "w1", "w2", "list")
-    lists = windows.select("list", "found").distinct()
+    # the items of a list are those of one of its windows
+    first = classes.groupBy("list").agg(F.min(F.struct(*window)).alias("w")).select("list", "w.*")
+    lists = written(windows.join(first, window).select("list", "item").filter("item IS NOT NULL"), "benchmark-lists")
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     key = ["id", "text_hash"]
@@ -125,7 +128,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     counted = ends.groupBy(*key).agg(covered.alias("n_hit"))
     # texts that hit the same lists share one result: a passage of many items in many documents is listed once
     listed = written(spans.select(*key, "list").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("list")).alias("lists")), "hit-lists")
-    merged = listed.select("lists").distinct().withColumn("list", F.explode("lists")).join(lists, "list").select("lists", F.explode("found").alias("item")).distinct()
+    merged = listed.select("lists").distinct().withColumn("list", F.explode("lists")).join(lists, "list").select("lists", "item").distinct()
     merged = merged.groupBy("lists").agg(F.array_sort(F.collect_list("item")).alias("found"))
     merged = merged.select("lists", F.size("found").cast("long").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"))
     merged = listed.join(merged, "lists", "left").select(*key, F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))

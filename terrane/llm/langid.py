@@ -14,11 +14,11 @@ the whole text could, and the best two are looked up. The single one is then tak
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,8 @@ FOLDS = 5
 UNKNOWN = "und"
 
 _GAP = bytes(32 if c < 0x80 and not (chr(c).isalpha() or chr(c) in "'") else c for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter: Unicode's category L, which numerals and marks are not of.
+_LETTER = regex.compile(r"\p{L}")
 
 
 #: Fixed values: (first code point, script) of Unicode's ranges; a range ends where the next begins. 0 says nothing:
@@ -209,9 +210,10 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     languages that score the same, the first by name wins. An empty table gives an empty table, and a model of no
     languages gives `und`. Other columns of df are not read.
     """
+    shared = df.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers for each of MAX_LANGS languages at most
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols = list(zip(*map(model.predict, texts_as_bytes(batch.column(1))))) or [()] * 3
+        cols = list(zip(*map(shared.value.predict, texts_as_bytes(batch.column(1))))) or [()] * 3
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64())], ["doc_id", "lang_pred", "score", "n_spans"])
 
     return arrow_pass(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, lang_pred string, score double, n_spans long")

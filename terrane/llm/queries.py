@@ -11,7 +11,7 @@ from terrane.llm.conversations import op12_sql, op12_trie
 from terrane.llm.decontam import op9_decontam, op9_sql
 from terrane.llm.interactions import op11_audit, op11_sql
 from terrane.llm.langid import op6_language
-from terrane.llm.licenses import op5_licenses, op5_sql
+from terrane.llm.licenses import op5_expressions, op5_expressions_sql, op5_licenses, op5_sql
 from terrane.llm.linededup import op4_lines, op4_sql
 from terrane.llm.mixing import mix_targets, mix_targets_sql, op10_mix
 from terrane.llm.neardup import op3_neardup, op3_sql
@@ -19,7 +19,7 @@ from terrane.llm.ngramjoin import op13_join, op13_sql
 from terrane.llm.quality import op2_ablations, op2_ablations_sql, op2_quality, op2_sql
 from terrane.llm.secret_scan import base_spans, base_spans_sql, op7_secrets
 from terrane.llm.sharding import op1_shards, op1_sql
-from terrane.llm.urlfilter import op8_sql, op8_urls
+from terrane.llm.urlfilter import op8_listed, op8_listed_sql, op8_sql, op8_urls
 
 
 def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -43,7 +43,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op13_ngram_join": _over(op13_join, "documents"),
         # more of what operators find, where SQL can check it
         "quality_ablations": _over(op2_ablations, "documents"),
+        "license_expressions": _over(op5_expressions, "documents"),
         "secret_base_spans": _over(base_spans, "documents"),
+        "urls_by_tables": _over(op8_listed, "pages", "customer"),
         "mix_targets": _over(mix_targets, "documents"),
     }
 
@@ -61,6 +63,8 @@ def oracle_sql() -> dict[str, str]:
         "op12_prefix_trie": op12_sql(),
         "op13_ngram_join": op13_sql(),
         "quality_ablations": op2_ablations_sql(),
+        "license_expressions": op5_expressions_sql(),
         "secret_base_spans": base_spans_sql(),
+        "urls_by_tables": op8_listed_sql(),
         "mix_targets": mix_targets_sql(),
     }

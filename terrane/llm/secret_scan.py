@@ -69,18 +69,33 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str, bool]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), m[0], True) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     out += [("hex", m.start(), m.end(), m[0], True) for m in HEX.finditer(text)]
-    taken = [(s, e) for _, s, e, _, _ in out]
+    taken = _union(sorted((s, e) for _, s, e, _, _ in out))
     for kind, pattern in MORE:
         if kind in _MORE_MARKS and not any(m in text for m in _MORE_MARKS[kind]):
             continue
+        new, at = [], 0
         for m in pattern.finditer(text):
             s, e = m.span(1)
-            if (kind == "pem" or looks_random(m[1])) and not any(s < b and a < e for a, b in taken):
+            while at < len(taken) and taken[at][1] <= s:  # matches and spans taken both run forward
+                at += 1
+            if (at == len(taken) or taken[at][0] >= e) and (kind == "pem" or looks_random(m[1])):
                 out.append((kind, s, e, m[1], False))
-                taken.append((s, e))
+                new.append((s, e))
+        taken = sorted(taken + new)
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans that overlap or touch, as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def _joined(found) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e, *_ in found)
 

@@ -183,6 +183,36 @@ def op8_urls(pages: DataFrame) -> DataFrame:
     return filter_urls(pages)
 
 
+def op8_listed(pages: DataFrame, customers: DataFrame) -> DataFrame:
+    """pages by rules and a list of hosts that come from tables: hosts and starts of paths of every fifth page, and a
+    list of every third page's host and of a host for each customer. Rules and list grow with the tables."""
+    host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    path = F.regexp_extract(F.coalesce("url", F.lit("")), "://[^/?#]*([^?#]*)", 1)
+    named = pages.select("page_id", host.alias("host"), path.alias("path")).filter("host <> ''")
+    verdict = F.when(F.col("page_id") % 2 == 0, "block").otherwise("allow")
+    rules = named.filter("page_id % 5 = 0").select(verdict.alias("verdict"), F.substring_index("host", ".", -2).alias("host"), F.substring("path", 1, 5).alias("path"))
+    listed = named.filter("page_id % 3 = 0").select("host").unionByName(customers.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".example.org")).alias("host")))
+    return filter_urls(pages, rules, listed)
+
+
+def op8_listed_sql() -> str:
+    lower = "translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+    WITH p AS (SELECT page_id, coalesce({lower}, '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    rules AS (
+      SELECT host, path, min(CASE WHEN page_id % 2 = 0 THEN 0 ELSE 1 END) AS allow
+      FROM (SELECT page_id, array_to_string(string_split(host, '.')[-2:], '.') AS host, substr(path, 1, 5) AS path FROM p WHERE host <> '' AND page_id % 5 = 0) GROUP BY ALL),
+    listed AS (SELECT DISTINCT host FROM (SELECT host FROM p WHERE host <> '' AND page_id % 3 = 0 UNION ALL SELECT 'c' || c_custkey || '.example.org' FROM customer)),
+    ends AS (SELECT page_id, array_to_string(parts[i:], '.') AS suffix FROM (SELECT page_id, string_split(host, '.') AS parts FROM p WHERE host <> ''), unnest(range(1, len(parts) + 1)) t(i)),
+    fit AS (
+      SELECT page_id, arg_max(r.host || r.path, encode(r.host || r.path).octet_length()) AS rule, arg_max(allow, encode(r.host || r.path).octet_length()) AS allow
+      FROM ends JOIN rules r ON r.host = suffix JOIN p USING (page_id) WHERE starts_with(p.path, r.path) GROUP BY page_id),
+    l AS (SELECT DISTINCT page_id FROM ends JOIN listed ON listed.host = suffix)
+    SELECT page_id, host, path, rule, CASE WHEN coalesce(1 - allow, (l.page_id IS NOT NULL)::INT) = 1 THEN 'block' ELSE 'allow' END AS verdict, l.page_id IS NOT NULL AS listed
+    FROM p LEFT JOIN fit USING (page_id) LEFT JOIN l USING (page_id)
+    """
+
+
 def op8_sql() -> str:
     lower = "translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     fits = lambda host, path: f"((host = '{host}' OR host LIKE '%.{host}') AND path LIKE '{path}%')"

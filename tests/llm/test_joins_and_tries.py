@@ -322,3 +322,83 @@ def test_neardup_family_without_links(spark, monkeypatch):
     want, links = components_brute(texts, 5, 75)
     got = {x.id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == want and links > 5
+
+
+def test_secrets_of_long_lists():
+    """Spans are looked up along the text, so a list of many hashes costs in proportion to its length."""
+    import time
+
+    from terrane.llm import secret_scan
+
+    r = random.Random(1)
+    lists = {n: "\n".join("%064x" % r.getrandbits(256) + " " + "".join(r.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", k=40)) for _ in range(n)) for n in (3000, 24000)}
+    took = {}
+    for n, text in lists.items():
+        start = time.process_time()
+        found = secret_scan.candidates(text)
+        took[n] = time.process_time() - start
+        assert sum(x[0] == "hex" for x in found) == n and sum(not x[4] for x in found) >= 0.95 * n
+        for (_, _, e, *_), (_, s, *_) in zip(found, found[1:]):
+            assert s >= e
+    assert took[24000] < 24 * took[3000] + 0.5
+
+
+@pytest.mark.parametrize(("text", "letter"), [("½ ²", False), ("Ⅷ", False), ("12 ٢", False), ("́", False), ("_-", False), ("½ a", True), ("中", True), ("ʰ", True)])
+def test_language_needs_a_letter(text, letter):
+    from terrane.llm import langid
+
+    model = langid.Model(("a", "b"), np.zeros((langid.FEATURES, 2)), np.ones((langid.N_SCRIPTS, 2), bool), 1)
+    assert (model.predict(text.encode())[0] != "und") == letter
+
+
+def test_language_whole(spark):
+    """Training and prediction of a small table by plain counting and an exhaustive walk."""
+    from terrane.llm import langid
+
+    r, rows = random.Random(4), []
+    words = {"x": ["aba", "bab", "abba", "baab"], "y": ["xyz", "zyx", "yyx", "zzy"], "z": ["аб", "баб"]}
+    for i in range(60):
+        lang = r.choice("xyz")
+        rows.append((i, " ".join(r.choices(words[lang], k=r.randrange(1, 9))), lang))
+    rows += [(100, "aba bab abba baab aba zyx zyx zyx xyz", None), (101, None, "x"), (102, "7 8", "x"), (None, "xyz", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [(t, lang) for i, t, lang in rows if i is not None and zlib.crc32(str(i).encode()) % 5 and lang and t]
+    langs = sorted({lang for _, lang in learned})
+    grams = {lang: np.full(langid.FEATURES, langid.SMOOTHING) for lang in langs}
+    scripts = {lang: np.zeros(langid.N_SCRIPTS) for lang in langs}
+    for t, lang in learned:
+        g, _, s = langid.features(t.encode())
+        np.add.at(grams[lang], g, 1)
+        np.add.at(scripts[lang], s, 1)
+    model = langid.train(df)
+    assert list(model.langs) == langs
+    got = {x.doc_id: x.lang_pred for x in langid.op6_language(df).collect()}
+    for i, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            assert got[i] == "und"
+            continue
+        each = []
+        for w in t.split():
+            g, _, s = langid.features(w.encode())
+            each.append([sum(np.log(grams[x] / grams[x].sum())[g]) if all(k == 0 or scripts[x][k] / scripts[x].sum() >= langid.SCRIPT_SHARE for k in s) else -1e9 for x in langs])
+        best, label = -1e18, None
+        for path in itertools.product(range(len(langs)), repeat=len(each)) if len(each) <= 9 else []:
+            value = sum(e[k] for e, k in zip(each, path)) - langid.PENALTY * sum(a != b for a, b in zip(path, path[1:]))
+            if value > best + 1e-9:
+                best, label = value, path
+        held = Counter()
+        for w, k in zip(t.split(), label):
+            held[k] += len(w)
+        top = max(held.values())
+        assert got[i] in {langs[k] for k, n in held.items() if n == top}, (i, t, got[i])
+
+
+def test_license_tags_by_place():
+    """Tags are where the automaton finds their words, with their own marks, and each ends before the next."""
+    from terrane.llm.licenses import scan
+
+    text = "État SPDX License Identifier: GPL-3.0 (no tag) SPDX-License-Identifier: MIT AND (ISC or GPL-2.0) spdx-license-identifier :Apache-2.0\nSPDX-License-Identifier:\nBSD-2-Clause"
+    n_words, *_, labels, expression, _, permissive = scan(text.encode())
+    assert expression == "MIT AND (ISC or GPL-2.0); Apache-2.0" and permissive is True and {"mit", "isc", "gpl", "apache"} <= set(labels.split(","))
+    many = " ".join(f"word{i} SPDX-License-Identifier: GPL-2.0 AND MIT" for i in range(5000))
+    assert scan(many.encode())[6].count(";") == 4999 and scan(many.encode())[8] is False

@@ -285,7 +285,7 @@ def test_license_sql():
     got = {r[0]: r[1:] for r in con.execute(licenses.op5_sql()).fetchall()}
     for i, text in texts:
         want = licenses.scan(text.encode())
-        assert got[i] == (*want[:6], want[7])
+        assert got[i] == (*want[:6], want[7], want[6], want[8])
 
 
 def brute_leading(tokens):
