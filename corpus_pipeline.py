@@ -14,6 +14,7 @@ from terrane.llm.decontam import clean_documents
 from terrane.llm.mixing import mix
 from terrane.llm.neardup import near_duplicates
 from terrane.llm.quality import kept_documents
+from terrane.llm.scan import running
 from terrane.llm.sharding import shard_rows
 
 #: Mixing and sharding follow 64-bit hashes that DuckDB does not have; tests compare run() with a brute-force version.
@@ -28,21 +29,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id, rows without one last.
 
-    Where a doc_id is null or repeated, each row has a key of its own for this stage, so all rows are grouped by their
-    texts; rows that repeat doc_id and text stay once.
+    Rows are numbered in the order of doc_id, text and all other columns, the latter two by hash, and compared by their
+    texts under these numbers, so which row stays does not depend on files or tasks. Rows of one doc_id and different
+    texts are documents of their own; of rows of one doc_id and text, the first in that order stays. Texts without
+    words are like no other: they stay, once for each doc_id and text, and each row without a doc_id.
     """
-    counts = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.countDistinct("doc_id")).first()
-    if counts[0] == counts[1] == counts[2]:
-        found = written(near_duplicates(docs), "near-duplicates").filter("kept").select(F.col("id").alias("_id"))
-        return docs.join(found, docs["doc_id"] == found["_id"], "left_semi")
-    key = free_name(docs, "_key")
-    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")  # written, so that keys stay
-    found = written(near_duplicates(keyed, key), "near-duplicates").select(F.col("id").alias("_id"), "component_id")
-    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key))
-    best = found.join(keyed.select("doc_id", key), F.col("_id") == F.col(key)).groupBy("component_id").agg(F.min(rank).alias("best"))
-    best = best.select(F.col(f"best.{key}").alias("_best"))
-    keep = keyed.join(best, F.col(key) == F.col("_best"), "left_semi").drop(key)
-    return keep.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(keep.filter("doc_id IS NULL"))
+    one, key, text = free_name(docs, "_one"), "run_" + free_name(docs, "_one"), F.md5(F.coalesce("text", F.lit("")))
+    order = [F.col("doc_id").asc_nulls_last(), text, F.md5(F.to_json(F.struct(*docs.columns)))]
+    keyed = running(docs.withColumn(one, F.lit(1).cast("long")), order, sums=(one,), name="keyed")
+    found = written(near_duplicates(keyed, key), "near-duplicates")
+    bare = found.filter("n_shingles = 0").select(F.col("id").alias(key)).join(keyed.select(key, "doc_id", text.alias("_text"), F.col("text").isNull().alias("_null")), key)
+    lone = F.when(F.col("doc_id").isNull(), F.col(key))
+    bare = bare.groupBy("doc_id", "_text", "_null", lone).agg(F.min(key).alias("_keep")).select("_keep")
+    keep = found.filter("kept AND n_shingles > 0").select(F.col("id").alias("_keep")).unionByName(bare)
+    return keyed.join(keep, F.col(key) == F.col("_keep"), "left_semi").drop(key, one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
