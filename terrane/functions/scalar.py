@@ -140,6 +140,22 @@ def utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
     return 0.9996 * x + 500000, 0.9996 * y
 
 
+def from_utm(x: Column, y: Column, zone: int, rounds: int = 6) -> tuple[Column, Column]:
+    """Longitude and latitude of a place in a northern UTM zone: steps by the projection's own differences, towards the
+    place whose projection it is."""
+    lat = F.degrees(y / 0.9996 / WGS84_A)
+    lon = F.lit(6.0 * zone - 183) + F.degrees((x - 500000) / 0.9996 / WGS84_A) / F.cos(F.radians(lat))
+    place = F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    def step(at: Column, _: Column) -> Column:
+        gx, gy = utm(at["lon"], at["lat"], zone)
+        better_lat = at["lat"] + F.degrees((y - gy) / 0.9996 / WGS84_A)
+        return F.struct((at["lon"] + F.degrees((x - gx) / 0.9996 / WGS84_A) / F.cos(F.radians(at["lat"]))).alias("lon"), better_lat.alias("lat"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), place, step)
+    return found["lon"], found["lat"]
+
+
 def normal_quantile(p: float) -> float:
     from statistics import NormalDist
 

@@ -260,7 +260,7 @@ def overlay_area(cells: DataFrame, layer: DataFrame, cell: str, keep: list[str],
     """
     corners = F.col(ring)
     convex = cells.select(F.col(cell), F.when(signed_area(corners) >= 0, corners).otherwise(F.reverse(corners)).alias("_ring"))
-    weight = lambda i: 1.0 + ANCHOR_STEP * i
+    weight = lambda i: 1.0 + ANCHOR_STEP * i * i
     total = F.aggregate(F.transform("_ring", lambda p, i: weight(i)), F.lit(0.0), lambda a, v: a + v)
     anchor = lambda v: F.aggregate(F.transform("_ring", lambda p, i: p[v] * weight(i)), F.lit(0.0), lambda a, w: a + w) / total
     low, high = (lambda v: F.array_min(F.transform("_ring", lambda p: p[v]))), (lambda v: F.array_max(F.transform("_ring", lambda p: p[v])))

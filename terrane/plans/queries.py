@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrane.plans import catalogue, catalogue_cells, catalogue_engine
+from terrane.plans import catalogue, catalogue_cells, catalogue_engine, catalogue_shapes
 
-CATALOGUES = (catalogue, catalogue_cells, catalogue_engine)
+CATALOGUES = (catalogue, catalogue_cells, catalogue_engine, catalogue_shapes)
 queries, oracle_sql = catalogue.queries, catalogue.oracle_sql

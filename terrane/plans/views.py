@@ -71,6 +71,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           (n_nationkey % 11) / 50e0 - 0.04e0 AS beat_b2, -0.1e0 AS beat_b2_low, 0.2e0 AS beat_b2_high, 0.7e0 + (n_nationkey % 5) / 20e0 AS coverage, 0.5e0 AS overheat_precision, 0.1e0 AS mape, 0.4e0 AS settlement_spearman,
           (n_nationkey % 9) / 30e0 - 0.1e0 AS beat_b4, n_nationkey % 6 <> 0 AS price_test, 0.5e0 + (n_nationkey % 7) / 20e0 > 0.8e0 AS alarm, FALSE AS underpowered
         FROM nation"""),
+    "a_districts": (("supplier",), """
+        SELECT zone_id, x0, y0, wide, high, people, zone, far, CASE WHEN form = 1 THEN x0 + wide / 4 WHEN form = 2 THEN x0 + wide / 2 ELSE x0 END AS rx0, CASE WHEN form = 1 THEN y0 + high / 4 WHEN form = 2 THEN y0 + high / 2 ELSE y0 END AS ry0,
+          CASE WHEN form = 0 THEN x0 WHEN form = 1 THEN x0 + wide / 2 ELSE x0 + wide END AS rx1, CASE WHEN form = 0 THEN y0 WHEN form = 1 THEN y0 + high / 2 ELSE y0 + high END AS ry1, form
+        FROM (SELECT s_suppkey AS zone_id, (s_suppkey % 37) * 480e0 - 140e0 AS x0, (s_suppkey % 41) * 420e0 - 60e0 AS y0, 400e0 + (s_suppkey % 7) * 320e0 AS wide, 400e0 + (s_suppkey % 5) * 280e0 AS high,
+          1000e0 + (s_suppkey % 13) * 370e0 AS people, CASE s_suppkey % 4 WHEN 0 THEN 'res' WHEN 1 THEN 'com' WHEN 2 THEN 'mix' ELSE 'ind' END AS zone, 1e0 + s_suppkey % 3 AS far, s_suppkey % 3 AS form FROM supplier) s"""),
     "a_draws": (("part",), """
         SELECT d AS draw, p_partkey AS cell, ln(p_retailprice) + ((p_partkey * 7919 + d * 104729) % 1009) / 1009e0 - 0.5e0 AS value
         FROM part CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10)) s(d)"""),
