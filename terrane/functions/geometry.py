@@ -154,8 +154,12 @@ def from_wkt(text: Column) -> Column:
     return F.when(known.isNotNull() & F.upper(plain).rlike(r"EMPTY\s*$"), empty).when(known.isNotNull(), _nested(known, said))
 
 
-def _f64_hex(x: Column) -> Column:
-    """The eight bytes of a double, highest first, as hex: sign, exponent and fraction by arithmetic, which is exact."""
+def double_hex(x: Column) -> Column:
+    """The eight bytes of a double, highest first, as hex: sign, exponent and fraction by arithmetic, which is exact.
+
+    Doubles below 2 ** -1022, which have fewer digits, have their own exponent; -0.0 is 0.0, and NaN and infinities are
+    named by one pattern each.
+    """
     size = F.abs(x)
     guess = F.floor(F.log2(F.when(size > 0, size))).cast("int")
 
@@ -164,14 +168,16 @@ def _f64_hex(x: Column) -> Column:
         high = F.shiftright(fraction, 32) + (e + 1023).cast("long") * F.lit(2**20) + F.when(x < 0, F.lit(2**31)).otherwise(F.lit(0).cast("long"))
         return F.concat(F.lpad(F.hex(high), 8, "0"), F.lpad(F.hex(fraction.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
 
+    tiny = F.concat(F.lpad(F.hex(F.shiftright((size / F.lit(2.0**-1074)).cast("long"), 32) + F.when(x < 0, F.lit(2**31)).otherwise(F.lit(0).cast("long"))), 8, "0"), F.lpad(F.hex((size / F.lit(2.0**-1074)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
     fixed = F.when(F.pow(F.lit(2.0), guess) > size, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess)
-    return F.when(x == 0, F.lit("0" * 16)).otherwise(let(fixed, bits))
+    odd = F.when(F.isnan(x), "7FF8000000000000").when(x == float("inf"), "7FF0000000000000").when(x == float("-inf"), "FFF0000000000000")
+    return F.when(odd.isNotNull(), odd).when(x == 0, F.lit("0" * 16)).when(size < 2.0**-1022, tiny).otherwise(let(fixed, bits))
 
 
 def to_wkb(kind: Column, parts: Column) -> Column:
-    """Well-known binary, highest byte first, always of the many-part kinds. Doubles below 1e-300 are not meant."""
+    """Well-known binary, highest byte first, always of the many-part kinds."""
     u32 = lambda n: F.lpad(F.hex(n.cast("long")), 8, "0")
-    point = lambda p: F.concat(_f64_hex(p["x"]), _f64_hex(p["y"]))
+    point = lambda p: F.concat(double_hex(p["x"]), double_hex(p["y"]))
     line = lambda ps: F.concat(u32(F.size(ps)), F.array_join(F.transform(ps, point), ""))
     head = lambda code: F.concat(F.lit("00"), u32(code))
     code = F.when(kind == "point", 1).when(kind == "linestring", 2).when(kind == "polygon", 3)

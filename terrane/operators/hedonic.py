@@ -53,6 +53,47 @@ def lm_tests(df: DataFrame, weights: DataFrame, key: str, other: str, y: str, xs
     return {"lm_lag": lag, "lm_error": error, "p_lag": p(lag), "p_error": p(error), "rlm_lag": robust_lag, "rlm_error": robust_error}
 
 
+def moran_residuals(df: DataFrame, weights: DataFrame, key: str, other: str, y: str, xs: list[str]) -> dict[str, float]:
+    """Moran's I of the least squares residuals, with its mean and deviation under no correlation, z and p.
+
+    The moments come from traces of M W, M the residual maker: W and X are only ever summed over rows and links, so no
+    matrix is larger than the number of regressors.
+    """
+    beta, inverse, s2, n = ols(df, y, xs)
+    k = len(xs) + 1
+    fit = sum((float(b) * F.col(x) for b, x in zip(beta[1:], xs)), F.lit(float(beta[0])))
+    rows = df.withColumn("_e", F.col(y) - fit).withColumn("_one", F.lit(1.0))
+    design = ["_one", *xs]
+    rows = lagged(rows, weights, key, other, ["_e", *design])
+    # W'X: what each row is to the rows that it is a neighbour of
+    turned = weights.select(F.col(other).alias(key), F.col(key).alias(other), "weight")
+    back = rows.select(F.col(key).alias(other), *design)
+    sent = turned.join(back, other).groupBy(key).agg(*[F.sum(F.col("weight") * F.col(x)).alias(f"b_{x}") for x in design])
+    rows = rows.join(sent, key, "left").fillna(0.0, [f"b_{x}" for x in design])
+    cells = [(i, j) for i in range(k) for j in range(k)]
+    kinds = {"xw": ("", "w_"), "ww": ("b_", "w_"), "gg": ("w_", "w_"), "bb": ("b_", "b_")}
+    sums = [F.sum(F.col(f"{a}{design[i]}") * F.col(f"{b}{design[j]}")).alias(f"{name}{i}_{j}") for name, (a, b) in kinds.items() for i, j in cells]
+    got = rows.agg(F.sum(F.col("_e") * F.col("w__e")).alias("ewe"), F.sum(F.col("_e") ** 2).alias("ee"), *sums).first()
+    m = {name: np.array([[float(got[f"{name}{i}_{j}"]) for j in range(k)] for i in range(k)]) for name in kinds}
+    mutual = weights.join(turned.withColumnRenamed("weight", "_w"), [key, other], "left").agg(F.sum("weight").alias("s0"), F.sum(F.col("weight") ** 2).alias("sq"), F.sum(F.col("weight") * F.coalesce("_w", F.lit(0.0))).alias("ab")).first()
+    s0, sq, ab = (float(v) for v in mutual)
+    a = inverse @ m["xw"]  # (X'X)^-1 X'WX
+    first = -np.trace(a)
+    both = sq - np.trace(inverse @ (m["gg"] + m["bb"])) + np.trace(a @ inverse @ m["xw"].T)  # tr(M W M W')
+    same = ab - 2 * np.trace(inverse @ m["ww"]) + np.trace(a @ a)  # tr(M W M W)
+    free = n - k
+    value = n / s0 * float(got["ewe"]) / float(got["ee"])
+    mean = n / s0 * first / free
+    spread = (n / s0) ** 2 * (both + same + first**2) / (free * (free + 2)) - mean**2
+    z = (value - mean) / math.sqrt(spread)
+    return {"moran_i": value, "mean": mean, "deviation": math.sqrt(spread), "z": z, "p": math.erfc(abs(z) / math.sqrt(2))}
+
+
+def standard_errors(inverse: np.ndarray, s2: float, n: int) -> np.ndarray:
+    """Of least squares coefficients, from (X'X)^-1 and the mean squared residual."""
+    return np.sqrt(np.diag(inverse) * s2 * n / max(n - len(inverse), 1))
+
+
 def choose(tests: dict[str, float], alpha: float = 0.05) -> str:
     """ols, lag or error: the significant one, or of two the one with the larger robust statistic."""
     lag, error = tests["p_lag"] < alpha, tests["p_error"] < alpha
@@ -67,9 +108,17 @@ def fit_lag(df: DataFrame, weights: DataFrame, key: str, other: str, y: str, xs:
     first, *_ = ols(rows, f"w_{y}", [*xs, *(f"w_{x}" for x in xs)])
     names = [*xs, *(f"w_{x}" for x in xs)]
     rows = rows.withColumn("_wy", sum((float(b) * F.col(x) for b, x in zip(first[1:], names)), F.lit(float(first[0]))))
-    beta, *_ = ols(rows, y, [*xs, "_wy"])
+    beta, inverse, _, n = ols(rows, y, [*xs, "_wy"])
     rho = float(beta[-1])
-    return {"rho": rho, "intercept": float(beta[0])} | {x: float(b) for x, b in zip(xs, beta[1:])} | {f"total_{x}": float(b) / (1 - rho) for x, b in zip(xs, beta[1:])}
+    # residuals are those of Wy itself, with unequal variances allowed for
+    miss = F.col(y) - float(beta[0]) - rho * F.col(f"w_{y}") - sum((float(b) * F.col(x) for b, x in zip(beta[1:], xs)), F.lit(0.0))
+    z = [F.lit(1.0), *map(F.col, xs), F.col("_wy")]
+    k = len(z)
+    got = rows.withColumn("_u2", miss * miss).agg(*[F.sum(F.col("_u2") * z[i] * z[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(k)]).first()
+    meat = np.array([[float(got[f"s{i}_{j}"]) for j in range(k)] for i in range(k)])
+    errors = np.sqrt(np.diag(inverse @ meat @ inverse))
+    said = {"se_intercept": float(errors[0]), "se_rho": float(errors[-1])} | {f"se_{x}": float(v) for x, v in zip(xs, errors[1:])}
+    return said | {"rho": rho, "intercept": float(beta[0])} | {x: float(b) for x, b in zip(xs, beta[1:])} | {f"total_{x}": float(b) / (1 - rho) for x, b in zip(xs, beta[1:])}
 
 
 def fit_error(df: DataFrame, weights: DataFrame, key: str, other: str, y: str, xs: list[str]) -> dict[str, float]:
@@ -99,9 +148,15 @@ def fit_error(df: DataFrame, weights: DataFrame, key: str, other: str, y: str, x
         lam, width = float(grid[np.argmin([loss(float(g)) for g in grid])]), width / 4
     rows = lagged(df, weights, key, other, [y, *xs])
     turned = rows.select((F.col(y) - lam * F.col(f"w_{y}")).alias("_y"), *[(F.col(x) - lam * F.col(f"w_{x}")).alias(x) for x in xs])
-    beta, *_ = ols(turned, "_y", xs)
+    beta, inverse, _, n = ols(turned, "_y", xs)
+    z = [F.lit(1.0), *map(F.col, xs)]
+    u2 = (F.col("_y") - float(beta[0]) - sum((float(b) * F.col(x) for b, x in zip(beta[1:], xs)), F.lit(0.0))) ** 2
+    got = turned.dropna().withColumn("_u2", u2).agg(*[F.sum(F.col("_u2") * z[i] * z[j]).alias(f"s{i}_{j}") for i in range(len(z)) for j in range(len(z))]).first()
+    meat = np.array([[float(got[f"s{i}_{j}"]) for j in range(len(z))] for i in range(len(z))])
+    errors = np.sqrt(np.diag(inverse @ meat @ inverse))  # unequal variances allowed for
+    said = {"se_intercept": float(errors[0]) / (1 - lam)} | {f"se_{x}": float(v) for x, v in zip(xs, errors[1:])}
     # weights that sum to one turn the constant into 1 - lambda of itself
-    return {"lambda": lam, "intercept": float(beta[0]) / (1 - lam)} | {x: float(b) for x, b in zip(xs, beta[1:])} | {f"total_{x}": float(b) for x, b in zip(xs, beta[1:])}
+    return said | {"lambda": lam, "intercept": float(beta[0]) / (1 - lam)} | {x: float(b) for x, b in zip(xs, beta[1:])} | {f"total_{x}": float(b) for x, b in zip(xs, beta[1:])}
 
 
 def hedonic(df: DataFrame, weights: DataFrame, key: str, other: str, y: str, xs: list[str], alpha: float = 0.05) -> dict[str, object]:
@@ -109,8 +164,9 @@ def hedonic(df: DataFrame, weights: DataFrame, key: str, other: str, y: str, xs:
     tests = lm_tests(df, weights, key, other, y, xs)
     model = choose(tests, alpha)
     if model == "ols":
-        beta, *_ = ols(df, y, xs)
-        fitted = {"intercept": float(beta[0])} | {x: float(b) for x, b in zip(xs, beta[1:])} | {f"total_{x}": float(b) for x, b in zip(xs, beta[1:])}
+        beta, inverse, s2, n = ols(df, y, xs)
+        errors = standard_errors(inverse, s2, n)
+        fitted = {"se_intercept": float(errors[0])} | {f"se_{x}": float(v) for x, v in zip(xs, errors[1:])} | {"intercept": float(beta[0])} | {x: float(b) for x, b in zip(xs, beta[1:])} | {f"total_{x}": float(b) for x, b in zip(xs, beta[1:])}
     else:
         fitted = (fit_lag if model == "lag" else fit_error)(df, weights, key, other, y, xs)
     return {"model": model, **fitted, **tests}

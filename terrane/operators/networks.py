@@ -5,8 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.operators.spatial import nearest_of, within
@@ -54,53 +53,67 @@ def network_states(projects: DataFrame, years: DataFrame, p: Params, project: st
     return out
 
 
-def rail_minutes(stations: list[tuple[str, str, float, float]], p: Params) -> dict[tuple[tuple[str, str], tuple[str, str]], float]:
-    """Minutes between all (line, station) nodes of (station, line, x, y), in the order of a line's stations.
+def rail_edges(stations: DataFrame, p: Params) -> DataFrame:
+    """(u, v, minutes), both ways, of the nodes `line|station` of stations (line, station, place, x, y).
 
-    Neighbours on a line are joined at line-haul speed with a dwell, nodes of one station by a transfer. The graph of
-    stations is small and stays on the driver; a pair without a way is absent.
+    Neighbours on a line, in the order of place, are joined at line-haul speed with a dwell; nodes of one station, in
+    the order of their lines, by a transfer. A line or station is a small group.
     """
     kmh = float(p.value("access.speeds_kmh")["metro_line_haul"])
     dwell, transfer = float(p.value("access.rail.dwell_min")), float(p.value("access.rail.transfer_min"))
-    nodes = [(line, station) for station, line, _, _ in stations]
-    at = {n: i for i, n in enumerate(nodes)}
-    d = np.full((len(nodes), len(nodes)), np.inf)
-    np.fill_diagonal(d, 0.0)
-
-    def join(a: int, b: int, minutes: float) -> None:
-        d[a, b] = d[b, a] = min(d[a, b], minutes)
-
-    for line in sorted({x[1] for x in stations}):
-        row = [x for x in stations if x[1] == line]
-        for (s, _, ax, ay), (t, _, bx, by) in zip(row, row[1:]):
-            join(at[line, s], at[line, t], float(np.hypot(ax - bx, ay - by)) / 1000 / kmh * 60 + dwell)
-    for station in sorted({x[0] for x in stations}):
-        here = [at[n] for n in nodes if n[1] == station]
-        for a, b in zip(here, here[1:]):
-            join(a, b, transfer)
-    for k in range(len(nodes)):
-        d = np.minimum(d, d[:, k : k + 1] + d[k : k + 1, :])
-    return {(a, b): float(d[at[a], at[b]]) for a in nodes for b in nodes if np.isfinite(d[at[a], at[b]])}
-
-
-def rail_od(origins: DataFrame, destinations: DataFrame, stations: list[tuple[str, str, float, float]], p: Params, feeders: dict[str, float] | None = None) -> DataFrame:
+    nodes = stations.withColumn("u", F.concat_ws("|", "line", "station"))
+    along, across = Window.partitionBy("line").orderBy("place", "station"), Window.partitionBy("station").orderBy("line")
+    ride = F.hypot(c("x") - F.lead("x").over(along), c("y") - F.lead("y").over(along)) / 1000 / kmh * 60 + dwell
+    edges = nodes.select("u", F.lead("u").over(along).alias("v"), ride.alias("minutes")).unionByName(nodes.select("u", F.lead("u").over(across).alias("v"), F.lit(transfer).alias("minutes"))).filter("v IS NOT NULL")
+    return edges.unionByName(edges.select(c("v").alias("u"), c("u").alias("v"), "minutes"))
+
+
+def shortest_paths(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v, minutes) of the shortest way between any two nodes of edges (u, v, minutes) that one leads between.
+
+    The min-plus closure by repeated squaring: ways found last time are put in front of and behind all, until none is
+    shorter, so rounds grow with the logarithm of the longest way. cut writes a round. A node reaches itself in 0; a
+    negative edge raises.
+    """
+    bad = F.when(c("minutes") < 0, F.raise_error(F.lit("an edge takes less than no time")).cast("double")).otherwise(c("minutes"))
+    ends = edges.select(c("u")).unionByName(edges.select(c("v").alias("u"))).distinct()
+    ways = edges.select("u", "v", bad.alias("minutes")).unionByName(ends.select("u", c("u").alias("v"), F.lit(0.0).alias("minutes")))
+    ways = cut(ways.groupBy("u", "v").agg(F.min("minutes").alias("minutes")))
+    new = ways
+    while True:
+        front = new.select("u", c("v").alias("_m"), c("minutes").alias("_d")).join(ways.select(c("u").alias("_m"), "v", "minutes"), "_m")
+        behind = ways.select("u", c("v").alias("_m"), c("minutes").alias("_d")).join(new.select(c("u").alias("_m"), "v", "minutes"), "_m")
+        longer = front.unionByName(behind).groupBy("u", "v").agg(F.min(c("_d") + c("minutes")).alias("_new"))
+        step = ways.join(longer, ["u", "v"], "full").select("u", "v", F.least("minutes", "_new").alias("minutes"), F.coalesce(c("_new") < c("minutes") - 1e-9, c("minutes").isNull()).alias("_shorter"))
+        step = cut(step)
+        ways, new = step.drop("_shorter"), step.filter("_shorter").drop("_shorter")
+        if new.isEmpty():
+            return ways
+
+
+def rail_minutes(stations: DataFrame, p: Params) -> DataFrame:
+    """(board, alight, ride): minutes between all (line, station) nodes that rail joins."""
+    found = shortest_paths(rail_edges(stations, p), lambda df: kept(df, "ways"))
+    return found.select(c("u").alias("board"), c("v").alias("alight"), c("minutes").alias("ride"))
+
+
+def rail_od(origins: DataFrame, destinations: DataFrame, stations: DataFrame, p: Params, feeders: dict[str, float] | None = None) -> DataFrame:
     """(origin, destination, minutes) by rail: walk, board, ride, change and walk, the least over stations.
 
-    origins (origin, x, y), destinations (destination, x, y). Walks reach as far as the cap, or a feeder station's own
-    reach. Stations are a table of a few hundred rows.
+    origins (origin, x, y), destinations (destination, x, y), stations as in rail_edges. Walks reach as far as the cap,
+    or a feeder station's own reach.
     """
-    spark, feeders = origins.sparkSession, feeders or {}
+    feeders = feeders or {}
     cap, walk, extra = float(p.value("access.rail.walk_cap_m")), float(p.value("access.speeds_kmh")["walk"]), float(p.value("access.rail.end_extra_min"))
-    rows = [(f"{line}|{s}", float(x), float(y), float(max(cap, feeders.get(s, 0.0)))) for s, line, x, y in stations]
-    table = spark.createDataFrame(rows, "node string, sx double, sy double, reach double")
-    most = max((r[3] for r in rows), default=cap)
+    own = F.create_map(*[F.lit(x) for s, r in feeders.items() for x in (s, float(r))])[c("station")] if feeders else F.lit(None).cast("double")
+    table = stations.select(F.concat_ws("|", "line", "station").alias("node"), c("x").alias("sx"), c("y").alias("sy"), F.greatest(F.lit(cap), F.coalesce(own, F.lit(cap))).alias("reach"))
+    most = max([cap, *map(float, feeders.values())])
 
     def leg(points: DataFrame, name: str, node: str, out: str) -> DataFrame:
         near = within(points, table, most, "x", "y", "sx", "sy").filter("dist_m <= reach")
         return near.select(name, c("node").alias(node), (c("dist_m") / 1000 / walk * 60 + extra).alias(out))
 
-    ride = spark.createDataFrame([("|".join(a), "|".join(b), m) for (a, b), m in rail_minutes(stations, p).items()], "board string, alight string, ride double")
-    to = leg(origins, "origin", "board", "in_").join(F.broadcast(ride), "board").groupBy("origin", "alight").agg(F.min(c("in_") + c("ride")).alias("upto"))
+    to = leg(origins, "origin", "board", "in_").join(rail_minutes(stations, p), "board").groupBy("origin", "alight").agg(F.min(c("in_") + c("ride")).alias("upto"))
     legs = to.join(leg(destinations, "destination", "alight", "out_"), "alight")
     return legs.groupBy("origin", "destination").agg((F.min(c("upto") + c("out_")) + float(p.value("access.rail.boarding_min"))).alias("minutes"))
 

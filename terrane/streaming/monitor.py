@@ -21,6 +21,19 @@ def composite_stream(events: DataFrame, window: str = "7 days", late: str = "2 d
     return out.select("project", F.col("window.start").alias("start"), "value", "n")
 
 
+def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
+    """(project, start, end, n, value, top): runs of a project's events no more than a gap apart; end is a gap after the
+    last. The same for a table and for a stream, which needs late: a run is given once no event can join it any more.
+
+    Spark keeps the runs as state and merges them in native code. Events without a time belong to no run.
+    """
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if late else timed
+    runs = timed.groupBy("project", F.session_window("ts", gap).alias("w"))
+    out = runs.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"), F.max("state_rank").alias("top"))
+    return out.select("project", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "value", "top")
+
+
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     top = state.get[0] if state.exists else -1
     for rows in batches:

@@ -191,9 +191,10 @@ def test_networks(spark, tmp_path):
         networks.network_states(projects, years, tight)
     fewer = networks.network_states(projects, years, tight, corridor="line").orderBy("year").collect()
     assert [r.n_open for r in fewer][:3] == [1, 2, 2] and len({r.state for r in fewer}) == 2
-    stations = [("a", "red", 0.0, 0.0), ("b", "red", 3200.0, 0.0), ("b", "blue", 3200.0, 0.0), ("c", "blue", 3200.0, 6400.0), ("z", "far", 9e5, 9e5)]
-    ride = networks.rail_minutes(stations, P)
-    assert ride[("red", "a"), ("red", "b")] == pytest.approx(6.5) and ride[("red", "a"), ("blue", "c")] == pytest.approx(6.5 + 3 + 12.5) and (("red", "a"), ("far", "z")) not in ride
+    rows = [("a", "red", 1, 0.0, 0.0), ("b", "red", 2, 3200.0, 0.0), ("b", "blue", 1, 3200.0, 0.0), ("c", "blue", 2, 3200.0, 6400.0), ("z", "far", 1, 9e5, 9e5)]
+    stations = spark.createDataFrame(rows, "station string, line string, place long, x double, y double")
+    ride = {(r.board, r.alight): r.ride for r in networks.rail_minutes(stations, P).collect()}
+    assert ride["red|a", "red|b"] == pytest.approx(6.5) and ride["red|a", "blue|c"] == pytest.approx(6.5 + 3 + 12.5) and ("red|a", "far|z") not in ride
     here = spark.createDataFrame([("o", 0.0, 750.0), ("lost", 0.0, 5000.0)], "origin string, x double, y double")
     there = spark.createDataFrame([("d", 3200.0, 6400.0)], "destination string, x double, y double")
     got = networks.rail_od(here, there, stations, P).collect()
