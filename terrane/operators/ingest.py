@@ -116,16 +116,28 @@ def outer_merge(frame: DataFrame, other: DataFrame, cells: DataFrame, key: str)
     return cells.select(key).join(frame.join(other, key, "full"), key, "left")
 
 
-def registry_problems(projects: DataFrame, stages: list[str], forms: list[str]) -> DataFrame:
+def registry_problems(projects: DataFrame, stages: list[str], forms: list[str], history: DataFrame | None = None, author: str = "model") -> DataFrame:
     """(project_id, problem) of every rule that a register breaks, all together: no id or a repeated one, an unknown
-    stage or form, a size that is not positive, a completion before the announcement, and a later stage than is seen."""
+    stage or form, a size that is not positive, a completion before the announcement, a later stage than is seen, and
+    no source, where projects have source_urls.
+
+    With a history (project_id, field, changed_by), a stage after the first one needs a row of it that a person signed:
+    one whose changed_by does not begin with author.
+    """
     c = F.col
+    if history is not None:
+        signed = history.filter((c("field") == "stage") & ~F.startswith(F.coalesce("changed_by", F.lit("")), F.lit(author))).select(c("project_id").alias("_signed")).distinct()
+        projects = projects.join(signed, c("project_id") == c("_signed"), "left")
     again = F.count(F.lit(1)).over(Window.partitionBy("project_id")) > 1
     rules = {
         "no_id": c("project_id").isNull(), "repeated": F.coalesce(again, F.lit(False)) & c("project_id").isNotNull(), "stage": ~F.coalesce(c("stage").isin(*stages), F.lit(False)),
         "commitment": ~c("is_public") & ~F.coalesce(c("commitment_form").isin(*forms), F.lit(False)), "size": ~F.coalesce(c("capex") > 0, F.lit(False)),
         "dates": F.coalesce(c("open_year") < c("announced_year"), F.lit(False)), "not_seen": c("claims_construction") & (c("physical_state") == "none"),
     }
+    if "source_urls" in projects.columns:
+        rules["no_source"] = F.size(F.coalesce("source_urls", F.array())) == 0
+    if history is not None:
+        rules["unsigned"] = c("_signed").isNull() & ~F.coalesce(c("stage") == stages[0], F.lit(False))
     found = F.array_compact(F.array(*[F.when(bad, name) for name, bad in rules.items()]))
     return projects.select("project_id", found.alias("_f")).select("project_id", F.explode("_f").alias("problem"))
 

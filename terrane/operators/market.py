@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import logging
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,11 +161,11 @@ def outperformance(draws: DataFrame, draw: str, key: str, value: str) -> DataFra
     return rows.groupBy(key).agg(F.avg((F.col(value) > F.col("_m")).cast("double")).alias("p_outperform"), F.avg((F.col(value) >= F.col("_d")).cast("double")).alias("p_top_decile"))
 
 
-def price_paths(cells: DataFrame, draws: DataFrame, years: list[int], base_year: int, p: Params, seed: int, macro: str = "base") -> DataFrame:
+def price_paths(cells: DataFrame, draws: DataFrame, years: list[int], base_year: int, p: Params, seed: int, macro: str = "base", law: Callable[..., Column] = uniform) -> DataFrame:
     """(draw, cell, year, log_change): cumulative log price change since the base year, of the years named.
 
     cells: cell, eps, quantity, headroom_sqm, cap, households, and d_lna, new_hh and field where they are not 0. Every
-    year redraws trend, access elasticity and demand elasticity between their bounds from (seed, draw, year), clears
+    year redraws trend, access elasticity and demand elasticity between their bounds from (seed, draw, year) by law, clears
     the market and adds up. The columns for all years of a draw are made from its few numbers, so the plan is one join
     of cells and draws and one explode; nothing is shuffled but the result of a later aggregate.
     """
@@ -179,7 +181,7 @@ def price_paths(cells: DataFrame, draws: DataFrame, years: list[int], base_year:
     def drawn(path: str, year: Column) -> Column:
         leaf = p.leaf(path)
         low, high = leaf.get("low"), leaf.get("high")
-        return F.lit(float(p.value(path))) if low is None or high is None else float(low) + float(high - low) * uniform(seed, path, c("draw").cast("long"), year.cast("long"))
+        return F.lit(float(p.value(path))) if low is None or high is None else float(low) + float(high - low) * law(seed, path, c("draw").cast("long"), year.cast("long"))
 
     last = years[-1]
     steps = F.transform(F.sequence(F.lit(base_year + 1), F.lit(last)), lambda y: F.struct(y.alias("year"), drawn(f"price.phi_{macro}", y).alias("phi"), drawn("price.gamma", y).alias("gamma"), drawn("price.eta", y).alias("eta")))

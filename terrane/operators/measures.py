@@ -176,6 +176,14 @@ def dead_share(projects: DataFrame, dead: str, least: int, least_share: float) -
     return out.withColumn("ok", (F.col("n_dead") >= least) & (F.col("share") >= least_share))
 
 
+def check_dead(projects: DataFrame, dead: str, least: int, least_share: float) -> DataFrame:
+    """projects, if enough of them died; else it raises, since a test on survivors alone says nothing."""
+    got = dead_share(projects, dead, least, least_share).first()
+    if not got["ok"]:
+        raise ValueError(f"{got['n_dead']} dead projects, a share of {got['share'] or 0.0:.3f}; {least} and {least_share} are needed")
+    return projects
+
+
 def clipped_date(when: Column, last_year: int) -> Column:
     """A date no later than the end of a year."""
     return F.to_date(F.least(when.cast("timestamp_ntz"), F.expr(f"TIMESTAMP_NTZ '{last_year}-12-31 00:00:00'")))
@@ -188,6 +196,14 @@ def district_totals(df: DataFrame, by: str, people: Column, expected: Column | f
     return out.withColumn("within", F.abs(F.col("population") - expected) <= tolerance * expected)
 
 
+def check_district_totals(df: DataFrame, by: str, people: Column, expected: Column | float, tolerance: float) -> DataFrame:
+    """df, if all districts' totals are within the tolerance; else it raises and names the first of the others."""
+    off = district_totals(df, by, people, expected, tolerance).filter("NOT coalesce(within, false)").orderBy(by).limit(5).collect()
+    if off:
+        raise ValueError("totals off by more than the tolerance: " + ", ".join(f"{r[by]} ({r['population']})" for r in off))
+    return df
+
+
 def zone_means(df: DataFrame, zone: str, value: str) -> DataFrame:
     """(zone, value, priced): mean, and whether any is known."""
     return df.groupBy(zone).agg(F.avg(value).alias(value), F.bool_or(F.col(value).isNotNull()).alias("priced"))
@@ -244,9 +260,46 @@ def coverage(cells: DataFrame, key: str, columns: list[str], imputed: DataFrame,
     return out.withColumn("passes", F.col("real") >= least)
 
 
-def confidence(imputed: DataFrame, key: str, weight: str, base: float, floor: float) -> DataFrame:
-    """base less the weights of imputed columns, within [floor, 1]."""
-    return imputed.groupBy(key).agg(F.greatest(F.lit(floor), F.least(F.lit(1.0), F.lit(base) - F.sum(weight))).alias("data_conf"))
+def confidence(columns: DataFrame, key: str, weight: str, base: float, floor: float, missing: Column | None = None, penalty: float = 0.0) -> DataFrame:
+    """base less the weights of imputed columns and a penalty for each missing one, within [floor, 1].
+
+    columns has a row for each imputed or missing column of a key; where missing is true the penalty counts instead of
+    the weight.
+    """
+    gone = F.lit(False) if missing is None else F.coalesce(missing, F.lit(False))
+    loss = F.sum(F.when(gone, F.lit(float(penalty))).otherwise(F.col(weight)))
+    return columns.groupBy(key).agg(F.greatest(F.lit(floor), F.least(F.lit(1.0), F.lit(base) - F.coalesce(loss, F.lit(0.0)))).alias("data_conf"))
+
+
+def panel_median(observations: DataFrame, key: str, price: Column, least: int) -> DataFrame:
+    """(key, price, n): the median of a panel's prices for each key; null where fewer than least are known."""
+    out = observations.groupBy(key).agg(F.median(price).alias("price"), F.count(price).alias("n"))
+    return out.withColumn("price", F.when(F.col("n") >= least, F.col("price")))
+
+
+def wide_band(quantiles: DataFrame, by: list[str], names: dict[float, str], value: str = "value") -> DataFrame:
+    """(by..., a column for each quantile) of long quantiles (by..., quantile, value); one that is not there is null."""
+    cols = [F.max(F.when(F.abs(F.col("quantile") - q) < 1e-9, F.col(value))).alias(name) for q, name in names.items()]
+    return quantiles.groupBy(*by).agg(*cols)
+
+
+def long_loadings(df: DataFrame, by: list[str], factors: list[str], value: str = "value") -> DataFrame:
+    """(by..., factor, value): a row for each factor's loading, missing ones too."""
+    return df.select(*by, *[F.col(f).cast("double").alias(f) for f in factors]).unpivot(by, factors, "factor", value)
+
+
+def city_growth(df: DataFrame, year: str, value: str, first: int, last: int, low: float, high: float) -> DataFrame:
+    """One row: the yearly growth of the mean between two years, within [low, high]; null where a mean is not above 0."""
+    mean = lambda y: F.avg(F.when(F.col(year) == y, F.col(value)))
+    out = df.agg(mean(first).alias("_a"), mean(last).alias("_b"))
+    good = (F.col("_a") > 0) & (F.col("_b") > 0)
+    return out.select(F.when(good, F.greatest(F.lit(low), F.least(F.lit(high), F.pow(F.col("_b") / F.when(good, F.col("_a")), F.lit(1.0 / (last - first))) - 1))).alias("cagr"))
+
+
+def priority_tier(df: DataFrame, impact: str, key: str, n: int) -> DataFrame:
+    """(key, rank): the n of most impact, ranked from 1; ties by key. Spark keeps n rows a task, so no task orders all."""
+    top = df.orderBy(F.desc(impact), key).limit(n)
+    return top.select(key, F.row_number().over(Window.orderBy(F.desc(impact), key)).alias("rank"))
 
 
 def ledger_index(df: DataFrame, by: list[str], flag: str, method: str) -> DataFrame:

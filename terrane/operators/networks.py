@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,26 +17,31 @@ c = F.col
 OD = "state string, mode string, origin string, destination string, minutes double"
 
 
+#: Most projects whose sets are named; a year's list of them is one value.
+MOST_OPEN = 100_000
+
+
 class NetworkError(ValueError):
     """More network states than may be computed."""
 
 
 def state_hash(ids: list[str]) -> str:
-    """Name of a set of open projects."""
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    """Name of a set of open projects: SHA-256 of their sorted ids as a JSON list without blanks."""
+    return hashlib.sha256(json.dumps(sorted(ids), separators=(",", ":")).encode()).hexdigest()
 
 
 def states_by_year(projects: DataFrame, years: DataFrame, project: str, open_year: str) -> DataFrame:
-    """(year, n_open, state): how many projects are open and a hash of which.
+    """(year, n_open, state): how many projects are open and the name of which, as state_hash gives it.
 
-    A year's set is the sum of hashes of its projects, so no row holds them all: openings are summed by year, and
-    years, of which there are few, take the running sum. Equal sets have equal hashes.
+    The projects that change a network are few; more than MOST_OPEN of them raise, so a year's list stays small.
     """
-    h = F.conv(F.substring(F.sha2(c(project).cast("string"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    opened = projects.filter(c(open_year).isNotNull()).groupBy(F.ceil(c(open_year)).cast("long").alias("_from")).agg(F.count(F.lit(1)).alias("_n"), F.sum(h).alias("_h"))
-    each = years.join(F.broadcast(opened), c("_from") <= c("year"), "left")  # one row a year on either side
-    by = each.groupBy("year").agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_open"), F.coalesce(F.sum("_h"), F.lit(0)).alias("_s"))
-    return by.select("year", "n_open", F.sha2(F.concat_ws(":", c("n_open").cast("string"), c("_s").cast("string")), 256).alias("state"))
+    opened = projects.filter(c(open_year).isNotNull()).groupBy(c(project).cast("string").alias("_id")).agg(F.min(F.ceil(c(open_year)).cast("long")).alias("_from"))
+    n = opened.count()
+    if n > MOST_OPEN:
+        raise NetworkError(f"{n} projects open; {MOST_OPEN} are allowed, and corridors that toggle as one may reduce them")
+    each = years.join(F.broadcast(opened), c("_from") <= c("year"), "left")
+    by = each.groupBy("year").agg(F.count("_id").alias("n_open"), F.array_sort(F.collect_list("_id")).alias("_ids"))
+    return by.select("year", "n_open", F.sha2(F.to_json("_ids"), 256).alias("state"))
 
 
 def network_states(projects: DataFrame, years: DataFrame, p: Params, project: str = "project_id", open_year: str = "open_year", corridor: str | None = None) -> DataFrame:

@@ -42,7 +42,9 @@ def add(name: str, views: str, sql: str | None, fn: Callable[..., DataFrame]) ->
         need = [n for n in names if n.startswith("a_")]
         prefix = with_views(*need) if need else ""
         body = sql.strip()
-        if prefix and body.upper().startswith("WITH "):
+        if prefix and body.upper().startswith("WITH RECURSIVE "):
+            prefix, body = "WITH RECURSIVE" + prefix[4:] + ",\n", body[15:]
+        elif prefix and body.upper().startswith("WITH "):
             prefix, body = prefix + ",\n", body[5:]
         _SQL[name] = f"{prefix}\n{body}"
 
@@ -134,9 +136,9 @@ def _rail(x: DataFrame) -> DataFrame:
     return access.via_rail(into, rail, walk.select(c("cell").alias("destination"), c("station").alias("alight"), c("walk").alias("walk_out")), 6.0)
 
 
-STATES = """h AS (SELECT project_id, CAST(ceil(open_year) AS BIGINT) AS y, CAST('0x' || substr(sha256(CAST(project_id AS VARCHAR)), 1, 15) AS BIGINT)::HUGEINT AS h FROM a_projects WHERE is_public AND stage = 'half_complete' AND open_year IS NOT NULL),
-  st AS (SELECT CAST(y.year AS BIGINT) AS year, count(project_id) AS n_open, coalesce(sum(h), 0)::HUGEINT AS s FROM range(1998, 2008) y(year) LEFT JOIN h ON h.y <= y.year GROUP BY y.year)"""
-add("l1_network_states", "a_projects", f"WITH {STATES} SELECT year, n_open, sha256(n_open || ':' || s) AS state FROM st",
+STATES = """h AS (SELECT CAST(project_id AS VARCHAR) AS id, CAST(ceil(open_year) AS BIGINT) AS y FROM a_projects WHERE is_public AND stage = 'half_complete' AND open_year IS NOT NULL),
+  st AS (SELECT CAST(y.year AS BIGINT) AS year, count(id) AS n_open, '[' || coalesce(string_agg('"' || id || '"', ',' ORDER BY id), '') || ']' AS ids FROM range(1998, 2008) y(year) LEFT JOIN h ON h.y <= y.year GROUP BY y.year)"""
+add("l1_network_states", "a_projects", f"WITH {STATES} SELECT year, n_open, sha256(ids) AS state FROM st",
     lambda x: networks.network_states(x.filter("is_public AND stage = 'half_complete'"), x.sparkSession.range(1998, 2008).withColumnRenamed("id", "year"), P))
 
 # --- credibility -----------------------------------------------------------------------------------------------
@@ -304,8 +306,8 @@ add("coverage_report", "a_cells", """WITH l AS (SELECT cell, 'price' AS "column"
   m AS (SELECT *, "column" = 'price' AND cell IN (SELECT cell FROM a_cells WHERE brand = 'Brand#3') AS i FROM l)
   SELECT "column", round(avg(CASE WHEN t AND NOT i THEN 1e0 ELSE 0 END), 6) AS real, round(avg(CASE WHEN t AND i THEN 1e0 ELSE 0 END), 6) AS imputed, round(avg(CASE WHEN NOT t THEN 1e0 ELSE 0 END), 6) AS missing, avg(CASE WHEN t AND NOT i THEN 1e0 ELSE 0 END) >= 0.85 AS passes FROM m GROUP BY "column" """,
     lambda x: ms.coverage(x, "cell", ["price", "rent", "mean_parcel_sqm"], x.filter("brand = 'Brand#3'").select("cell", F.lit("price").alias("column")), 0.85))
-add("data_confidence", "lineitem", "SELECT l_partkey, round(greatest(0.1e0, least(1, 0.95e0 - sum(CASE WHEN l_linestatus = 'F' THEN 0.02e0 ELSE 0.01e0 END))), 6) AS data_conf FROM lineitem GROUP BY l_partkey",
-    lambda h: ms.confidence(h.withColumn("w", F.when(c("l_linestatus") == "F", 0.02).otherwise(0.01)), "l_partkey", "w", 0.95, 0.1))
+add("data_confidence", "lineitem", "SELECT l_partkey, round(greatest(0.1e0, least(1, 0.95e0 - sum(CASE WHEN l_returnflag = 'N' THEN 0.03e0 WHEN l_linestatus = 'F' THEN 0.02e0 ELSE 0.01e0 END))), 6) AS data_conf FROM lineitem GROUP BY l_partkey",
+    lambda h: ms.confidence(h.withColumn("w", F.when(c("l_linestatus") == "F", 0.02).otherwise(0.01)), "l_partkey", "w", 0.95, 0.1, c("l_returnflag") == "N", 0.03))
 add("imputation_index", "lineitem", "SELECT l_partkey, bool_or(l_linestatus = 'F') AS imputed, string_agg(DISTINCT l_returnflag, ';' ORDER BY l_returnflag) AS methods FROM lineitem GROUP BY l_partkey",
     lambda h: ms.ledger_index(h.withColumn("f", c("l_linestatus") == "F"), ["l_partkey"], "f", "l_returnflag"))
 add("imputation_long", "a_cells", """SELECT cell, 'price' AS "column" FROM a_cells WHERE price IS NULL UNION ALL SELECT cell, 'rent' FROM a_cells WHERE rent IS NULL""",
@@ -358,7 +360,7 @@ GROW = "greatest(-0.2e0, least(0.5e0, pow(b / a, 1e0 / 3) - 1))"
 add("bt_momentum", "a_history", f"""WITH o AS (SELECT cell, avg(price) FILTER (year = 1996) AS a, avg(price) FILTER (year = 1999) AS b FROM a_history GROUP BY cell), w AS (SELECT avg(price) FILTER (year = 1996) AS a, avg(price) FILTER (year = 1999) AS b FROM a_history)
   SELECT cell, round(coalesce(CASE WHEN a > 0 AND b > 0 THEN {GROW} END, (SELECT {GROW} FROM w)), 6) AS cagr, a IS NULL OR b IS NULL AS fallback FROM o""", lambda h: ms.cagr(h, "cell", "year", "price", 1996, 1999, -0.2, 0.5))
 add("bt_city_growth", "a_history", f"WITH w AS (SELECT avg(price) FILTER (year = 1996) AS a, avg(price) FILTER (year = 1999) AS b FROM a_history) SELECT round({GROW}, 6) AS cagr FROM w",
-    lambda h: h.agg(F.avg(F.when(c("year") == 1996, c("price"))).alias("a"), F.avg(F.when(c("year") == 1999, c("price"))).alias("b")).select(F.greatest(F.lit(-0.2), F.least(F.lit(0.5), F.pow(c("b") / c("a"), F.lit(1 / 3)) - 1)).alias("cagr")))
+    lambda h: ms.city_growth(h, "year", "price", 1996, 1999, -0.2, 0.5))
 add("bt_distance_fit", "a_cells", "WITH v AS (SELECT ln(price) AS y, ln(1 + sqrt((x_m - 10000) * (x_m - 10000) + (y_m - 10000) * (y_m - 10000))) AS x FROM a_cells WHERE price > 0) SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, count(*) AS n FROM v",
     lambda x: x.filter("price > 0").select(F.ln("price").alias("y"), F.ln(1 + F.hypot(c("x_m") - 10000, c("y_m") - 10000)).alias("x")).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.count(F.lit(1)).alias("n")))
 add("bt_announcement_premium", "a_projects a_cells", f"WITH {SITE}, d AS (SELECT cell, {DIST} AS d FROM a_cells, pr) SELECT cell, round(sum(ln(1 + CASE WHEN d <= 500 THEN 0.1e0 WHEN d <= 1000 THEN 0.05e0 ELSE 0.02e0 END)), 6) AS premium FROM d WHERE d <= 2000 GROUP BY cell",
@@ -378,17 +380,9 @@ add("sat_composite", "a_events", """WITH p AS (SELECT project, CAST(date_trunc('
     lambda e: ms.composites(e, "project", F.to_date(F.date_trunc("week", "ts")), "pixel", "value", c("clear"), 0.6))
 add("sat_indices", "a_cells", "SELECT cell, round(CASE WHEN lna + amenity <> 0 THEN (lna - amenity) / (lna + amenity) END, 6) AS ndvi, round(CASE WHEN lna + amenity + disamenity + builtup_frac <> 0 THEN ((lna + amenity) - (disamenity + builtup_frac)) / (lna + amenity + disamenity + builtup_frac) END, 6) AS bsi FROM a_cells",
     lambda x: x.select("cell", sc.normalized_difference(c("lna"), c("amenity")).alias("ndvi"), sc.bare_soil(c("builtup_frac"), c("amenity"), c("disamenity"), c("lna")).alias("bsi")))
-add("sat_priority", "a_projects", "SELECT project_id, row_number() OVER (ORDER BY capex DESC, project_id) AS rank FROM a_projects ORDER BY capex DESC, project_id LIMIT 25", lambda p: _priority(p, 25))
+add("sat_priority", "a_projects", "SELECT project_id, row_number() OVER (ORDER BY capex DESC, project_id) AS rank FROM a_projects ORDER BY capex DESC, project_id LIMIT 25", lambda p: ms.priority_tier(p, "capex", "project_id", 25))
 
 
-def _priority(p: DataFrame, n: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    top = p.orderBy(F.desc("capex"), "project_id").limit(n)  # a top-n report: ranking sees n rows
-    return top.select("project_id", F.row_number().over(Window.orderBy(F.desc("capex"), "project_id")).cast("long").alias("rank"))
-
-
-# --- store and governance --------------------------------------------------------------------------------------
 add("store_read_where", "a_cells", "SELECT cell FROM a_cells WHERE zone IN (3, 5, 8) AND price IS NULL", lambda x: ms.read_where(x, zone=[3, 5, 8], price=None).select("cell"))
 add("store_upsert", "a_cells", "SELECT cell, CASE WHEN brand = 'Brand#3' THEN zone + 1000 ELSE zone END AS zone FROM a_cells", lambda x: ms.upsert(x.select("cell", "zone"), x.filter("brand = 'Brand#3'").select("cell", (c("zone") + 1000).alias("zone")), ["cell"]))
 CHECKED = Table("checked", ("brand",), (Col("cell", "bigint"), Col("builtup_frac", "double", low=0, high=0.9), Col("price", "double", low=0), Col("brand", "string"), Col("rent", "double", nullable=True, low=2)))
@@ -421,17 +415,19 @@ add("effects_by_year", "a_projects", "SELECT cell, round(sum(capex) / 1000, 6) A
 add("delivery_split", "a_cells", "SELECT cell, round(CASE WHEN res_sqm + com_sqm > 0 THEN 100 * res_sqm / (res_sqm + com_sqm) ELSE 100 END, 6) AS res, round(CASE WHEN res_sqm + com_sqm > 0 THEN 100 * com_sqm / (res_sqm + com_sqm) ELSE 0 END, 6) AS com FROM a_cells",
     lambda x: x.select("cell", *[v.alias(n) for n, v in zip(("res", "com"), market.delivery_split(F.lit(100.0), c("res_sqm"), c("com_sqm")))]))
 add("pivot_band", "a_draws", "SELECT cell, round(quantile_cont(value, 0.1), 6) AS q10, round(quantile_cont(value, 0.9), 6) AS q90 FROM a_draws GROUP BY cell",
-    lambda d: market.ensemble_quantiles(d, ["cell"], "value", [0.1, 0.9]).groupBy("cell").pivot("quantile", [0.1, 0.9]).agg(F.first("value")).toDF("cell", "q10", "q90"))
-add("unpivot_factors", "a_cells", "SELECT cell, 'amenity' AS factor, round(amenity, 6) AS value FROM a_cells UNION ALL SELECT cell, 'price', round(price, 6) FROM a_cells", lambda x: x.select("cell", "amenity", "price").unpivot("cell", ["amenity", "price"], "factor", "value"))
-add("broker_median", "lineitem", "SELECT l_partkey, round(quantile_cont(l_extendedprice / l_quantity, 0.5) + 1e-9, 6) AS price, count(*) AS n FROM lineitem GROUP BY l_partkey", lambda h: h.groupBy("l_partkey").agg((F.median(c("l_extendedprice") / c("l_quantity")) + TIE).alias("price"), F.count(F.lit(1)).alias("n")))
+    lambda d: ms.wide_band(market.ensemble_quantiles(d, ["cell"], "value", [0.1, 0.9]), ["cell"], {0.1: "q10", 0.9: "q90"}))
+add("unpivot_factors", "a_cells", "SELECT cell, 'amenity' AS factor, round(amenity, 6) AS value FROM a_cells UNION ALL SELECT cell, 'price', round(price, 6) FROM a_cells", lambda x: ms.long_loadings(x, ["cell"], ["amenity", "price"]))
+add("broker_median", "lineitem", "SELECT l_partkey, round(quantile_cont(l_extendedprice / l_quantity, 0.5) + 1e-9, 6) AS price, count(*) AS n FROM lineitem GROUP BY l_partkey", lambda h: ms.panel_median(h, "l_partkey", c("l_extendedprice") / c("l_quantity"), 1).withColumn("price", c("price") + TIE))
 add("dead_pipeline_share", "a_projects", "SELECT count(*) FILTER (abandoned) AS n_dead, round(avg(CASE WHEN abandoned THEN 1e0 ELSE 0 END), 6) AS share, count(*) FILTER (abandoned) >= 1 AND avg(CASE WHEN abandoned THEN 1e0 ELSE 0 END) >= 0.05 AS ok FROM a_projects",
     lambda p: ms.dead_share(p, "abandoned", 1, 0.05))
 add("terminal_outcome", "a_events", "SELECT project, event_type FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, event_type DESC) AS r FROM a_events WHERE event_type IN ('purchase', 'error')) WHERE r = 1",
     lambda e: ms.outcomes(e, "project", "ts", "event_type", ["purchase", "error"]))
 add("clipped_dates", "orders", "SELECT o_orderkey, CAST(CASE WHEN year(o_orderdate) <= 1998 THEN o_orderdate ELSE TIMESTAMP '1998-12-31' END AS DATE) AS d FROM orders", lambda o: o.select("o_orderkey", ms.clipped_date(c("o_orderdate"), 1998).alias("d")))
 add("registry_problems", "a_projects", """SELECT project_id, unnest(list_filter([CASE WHEN stage NOT IN ('announced', 'funded', 'construction') THEN 'stage' END, CASE WHEN NOT is_public AND commitment_form NOT IN ('verbal', 'board_approved') THEN 'commitment' END, CASE WHEN NOT coalesce(capex > 0, FALSE) THEN 'size' END,
-    CASE WHEN open_year < announced_year THEN 'dates' END, CASE WHEN claims_construction AND physical_state = 'none' THEN 'not_seen' END], lambda x: x IS NOT NULL)) AS problem FROM a_projects""",
-    lambda p: ingest.registry_problems(p, ["announced", "funded", "construction"], ["verbal", "board_approved"]))
+    CASE WHEN open_year < announced_year THEN 'dates' END, CASE WHEN claims_construction AND physical_state = 'none' THEN 'not_seen' END, CASE WHEN project_id % 37 = 0 OR project_id % 53 = 0 THEN 'no_source' END,
+    CASE WHEN stage <> 'announced' AND project_id % 6 < 2 THEN 'unsigned' END], lambda x: x IS NOT NULL)) AS problem FROM a_projects""",
+    lambda p: ingest.registry_problems(p.withColumn("source_urls", F.when(c("project_id") % 37 == 0, F.array().cast("array<string>")).when(c("project_id") % 53 != 0, F.array(c("project_id").cast("string")))), ["announced", "funded", "construction"], ["verbal", "board_approved"],
+                                       p.filter("project_id % 6 <> 0").select("project_id", F.lit("stage").alias("field"), F.when(c("project_id") % 6 == 1, "model-1").otherwise("reviewer").alias("changed_by"))))
 add("district_total", "a_cells", "SELECT zone, round(sum(households * 4), 6) AS population, abs(sum(households * 4) - 700) <= 0.5e0 * 700 AS within FROM a_cells GROUP BY zone", lambda x: ms.district_totals(x, "zone", c("households") * 4, 700.0, 0.5))
 add("band_reliability", "a_draws", "WITH q AS (SELECT cell, quantile_cont(value, 0.1) AS a, quantile_cont(value, 0.9) AS b FROM a_draws WHERE draw > 0 GROUP BY cell) SELECT round(avg(CASE WHEN value BETWEEN a AND b THEN 1e0 ELSE 0 END), 6) AS coverage, count(*) AS n FROM a_draws JOIN q USING (cell) WHERE draw = 0",
     lambda d: ms.band_coverage(d.filter("draw = 0").join(d.filter("draw > 0").groupBy("cell").agg(F.percentile("value", F.lit(0.1)).alias("lo"), F.percentile("value", F.lit(0.9)).alias("hi")), "cell"), "value", "lo", "hi"))

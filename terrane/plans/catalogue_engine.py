@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions import normal
 from terrane.operators import access, allocation as al, credibility as cr, market, networks, shocks
 from terrane.params import load_params
 from terrane.plans.catalogue import CLEAR, DEST, OPP, P, _cut, _market, add
@@ -12,7 +13,6 @@ from terrane.sources.ship import kept
 
 c = F.col
 BANDS = al.BANDS
-FIXED = P.deterministic()
 LOCAL = load_params({"behaviour.office_sqm_per_seat": 10.0})
 
 # --- accessibility by band -------------------------------------------------------------------------------------
@@ -51,8 +51,8 @@ def _middle(x: DataFrame) -> DataFrame:
 
 
 add("l1_realigned", "a_cells", "SELECT a.cell, CASE WHEN amenity > 0.5 THEN round(lna, 6) END AS lna FROM a_cells a", lambda x: networks.realigned(x.filter("amenity > 0.5").select("cell", "lna"), x))
-add("l1_network_corridors", "a_projects", """WITH w AS (SELECT announcer_id % 7 AS corridor, min(open_year) AS o FROM a_projects GROUP BY announcer_id % 7), h AS (SELECT CAST(ceil(o) AS BIGINT) AS y, CAST('0x' || substr(sha256(CAST(corridor AS VARCHAR)), 1, 15) AS BIGINT)::HUGEINT AS h FROM w WHERE o IS NOT NULL),
-  st AS (SELECT CAST(y.year AS BIGINT) AS year, count(h) AS n_open, coalesce(sum(h), 0)::HUGEINT AS s FROM range(1990, 2030) y(year) LEFT JOIN h ON h.y <= y.year GROUP BY y.year) SELECT year, n_open, sha256(n_open || ':' || s) AS state FROM st""",
+add("l1_network_corridors", "a_projects", """WITH w AS (SELECT announcer_id % 7 AS corridor, min(open_year) AS o FROM a_projects GROUP BY announcer_id % 7), h AS (SELECT CAST(ceil(o) AS BIGINT) AS y, CAST(corridor AS VARCHAR) AS id FROM w WHERE o IS NOT NULL)
+  SELECT CAST(y.year AS BIGINT) AS year, count(id) AS n_open, sha256('[' || coalesce(string_agg('"' || id || '"', ',' ORDER BY id), '') || ']') AS state FROM range(1990, 2030) y(year) LEFT JOIN h ON h.y <= y.year GROUP BY y.year""",
     lambda x: networks.network_states(x.withColumn("corridor", c("announcer_id") % 7), x.sparkSession.range(1990, 2030).withColumnRenamed("id", "year"), P.with_values({"access.max_network_states": 8}), corridor="corridor"))
 
 # --- delays ----------------------------------------------------------------------------------------------------
@@ -69,10 +69,17 @@ def _delays(p: DataFrame) -> DataFrame:
 def _delay_sql() -> str:
     families, mult = P.value("credibility.delay_families"), P.value("credibility.delay_mult")
     stage = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FAMILY.items())
-    slip = " ".join(f"WHEN '{k}' THEN {cr.slip_median(f)!r}e0" for k, f in families.items())
+    value = lambda f, k: f"{float(f[k])}e0" if k in f else "NULL"
+    rows = ", ".join(f"('{k}', {', '.join(value(f, x) for x in ('median', 'fast_p', 'fast_slip', 'slow_slip', 'sigma'))})" for k, f in families.items())
     times = " * ".join(f"CASE WHEN floor(modifier_bits / {2**i}) % 2 = 1 THEN {float(mult[m])}e0 ELSE 1e0 END" for i, m in enumerate(DELAY_MODS))
-    return f"""WITH d AS (SELECT project_id, make_date(announced_year, 3, 1) AS a, CASE stage {stage} END AS delay_family, {times} AS m, announced_year FROM a_projects),
-      s AS (SELECT *, CASE delay_family {slip} END * m AS slip, 1100 / date_diff('day', a, CAST(a + INTERVAL 12 MONTH AS DATE))::DOUBLE AS years FROM d)
+    # the normal law by its series, its quantile by halving
+    law = "0.5e0 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 60), lambda k: pow(z, 2 * k + 1) * sqrt(pi()) / exp((k + 1) * ln(2) + lgamma(k + 1.5e0))))"
+    return f"""WITH RECURSIVE fam(name, median, fast_p, fast_slip, slow_slip, sigma) AS (VALUES {rows}),
+      half AS (SELECT name, (0.5e0 - fast_p) / (1 - fast_p) AS q, -4e0 AS lo, 4e0 AS hi, 0 AS i FROM fam WHERE fast_p < 0.5
+        UNION ALL SELECT name, q, CASE WHEN p < q THEN z ELSE lo END, CASE WHEN p < q THEN hi ELSE z END, i + 1 FROM (SELECT *, {law} AS p FROM (SELECT *, (lo + hi) / 2 AS z FROM half WHERE i < 60))),
+      mid AS (SELECT fam.name, CASE WHEN fast_p IS NULL THEN median WHEN fast_p >= 0.5 THEN fast_slip ELSE greatest(slow_slip * exp(sigma * (lo + hi) / 2), fast_slip) END AS slip FROM fam LEFT JOIN half ON half.name = fam.name AND i = 60),
+      d AS (SELECT project_id, make_date(announced_year, 3, 1) AS a, CASE stage {stage} END AS delay_family, {times} AS m, announced_year FROM a_projects),
+      s AS (SELECT d.*, mid.slip * m AS slip, 1100 / date_diff('day', a, CAST(a + INTERVAL 12 MONTH AS DATE))::DOUBLE AS years FROM d JOIN mid ON mid.name = delay_family)
       SELECT project_id, delay_family, round(slip + 1e-9, 6) AS slip, round(years * (1 + slip) + 1e-9, 6) AS actual_years, round(announced_year + years * (1 + slip) + 1e-9, 6) AS open_year FROM s"""
 
 
@@ -215,10 +222,24 @@ add("l6_overheat_three", "a_cells", """WITH r AS (SELECT *, lna - amenity AS res
 add("l6_residuals", "a_history a_cells", """WITH m AS (SELECT cell, sum(light / 1000) AS moves, max(CASE WHEN year = 1998 THEN ln(price) END) AS ln_price FROM a_history WHERE year <= 1998 GROUP BY cell)
   SELECT m.cell, round(ln_price, 6) AS ln_price, round(ln(a.price) + moves, 6) AS explained, round(ln_price - ln(a.price) - moves, 6) AS residual FROM m LEFT JOIN a_cells a USING (cell)""",
     lambda h, x: market.residuals(h.withColumn("d_ln_p", c("light") / 1000), x, 1998))
-add("price_paths", "a_cells", f"""WITH {CLEAR}, w AS (SELECT cell, eps, 0.25e0 * lna / 10 + CASE WHEN households > 0 THEN ln((households + 25) / households) ELSE 0 END + greatest(-0.45e0, least(0.6e0, amenity - 0.3e0)) AS d, top, res_sqm FROM l6),
-  v AS (SELECT cell, 0.055e0 + CASE WHEN res_sqm <= 0 THEN d / 0.65e0 WHEN eps * d / (0.65e0 + eps) > top THEN (d - top) / 0.65e0 ELSE d / (0.65e0 + eps) END AS move FROM w)
-  SELECT CAST(d AS BIGINT) AS draw, cell, CAST(y AS BIGINT) AS year, round(move * (y - 2024), 6) AS log_change FROM v, range(2) t(d), (VALUES (2026), (2030)) y(y)""",
-    lambda x: market.price_paths(_market(x, 0.0).withColumn("d_lna", c("lna") / 10).withColumn("new_hh", F.lit(25.0)).withColumn("field", c("amenity") - 0.3), x.sparkSession.range(2).withColumnRenamed("id", "draw"), [2026, 2030], 2024, FIXED, 1))
+DRAWS, LAST = 4, 2030
+
+
+def _drawn(path: str) -> str:
+    """SQL: a parameter between its bounds, by the MD5 of (seed, path, draw, year)."""
+    leaf = P.leaf(path)
+    if leaf.get("low") is None or leaf.get("high") is None:
+        return f"{float(P.value(path))}e0"
+    return f"({float(leaf['low'])}e0 + {float(leaf['high']) - float(leaf['low'])!r}e0 * ((('0x' || substr(md5('1|{path}|' || d || '|' || y), 1, 13))::BIGINT + 0.5e0) / {1 << 52}e0))"
+
+
+add("price_paths", "a_cells", f"""WITH {CLEAR}, s AS (SELECT d, y, {_drawn('price.phi_base')} AS phi, {_drawn('price.gamma')} AS gamma, {_drawn('price.eta')} AS eta FROM range({DRAWS}) t(d), range(2025, {LAST + 1}) u(y)),
+  w AS (SELECT cell, eps, lna / 10 AS a, CASE WHEN households > 0 THEN ln((households + 25) / households) ELSE 0 END + greatest(-0.45e0, least(0.6e0, amenity - 0.3e0)) AS r, top, res_sqm FROM l6),
+  m AS (SELECT d, y, cell, phi, gamma * a + r AS dm, eta, eps, top, res_sqm FROM w, s),
+  v AS (SELECT d, y, cell, phi + CASE WHEN res_sqm <= 0 THEN dm / eta WHEN eps * dm / (eta + eps) > top THEN (dm - top) / eta ELSE dm / (eta + eps) END AS move FROM m)
+  SELECT CAST(d AS BIGINT) AS draw, cell, CAST(z.y AS BIGINT) AS year, round(sum(move) + 1e-9, 6) AS log_change FROM v, (VALUES (2026), ({LAST})) z(y) WHERE v.y <= z.y GROUP BY d, cell, z.y""",
+    lambda x: market.price_paths(_market(x, 0.0).withColumn("d_lna", c("lna") / 10).withColumn("new_hh", F.lit(25.0)).withColumn("field", c("amenity") - 0.3), x.sparkSession.range(DRAWS).withColumnRenamed("id", "draw"), [2026, LAST], 2024, P, 1, law=normal.uniform_by_text)
+    .withColumn("log_change", c("log_change") + 1e-9))
 add("l6_land", "a_cells", "SELECT cell, round(1.85e0 * amenity / 7, 6) AS d_ln_land FROM a_cells", lambda x: x.select("cell", market.land_prices(c("amenity") / 7, 1.85).alias("d_ln_land")))
 add("l2_site_cells", "a_sites a_cells", f"WITH {SITES} SELECT project_id, coalesce(a.cell, n.cell) AS site FROM a_sites p LEFT JOIN a_cells a ON a.cell = p.cell LEFT JOIN near n ON a.cell IS NULL AND n.x = p.x AND n.y = p.y WHERE coalesce(a.cell, n.cell) IS NOT NULL",
     lambda p, x: shocks.site_cells(p, x).select("project_id", "site"))

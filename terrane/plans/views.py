@@ -63,9 +63,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT user_id AS project_id, ts AS time, event_id % 9 AS px, event_id % 12 AS scl, (event_id % 23) / 50e0 AS b02, (event_id % 19) / 40e0 AS b03, (event_id % 17) / 30e0 AS b04, 0.1e0 + (event_id % 29) / 40e0 AS b08, 0.1e0 + (event_id % 31) / 60e0 AS b11
         FROM events"""),
     "a_months": (("lineitem",), """
-        SELECT l_partkey AS project_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, avg((l_orderkey % 40) / 64e0) AS ndvi, avg((l_orderkey % 37) / 64e0) AS ndbi, avg((l_orderkey % 29) / 64e0) AS bsi, avg((l_orderkey % 11) / 16e0) AS brightness,
+        SELECT l_suppkey AS project_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, avg((l_orderkey % 40) / 64e0) AS ndvi, avg((l_orderkey % 37) / 64e0) AS ndbi, avg((l_orderkey % 29) / 64e0) AS bsi, avg((l_orderkey % 11) / 16e0) AS brightness,
           avg((l_orderkey % 5) / 8e0) AS cloud_frac, avg((l_orderkey % 5) / 8e0) <= 0.4e0 AS valid, avg(1e0 + l_orderkey % 13) AS light
-        FROM lineitem GROUP BY l_partkey, CAST(date_trunc('month', l_shipdate) AS DATE)"""),
+        FROM lineitem GROUP BY l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE)"""),
     "a_cards": (("nation",), """
         SELECT n_name AS city, CAST(2010 AS BIGINT) AS t0, CAST(10 AS BIGINT) AS horizon, CAST(20 + n_nationkey AS BIGINT) AS n_zones, 0.5e0 + (n_nationkey % 7) / 20e0 AS spearman, (n_nationkey % 4) / 3e0 AS top_precision,
           (n_nationkey % 11) / 50e0 - 0.04e0 AS beat_b2, -0.1e0 AS beat_b2_low, 0.2e0 AS beat_b2_high, 0.7e0 + (n_nationkey % 5) / 20e0 AS coverage, 0.5e0 AS overheat_precision, 0.1e0 AS mape, 0.4e0 AS settlement_spearman,

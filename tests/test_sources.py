@@ -290,9 +290,36 @@ def test_registry_and_quantile_helpers(spark):
     df = spark.createDataFrame(rows, "project_id string, stage string, is_public boolean, commitment_form string, capex double, open_year double, announced_year long, claims_construction boolean, physical_state string")
     got = sorted(map(tuple, ingest.registry_problems(df, ["funded"], ["verbal"]).collect()), key=str)
     assert got == sorted([(None, "no_id"), ("p", "repeated"), ("p", "repeated"), ("p", "stage"), ("p", "commitment"), ("p", "size"), ("p", "dates"), ("p", "not_seen")], key=str)
+    more = df.withColumn("source_urls", F.when(F.col("stage") == "odd", F.array(F.lit("u"))))
+    signed = spark.createDataFrame([("p", "stage", "model-1"), ("p", "capex", "reviewer")], "project_id string, field string, changed_by string")
+    found = [tuple(r) for r in ingest.registry_problems(more, ["announced", "funded", "odd"], ["verbal"], signed).collect()]
+    assert found.count(("p", "no_source")) == 1 and found.count((None, "no_source")) == 1 and found.count(("p", "unsigned")) == 2
+    by_hand = signed.unionByName(spark.createDataFrame([("p", "stage", "reviewer")], signed.schema))
+    assert ("p", "unsigned") not in [tuple(r) for r in ingest.registry_problems(more, ["announced", "funded", "odd"], ["verbal"], by_hand).collect()]
     assert ms.cut_points(spark.range(1000), "id", 4) == pytest.approx([250, 500, 750], abs=3)
 
 
+def test_measures_that_raise(spark):
+    cells = spark.createDataFrame([("a", 60.0), ("a", 45.0), ("b", 10.0)], "zone string, people double")
+    assert ms.check_district_totals(cells.filter("zone = 'a'"), "zone", F.col("people"), 100.0, 0.1).count() == 2
+    with pytest.raises(ValueError, match="b \\(10.0\\)"):
+        ms.check_district_totals(cells, "zone", F.col("people"), 100.0, 0.1)
+    projects = spark.createDataFrame([(i, i == 0) for i in range(20)], "id long, dead boolean")
+    assert ms.check_dead(projects, "dead", 1, 0.05) is projects
+    for least, share in ((2, 0.01), (1, 0.06)):
+        with pytest.raises(ValueError, match="dead projects"):
+            ms.check_dead(projects, "dead", least, share)
+    with pytest.raises(ValueError):
+        ms.check_dead(projects.limit(0), "dead", 1, 0.0)
+    columns = spark.createDataFrame([("p", 0.1, False), ("p", 0.3, True), ("q", 0.2, None), ("r", 2.0, False)], "k string, w double, gone boolean")
+    got = {r.k: r.data_conf for r in ms.confidence(columns, "k", "w", 0.9, 0.2, F.col("gone"), 0.05).collect()}
+    assert got == {"p": pytest.approx(0.75), "q": pytest.approx(0.7), "r": 0.2}
+    panel = ms.panel_median(spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("c", None)], "k string, v double"), "k", F.col("v"), 2)
+    assert {r.k: (r.price, r.n) for r in panel.collect()} == {"a": (2.0, 2), "b": (None, 1), "c": (None, 0)}
+    growth = ms.city_growth(spark.createDataFrame([(2000, 1.0), (2002, 1.21), (2002, None)], "y long, v double"), "y", "v", 2000, 2002, -0.5, 0.5)
+    assert growth.first().cagr == pytest.approx(0.1) and ms.city_growth(spark.createDataFrame([(2000, 0.0), (2002, 1.0)], "y long, v double"), "y", "v", 2000, 2002, -0.5, 0.5).first().cagr is None
+
+
 def test_adapters(spark):
     ap = adapter_for("AP")
     assert ap.capabilities() == {"guidance", "projects", "registrations", "parcels", "allotments"} and StateAdapter().capabilities() == set() and StateAdapter().parcels(None) is None
