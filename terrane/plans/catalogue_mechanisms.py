@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators import hedonic, networks, sensitivity, timejoin
+from terrane.functions import scalar as sc
+from terrane.operators import cascade, credibility as cr, govern, hedonic, networks, sensitivity, timejoin
 from terrane.plans.catalogue import KNN, P, TIE, _knn, add
+from terrane.plans.catalogue_shapes import districts
 from terrane.sources import snapshot_tree
 from terrane.streaming import monitor
 
@@ -44,6 +46,61 @@ add("rail_shortest", "supplier", f"""WITH RECURSIVE {STATIONS}, n AS (SELECT *,
     UNION SELECT w.u, e.v, min(w.d + e.m) FROM ways w JOIN e ON e.u = w.v LEFT JOIN recurring.ways r ON r.u = w.u AND r.v = e.v WHERE w.d + e.m < coalesce(r.d, 1e18) - 1e-9 GROUP BY w.u, e.v)
   SELECT u AS board, v AS alight, round(d + 1e-9, 6) AS ride FROM ways""", lambda s: networks.rail_minutes(_stations(s), P).withColumn("ride", c("ride") + 1e-9))
 
+# --- cascades --------------------------------------------------------------------------------------------------
+TIERS = [("it_office", 1, 0.4, 0.8, 1.0, 900.0, "retail_svc"), ("manuf_light", 1, 0.5, 0.75, 1.5, 800.0, "logistics"), ("manuf_light", 2, 0.2, 0.5, 2.5, 1000.0, "retail_svc"), ("logistics", 1, 0.1, 0.9, 0.5, 600.0, "retail_svc")]
+
+
+def _anchors(j: DataFrame, x: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    anchors = j.join(x.select("cell", "x_m", "y_m"), "cell").select(c("project_id").alias("id"), c("sector").alias("archetype"), c("x_m").alias("x"), c("y_m").alias("y"), "jobs", (c("wage") / 200_000).alias("p"), (c("start_year") + 0.25).alias("open_year"))
+    cells = x.select("cell", "x_m", "y_m", (c("zone") % 5 != 0).alias("zoned"), (c("util_power") == 1).alias("powered"), c("lna").alias("score"), c("amenity").alias("freight_access"))
+    return anchors, x.sparkSession.createDataFrame(TIERS, cascade.TIERS), cells
+
+
+add("cascade_injection", "a_jobs a_cells", f"""WITH t(archetype, tier, jobs_ratio, p_mult, lag_years, radius_m, follows) AS (VALUES {', '.join(f"('{a}', {b}, {d}e0, {e}e0, {f}e0, {g}e0, '{h}')" for a, b, d, e, f, g, h in TIERS)}),
+  a AS (SELECT project_id AS id, sector AS archetype, x_m AS x, y_m AS y, a_jobs.jobs, wage / 200000 AS p, start_year + 0.25e0 AS open_year FROM a_jobs JOIN a_cells USING (cell)),
+  n AS (SELECT a.*, t.* EXCLUDE (archetype), k.cell, k.lna, k.x_m, k.y_m FROM a JOIN t USING (archetype) JOIN a_cells k ON k.x_m BETWEEN a.x - radius_m AND a.x + radius_m AND k.y_m BETWEEN a.y - radius_m AND a.y + radius_m
+    WHERE k.zone % 5 <> 0 AND k.util_power = 1 AND k.amenity > 0.2 AND sqrt(pow(k.x_m - a.x, 2) + pow(k.y_m - a.y, 2)) <= least(radius_m, 1000)),
+  e AS (SELECT *, exp(lna) / sum(exp(lna)) OVER (PARTITION BY id, tier) AS share FROM n)
+  SELECT id, tier::BIGINT AS tier, cell, follows AS archetype, round(jobs * jobs_ratio * share + 1e-9, 6) AS jobs, round(p * p_mult + 1e-9, 6) AS p, round_even(open_year + lag_years, 0) AS open_year FROM e""",
+    lambda j, x: _injected(j, x))
+
+
+def _injected(j: DataFrame, x: DataFrame) -> DataFrame:
+    anchors, tiers, cells = _anchors(j, x)
+    return cascade.inject(anchors, tiers, cells, 1000.0, 0.2).select("id", "tier", "cell", "archetype", (c("jobs") + TIE).alias("jobs"), (c("p") + TIE).alias("p"), "open_year")
+
+
+# --- slips and sources -----------------------------------------------------------------------------------------
+FAMILIES = P.value("credibility.delay_families")
+LAW = "CASE WHEN z < -8 THEN 0 WHEN z > 8 THEN 1 ELSE 0.5e0 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: pow(z, 2 * k + 1) * sqrt(pi()) / exp((k + 1) * ln(2) + lgamma(k + 1.5e0)))) END"
+
+
+def _cdf_sql() -> str:
+    value = lambda f, k: f"{float(f[k])}e0" if k in f else "NULL"
+    rows = ", ".join(f"('{k}', {', '.join(value(f, x) for x in ('median', 'fast_p', 'fast_slip', 'slow_slip', 'sigma'))})" for k, f in FAMILIES.items())
+    return f"""WITH fam(name, median, fast_p, fast_slip, slow_slip, sigma) AS (VALUES {rows}),
+      x AS (SELECT name, fam.* EXCLUDE (name), s_suppkey AS point, (s_suppkey % 97) / 20e0 AS x FROM fam, supplier), z AS (SELECT *, CASE WHEN x > 0 THEN (ln(x) - ln(coalesce(median, slow_slip))) / sigma END AS z FROM x),
+      l AS (SELECT *, CASE WHEN x > 0 THEN {LAW} ELSE 0 END AS law FROM z)
+      SELECT name AS family, point, round(least(1, greatest(0, CASE WHEN fast_p IS NULL THEN law ELSE (1 - fast_p) * law + CASE WHEN x >= fast_slip THEN fast_p ELSE 0 END END)) + 1e-9, 6) AS share FROM l"""
+
+
+add("slip_cdf", "supplier", _cdf_sql(), lambda s: _slips(s))
+
+
+def _slips(s: DataFrame) -> DataFrame:
+    """Of each delay family, the share of slips up to each of the points that suppliers stand for."""
+    points = s.select(c("s_suppkey").alias("point"), (c("s_suppkey") % 97 / 20.0).alias("x"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("family"), (cr.slip_cdf(f, c("x")) + TIE).alias("share")) for k, f in FAMILIES.items()]))
+    return points.select("point", each.alias("_e")).select("_e.family", "point", "_e.share")
+
+
+add("source_licences", "part supplier", """SELECT DISTINCT p_brand || ':' || p_size AS source, CASE WHEN class IS NULL THEN 'undeclared' ELSE class END AS problem FROM part
+  LEFT JOIN (SELECT DISTINCT 'Brand#' || (s_suppkey % 25 + 1) || ':' || (s_suppkey % 50 + 1) AS source, CASE s_suppkey % 3 WHEN 0 THEN 'green' WHEN 1 THEN 'amber' ELSE 'red' END AS class FROM supplier) r ON r.source = p_brand || ':' || p_size WHERE class IS NULL OR class = 'red'""",
+    lambda x, s: govern.licence_audit(x.select(F.concat_ws(":", "p_brand", "p_size").alias("source")).distinct(), s.select(F.concat(F.lit("Brand#"), c("s_suppkey") % 25 + 1, F.lit(":"), c("s_suppkey") % 50 + 1).alias("source"),
+                                      F.when(c("s_suppkey") % 3 == 0, "green").when(c("s_suppkey") % 3 == 1, "amber").otherwise("red").alias("class")).distinct(), ("green", "amber")).distinct())
+add("district_areas", "a_districts", "SELECT zone_id, round(wide * high - (rx1 - rx0) * (ry1 - ry0), 4) AS area, round(CASE WHEN form = 2 THEN wide * high - (rx1 - rx0) * (ry1 - ry0) ELSE wide * high END, 4) AS outer_area FROM a_districts",
+    lambda d: districts(d).select("zone_id", F.round(F.aggregate(F.transform("rings", lambda r, i: F.when(i == 0, sc.ring_area(r)).otherwise(-sc.ring_area(r))), F.lit(0.0), lambda a, v: a + v), 4).alias("area"), F.round(sc.ring_area(F.get("rings", F.lit(0))), 4).alias("outer_area")))
+
 # --- sensitivity -----------------------------------------------------------------------------------------------
 PARAMETERS = ["gamma", "eta", "share"]
 
