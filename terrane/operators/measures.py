@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], bins: int = 4096, rounds: int = 5) -> DataFrame:
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], bins: int = 4096) -> DataFrame:
     """One row of exact quantiles {name: (column, q)} over whole tables, with linear interpolation.
 
     A percentile aggregate would hold all distinct values in one task. Here the ranks that a quantile lies between are
@@ -22,10 +22,15 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], bins: int = 4
     at = {n: [first[f"lo_{n}"], first[f"hi_{n}"], wanted[n][1] * (first[f"n_{n}"] - 1), first[f"n_{n}"]] for n in names if first[f"n_{n}"]}
     todo = {n for n in at if at[n][0] < at[n][1]}
     out |= {n: at[n][0] for n in at if n not in todo}
-    for turn in range(rounds):
-        wide = {n for n in todo if at[n][3] > bins} if turn else set(todo)
+    stuck: set[str] = set()
+    turn = 0
+    while True:
+        # until few values are left, or floating point cannot part them: then these are few in kind
+        wide = {n for n in todo - stuck if at[n][3] > bins} if turn else set(todo)
         if not wide:
             break
+        turn += 1
+        before_turn = {n: (at[n][0], at[n][1]) for n in wide}
         pieces = []
         for n in sorted(wide):
             low, high = at[n][0], at[n][1]
@@ -50,6 +55,8 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], bins: int = 4
             if n in todo and at[n][0] == at[n][1]:
                 out[n] = at[n][0]
                 todo.discard(n)
+            if (at[n][0], at[n][1]) == before_turn[n]:
+                stuck.add(n)
     for n in sorted(todo):
         # few values, or values that floating point cannot part further: count them by value
         held = rows.filter(F.col(n).between(at[n][0], at[n][1])).groupBy(n).agg(F.count(F.lit(1)).alias("n")).orderBy(n).collect()

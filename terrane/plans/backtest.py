@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators import market, measures as ms
@@ -114,15 +114,21 @@ def bootstrap_ci(values: list[float], seed: int, draws: int = 2000, level: float
 
 
 def bootstrap_rank_difference(rows: DataFrame, pred: str, reference: str, actual: str, replicates: int, seed: int) -> DataFrame:
-    """(replicate, difference) of rank correlations over resampled zones: Poisson weights by hash, one plan for all.
+    """(replicate, difference) of rank correlations over zones drawn with replacement, as many as there are.
 
-    Each replicate gives a zone a Poisson(1) number of copies from a hash of (seed, replicate, zone), so a rerun and a
-    different partitioning agree, and rows are never collected.
+    Draw j of a replicate is the zone of the number that whole-number arithmetic on (seed, replicate, j) gives, so a
+    rerun and a different partitioning agree; zones are numbered in their order. One plan for all replicates; rows are
+    never collected. A zone's rows are drawn together.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", "zone"), F.lit(1 << 30)) / float(1 << 30)
-    cuts = np.cumsum([np.exp(-1.0) / v for v in (1, 1, 2, 6, 24, 120, 720)])
-    copies = sum((F.when(u >= float(q), 1).otherwise(0) for q in cuts), F.lit(0))
-    out = rows.select("zone", pred, reference, actual).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_n", copies).filter("_n > 0")
+    named = rows.select("zone").distinct().select("zone", F.row_number().over(Window.orderBy("zone")).cast("long").alias("_z"))
+    n = named.count()
+    zones = rows.select("zone", pred, reference, actual).join(named, "zone").drop("zone")
+    i, j, p = F.col("replicate"), F.col("_j"), F.lit(PRIME).cast("long")
+    x = (F.lit(seed % PRIME).cast("long") + i * 69621 + j * 48271) % p
+    steps = rows.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.expr(f"sequence(0L, {max(n - 1, 0)}L)")).alias("_j")).withColumn("_x", x)
+    steps = steps.withColumn("_x", (F.col("_x") * F.col("_x") + 12345 + i) % p).withColumn("_x", (F.col("_x") * 16807 + j) % p)
+    drawn = steps.select("replicate", ((F.col("_x") * F.col("_x") + 67891) % p % max(n, 1) + 1).alias("_z"))
+    out = drawn.groupBy("replicate", "_z").agg(F.count(F.lit(1)).alias("_n")).join(zones, "_z").drop("_z")
     for c in (pred, reference, actual):
         counts = out.groupBy("replicate", c).agg(F.sum("_n").alias("_m"))
         before = F.expr("sum(_m) OVER (PARTITION BY replicate ORDER BY `%s` ROWS UNBOUNDED PRECEDING)" % c)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from terrane.functions import scalar as sc
 from terrane.operators import cascade, credibility as cr, govern, hedonic, networks, sensitivity, timejoin
+from terrane.plans import backtest
+from terrane.plans.backtest import PRIME
 from terrane.plans.catalogue import KNN, P, TIE, _knn, add
 from terrane.plans.catalogue_shapes import districts
 from terrane.sources import snapshot_tree
@@ -120,6 +122,8 @@ add("sobol_indices", "part", "WITH p AS (SELECT p_partkey AS i, " + ", ".join(f"
   SELECT 'gamma' AS parameter, round(f1 / v, 6) AS first_order, round(t1 / v, 6) AS total, n FROM v UNION ALL SELECT 'eta', round(f2 / v, 6), round(t2 / v, 6), n FROM v UNION ALL SELECT 'share', round(f3 / v, 6), round(t3 / v, 6), n FROM v""",
     lambda x: sensitivity.indices(sensitivity.design(x, "p_partkey", PARAMETERS).withColumn("f", c("gamma") + 2 * c("eta") + 3 * c("gamma") * c("share")), "p_partkey", "f", PARAMETERS))
 
+REPLICATES, SEED = 40, 20240607
+
 # --- spatial tests ---------------------------------------------------------------------------------------------
 LINEAR = f"""{KNN}, o AS (SELECT cell, amenity + lna / 10 AS y, disamenity AS x FROM a_cells), g AS (SELECT count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy FROM o),
   b AS (SELECT *, n * sxx - sx * sx AS det, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1, (sy * sxx - sx * sxy) / (n * sxx - sx * sx) AS b0 FROM g),
@@ -131,6 +135,22 @@ add("hedonic_tests", "a_cells", f"""WITH {LINEAR}, s AS (SELECT sum(e * e) / cou
   SELECT round(de * de / t, 6) AS lm_error, round(dl * dl / (sp + t), 6) AS lm_lag, round((dl - de) * (dl - de) / sp, 6) AS rlm_lag, round(pow(de - t / (sp + t) * dl, 2) / (t * (1 - t / (sp + t))), 6) AS rlm_error FROM q""",
     lambda x: _tests(x))
 
+add("hedonic_lag", "a_cells", f"""WITH {LINEAR}, c AS (SELECT covar_pop(wx, x) / var_pop(x) AS g FROM r JOIN l USING (cell)), v AS (SELECT r.*, l.*, wx - g * x AS z FROM r JOIN l USING (cell), c),
+  s AS (SELECT covar_pop(z, y) / covar_pop(z, wy) AS rho, covar_pop(x, y) AS xy, covar_pop(x, wy) AS xw, var_pop(x) AS xx, avg(y) AS my, avg(wy) AS mw, avg(x) AS mx FROM v), b2 AS (SELECT *, (xy - rho * xw) / xx AS b1 FROM s)
+  SELECT round(rho, 5) AS rho, round(my - rho * mw - b1 * mx, 5) AS intercept, round(b1, 5) AS x, round(b1 / (1 - rho), 5) AS total_x FROM b2""", lambda x: _lag(x))
+add("bt_rank_bootstrap", "a_cells", f"""WITH z AS (SELECT zone, avg(lna) AS p, avg(amenity) AS q, avg(raw_price) AS t, row_number() OVER (ORDER BY zone) AS k, count(*) OVER () AS n FROM a_cells GROUP BY zone),
+  x0 AS (SELECT i, j, n, ({SEED} % {PRIME} + i * 69621 + j * 48271) % {PRIME} AS x FROM range({REPLICATES}) a(i), (SELECT k - 1 AS j, n FROM z)), x1 AS (SELECT i, j, n, (((x * x + 12345 + i) % {PRIME}) * 16807 + j) % {PRIME} AS x FROM x0),
+  d AS (SELECT i, p, q, t FROM (SELECT i, ((x * x + 67891) % {PRIME}) % n + 1 AS k FROM x1) JOIN z USING (k)),
+  r AS (SELECT i, rank() OVER (PARTITION BY i ORDER BY p) + (count(*) OVER (PARTITION BY i, p) - 1) / 2 AS p, rank() OVER (PARTITION BY i ORDER BY q) + (count(*) OVER (PARTITION BY i, q) - 1) / 2 AS q, rank() OVER (PARTITION BY i ORDER BY t) + (count(*) OVER (PARTITION BY i, t) - 1) / 2 AS t FROM d)
+  SELECT i::BIGINT AS replicate, round(corr(p, t) - corr(q, t), 6) AS difference FROM r GROUP BY i""",
+    lambda x: backtest.bootstrap_rank_difference(x.groupBy("zone").agg(F.avg("lna").alias("p"), F.avg("amenity").alias("q"), F.avg("raw_price").alias("t")), "p", "q", "t", REPLICATES, SEED))
+
+
+def _lag(x: DataFrame) -> DataFrame:
+    rows = x.select("cell", (c("amenity") + c("lna") / 10).alias("y"), c("disamenity").alias("x"))
+    got = hedonic.fit_lag(rows, _knn(x), "cell", "other", "y", ["x"])
+    return x.sparkSession.createDataFrame([tuple(round(float(got[k]), 5) for k in ("rho", "intercept", "x", "total_x"))], "rho double, intercept double, x double, total_x double")
+
 
 def _tests(x: DataFrame) -> DataFrame:
     rows = x.select("cell", (c("amenity") + c("lna") / 10).alias("y"), c("disamenity").alias("x"))

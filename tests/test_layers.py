@@ -43,7 +43,7 @@ def test_quantiles(spark):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double").repartition(3)
         wanted = {f"q{i}": ("v", q) for i, q in enumerate((0.0, 0.1, 0.5, 0.777, 1.0))}
         for bins in (4, 4096):
-            got = ms.quantiles(df, wanted, bins=bins, rounds=3).first()
+            got = ms.quantiles(df, wanted, bins=bins).first()
             assert list(got) == pytest.approx([float(np.quantile(values, q)) for _, q in wanted.values()], rel=1e-12)
     assert ms.quantiles(df.filter("false"), {"m": ("v", 0.5)}).first()[0] is None
 

@@ -183,3 +183,14 @@ def test_snapshot_tree(spark):
     longer = snapshot_tree.tree(df.unionByName(spark.createDataFrame([(10**6, 1.0, "far")], df.schema)), "k", 64, 4)
     assert [tuple(x)[0] for x in snapshot_tree.changed_ranges(kept, longer, 64, 4).collect()] == [10**6 // 64 * 64]
     assert sorted(tuple(x) for x in snapshot_tree.tree(spark.createDataFrame([(None, 1.0, "a"), (-5, 1.0, None)], df.schema), "k", 64, 4).filter("level = 0").select("node", "n").collect()) == [(-(2**57), 1), (-1, 1)]
+
+
+def test_quantiles_over_many_decades(spark):
+    """Values over hundreds of decades are closed in until few are left."""
+    from terrane.operators import measures as ms
+
+    r = random.Random(7)
+    values = [math.copysign(10.0 ** r.uniform(-300, 300), r.random() - 0.3) for _ in range(3000)] + [5.0] * 200
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = ms.quantiles(df, {"a": ("v", 0.5), "b": ("v", 0.1), "c": ("v", 1.0)}, bins=16).first()
+    assert got.a == pytest.approx(np.quantile(values, 0.5)) and got.b == pytest.approx(np.quantile(values, 0.1)) and got.c == max(values)
