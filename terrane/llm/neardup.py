@@ -73,6 +73,8 @@ TURNS = 3
 PARTNER_ROWS = 4000
 #: Most rows and shingles of one block of a bucket.
 BLOCK_ROWS, BLOCK_SHINGLES = 1000, 500_000
+#: Most classes of a family that are compared all with all, in one group.
+FAMILY_ROWS = 200
 WORD_CACHE = 50_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -392,6 +394,38 @@ def _rare_buckets(rest: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return out
 
 
+def _needed_buckets(possible: DataFrame) -> DataFrame:
+    """(bucket): buckets whose pairs are not all in another bucket anyway, as classes share several rare shingles.
+
+    Of buckets with equal members one stays; and where all members of a bucket have the same other one as their
+    largest, they meet there.
+    """
+    named = possible.select("bucket", "node").distinct()
+    members = written(named.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), *_members("node")), "bucket-members")
+    one = members.groupBy("k", "m1", "m2").agg(F.min("bucket").alias("bucket")).select("bucket", "k")
+    named = written(named.join(one, "bucket"), "bucket-members")
+    largest = named.groupBy("node").agg(F.max(F.struct("k", "bucket")).alias("_l")).select("node", F.col("_l.bucket").alias("largest"))
+    picks = named.join(largest, "node").groupBy("bucket").agg(F.min("largest").alias("l0"), F.max("largest").alias("l1"))
+    return picks.filter("l0 <> l1 OR l0 = bucket").select("bucket")
+
+
+def _regrouped(possible: DataFrame) -> DataFrame:
+    """possible (bucket, node, root, n, b1, b2) with one bucket for each small family, of classes that buckets join.
+
+    All pairs of a family of FAMILY_ROWS classes at most are in its one bucket, so its texts travel once; of larger
+    families the buckets stay that are needed. No pair that shares a bucket is lost.
+    """
+    cols = ["node", "root", "n", "b1", "b2"]
+    named = possible.select("bucket", "node").distinct()
+    leads = named.groupBy("bucket").agg(F.min("node").alias("u"))
+    above = components(named.join(leads, "bucket").select("u", F.col("node").alias("v"))).select("node", F.col("root").alias("family"))
+    rows = written(possible.select(*cols).distinct().join(above, "node", "left").withColumn("family", F.coalesce("family", "node")), "families")
+    small = rows.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m")).filter((F.col("k") <= FAMILY_ROWS) & (F.col("m") <= BLOCK_SHINGLES)).select("family")
+    whole = rows.join(small, "family", "left_semi").select(F.col("family").alias("bucket"), *cols)
+    large = written(possible.select("bucket", *cols).join(rows.join(small, "family", "left_anti").select("node"), "node", "left_semi"), "possible")
+    return whole.unionByName(large.join(_needed_buckets(large), "bucket", "left_semi").select("bucket", *cols))
+
+
 def _links_left(rest: DataFrame, texts: DataFrame, rule: Rule, max_bits: int | None) -> DataFrame:
     """Links between classes of different components that are left in mixed buckets, written.
 
@@ -401,9 +435,7 @@ def _links_left(rest: DataFrame, texts: DataFrame, rule: Rule, max_bits: int | N
     rare = _rare_buckets(rest, texts, rule)
     possible = written(_with_partners(rare, rule, max_bits), "possible")
     forget(rare)
-    # classes that share several rare shingles meet once: of buckets with equal members one stays
-    members = possible.select("bucket", "node").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), *_members("node"))
-    some = written(possible.join(members.groupBy("k", "m1", "m2").agg(F.min("bucket").alias("bucket")), "bucket", "left_semi"), "possible")
+    some = written(_regrouped(possible), "possible")
     forget(possible)
     blocks = some.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
