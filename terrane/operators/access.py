@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.scalar import gated_band
+from terrane.operators.networks import origins, realigned
+from terrane.operators.spatial import within as near_points
 from terrane.params import Params
 
 
@@ -43,17 +45,45 @@ def minutes(metres: Column, kmh: float) -> Column:
 def gravity(pairs: DataFrame, origin: str, kmh: dict[str, float], shares: dict[str, float], betas: dict[str, dict[str, float]], weights: dict[str, float]) -> DataFrame:
     """ln(A + 1) of each purpose and their weighted sum: one aggregate over the pairs, whose minutes by mode come from
     dist_m and are infinite where that is null. Pairs of an origin lie in one task, so partial sums are all there is."""
+    return _logs(pairs.groupBy(origin).agg(*_gravity_sums(kmh, shares, betas)), [origin], betas, weights)
+
+
+def _gravity_sums(kmh: dict[str, float], shares: dict[str, float], betas: dict[str, dict[str, float]]) -> list[Column]:
     term = lambda purpose, mode: shares[mode] * F.exp(-betas[purpose][mode] * minutes(F.col("dist_m"), kmh[mode]))
-    sums = [F.sum(F.coalesce(sum((term(x, m) for m in shares), F.lit(0.0)) * F.col(f"o_{x}"), F.lit(0.0))).alias(f"a_{x}") for x in betas]
-    out = pairs.groupBy(origin).agg(*sums)
-    logs = out.select(origin, *[F.log1p(f"a_{x}").alias(f"lna_{x}") for x in betas])
+    return [F.sum(F.coalesce(sum((term(x, m) for m in shares), F.lit(0.0)) * F.col(f"o_{x}"), F.lit(0.0))).alias(f"a_{x}") for x in betas]
+
+
+def _logs(sums: DataFrame, keep: list[str], betas: dict[str, dict[str, float]], weights: dict[str, float]) -> DataFrame:
+    logs = sums.select(*keep, *[F.log1p(f"a_{x}").alias(f"lna_{x}") for x in betas])
     return logs.withColumn("lna", sum((w * F.col(f"lna_{x}") for x, w in weights.items()), F.lit(0.0)))
 
 
+def _reach_sums(kmh: dict[str, float], shares: dict[str, float], measure: str, limits: list[int]) -> list[Column]:
+    within = lambda t: sum((F.when(minutes(F.col("dist_m"), kmh[m]) <= t, F.lit(float(s))).otherwise(0.0) for m, s in shares.items()), F.lit(0.0))
+    return [F.sum(within(t) * F.col(measure)).alias(f"jobs_{t}") for t in limits]
+
+
 def reachable(pairs: DataFrame, origin: str, kmh: dict[str, float], shares: dict[str, float], measure: str, limits: list[int]) -> DataFrame:
     """Opportunity within each limit of minutes, by mode share."""
-    within = lambda t: sum((F.when(minutes(F.col("dist_m"), kmh[m]) <= t, F.lit(float(s))).otherwise(0.0) for m, s in shares.items()), F.lit(0.0))
-    return pairs.groupBy(origin).agg(*[F.sum(within(t) * F.col(measure)).alias(f"jobs_{t}") for t in limits])
+    return pairs.groupBy(origin).agg(*_reach_sums(kmh, shares, measure, limits))
+
+
+def layer(cells: DataFrame, key: str, zone: str, stations: DataFrame, kmh: dict[str, float], shares: dict[str, float], betas: dict[str, dict[str, float]], weights: dict[str, float], limits: list[int], p: Params) -> DataFrame:
+    """(key, lna_<purpose>..., lna, jobs_<limit>..., station_weight) of all cells: the layer's results in one table.
+
+    Origins are the cells of the city where people live or could (in_city, population, headroom_sqm); for others the
+    gravity and the jobs are null, not 0. One aggregate over the pairs of origins and selected destinations gives both.
+    stations (station, sx, sy, feeder); a cell without a station in reach has the weight 0.
+    """
+    targets = destinations(cells, zone, "jobs", p.value("access.min_destination_jobs"), p.value("access.max_destinations")).drop("jobs").join(opportunities(cells, zone, p), zone)
+    pairs = od_pairs(origins(cells), targets, key, zone)
+    sums = pairs.groupBy(key).agg(*_gravity_sums(kmh, shares, betas), *_reach_sums(kmh, shares, "o_work", limits))
+    reach = [f"jobs_{t}" for t in limits]
+    found = _logs(sums, [key, *reach], betas, weights)
+    near = near_points(cells.select(key, "x_m", "y_m"), stations, float(max(b[0] for b in p.value("access.station_bands"))), "x_m", "y_m", "sx", "sy")
+    served = station_weight(near, key, "dist_m", "feeder", p)
+    out = realigned(found, cells, key).join(served, key, "left").withColumn("station_weight", F.coalesce("station_weight", F.lit(0.0)))
+    return out.select(key, *[f"lna_{x}" for x in betas], "lna", *reach, "station_weight")
 
 
 def station_weight(pairs: DataFrame, key: str, distance: str, feeder: str, p: Params) -> DataFrame:

@@ -8,8 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.functions.scalar import step_up
 from terrane.operators import market, measures as ms
 from terrane.operators.govern import GuardError, no_lookahead, vintage_ok
+from terrane.operators.spatial import within
 
 
 @dataclass(frozen=True)
@@ -141,3 +143,10 @@ def bootstrap_rank_difference(rows: DataFrame, pred: str, reference: str, actual
         return top / F.sqrt((F.sum(w * x * x) - sx * sx / n) * (F.sum(w * y * y) - sy * sy / n))
 
     return out.groupBy("replicate").agg((corr(pred, actual) - corr(reference, actual)).alias("difference"))
+
+
+def announcement_premium(cells: DataFrame, sites: DataFrame, bands: list, beyond: float, reach: float) -> DataFrame:
+    """(cell, premium): what a naive buyer adds for announcements, the sum of ln(1 + share) over sites (sx, sy) within
+    reach, by the band of (limit, share) that the distance is in, or beyond. Cells without a site in reach have no row."""
+    near = within(cells.select("cell", "x_m", "y_m"), sites, reach, "x_m", "y_m", "sx", "sy")
+    return near.groupBy("cell").agg(F.sum(F.ln(1 + step_up(F.col("dist_m"), bands, F.lit(float(beyond))))).alias("premium"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from terrane.functions import scalar as sc
 from terrane.operators import access, cell_columns as cc, credibility as cr, govern, ingest, market, measures as ms, networks, spatial, substrate as sub
 from terrane.params import load_params
+from terrane.plans import backtest as bt
 from terrane.plans.views import table, view, with_views
 from terrane.schema import Col, Table
 from terrane.sources.readers import adapter_for
@@ -364,7 +365,7 @@ add("bt_city_growth", "a_history", f"WITH w AS (SELECT avg(price) FILTER (year =
 add("bt_distance_fit", "a_cells", "WITH v AS (SELECT ln(price) AS y, ln(1 + sqrt((x_m - 10000) * (x_m - 10000) + (y_m - 10000) * (y_m - 10000))) AS x FROM a_cells WHERE price > 0) SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, count(*) AS n FROM v",
     lambda x: x.filter("price > 0").select(F.ln("price").alias("y"), F.ln(1 + F.hypot(c("x_m") - 10000, c("y_m") - 10000)).alias("x")).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.count(F.lit(1)).alias("n")))
 add("bt_announcement_premium", "a_projects a_cells", f"WITH {SITE}, d AS (SELECT cell, {DIST} AS d FROM a_cells, pr) SELECT cell, round(sum(ln(1 + CASE WHEN d <= 500 THEN 0.1e0 WHEN d <= 1000 THEN 0.05e0 ELSE 0.02e0 END)), 6) AS premium FROM d WHERE d <= 2000 GROUP BY cell",
-    lambda p, x: spatial.within(x, _sites(p, x), 2000.0, "x_m", "y_m", "sx", "sy").groupBy("cell").agg(F.sum(F.ln(1 + sc.step_up(c("dist_m"), [[500, 0.1], [1000, 0.05]], F.lit(0.02)))).alias("premium")))
+    lambda p, x: bt.announcement_premium(x, _sites(p, x), [[500, 0.1], [1000, 0.05]], 0.02, 2000.0))
 add("bt_greedy_fill", "a_cells", """SELECT cell, round(greatest(0, least(absorbed, 5000 - coalesce(sum(absorbed) OVER (PARTITION BY zone ORDER BY lna DESC, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))), 6) AS take FROM a_cells""",
     lambda x: market.running_fill(x, "lna", "cell", "absorbed", 5000.0, ["zone"]).select("cell", "take"))
 add("bt_top_k", "a_cells", "WITH t AS (SELECT lna FROM a_cells ORDER BY amenity DESC, cell LIMIT 50) SELECT round(avg(CASE WHEN lna >= (SELECT quantile_cont(lna, 0.9) FROM a_cells) THEN 1e0 ELSE 0 END), 6) AS precision, count(*) AS k FROM t", lambda x: ms.top_k_precision(x, "cell", "amenity", "lna", 50, 0.9))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import scalar as sc
-from terrane.operators import cascade, credibility as cr, govern, hedonic, networks, sensitivity, timejoin
+from terrane.operators import access, cascade, credibility as cr, govern, hedonic, networks, sensitivity, substrate as sub, timejoin
 from terrane.plans import backtest
 from terrane.plans.backtest import PRIME
-from terrane.plans.catalogue import KNN, P, TIE, _knn, add
+from terrane.plans.catalogue import BETAS, KMH, KNN, OD, OPP, P, SHARE as MODE_SHARE, SHARES, TIE, WEIGHTS, _knn, add
 from terrane.plans.catalogue_shapes import districts
 from terrane.sources import snapshot_tree
 from terrane.streaming import monitor
@@ -48,6 +48,53 @@ add("rail_shortest", "supplier", f"""WITH RECURSIVE {STATIONS}, n AS (SELECT *,
     UNION SELECT w.u, e.v, min(w.d + e.m) FROM ways w JOIN e ON e.u = w.v LEFT JOIN recurring.ways r ON r.u = w.u AND r.v = e.v WHERE w.d + e.m < coalesce(r.d, 1e18) - 1e-9 GROUP BY w.u, e.v)
   SELECT u AS board, v AS alight, round(d + 1e-9, 6) AS ride FROM ways""", lambda s: networks.rail_minutes(_stations(s), P).withColumn("ride", c("ride") + 1e-9))
 
+# --- accessibility, as one table -------------------------------------------------------------------------------
+LIMITS = [5, 10, 20]
+add("l1_layer", "a_cells", f"""WITH {OD}, {OPP}, city AS (SELECT * FROM a_cells WHERE zone % 5 <> 0), chosen AS (SELECT cell FROM city WHERE households * 4 > 0 OR absorbed - 1500 > 0),
+  g AS (SELECT cell, {', '.join(f"ln(1 + sum({MODE_SHARE} * exp(-minutes * CASE mode {' '.join(f'WHEN {m!r} THEN {b}e0' for m, b in BETAS[x].items())} END) * o_{x})) AS lna_{x}" for x in BETAS)},
+    {', '.join(f'sum(CASE WHEN minutes <= {t} THEN {MODE_SHARE} * o_work ELSE 0 END) AS jobs_{t}' for t in LIMITS)} FROM od JOIN opp USING (zone) WHERE cell IN (SELECT cell FROM chosen) GROUP BY cell),
+  st AS (SELECT x_m AS sx, y_m AS sy, cell % 2 = 0 AS feeder FROM a_cells WHERE brand = 'Brand#13'),
+  w AS (SELECT a.cell, max(CASE WHEN d <= 400 THEN 1e0 WHEN d <= 800 THEN 0.6e0 WHEN d <= 1200 THEN 0.3e0 WHEN d <= 1600 THEN 0.12e0 WHEN d <= 6000 AND feeder THEN 0.15e0 ELSE 0e0 END) AS station_weight
+    FROM (SELECT a.cell, feeder, sqrt(pow(x_m - sx, 2) + pow(y_m - sy, 2)) AS d FROM a_cells a, st) a GROUP BY a.cell)
+  SELECT a.cell, {', '.join(f'round(lna_{x}, 6) AS lna_{x}' for x in BETAS)}, round({' + '.join(f'{w}e0 * lna_{x}' for x, w in WEIGHTS.items())}, 6) AS lna, {', '.join(f'round(jobs_{t}, 6) AS jobs_{t}' for t in LIMITS)}, coalesce(station_weight, 0) AS station_weight
+  FROM a_cells a LEFT JOIN g ON g.cell = a.cell LEFT JOIN w ON w.cell = a.cell""", lambda x: _layer(x))
+
+
+def _layer(x: DataFrame) -> DataFrame:
+    stations = x.filter("brand = 'Brand#13'").select(c("cell").alias("station"), c("x_m").alias("sx"), c("y_m").alias("sy"), (c("cell") % 2 == 0).alias("feeder"))
+    cells = x.drop("lna").withColumn("in_city", c("zone") % 5 != 0).withColumn("population", c("households") * 4).withColumn("headroom_sqm", c("absorbed") - 1500)
+    return access.layer(cells, "cell", "zone", stations, KMH, SHARES, BETAS, WEIGHTS, LIMITS, P)
+
+
+# --- elasticity ------------------------------------------------------------------------------------------------
+def _regressed() -> str:
+    """SQL of least squares on four terms: each term less its fit on those before it, then coefficients from the last."""
+    steps, prior = [], []
+    for k in range(1, 5):
+        rest = " - ".join([f"x{k} - avg(x{k}) OVER ()"] + [f"(covar_pop(x{k}, u{j}) OVER () / var_pop(u{j}) OVER ()) * u{j}" for j in prior])
+        steps.append(f"o{k} AS (SELECT *, {rest} AS u{k} FROM {'d' if k == 1 else f'o{k - 1}'})")
+        prior.append(k)
+    left = "y"
+    for k in (4, 3, 2, 1):
+        steps.append(f"c{k} AS (SELECT *, covar_pop({left}, u{k}) OVER () / var_pop(u{k}) OVER () AS b{k} FROM {f'o4' if k == 4 else f'c{k + 1}'})")
+        left = f"{left} - b{k} * x{k}"
+    return ", ".join(steps)
+
+
+add("elasticity_fit", "a_cells", f"""WITH z AS (SELECT (cell % 17 - 3) / 40e0 AS dp, (cell % 17 - 3) / 40e0 * (CASE WHEN cell % 31 = 0 THEN -1 ELSE 1 END) * (0.2e0 + (cell % 23) / 20e0) AS dq, * FROM a_cells),
+  d AS (SELECT ln(dq / dp) AS y, ln(1 - coalesce(undevelopable_frac, 0) + 0.01e0) AS x1, amenity AS x2, ln(1 - builtup_frac + 0.01e0) AS x3, ln(mean_parcel_sqm) AS x4 FROM z WHERE abs(dp) >= 0.05 AND dq / dp > 0 AND mean_parcel_sqm > 0), {_regressed()}
+  SELECT round(avg(y - b1 * x1 - b2 * x2 - b3 * x3 - b4 * x4), 5) AS intercept, round(any_value(b1), 5) AS open_land, round(any_value(b2), 5) AS regulation, round(any_value(b3), 5) AS unbuilt, round(any_value(b4), 5) AS parcel,
+    round(var_pop(b1 * x1 + b2 * x2 + b3 * x3 + b4 * x4) / var_pop(y), 5) AS r2, count(*) AS n FROM c1""", lambda x: _elasticity(x))
+
+
+def _elasticity(x: DataFrame) -> DataFrame:
+    moved = (c("cell") % 17 - 3) / 40.0
+    zones = x.fillna(0.0, ["undevelopable_frac"]).withColumn("regulatory_index", c("amenity")).withColumn("dln_price", moved)
+    got = sub.fit_elasticity(zones.withColumn("dln_floorspace", moved * F.when(c("cell") % 31 == 0, -1).otherwise(1) * (0.2 + c("cell") % 23 / 20.0)), 0.05)
+    names = {"intercept": "intercept", "_open": "open_land", "regulatory_index": "regulation", "_unbuilt": "unbuilt", "_parcel": "parcel", "r2": "r2"}
+    return x.sparkSession.createDataFrame([(*[round(float(got[k]), 5) for k in names], int(got["n"]))], ", ".join(f"{v} double" for v in names.values()) + ", n long")
+
+
 # --- cascades --------------------------------------------------------------------------------------------------
 TIERS = [("it_office", 1, 0.4, 0.8, 1.0, 900.0, "retail_svc"), ("manuf_light", 1, 0.5, 0.75, 1.5, 800.0, "logistics"), ("manuf_light", 2, 0.2, 0.5, 2.5, 1000.0, "retail_svc"), ("logistics", 1, 0.1, 0.9, 0.5, 600.0, "retail_svc")]
 
