@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.scalar import clip, lookup, step_down
 from terrane.params import Params
+from terrane.schema import SECTORS
 
 
 def undevelopable(share: Column, slope_pct: Column, p: Params) -> Column:
@@ -64,6 +65,51 @@ def substrate(cells: DataFrame, p: Params) -> DataFrame:
     return out.withColumn("eps", elasticity(c("elasticity_class"), p))
 
 
+def ward_jobs(cells: DataFrame, wards: DataFrame, growth: dict[str, float], poi: dict[str, str], ward: str = "ward", floorspace: str = "com_sqm") -> DataFrame:
+    """cells with jobs_by_sector, an array in the order of SECTORS: each ward's jobs of a sector, grown, among its cells.
+
+    wards (ward, sector, jobs). A cell's weight in a sector is its commercial floorspace, times its points of interest
+    where poi names a column for the sector; where a ward's weights sum to 0 its cells share equally. Cells of wards
+    without jobs have 0. A ward that no cell is in, and a sector that is none, raise. Sums are one partial aggregate by
+    ward; the table that joins back has a row for each ward.
+    """
+    c = F.col
+    lost = wards.select(ward).distinct().join(cells.select(ward).distinct(), ward, "left_anti").orderBy(ward).limit(5).collect()
+    if lost:
+        raise ValueError(f"wards without cells: {', '.join(str(r[0]) for r in lost)}")
+    odd = wards.filter(~F.coalesce(c("sector").isin(*SECTORS), F.lit(False))).select("sector").distinct().limit(5).collect()
+    if odd:
+        raise ValueError(f"unknown sectors: {sorted(str(r[0]) for r in odd)}")
+
+    def weight(sector: str) -> Column:
+        plain = c(floorspace).cast("double") * (c(poi[sector]) if sector in poi and poi[sector] in cells.columns else F.lit(1.0))
+        return F.greatest(F.lit(0.0), F.when(~F.isnan(plain), plain).otherwise(0.0))
+
+    weights = {s: f"_w{i}" for i, s in enumerate(SECTORS)}
+    rows = cells.withColumns({name: F.coalesce(weight(s), F.lit(0.0)) for s, name in weights.items()})
+    held = rows.groupBy(ward).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(name).alias(f"_t{name}") for name in weights.values()])
+    totals = wards.groupBy(ward).agg(*[(F.sum(F.when(c("sector") == s, c("jobs"))) * float(growth.get(s, 1.0))).alias(f"_j{name}") for s, name in weights.items()])
+    joined = rows.join(held.join(totals, ward), ward, "left")
+
+    def jobs(name: str) -> Column:
+        total = c(f"_t{name}")
+        share = F.when(total > 0, c(name) / F.when(total > 0, total)).otherwise(1.0 / c("_n"))
+        return F.coalesce(c(f"_j{name}") * share, F.lit(0.0))
+
+    return joined.withColumn("jobs_by_sector", F.array(*[jobs(name) for name in weights.values()])).select(*[x for x in cells.columns if x != "jobs_by_sector"], "jobs_by_sector")
+
+
+def assemble(cells: DataFrame, p: Params, wards: DataFrame | None = None, growth: dict[str, float] | None = None, poi: dict[str, str] | None = None, ward: str = "ward", fit: dict[str, float] | None = None) -> DataFrame:
+    """The layer's one entry: substrate(), elasticities by a regression where one is given, and jobs of wards.
+
+    Without wards, jobs_by_sector stays as it is: no employment is made up.
+    """
+    out = substrate(cells, p)
+    if fit is not None:
+        out = regressed_elasticity(out.drop("eps"), fit)
+    return out if wards is None else ward_jobs(out, wards, growth or {}, poi or {}, ward)
+
+
 def spread_by_weight(df: DataFrame, group: str, total: Column, weight: Column, out: str) -> DataFrame:
     """A group's total shared among its rows by weight, or equally where the group's weights sum to 0."""
     w = Window.partitionBy(group)

@@ -11,6 +11,7 @@ from terrane.plans import backtest
 from terrane.plans.backtest import PRIME
 from terrane.plans.catalogue import BETAS, KMH, KNN, OD, OPP, P, SHARE as MODE_SHARE, SHARES, TIE, WEIGHTS, _knn, add
 from terrane.plans.catalogue_shapes import districts
+from terrane.schema import SECTORS
 from terrane.sources import snapshot_tree
 from terrane.streaming import monitor
 
@@ -48,6 +49,22 @@ add("rail_shortest", "supplier", f"""WITH RECURSIVE {STATIONS}, n AS (SELECT *,
     UNION SELECT w.u, e.v, min(w.d + e.m) FROM ways w JOIN e ON e.u = w.v LEFT JOIN recurring.ways r ON r.u = w.u AND r.v = e.v WHERE w.d + e.m < coalesce(r.d, 1e18) - 1e-9 GROUP BY w.u, e.v)
   SELECT u AS board, v AS alight, round(d + 1e-9, 6) AS ride FROM ways""", lambda s: networks.rail_minutes(_stations(s), P).withColumn("ride", c("ride") + 1e-9))
 
+# --- jobs of wards ---------------------------------------------------------------------------------------------
+GROWN = {"it_office": 1.6, "logistics": 1.25}
+WARD_JOBS = {"it_office": 3, "retail_svc": 5, "logistics": 7}
+add("l0_ward_jobs", "a_cells", f"""WITH s(sector, k, growth) AS (VALUES {', '.join(f"('{s}', {k}, {GROWN.get(s, 1.0)}e0)" for s, k in WARD_JOBS.items())}),
+  w AS (SELECT DISTINCT zone, sector, (zone % k + 1) * 40e0 * growth AS jobs FROM a_cells, s WHERE zone % 6 <> 0 AND zone % k <> 1),
+  g AS (SELECT cell, zone, sector, CASE sector WHEN 'retail_svc' THEN com_sqm * retail_poi ELSE com_sqm END AS w FROM a_cells, s), t AS (SELECT zone, sector, sum(w) AS t, count(*) AS n FROM g GROUP BY ALL)
+  SELECT cell, sector, round(jobs * CASE WHEN t > 0 THEN g.w / t ELSE 1e0 / n END, 6) AS jobs FROM g JOIN t USING (zone, sector) JOIN w USING (zone, sector) WHERE jobs * CASE WHEN t > 0 THEN g.w / t ELSE 1e0 / n END > 0""", lambda x: _ward_jobs(x))
+
+
+def _ward_jobs(x: DataFrame) -> DataFrame:
+    sectors = F.explode(F.array(*[F.struct(F.lit(s).alias("sector"), F.lit(k).alias("k")) for s, k in WARD_JOBS.items()])).alias("s")
+    wards = x.select("zone").distinct().select("zone", sectors).filter("zone % 6 <> 0 AND zone % s.k <> 1").select("zone", "s.sector", ((c("zone") % c("s.k") + 1) * 40.0).alias("jobs"))
+    found = sub.assemble(x, P, wards, GROWN, {"retail_svc": "retail_poi"}, "zone")
+    return found.select("cell", F.posexplode("jobs_by_sector").alias("i", "jobs")).filter("jobs > 0").select("cell", F.element_at(F.array(*[F.lit(s) for s in SECTORS]), c("i") + 1).alias("sector"), "jobs")
+
+
 # --- accessibility, as one table -------------------------------------------------------------------------------
 LIMITS = [5, 10, 20]
 add("l1_layer", "a_cells", f"""WITH {OD}, {OPP}, city AS (SELECT * FROM a_cells WHERE zone % 5 <> 0), chosen AS (SELECT cell FROM city WHERE households * 4 > 0 OR absorbed - 1500 > 0),

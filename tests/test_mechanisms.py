@@ -194,3 +194,18 @@ def test_quantiles_over_many_decades(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = ms.quantiles(df, {"a": ("v", 0.5), "b": ("v", 0.1), "c": ("v", 1.0)}, bins=16).first()
     assert got.a == pytest.approx(np.quantile(values, 0.5)) and got.b == pytest.approx(np.quantile(values, 0.1)) and got.c == max(values)
+
+
+def test_ward_jobs(spark):
+    from terrane.operators import substrate as sub
+    from terrane.schema import SECTORS
+
+    cells = spark.createDataFrame([(1, "a", 100.0, 1), (2, "a", 300.0, 0), (3, "b", 0.0, 5), (4, "b", None, 2), (5, "c", 50.0, 1)], "cell long, ward string, com_sqm double, shops int")
+    schema = "ward string, sector string, jobs double"
+    wards = spark.createDataFrame([("a", "it_office", 80.0), ("a", "retail_svc", 10.0), ("b", "retail_svc", 6.0)], schema)
+    got = {r.cell: dict(zip(SECTORS, r.jobs_by_sector)) for r in sub.ward_jobs(cells, wards, {"it_office": 2.0}, {"retail_svc": "shops"}).collect()}
+    assert got[1]["it_office"] == 40 and got[2]["it_office"] == 120 and got[1]["retail_svc"] == 10 and got[2]["retail_svc"] == 0
+    assert got[3]["retail_svc"] == got[4]["retail_svc"] == 3 and sum(got[5].values()) == 0
+    for bad, said in ((("z", "it_office", 1.0), "without cells: z"), (("a", "moon", 1.0), "unknown sectors")):
+        with pytest.raises(ValueError, match=said):
+            sub.ward_jobs(cells, spark.createDataFrame([bad], schema), {}, {})
