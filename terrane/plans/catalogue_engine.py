@@ -87,6 +87,7 @@ add("l3_delays", "a_projects", _delay_sql(), lambda p: _delays(p).select("projec
 add("l3_cycle_score", "a_cells", "SELECT cell, round(1 - least(1, greatest(0, 0.5e0 + 0.5e0 * coalesce((price - 1000) / 200, 0))), 6) AS cycle FROM a_cells", lambda x: x.select("cell", cr.cycle_score(P, c("price"), 1000.0, 200.0).alias("cycle")))
 
 # --- shocks ----------------------------------------------------------------------------------------------------
+#: Rows of the model's archetypes, fields and flags that the queries resolve.
 ARCHETYPES = [
     ("rail", None, None, None, None, None, None, None, None, 4.0, 3.0, False, None, None, "transit_line", 32.0),
     ("data", "it_office", 0.42, 70000.0, 12000.0, None, None, 22.5, 0.10, 3.0, 3.0, True, 1113.0, None, "none", None),
