@@ -105,7 +105,7 @@ def ask(transport: Callable[[str, str, str], str], task: str, model: str, retrie
     """(task, prompt, model, answer, attempts, status, error): a bad answer is asked for again with what is wrong."""
     user, said, error = render(task, **variables), "", None
     for attempt in range(retries + 1):
-        more = "" if error is None else f"\n\nThis is try {attempt + 1}. What came back could not be used, because of this: {error}\nPlease send one JSON object that has the fields asked for, and no text beside it."
+        more = "" if error is None else f"\n\nThis is try {attempt + 1}, since the reply is not valid: {error}\nPlease send one JSON object that has the fields asked for, and no text beside it."
         said = transport(SYSTEM, user + more, model)
         error = problem(task, said)
         if error is None:
