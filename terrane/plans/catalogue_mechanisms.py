@@ -230,4 +230,4 @@ add("snapshot_tree", "orders", f"""WITH h AS (SELECT o_orderkey AS k, sha256('o_
   l1 AS (SELECT node // {FAN} AS node, sum(n) AS n, sha256(string_agg(node || ':' || hash, ',' ORDER BY node)) AS hash FROM l0 GROUP BY node // {FAN}),
   l2 AS (SELECT node // {FAN} AS node, sum(n) AS n, sha256(string_agg(node || ':' || hash, ',' ORDER BY node)) AS hash FROM l1 GROUP BY node // {FAN})
   SELECT 0 AS level, node, n, hash FROM l0 UNION ALL SELECT 1, node, n::BIGINT, hash FROM l1 UNION ALL SELECT 2, node, n::BIGINT, hash FROM l2""",
-    lambda o: snapshot_tree.tree(o.select("o_custkey", c("o_orderdate").cast("timestamp").alias("o_orderdate"), "o_orderkey", "o_orderstatus"), "o_orderkey", SPAN, FAN).filter("level < 3"))
+    lambda o: snapshot_tree.tree(o.select("o_custkey", c("o_orderdate").cast("timestamp").alias("o_orderdate"), "o_orderkey", "o_orderstatus"), "o_orderkey", SPAN, FAN, 2))

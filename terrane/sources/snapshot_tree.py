@@ -35,8 +35,9 @@ def row_digest(df: DataFrame) -> Column:
     return F.sha2(F.concat_ws(";", *parts), 256)
 
 
-def tree(df: DataFrame, key: str, span: int = RANGE, fan: int = FAN) -> DataFrame:
-    """(level, node, n, hash): leaves (level 0) of span key values each, and their parents up to one root for each sign.
+def tree(df: DataFrame, key: str, span: int = RANGE, fan: int = FAN, levels: int | None = None) -> DataFrame:
+    """(level, node, n, hash): leaves (level 0) of span key values each, and their parents up to one root for each sign,
+    or as many levels of parents as levels says.
 
     key is a whole number; rows without one are in the leaf of the least number. Rows of one key are ordered by their
     digests, and rows that repeat count as often as they do. A leaf holds the rows of span key values; the levels above
@@ -48,7 +49,7 @@ def tree(df: DataFrame, key: str, span: int = RANGE, fan: int = FAN) -> DataFram
     level = leaf.select(F.lit(0).alias("level"), "node", "n", F.sha2("_all", 256).alias("hash"))
     out, depth = level, 0
     low, high = df.agg(F.min(F.coalesce(F.col(key).cast("long"), F.lit(least))), F.max(F.coalesce(F.col(key).cast("long"), F.lit(least)))).first()
-    while low is not None and low // span // fan**depth != high // span // fan**depth and depth < 64:
+    while depth < levels if levels is not None else low is not None and low // span // fan**depth != high // span // fan**depth and depth < 64:
         depth += 1
         up = level.groupBy(F.floor(F.col("node") / fan).cast("long").alias("node")).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("_all"))
         level = up.select(F.lit(depth).alias("level"), "node", "n", F.sha2(F.array_join(F.transform("_all", lambda r: F.concat_ws(":", r["node"].cast("string"), r["hash"])), ","), 256).alias("hash"))
