@@ -25,10 +25,13 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> tuple[np.ndarray, np.ndarray, f
 
 
 def lagged(df: DataFrame, weights: DataFrame, key: str, other: str, names: list[str]) -> DataFrame:
-    """Weighted neighbour means of columns, as w_<name>: one join and one aggregate for all of them."""
+    """Weighted neighbour means of columns, as w_<name>: one join and one aggregate for all of them.
+
+    The joins are merged, as files of few bytes may hold more rows than the driver can broadcast.
+    """
     values = df.select(F.col(key).alias(other), *names)
-    out = weights.join(values, other).groupBy(key).agg(*[F.sum(F.col("weight") * F.col(n)).alias(f"w_{n}") for n in names])
-    return df.join(out, key, "left").fillna(0.0, [f"w_{n}" for n in names])
+    out = weights.join(values.hint("merge"), other).groupBy(key).agg(*[F.sum(F.col("weight") * F.col(n)).alias(f"w_{n}") for n in names])
+    return df.join(out.hint("merge"), key, "left").fillna(0.0, [f"w_{n}" for n in names])
 
 
 def lm_tests(df: DataFrame, weights: DataFrame, key: str, other: str, y: str, xs: list[str]) -> dict[str, float]:
